@@ -20,6 +20,8 @@ from sluiceway.llm.common import materialize
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT, MOST_REPEATS = 150, 2
 BITS, LEVELS = 12, 3
+#: Tables by source are broadcast up to so many sources; beyond, joins are dealt by source and hot ones split.
+FEW_SOURCES = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -98,11 +100,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: in
         .withColumn("budget", F.floor("target") - F.col("whole") * F.col("source_size")),
         "targets",
     )
+    few = aims.count() <= FEW_SOURCES
+    sent = F.broadcast if few else lambda df: df
     edge = aims.filter("budget > 0").select("key", F.lit(0).cast("long").alias("lo"), F.lit(1 << 60).cast("long").alias("hi"), "budget")
     for level in range(LEVELS):
-        edge = materialize(_boundary(rows, edge, level), f"level{level}")
+        edge = materialize(_boundary(rows, sent(edge), level), f"level{level}")
     # Below the last level single hashes are left: their number a source does not grow with the table by more than 2**-36.
-    last = rows.join(edge, "key").filter((F.col("h") >= F.col("lo")) & (F.col("h") < F.col("hi"))).groupBy("key", "h", "budget").agg(F.sum("size").alias("n"))
+    last = rows.join(sent(edge), "key").filter((F.col("h") >= F.col("lo")) & (F.col("h") < F.col("hi"))).groupBy("key", "h", "budget").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("h"))
     stop = (
         last.withColumn("upto", upto).filter((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget")))
@@ -114,7 +118,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: in
         .when(F.col("h") == F.col("stop"), F.expr("size * rest div stop_n")).otherwise(0)
     )
     taken = (F.col("size") * F.col("whole") + more).cast("long").alias("taken")
-    return rows.join(plan, "key").select("doc_id", "size", "source_size", "target", taken, "source")
+    return rows.join(sent(plan), "key").select("doc_id", "size", "source_size", "target", taken, "source")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:

@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sluiceway.llm.ann import nearest
+from sluiceway.llm.chat import oracle as chat_sql
+from sluiceway.llm.chat import render_conversations
 from sluiceway.llm.langid import identify
 from sluiceway.llm.mixing import mix_sources
 from sluiceway.llm.mixing import oracle as mixing_sql
+from sluiceway.llm.pii import pseudonymise
 from sluiceway.llm.suffix_dedup import remove_repeats
 from sluiceway.llm.toxicity import score_toxicity
 
@@ -21,6 +25,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -29,13 +37,21 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op5_mixing, op6_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_chat, op5_mixing, op6_toxicity, op7_ann, op9_pii, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing_sql()}
+    return {"op3_chat": chat_sql(), "op5_mixing": mixing_sql()}
