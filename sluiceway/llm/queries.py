@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sluiceway.llm.ann import nearest
 from sluiceway.llm.chat import oracle as chat_sql
 from sluiceway.llm.chat import render_conversations
+from sluiceway.llm.decontam import find_leaks
 from sluiceway.llm.langid import identify
 from sluiceway.llm.mixing import mix_sources
 from sluiceway.llm.mixing import oracle as mixing_sql
+from sluiceway.llm.near_dup import near_duplicates
 from sluiceway.llm.pii import pseudonymise
 from sluiceway.llm.suffix_dedup import remove_repeats
 from sluiceway.llm.toxicity import score_toxicity
@@ -29,6 +31,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +47,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -50,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_chat, op5_mixing, op6_toxicity, op7_ann, op9_pii, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
