@@ -24,7 +24,7 @@ from sluiceway.llm.common import U64, Words, flat, ranges
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Words of a passage and between starts of passages; share of an item's own score that retrieves it.
-PASSAGE, STRIDE, SHARE = 64, 32, 0.35
+PASSAGE, STRIDE, SHARE = 64, 32, 0.5
 BLOCK_ITEMS = 8
 #: Items indexed at once: larger benchmarks are searched part by part.
 PART_ITEMS = 512
@@ -53,8 +53,8 @@ class BlockIndex:
                 score = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean))
                 self.postings[place[t]].append((i, score))
                 own[i] += score
-        # An item longer than a passage is met by passages that hold but a part of it.
-        self.need = SHARE * own * np.minimum(1, PASSAGE / np.maximum(lengths, 1))
+        # Of a longer item the passage that lies best holds 48 words at least.
+        self.need = SHARE * own * np.minimum(1, (PASSAGE - STRIDE // 2) / np.maximum(lengths, 1))
         blocks = -(-len(items) // BLOCK_ITEMS)
         self.block_max = np.zeros((len(place) + 1, blocks), np.float32)
         for k, row in enumerate(self.postings):
@@ -136,7 +136,12 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             steps = np.maximum(-(-words.count // STRIDE), 0)
             base = np.repeat(words.first[:-1], steps) + (np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)) * STRIDE
             owner = np.repeat(np.arange(j - i), steps)
-            sums = np.add.reduceat(index.block_max[term], base, axis=0)
+            # A term counts once in a stride, as it does in the score.
+            key = np.repeat(np.arange(len(base)), np.diff(np.append(base, len(term)))) * (len(index.terms) + 1) + term
+            order = np.argsort(key, kind="stable")
+            once = term.copy()
+            once[order[1:][key[order[1:]] == key[order[:-1]]]] = len(index.terms)
+            sums = np.add.reduceat(index.block_max[once], base, axis=0)
             follow = np.zeros(len(base), bool)
             follow[:-1] = owner[1:] == owner[:-1]
             bound = sums.copy()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from sluiceway.llm.ann import nearest
@@ -11,6 +12,7 @@ from sluiceway.llm.chat import oracle as chat_sql
 from sluiceway.llm.chat import render_conversations
 from sluiceway.llm.decontam import find_leaks
 from sluiceway.llm.langid import identify
+from sluiceway.llm.lm_score import score_documents
 from sluiceway.llm.mixing import mix_sources
 from sluiceway.llm.mixing import oracle as mixing_sql
 from sluiceway.llm.near_dup import near_duplicates
@@ -27,6 +29,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render_conversations(_table(spark, sf_dir, "conversations"))
 
@@ -60,7 +66,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language)}
+    found = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
