@@ -34,7 +34,7 @@ class Typed:
 
 def number(s: Column) -> Column:
     """The number a string starts with, or null."""
-    return F.expr("1").cast("double") * F.nullif(F.regexp_extract(s, _NUMBER, 1), F.lit("")).try_cast("double")
+    return F.nullif(F.regexp_extract(s, _NUMBER, 1), F.lit("")).try_cast("double")
 
 
 def show_number(d: Column) -> Column:
@@ -127,7 +127,7 @@ def modified(s: Column, modifiers: str) -> Column:
         if low in ("lowercase", "uppercase"):
             s = F.lower(s) if low == "lowercase" else F.upper(s)
         elif low in ("json", "jsonf"):
-            body = F.expr("'x'") if False else F.regexp_replace(F.to_json(F.struct(s.alias("v"))), r'^\{"v":|\}$', "")
+            body = F.regexp_replace(F.to_json(F.struct(s.alias("v"))), r'^\{"v":|\}$', "")
             s = body if low == "jsonf" else F.regexp_replace(body, r'^"|"$', "")
         elif low == "space-cc":
             s = F.regexp_replace(s, r"[\x00-\x1f]", " ")

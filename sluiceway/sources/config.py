@@ -13,7 +13,7 @@ from sluiceway.model import Action, Call, CallRuleset, Config, If, Input, Lit, L
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*|/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<num>\d+(?:\.\d+)?)"""
-    r"""|(?P<ref>\$[.!]?[A-Za-z_][\w.!:,-]*|\$!)|(?P<op>==|!=|<=|>=|=~|!~|[<>&+*/%(){}\[\];,=-])|(?P<name>[A-Za-z_][\w.-]*)""",
+    r"""|(?P<ref>\$[.!]?[A-Za-z_][\w.!-]*(?::[\w,:$-]*[\w$])?|\$!)|(?P<op>==|!=|<=|>=|=~|!~|[<>&+*/%(){}\[\];,=-])|(?P<name>[A-Za-z_][\w.-]*)""",
     re.S,
 )
 _SELECTOR = re.compile(r"[ \t]*([a-z*][\w*,]*\.(?:[!=]{0,2}[\w*]+)(?:;[\w*,]+\.[!=]{0,2}[\w*]+)*)[ \t]+([^\s{(].*)$", re.M)
