@@ -40,8 +40,11 @@ def _unit(h: np.ndarray) -> np.ndarray:
 
 
 def _slots(shingles: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One hash for each unit of weight: the j-th occurrence of a shingle in its document."""
-    order = np.lexsort((shingles, doc))
+    """One hash for each unit of weight: the j-th occurrence of a shingle in its document.
+
+    Equal shingles of a document need only be neighbours, so one sort by a mixed key will do.
+    """
+    order = np.argsort(shingles ^ mix(doc.astype(U64) + U64(1)))
     s, d = shingles[order], doc[order]
     new = np.ones(len(s), bool)
     new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
@@ -84,13 +87,11 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         slot, where, begun, h = slot[hit], where[hit], begun[hit], h[hit]
         dart = mix(h ^ U64(0xA24BAED4963EE407))
         at = where * COORDINATES + (dart % U64(COORDINATES)).astype(np.int64)
-        order = np.lexsort((dart, begun, at))
-        first = np.ones(len(order), bool)
-        first[1:] = at[order][1:] != at[order][:-1]
-        o = order[first]
-        better = begun[o] < best[at[o]]
-        o = o[better]
-        best[at[o]], name[at[o]] = begun[o], dart[o]
+        before = best[at]
+        np.minimum.at(best, at, begun)
+        o = np.flatnonzero((begun < before) & (begun == best[at]))
+        name[at[o]] = U64(2**64 - 1)
+        np.minimum.at(name, at[o], dart[o])
     return name.reshape(n, COORDINATES)
 
 
@@ -128,7 +129,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots = [_slots(*ngrams(Words(*side, i, j), SHINGLE)) for side in sides]
             sizes = [np.bincount(d, minlength=j - i) for _, d in slots]
             h, d = (np.concatenate(x) for x in zip(*slots))
-            order = np.lexsort((h, d))
+            order = np.argsort(h ^ mix(d.astype(U64) + U64(1)))
             h, d = h[order], d[order]
             shared = np.bincount(d[1:][(h[1:] == h[:-1]) & (d[1:] == d[:-1])], minlength=j - i)
             out[i:j] = shared / np.maximum(sizes[0] + sizes[1] - shared, 1)
