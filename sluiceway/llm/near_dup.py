@@ -10,8 +10,10 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Documents that share a band are joined to one member of the bucket, chosen by
 hash, other ones in other bands; pairs are checked exactly on the whole texts.
-Buckets whose members are then still in several classes are searched again
-between the classes.  Classes are connected components, found by DataFrame joins.
+In buckets whose members are then still in several classes, each document
+proposes the one of another class that it agrees with most, in two rounds; what
+is still apart is compared by longer signatures, and likely pairs are checked.
+Classes are connected components, found by DataFrame joins.
 """
 
 from __future__ import annotations
@@ -28,9 +30,13 @@ from sluiceway.llm.common import U64, Words, flat, materialize, mix, ngrams, ran
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-DARTS = COORDINATES * (np.log(COORDINATES) + 3)
 #: Different choices of a bucket's leader; pairs with fewer agreeing coordinates than this are not near.
 LEADERS, AGREE = 3, int(0.68 * COORDINATES)
+#: Long signatures decide which pairs of documents still apart are checked: 3.5 standard deviations below SIMILAR.
+LONG = 480
+LONG_AGREE = int(0.735 * LONG)
+#: Rounds in which each document proposes whom it agrees with most; members of a bucket in one block.
+ROUNDS, BLOCK = 2, 2048
 CHUNK = 2 << 20
 
 
@@ -53,15 +59,15 @@ def _slots(shingles: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(s + nth * U64(0x9E3779B97F4A7C15)), d
 
 
-def signatures(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """n rows of COORDINATES dart hashes; documents without shingles have zeros."""
-    best = np.full(n * COORDINATES, np.inf)
-    name = np.zeros(n * COORDINATES, U64)
+def signatures(shingles: np.ndarray, doc: np.ndarray, n: int, size: int = COORDINATES) -> np.ndarray:
+    """n rows of `size` dart hashes; documents without shingles have zeros."""
+    best = np.full(n * size, np.inf)
+    name = np.zeros(n * size, U64)
     if not len(shingles):
-        return name.reshape(n, COORDINATES)
+        return name.reshape(n, size)
     slot, where = _slots(shingles, doc)
     weight = np.bincount(where, minlength=n).astype(np.float64)
-    limit = DARTS / np.maximum(weight, 1)
+    limit = size * (np.log(size) + 3) / np.maximum(weight, 1)
     begun = np.zeros(len(slot))
     turn = 0
     open_ = np.ones(n, bool)
@@ -72,7 +78,7 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         hit = begun <= limit[where]
         if not hit.any():
             # Some coordinate may have no dart: such documents go on to twice the rank.
-            missing = np.isinf(best.reshape(n, COORDINATES)).any(axis=1) & open_ & (weight > 0)
+            missing = np.isinf(best.reshape(n, size)).any(axis=1) & open_ & (weight > 0)
             if not missing.any():
                 break
             limit[missing] *= 2
@@ -80,19 +86,19 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
             keep = missing[where_all]
             slot, where = slot_all[keep], where_all[keep]
             begun, turn = np.zeros(len(slot)), 0
-            again = np.repeat(missing, COORDINATES)
+            again = np.repeat(missing, size)
             best[again], name[again] = np.inf, 0
             open_ = missing
             continue
         slot, where, begun, h = slot[hit], where[hit], begun[hit], h[hit]
         dart = mix(h ^ U64(0xA24BAED4963EE407))
-        at = where * COORDINATES + (dart % U64(COORDINATES)).astype(np.int64)
+        at = where * size + (dart % U64(size)).astype(np.int64)
         before = best[at]
         np.minimum.at(best, at, begun)
         o = np.flatnonzero((begun < before) & (begun == best[at]))
         name[at[o]] = U64(2**64 - 1)
         np.minimum.at(name, at[o], dart[o])
-    return name.reshape(n, COORDINATES)
+    return name.reshape(n, size)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,30 +142,71 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "similarity"])
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one bucket (rows come sorted by bucket) in different classes whose signatures agree enough."""
+def _met(choose):
+    """Pairs (a, b) of documents that meet in a cell (rows come sorted by cell) in different classes.
 
-    def pairs(ids: list[int], classes: list[int], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        a, c = np.array(ids), np.array(classes)
-        s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(a), COORDINATES)
-        order = np.argsort(c, kind="stable")
-        a, c, s = a[order], c[order], s[order]
+    A cell holds two blocks of a bucket, or one block twice; choose gives, for one
+    document's agreement with each later one of another class, whom it is paired with.
+    """
+
+    def pairs(ids: list[int], classes: list[int], blocks: list[int], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        a, c, k = np.array(ids), np.array(classes), np.array(blocks)
+        s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(a), -1)
+        one = k.min() == k.max()
         for i in range(len(a)):
-            rest = int(np.searchsorted(c, c[i], "right"))
-            near = rest + np.flatnonzero((s[rest:] == s[i]).sum(axis=1) >= AGREE)
+            other = np.flatnonzero((c != c[i]) & (one | (k != k[i])))
+            near = other[choose((s[other] == s[i]).sum(axis=1))] if len(other) else other
             if len(near):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], a[near])), pa.array(np.maximum(a[i], a[near]))], names=["a", "b"])
 
-    key, ids, classes, sigs = None, [], [], []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cell = None, ([], [], [], [])
+        for batch in batches:
+            for k, *row in zip(*(batch.column(x).to_pylist() for x in ("cell", "doc_id", "class_id", "block", "sig"))):
+                if k != key:
+                    if len(cell[0]) > 1:
+                        yield from pairs(*cell)
+                    key, cell = k, ([], [], [], [])
+                for x, y in zip(cell, row):
+                    x.append(y)
+        if len(cell[0]) > 1:
+            yield from pairs(*cell)
+
+    return run
+
+
+def _best(agree: np.ndarray) -> np.ndarray:
+    """The document that agrees most, if it agrees enough."""
+    k = int(agree.argmax())
+    return np.array([k] if agree[k] >= AGREE else [], np.int64)
+
+
+def _likely(agree: np.ndarray) -> np.ndarray:
+    """All whose long signatures agree enough."""
+    return np.flatnonzero(agree >= LONG_AGREE)
+
+
+def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long signatures, from other darts than the short ones."""
     for batch in batches:
-        for k, i, c, s in zip(*(batch.column(x).to_pylist() for x in ("bucket", "doc_id", "class_id", "sig"))):
-            if k != key:
-                if len(ids) > 1:
-                    yield from pairs(ids, classes, sigs)
-                key, ids, classes, sigs = k, [], [], []
-            ids.append(i), classes.append(c), sigs.append(s)
-    if len(ids) > 1:
-        yield from pairs(ids, classes, sigs)
+        data, offsets = flat(batch.column("text"))
+        for i, j in ranges(offsets, CHUNK):
+            shingles, doc = ngrams(Words(data, offsets, i, j), SHINGLE)
+            sig = (signatures(mix(shingles ^ U64(0x5851F42D4C957F2D)), doc, j - i, LONG) & U64(0xFFFF)).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([row.tobytes() for row in sig], pa.binary())], names=["doc_id", "sig"])
+
+
+def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """cell, doc_id, class_id, block: members of buckets that hold several classes.
+
+    A bucket of more than BLOCK members is dealt into blocks, and each two blocks
+    meet in a cell of their own, so that no task gets a whole large bucket.
+    """
+    named = buckets.select("bucket", "doc_id").join(classes, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    split = named.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x <> y").select("bucket", "blocks")
+    dealt = named.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.select(F.xxhash64("bucket", F.least("block", "o"), F.greatest("block", "o")).alias("cell"), "doc_id", "class_id", "block")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,7 +249,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = signed.groupBy("doc_id").agg(F.max(F.struct("w1", "w2", "bands", "sig")).alias("s")).select("doc_id", "s.*")
     leads = signed.groupBy("w1", "w2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n_copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
     leads = materialize(leads, "leads")
-    members = signed.select("doc_id", "w1", "w2").join(leads.select("w1", "w2", "lead", "n_copies"), ["w1", "w2"])
     banded = leads.select(F.col("lead").alias("doc_id"), F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("bucket"), F.pmod("band", F.lit(LEADERS)).alias("turn"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "turn"), "doc_id"))["doc_id"].alias("a")).filter("n > 1")
     buckets = materialize(banded.join(crowded, "bucket").select("bucket", "doc_id", "a"), "buckets")
@@ -210,17 +256,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = materialize(buckets.filter("doc_id <> a").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "tried")
     links = materialize(_verified(tried, texts), "links")
     classes = components(links)
-    # Members of one bucket in different classes are compared by signature; what is near is checked too.
-    named = buckets.select("bucket", "doc_id").join(classes, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    split = named.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y")).filter("x <> y").select("bucket")
-    open_ = named.join(split, "bucket", "left_semi").join(leads.select(F.col("lead").alias("doc_id"), "sig"), "doc_id")
-    more = open_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_across, "a long, b long").distinct()
-    more = materialize(_verified(more.join(tried, ["a", "b"], "left_anti"), texts), "more")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        classes = components(links)
+    for turn in range(ROUNDS + 1):
+        open_ = _open(buckets, classes)
+        if turn < ROUNDS:
+            sigs, choose = leads.select(F.col("lead").alias("doc_id"), "sig"), _best
+        else:
+            open_ = materialize(open_, "open")
+            sigs, choose = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_long, "doc_id long, sig binary"), _likely
+        met = open_.join(sigs, "doc_id").repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(choose), "a long, b long").distinct()
+        asked = materialize(met.join(tried, ["a", "b"], "left_anti"), "asked")
+        more = materialize(_verified(asked, texts), "more")
+        tried = tried.unionByName(asked)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            classes = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("lead")).groupBy("lead").agg(F.count("*").alias("n_links"))
-    named = members.join(classes.withColumnRenamed("doc_id", "lead"), "lead", "left").join(counts, "lead", "left")
+    # What belongs to a representative is joined to it first, so that its copies, which may be many, meet it only once.
+    known = leads.select("w1", "w2", "lead", "n_copies").join(classes.withColumnRenamed("doc_id", "lead"), "lead", "left").join(counts, "lead", "left")
+    named = signed.select("doc_id", "w1", "w2").join(known, ["w1", "w2"])
     everyone = rows.select("doc_id").distinct().join(named, "doc_id", "left")
     return everyone.select(
         "doc_id", F.coalesce("class_id", "lead", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")

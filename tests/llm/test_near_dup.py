@@ -81,3 +81,21 @@ def test_agreement_is_the_similarity():
             agree.append((sig[0] == sig[1]).mean())
         true = shared / (2 - shared)
         assert abs(np.mean(agree) - true) < 4 * np.sqrt(true * (1 - true) / (40 * COORDINATES))
+
+
+def test_large_group_in_blocks(texts, monkeypatch):
+    """A family of copies edited lightly or heavily, its buckets dealt into blocks of eight."""
+    import sluiceway.llm.near_dup as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    base, items = [word() for _ in range(150)], []
+    for k in range(90):
+        w = list(base)
+        for _ in range(r.randint(0, 14)):
+            w[r.randrange(len(w))] = word()
+        items.append((k, " ".join(w)))
+    want = brute(items)
+    got = {x.doc_id: x.class_id for x in near_duplicates(texts(items)).collect()}
+    assert got == want and 3 < len(set(want.values())) < 80
