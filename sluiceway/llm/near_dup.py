@@ -142,34 +142,39 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "similarity"])
 
 
-def _met(choose):
+def _met(choose, once: bool):
     """Pairs (a, b) of documents that meet in a cell (rows come sorted by cell) in different classes.
 
     A cell holds two blocks of a bucket, or one block twice; choose gives, for one
-    document's agreement with each later one of another class, whom it is paired with.
+    document's agreement with each one of another class, whom it is paired with.  With
+    once, a pair comes only from the first band that it shares: where two classes meet,
+    all buckets that both documents share are open.
     """
 
-    def pairs(ids: list[int], classes: list[int], blocks: list[int], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def pairs(ids: list[int], classes: list[int], blocks: list[int], bands: list[int], short: list[bytes], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
         a, c, k = np.array(ids), np.array(classes), np.array(blocks)
         s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(a), -1)
+        rows = np.frombuffer(b"".join(short), np.uint16).reshape(len(a), BANDS, ROWS)
         one = k.min() == k.max()
         for i in range(len(a)):
             other = np.flatnonzero((c != c[i]) & (one | (k != k[i])))
             near = other[choose((s[other] == s[i]).sum(axis=1))] if len(other) else other
+            if once:
+                near = near[(a[near] > a[i]) & ((rows[near] == rows[i]).all(axis=2).argmax(axis=1) == bands[0])]
             if len(near):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], a[near])), pa.array(np.maximum(a[i], a[near]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell = None, ([], [], [], [])
+        key, cell = None, None
         for batch in batches:
-            for k, *row in zip(*(batch.column(x).to_pylist() for x in ("cell", "doc_id", "class_id", "block", "sig"))):
+            for k, *row in zip(*(batch.column(x).to_pylist() for x in ("cell", "doc_id", "class_id", "block", "band", "short", "sig"))):
                 if k != key:
-                    if len(cell[0]) > 1:
+                    if cell and len(cell[0]) > 1:
                         yield from pairs(*cell)
-                    key, cell = k, ([], [], [], [])
+                    key, cell = k, tuple([] for _ in row)
                 for x, y in zip(cell, row):
                     x.append(y)
-        if len(cell[0]) > 1:
+        if cell and len(cell[0]) > 1:
             yield from pairs(*cell)
 
     return run
@@ -197,16 +202,16 @@ def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
-    """cell, doc_id, class_id, block: members of buckets that hold several classes.
+    """cell, doc_id, class_id, block, band: members of buckets that hold several classes.
 
     A bucket of more than BLOCK members is dealt into blocks, and each two blocks
     meet in a cell of their own, so that no task gets a whole large bucket.
     """
-    named = buckets.select("bucket", "doc_id").join(classes, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = buckets.select("bucket", "band", "doc_id").join(classes, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     split = named.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x <> y").select("bucket", "blocks")
     dealt = named.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.select(F.xxhash64("bucket", F.least("block", "o"), F.greatest("block", "o")).alias("cell"), "doc_id", "class_id", "block")
+    return met.select(F.xxhash64("bucket", F.least("block", "o"), F.greatest("block", "o")).alias("cell"), "doc_id", "class_id", "block", "band")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -249,21 +254,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = signed.groupBy("doc_id").agg(F.max(F.struct("w1", "w2", "bands", "sig")).alias("s")).select("doc_id", "s.*")
     leads = signed.groupBy("w1", "w2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n_copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
     leads = materialize(leads, "leads")
-    banded = leads.select(F.col("lead").alias("doc_id"), F.posexplode("bands").alias("band", "h")).select("doc_id", F.xxhash64("band", "h").alias("bucket"), F.pmod("band", F.lit(LEADERS)).alias("turn"))
+    banded = leads.select(F.col("lead").alias("doc_id"), F.posexplode("bands").alias("band", "h")).select("doc_id", "band", F.xxhash64("band", "h").alias("bucket"), F.pmod("band", F.lit(LEADERS)).alias("turn"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "turn"), "doc_id"))["doc_id"].alias("a")).filter("n > 1")
-    buckets = materialize(banded.join(crowded, "bucket").select("bucket", "doc_id", "a"), "buckets")
+    buckets = materialize(banded.join(crowded, "bucket").select("bucket", "band", "doc_id", "a"), "buckets")
     texts = rows.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     tried = materialize(buckets.filter("doc_id <> a").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "tried")
     links = materialize(_verified(tried, texts), "links")
     classes = components(links)
     for turn in range(ROUNDS + 1):
         open_ = _open(buckets, classes)
-        if turn < ROUNDS:
-            sigs, choose = leads.select(F.col("lead").alias("doc_id"), "sig"), _best
-        else:
+        short = leads.select(F.col("lead").alias("doc_id"), F.col("sig").alias("short"))
+        last = turn == ROUNDS
+        if last:
             open_ = materialize(open_, "open")
-            sigs, choose = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_long, "doc_id long, sig binary"), _likely
-        met = open_.join(sigs, "doc_id").repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(choose), "a long, b long").distinct()
+            long = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_long, "doc_id long, sig binary")
+            signed_open = open_.join(short, "doc_id").join(long, "doc_id")
+        else:
+            signed_open = open_.join(short, "doc_id").withColumn("sig", F.col("short"))
+        met = signed_open.repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(_likely if last else _best, last), "a long, b long").distinct()
         asked = materialize(met.join(tried, ["a", "b"], "left_anti"), "asked")
         more = materialize(_verified(asked, texts), "more")
         tried = tried.unionByName(asked)
