@@ -136,3 +136,14 @@ def fires_delta(messages: DataFrame, before: list[dict], after: list[dict]) -> D
     delta = F.col("overlay") - F.col("baseline")
     pct = F.when(F.col("baseline") == 0, F.when(delta == 0, 0.0).otherwise(100.0)).otherwise(F.floor(delta * 1000.0 / F.nullif("baseline", F.lit(0)) + 0.5) / 10)
     return joined.select("rule_ord", "title", "baseline", "overlay", delta.alias("delta"), pct.alias("pct_change"))
+
+
+def fire_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """rule_ord, title, baseline, overlay, delta, pct of two results of fires over the same rules.
+
+    pct is 0 or 100 where the baseline is 0.
+    """
+    a, b = before.withColumnRenamed("n", "baseline"), after.select("rule_ord", F.col("n").alias("overlay"))
+    delta = F.col("overlay") - F.col("baseline")
+    pct = F.when(F.col("baseline") == 0, F.when(F.col("overlay") == 0, 0.0).otherwise(100.0)).otherwise(F.floor(delta * 1000 / F.col("baseline") + 0.5) / 10)
+    return a.join(b, "rule_ord").select("rule_ord", "title", "baseline", "overlay", delta.alias("delta"), pct.alias("pct"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sluiceway.operators import detect, replay, siem
 from sluiceway.plans.routing import evaluate
 from sluiceway.sources.config import parse_config
-from sluiceway.sources.messages import MESSAGES_SQL, event_messages, read_lines
+from sluiceway.sources.messages import MESSAGES_SQL, event_messages, read_lines, structured_data
+from sluiceway.sources.ndjson import read_ndjson
+from sluiceway.streaming.route import deliveries, route_lines
 
 CONFIG = """
 module(load="imudp")
@@ -36,6 +38,12 @@ ruleset(name="audit") {
 """
 LOOKUPS = {"teams.json": '{"version": 1, "nomatch": "none", "table": [{"index": "sshd", "value": "security"}, {"index": "sudo", "value": "security"}, {"index": "nginx", "value": "web"}]}'}
 OVERLAY = CONFIG.replace('target="siem"', 'target="siem2"').replace('$msg contains "9"', '$msg contains "8"')
+SELECTORS = """
+kern.*;mail.err /var/log/kern.log
+*.=debug /var/log/debug.log
+auth,authpriv.warning @@loghost:601
+*.info;mail.none -/var/log/messages
+"""
 RULES = """
 title: Login errors
 level: high
@@ -89,6 +97,22 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("idx", m["props.pri"].alias("pri_number"), "hostname", "programname", "user_id", "msg").select("idx", wire.alias("value"))
 
 
+def _wire5424(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = event_messages(spark, sf_dir)
+    parts = (F.lit("<"), m["props.pri"], F.lit(">1 2024-01-02T03:04:05Z "), "hostname", F.lit(" "), "programname", F.lit(" "), "user_id", F.lit(' - [ex@1 kind="'), "event_type", F.lit('" q="a\\"b"] '), "msg")
+    return m.select("idx", F.concat(*parts).alias("value"))
+
+
+def _received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_messages(spark, sf_dir).select("idx", F.concat(F.lit("Jan  2 03:04:05 "), "hostname", F.lit(" "), "programname", F.lit(": "), "msg").alias("value"))
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = event_messages(spark, sf_dir)
+    whole = F.to_json(F.struct("transport", F.when(m["user_id"] % 2 == 0, m["port"]).alias("port"), "programname", "msg"))
+    return m.select("idx", F.when(F.col("event_type") == "view", F.concat(F.lit("!"), whole)).otherwise(whole).alias("value"))
+
+
 _VALUES = [("a", "t", 1, "auth", 3, 3002, 1), ("a", "t", 2, "web", 4, 4002, None), ("a", "t", 3, "proc", 1, 1007, None), ("b", "u", 1, "iam", 3, 3001, None), ("b", "u", 2, "authentication", 3, 3002, None), ("b", "u", 3, "http", 4, 4001, None)]
 _KIND = {"sshd": "auth", "sudo": "auth", "nginx": "web", "kernel": "proc", "cron": "cron"}
 
@@ -130,6 +154,33 @@ x AS (SELECT 1) SELECT idx, CASE WHEN ruleset IS DISTINCT FROM 'main' THEN '' WH
 x AS (SELECT count(*) FILTER (WHERE programname = 'sshd' AND (contains(msg, '1') OR contains(msg, '2'))) AS a,
   count(*) FILTER (WHERE (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron') AS b FROM p)
 SELECT 0 AS rule_ord, 'Login errors' AS title, 'high' AS level, a AS n FROM x UNION ALL SELECT 1, 'Any of two', 'low', b FROM x UNION ALL SELECT 2, 'Windows only', '', 0 FROM x"""),
+    "sigma_diff": (lambda s, d: detect.fire_deltas(detect.fires(event_messages(s, d), detect.parse_rules(RULES)), detect.fires(event_messages(s, d).filter("transport = 'udp'"), detect.parse_rules(RULES))), _M + """
+h AS (SELECT transport, programname = 'sshd' AND (contains(msg, '1') OR contains(msg, '2')) AS a, (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron' AS b FROM p),
+x AS (SELECT 0 AS rule_ord, 'Login errors' AS title, count(*) FILTER (WHERE a) AS baseline, count(*) FILTER (WHERE a AND transport = 'udp') AS overlay FROM h
+  UNION ALL SELECT 1, 'Any of two', count(*) FILTER (WHERE b), count(*) FILTER (WHERE b AND transport = 'udp') FROM h UNION ALL SELECT 2, 'Windows only', 0, 0)
+SELECT *, overlay - baseline AS delta, CASE WHEN baseline = 0 THEN CASE WHEN overlay = 0 THEN 0.0 ELSE 100.0 END ELSE floor((overlay - baseline) * 1000.0 / baseline + 0.5) / 10 END::DOUBLE AS pct FROM x"""),
+    "legacy_selectors": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), parse_config(SELECTORS, {})), None), _M + """
+f AS (SELECT pri // 8 AS fac, pri % 8 AS sev FROM p), o AS (
+  SELECT 'omfile' AS kind, '/var/log/kern.log' AS target FROM f WHERE fac = 0 OR fac = 2 AND sev <= 3
+  UNION ALL SELECT 'omfile', '/var/log/debug.log' FROM f WHERE sev = 7
+  UNION ALL SELECT 'omfwd', 'loghost:601/tcp' FROM f WHERE fac IN (4, 10) AND sev <= 4
+  UNION ALL SELECT 'omfile', '/var/log/messages' FROM f WHERE sev <= 6 AND fac <> 2)
+SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"""),
+    "decode_5424": (lambda s, d: read_lines(_wire5424(s, d)).select("idx", "format", "pri", "hostname", "programname", "procid", "msg", F.try_element_at(structured_data(F.col("sd")), F.lit("ex@1_kind")).alias("kind"), F.try_element_at(structured_data(F.col("sd")), F.lit("ex@1_q")).alias("q")), _M + """
+x AS (SELECT 1) SELECT idx, 'rfc5424' AS format, CAST(pri AS VARCHAR) AS pri, hostname, programname, CAST(user_id AS VARCHAR) AS procid, msg, event_type AS kind, 'a"b' AS q FROM p"""),
+    "decode_received": (lambda s, d: read_lines(_received(s, d)).select("idx", "format", "hostname", "programname", "syslogtag", "msg", F.substring("rawmsg", 1, 7).alias("head")), _M + """
+x AS (SELECT 1) SELECT idx, 'received' AS format, hostname, programname, programname || ':' AS syslogtag, msg, '<13>Jan' AS head FROM p"""),
+    "ndjson_messages": (lambda s, d: read_ndjson(_json_lines(s, d))[0].select("idx", "transport", F.col("port").cast("long").alias("port"), "programname", "msg"), _M + """
+x AS (SELECT 1) SELECT idx, transport, CAST(CASE WHEN user_id % 2 = 0 THEN port ELSE 514 END AS BIGINT) AS port, programname, msg FROM p WHERE event_type <> 'view'"""),
+    "ndjson_diagnostics": (lambda s, d: read_ndjson(_json_lines(s, d))[1].select("idx", "message"), _M + """
+x AS (SELECT 1) SELECT idx, 'not a JSON object' AS message FROM p WHERE event_type = 'view'"""),
+    "line_deliveries": (lambda s, d: deliveries(route_lines(_lines(s, d), parse_config(SELECTORS, {}))).groupBy("kind", "target").agg(F.count("*").alias("n"), F.countDistinct("msg").alias("texts")), _M + """
+f AS (SELECT msg, pri // 8 AS fac, pri % 8 AS sev FROM p), o AS (
+  SELECT 'omfile' AS kind, '/var/log/kern.log' AS target, msg FROM f WHERE fac = 0 OR fac = 2 AND sev <= 3
+  UNION ALL SELECT 'omfile', '/var/log/debug.log', msg FROM f WHERE sev = 7
+  UNION ALL SELECT 'omfwd', 'loghost:601/tcp', msg FROM f WHERE fac IN (4, 10) AND sev <= 4
+  UNION ALL SELECT 'omfile', '/var/log/messages', msg FROM f WHERE sev <= 6 AND fac <> 2)
+SELECT kind, target, count(*) AS n, count(DISTINCT msg) AS texts FROM o GROUP BY ALL"""),
     "sigma_samples": (lambda s, d: detect.fired_samples(event_messages(s, d), detect.parse_rules(RULES)), _M + """
 h AS (SELECT 0 AS rule_ord, idx FROM p WHERE programname = 'sshd' AND (contains(msg, '1') OR contains(msg, '2'))
   UNION ALL SELECT 1, idx FROM p WHERE (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron')
