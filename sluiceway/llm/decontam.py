@@ -1,12 +1,20 @@
 """Benchmark decontamination: BM25 over the test items with block-max WAND.
 
 The items are indexed: for each term its postings (item, score), and for blocks
-of BLOCK_ITEMS items the greatest score a term has in the block.  Every passage
-of PASSAGE words of every document is a query.  A passage's sums of block maxima
-are bounds of its items' scores: blocks below their threshold are skipped, and in
-the others WAND walks the postings, jumping to items whose terms' bounds reach
-the threshold.  All items that reach it are checked on the whole document: an
-item leaks if its question and its answer both overlap by five-word shingles.
+of BLOCK_ITEMS items the greatest score a term has in the block.  Every document
+is a query of its distinct terms.  A document's sums of block maxima are bounds
+of its items' scores: blocks below their threshold are skipped, and in the
+others WAND walks the postings, jumping to items whose terms' bounds reach the
+threshold.  All items that reach it are checked on the document: an item leaks if
+its question and its answer both overlap by five-word shingles.
+
+The threshold misses no such item.  Say a half may lack m of its distinct
+shingles, and does not lack all: then the document has a shingle at some place p
+of the half.  A term of the half that the document lacks has its first place
+before p or all its places after p + 4; the shingle that begins with it there, or
+else ends with it, is lacking, and no two terms get the same one.  So at most m
+terms are lacking, and the score is at least the item's own one less the m
+greatest of the half's terms, for both halves.
 """
 
 from __future__ import annotations
@@ -23,8 +31,8 @@ from sluiceway.llm.common import U64, Words, flat, ranges
 
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
-#: Words of a passage and between starts of passages; share of an item's own score that retrieves it.
-PASSAGE, STRIDE, SHARE = 64, 32, 0.5
+#: Room for rounding in the scores that retrieve an item.
+ROUNDING = 0.999
 BLOCK_ITEMS = 8
 #: Items indexed at once: larger benchmarks are searched part by part.
 PART_ITEMS = 512
@@ -46,23 +54,25 @@ class BlockIndex:
         self.terms = np.array(sorted(found), U64)
         place = {t: k for k, t in enumerate(self.terms.tolist())}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in place]
-        own = np.zeros(len(items))
+        self.halves = [self._parts(words, i) for i in range(len(items))]
+        self.need = np.zeros(len(items))
         for i, c in enumerate(counts):
+            scores = {}
             for t, n in c.items():
                 idf = np.log(1 + (len(items) - found[t] + 0.5) / (found[t] + 0.5))
                 score = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean))
                 self.postings[place[t]].append((i, score))
-                own[i] += score
-        # Of a longer item the passage that lies best holds 48 words at least.
-        self.need = SHARE * own * np.minimum(1, (PASSAGE - STRIDE // 2) / np.maximum(lengths, 1))
+                scores[t] = score
+            self.need[i] = ROUNDING * (sum(scores.values()) - self._lost(words, i, scores))
         blocks = -(-len(items) // BLOCK_ITEMS)
         self.block_max = np.zeros((len(place) + 1, blocks), np.float32)
+        self.rows: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(blocks)]
         for k, row in enumerate(self.postings):
             for i, score in row:
+                self.rows[i // BLOCK_ITEMS].setdefault(k, []).append((i, score))
                 self.block_max[k, i // BLOCK_ITEMS] = max(self.block_max[k, i // BLOCK_ITEMS], score)
         full = lengths > 0
         self.block_need = np.array([min((self.need[i] for i in range(b * BLOCK_ITEMS, min(len(items), (b + 1) * BLOCK_ITEMS)) if full[i]), default=np.inf) for b in range(blocks)])
-        self.halves = [self._parts(words, i) for i in range(len(items))]
 
     @staticmethod
     def _parts(words: Words, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +81,20 @@ class BlockIndex:
         cut = (len(h) + 1) // 2
         return _shingles(h[:cut]), _shingles(h[cut:])
 
-    def search(self, passage: np.ndarray, block: int) -> list[int]:
-        """Items of a block that the passage's distinct terms score up to their threshold: WAND over the block."""
-        lists = []
-        for k in passage:
-            row = [p for p in self.postings[k] if p[0] // BLOCK_ITEMS == block]
-            if row:
-                lists.append([row, 0, float(self.block_max[k, block])])
+    def _lost(self, words: Words, i: int, scores: dict[int, float]) -> float:
+        """The most that an item's score can lack where both halves overlap enough."""
+        h = words.hash[words.first[i] : words.first[i + 1]].tolist()
+        cut = (len(h) + 1) // 2
+        out = 0.0
+        for half, shingles in zip((h[:cut], h[cut:]), self.halves[i]):
+            lacking = int(len(shingles) * (1 - OVERLAP) + 1e-6)
+            out += sum(sorted((scores[t] for t in set(half)), reverse=True)[:lacking])
+        return out
+
+    def search(self, terms: np.ndarray, block: int) -> list[int]:
+        """Items of a block that a document's distinct terms score up to their threshold: WAND over the block."""
+        rows, bounds = self.rows[block], self.block_max[terms, block]
+        lists = [[rows[k], 0, float(x)] for k, x in zip(terms[bounds > 0].tolist(), bounds[bounds > 0])]
         out, least = [], self.block_need[block]
         while lists:
             lists.sort(key=lambda x: x[0][x[1]][0])
@@ -132,30 +149,20 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
             term = np.searchsorted(index.terms, words.hash)
             term[term == len(index.terms)] = 0
             term = np.where(index.terms[term] == words.hash, term, len(index.terms))
-            # Passages start at every STRIDE-th word of a document; a sum over a passage is that of two strides.
-            steps = np.maximum(-(-words.count // STRIDE), 0)
-            base = np.repeat(words.first[:-1], steps) + (np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)) * STRIDE
-            owner = np.repeat(np.arange(j - i), steps)
-            # A term counts once in a stride, as it does in the score.
-            key = np.repeat(np.arange(len(base)), np.diff(np.append(base, len(term)))) * (len(index.terms) + 1) + term
-            order = np.argsort(key, kind="stable")
-            once = term.copy()
-            once[order[1:][key[order[1:]] == key[order[:-1]]]] = len(index.terms)
-            sums = np.add.reduceat(index.block_max[once], base, axis=0)
-            follow = np.zeros(len(base), bool)
-            follow[:-1] = owner[1:] == owner[:-1]
-            bound = sums.copy()
-            bound[:-1][follow[:-1]] += sums[1:][follow[:-1]]
-            candidates: dict[int, set[int]] = {}
+            # A term counts once in a document, as it does in the score.
+            size = len(index.terms)
+            key = np.unique(words.doc[term < size] * size + term[term < size])
+            owner, term = key // size, key % size
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])[: len(owner)])
+            stops = np.append(starts[1:], len(owner))
+            bound = np.add.reduceat(index.block_max[term], starts, axis=0) if len(starts) else np.zeros((0, len(index.block_need)))
+            candidates: dict[int, list[int]] = {}
             for p, b in np.argwhere(bound >= index.block_need):
-                d = int(owner[p])
-                stop = min(base[p] + PASSAGE, words.first[d + 1])
-                distinct = np.unique(term[base[p] : stop])
-                distinct = distinct[distinct < len(index.terms)]
-                if index.block_max[distinct, b].sum() < index.block_need[b]:
-                    continue
-                candidates.setdefault(d, set()).update(index.search(distinct.tolist(), int(b)))
+                found = index.search(term[starts[p] : stops[p]], int(b))
+                candidates.setdefault(int(owner[starts[p]]), []).extend(found)
             for d, items in candidates.items():
+                if not items:
+                    continue
                 h = words.hash[words.first[d] : words.first[d + 1]]
                 whole = _shingles(h)
                 for x in sorted(items):
@@ -167,10 +174,11 @@ def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatc
 
 
 def _part_overlap(part: np.ndarray, words: np.ndarray, whole: np.ndarray) -> float:
-    """Share of an item part's shingles that the document has."""
+    """Share of an item part's shingles that the document has; both are sorted."""
     if not len(part):
         return 1.0
-    hit = np.isin(part, whole)
+    at = np.searchsorted(whole, part)
+    hit = whole[np.minimum(at, len(whole) - 1)] == part
     if not hit.any() and len(part) == 1:
         # A part of fewer than five words is one short shingle.
         for n in range(1, SHINGLE):

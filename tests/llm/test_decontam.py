@@ -60,3 +60,21 @@ def test_empty(texts, spark):
     assert find_leaks(texts([(1, "a")]), none).collect() == []
     assert drop_leaks(texts([(1, "a"), (1, "a")]), none).count() == 2
     assert find_leaks(texts([]), spark.createDataFrame([(1, "a b c")], "item_id long, text string")).collect() == []
+
+
+def test_split_and_edited(texts, spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("ghijkl") for _ in range(7))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(20)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        filler = lambda n: [word() for _ in range(n)]
+        # The last word of each half is edited; the halves, or pieces of ten words and more, stand far apart.
+        docs.append((k, " ".join(filler(20) + w[:19] + ["edited"] + filler(90) + w[20:39] + ["edited"] + filler(20))))
+        docs.append((100 + k, " ".join(w[:19] + filler(90) + w[20:30] + filler(90) + w[25:40])))
+        docs.append((200 + k, " ".join(w[:19] + filler(90) + w[20:34])))
+    truth = brute(docs, items)
+    assert {(k, k) for k in range(20)} | {(100 + k, k) for k in range(20)} == truth
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in find_leaks(texts(docs), bench).collect()} == truth
