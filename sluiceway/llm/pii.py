@@ -21,13 +21,17 @@ ROUNDS = 6
 #: The kinds of value, in the order in which they are tried at a place.
 #: Kind: pattern, without groups that capture.
 EDGE, END = r"(?<![\w.@-])", r"(?![\w@-]|\.\d)"
+#: How card numbers are mostly written: unbroken, 4-4-4-4, 4-6-5 or 4-6-4.
+WRITTEN = r"(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5})" + END
+#: A find of digits does not begin where it would cut a number so written, nor go on into one after its 13th digit.
+WHOLE = rf"(?!(?!{WRITTEN})(?=\d(?:[ -]?\d){{19}})(?:\d[ -]?){{1,12}}(?<= ){WRITTEN})"
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9.-]{0,252}[A-Za-z0-9])?\.[A-Za-z]{2,24}(?![\w-])",
     "date": EDGE + r"\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])" + END,
     "ssn": EDGE + r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}" + END,
     "ip": EDGE + r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)" + END,
-    "card": EDGE + r"\d(?:[ -]?\d){12,18}" + END,
-    "phone": r"(?<![\w.@+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}" + END,
+    "card": EDGE + WHOLE + rf"\d(?:[ -]?\d){{12}}(?:(?! {WRITTEN})[ -]?\d){{0,6}}" + END,
+    "phone": r"(?<![\w.@+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]" + rf"(?!{WRITTEN})\d{{4}}" + END,
 }
 FIND = "|".join(PATTERNS.values())
 #: Days of one permuted stretch of the calendar: 200 * 365, counted from EPOCH.
@@ -112,14 +116,51 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, r"[^0-9]", "")
 
 
+def _runs(value: Column) -> Column:
+    """The runs of 13 to 19 digits of a value that begin and end with its groups: in the order in which they are tried.
+
+    Structs of rank (0: as cards are mostly written), less (19 - digits) and skip (digits before).
+    """
+    sizes = F.transform(F.split(value, "[ -]"), F.length)
+    before = lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda t, n: t + n)
+    groups = F.sequence(F.lit(1), F.size(sizes))
+
+    def run(i: Column, j: Column) -> Column:
+        skip, size = before(i - 1), before(j) - before(i - 1)
+        # Each separator is one character.
+        own = F.substr(value, skip + i, size + j - i)
+        return F.struct(F.when(own.rlike(f"^{WRITTEN}$"), 0).otherwise(1).alias("rank"), (19 - size).alias("less"), skip.alias("skip"))
+
+    pairs = F.flatten(F.transform(groups, lambda i: F.transform(F.filter(groups, lambda j: j >= i), lambda j: run(i, j))))
+    return F.array_sort(F.filter(pairs, lambda r: r["less"].between(0, 6)))
+
+
 def _card(value: Column, key: str, undo: bool) -> Column:
-    """Card numbers: all digits but the last are permuted, the last is the new check digit."""
+    """Card numbers: all digits but the last are permuted, the last is the new check digit.
+
+    Other numbers may stand beside the card's: the first of the value's runs that
+    passes the check is the card, the other digits stay.  If by chance the new
+    digits let an earlier run pass, they are permuted again, so undo finds the
+    same run.
+    """
 
     def renew(d: Column) -> Column:
-        body = permute_digits(F.substr(d, F.lit(1), F.length(d) - 1), key, "card", undo)
+        body = _let(F.substr(d, F.lit(1), F.length(d) - 1), lambda x: permute_digits(x, key, "card", undo))
         return _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return _let(_digits(value), lambda d: F.when(luhn_sum(d) == 0, _into(value, renew(d))).otherwise(value))
+    def card(runs: Column, d: Column) -> Column:
+        return F.get(F.filter(runs, lambda r: luhn_sum(F.substr(d, r["skip"] + 1, 19 - r["less"])) == 0), F.lit(0))
+
+    def put(d: Column, r: Column) -> Column:
+        size = 19 - r["less"]
+        return F.concat(F.substr(d, F.lit(1), r["skip"]), _let(F.substr(d, r["skip"] + 1, size), renew), F.substr(d, r["skip"] + size + 1, F.length(d)))
+
+    def walk(runs: Column, d: Column, r: Column) -> Column:
+        start = F.struct(d.alias("d"), F.lit(False).alias("done"))
+        step = lambda s, _: F.when(s["done"], s).otherwise(_let(put(s["d"], r), lambda n: F.struct(n.alias("d"), (card(runs, n) == r).alias("done"))))
+        return F.aggregate(F.sequence(F.lit(1), F.when(F.size(runs) > 1, 64).otherwise(1)), start, step, lambda s: s["d"])
+
+    return _let(_digits(value), lambda d: _let(_runs(value), lambda runs: _let(card(runs, d), lambda r: F.when(r.isNotNull(), _into(value, walk(runs, d, r))).otherwise(value))))
 
 
 def _phone(value: Column, key: str, undo: bool) -> Column:
