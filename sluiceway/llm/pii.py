@@ -44,13 +44,14 @@ def _digest(key: str, kind: str, turn: int, shape: Column, half: Column) -> Colu
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 12), 16, 10).cast("long")
 
 
-def feistel(high: Column, low: Column, high_size: Column, low_size: Column, key: str, kind: str, undo: bool = False) -> Column:
+def feistel(high: Column, low: Column, high_size: Column, low_size: Column, key: str, kind: str, undo: bool = False, place: Column | None = None) -> Column:
     """A permutation of the pairs (high < high_size, low < low_size), as a struct of high and low.
 
     An alternating Feistel network: each round adds to one half, modulo its size,
-    a keyed digest of the other, so any sizes will do.
+    a keyed digest of the other, so any sizes will do.  Each place, if given, has
+    a permutation of its own; that of a null place is the one without place.
     """
-    shape = F.concat_ws("x", high_size.cast("string"), low_size.cast("string"))
+    shape = F.concat_ws("x", high_size.cast("string"), low_size.cast("string"), *([] if place is None else [place.cast("string")]))
     pair = F.struct(high.alias("a"), low.alias("b"))
     sign = -1 if undo else 1
 
@@ -77,12 +78,12 @@ def _power(n: Column) -> Column:
     return F.rpad(F.lit("1"), (n + 1).cast("int"), F.lit("0")).cast("long")
 
 
-def permute_digits(digits: Column, key: str, kind: str, undo: bool = False) -> Column:
-    """A string of 2 to 36 digits, permuted among the strings of its length."""
+def permute_digits(digits: Column, key: str, kind: str, undo: bool = False, place: Column | None = None) -> Column:
+    """A string of 1 to 36 digits, permuted among the strings of its length."""
     n = F.length(digits)
     cut = F.floor(n / 2).cast("int")
     halves = lambda d: feistel(
-        F.substr(d, F.lit(1), cut).cast("long"), F.substr(d, cut + 1, n).cast("long"), _power(cut), _power(n - cut), key, kind, undo
+        F.concat(F.lit("0"), F.substr(d, F.lit(1), cut)).cast("long"), F.substr(d, cut + 1, n).cast("long"), _power(cut), _power(n - cut), key, kind, undo, place
     )
     return _let(halves(digits), lambda p: F.concat(F.lpad(p["a"].cast("string"), cut, F.lit("0")), F.lpad(p["b"].cast("string"), n - cut, F.lit("0"))))
 
@@ -212,10 +213,21 @@ def _date(value: Column, key: str, undo: bool) -> Column:
 
 
 def _email(value: Column, key: str, undo: bool) -> Column:
-    """Addresses: the digits and the letters of the local part are permuted in place, each by its position."""
+    """Addresses: the digits and the letters of the local part are permuted in place, each by its position.
+
+    Capitals stay capitals.  Of longer local parts each 22 letters and each 36
+    digits are permuted together, by their place: a half must fit a whole number,
+    that of letters one that division (a double's) spells exactly.
+    """
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
-    # Lower-case letters are digits to the base 26, so a local part is two numbers of their own bases, split in halves.
-    letters = F.regexp_replace(local, "[^a-z]", "")
+    # Letters are digits to the base 26, so a local part is two numbers of their own bases, split in halves.
+    letters = F.lower(F.regexp_replace(local, "[^A-Za-z]", ""))
+
+    def pieces(s: Column, size: int, use) -> Column:
+        """use(piece, place) for each `size` characters of s, joined; the first piece has a null place."""
+        numbers = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / size).cast("int"))
+        one = lambda k: _let(F.substr(s, k * size + 1, F.lit(size)), lambda x: use(x, F.nullif(k, F.lit(0))))
+        return F.array_join(F.transform(numbers, one), "")
 
     def number(s: Column) -> Column:
         chars = F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: (F.ascii(F.substr(s, k, F.lit(1))) - 97).cast("long"))
@@ -229,26 +241,28 @@ def _email(value: Column, key: str, undo: bool) -> Column:
         step = lambda s, _: F.struct(F.floor(s["v"] / 26).cast("long").alias("v"), F.concat(F.char((s["v"] % 26 + 97).cast("int")), s["out"]).alias("out"))
         return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["out"])).otherwise(F.lit(""))
 
-    def renew(s: Column) -> Column:
+    def renew(s: Column, place: Column) -> Column:
         n = F.length(s)
         cut = F.floor(n / 2).cast("int")
         a, b = F.substr(s, F.lit(1), cut), F.substr(s, cut + 1, n)
-        return _let(feistel(number(a), number(b), size(a), size(b), key, "email", undo), lambda p: F.concat(spell(p["a"], cut), spell(p["b"], n - cut)))
+        return _let(feistel(number(a), number(b), size(a), size(b), key, "email", undo, place), lambda p: F.concat(spell(p["a"], cut), spell(p["b"], n - cut)))
 
     chars = F.transform(F.sequence(F.lit(1), F.length(local)), lambda k: F.substr(local, k, F.lit(1)))
 
-    def place(new: Column) -> Column:
+    def spread(new: Column) -> Column:
         state = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+        small, capital = lambda c: (c >= "a") & (c <= "z"), lambda c: (c >= "A") & (c <= "Z")
         put = lambda s, c: F.struct(
-            F.concat(s["out"], F.when((c >= "a") & (c <= "z"), F.substr(new, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + F.when((c >= "a") & (c <= "z"), 1).otherwise(0)).alias("k")
+            F.concat(s["out"], F.when(small(c), F.substr(new, s["k"], F.lit(1))).when(capital(c), F.upper(F.substr(new, s["k"], F.lit(1)))).otherwise(c)).alias("out"),
+            (s["k"] + F.when(small(c) | capital(c), 1).otherwise(0)).alias("k"),
         )
         return F.aggregate(chars, state, put, lambda s: s["out"])
 
     def numbers(kept: Column) -> Column:
-        return _let(_digits(kept), lambda d: F.when(F.length(d).between(2, 36), _into(kept, permute_digits(d, key, "email", undo))).otherwise(kept))
+        new = lambda d: pieces(d, 36, lambda x, k: permute_digits(x, key, "email", undo, k))
+        return _let(_digits(kept), lambda d: F.when(F.length(d) > 0, _let(new(d), lambda x: _into(kept, x))).otherwise(kept))
 
-    # Local parts of more than 24 letters keep their letters: a half must fit a whole number.
-    lettered = F.when(F.length(letters).between(1, 24), _let(renew(letters), place)).otherwise(local)
+    lettered = F.when(F.length(letters) > 0, _let(_let(letters, lambda s: pieces(s, 22, renew)), spread)).otherwise(local)
     return F.concat_ws("@", _let(lettered, numbers), domain)
 
 

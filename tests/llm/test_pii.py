@@ -88,3 +88,21 @@ def test_numbers_that_chance_to_pass(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").select("v", pseudonym(F.col("v")).alias("p"))
     rows = df.select("v", "p", pseudonym(F.col("p"), undo=True).alias("back")).collect()
     assert all(x.back == x.v for x in rows) and 20 < sum(x.p != x.v for x in rows) < 160
+
+
+def test_whole_local_parts(spark):
+    long, digits = "abcdefghijklmnopqrstuvwxyzabcdefghijklmnopqrstuvwxyz", "1234567890" * 5
+    values = ["JOHN.DOE@x.com", "John.Doe@x.com", "john.doe@x.com", f"{long}@x.com", f"a{digits}@x.com", "abcde7@x.com", "abcde8@x.com", "b@x.com", f"{'aA1' * 21}@x.com", f"{'a' * 44}@x.com"]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", pseudonym(F.col("v")).alias("p"))
+    got = {r.v: (r.p.split("@")[0], r.back) for r in df.select("v", "p", pseudonym(F.col("p"), undo=True).alias("back")).collect()}
+    assert all(got[v][1] == v for v in values)
+    shape = lambda s: re.sub("[0-9]", "0", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+    assert all(shape(got[v][0]) == shape(v.split("@")[0]) for v in values)
+    assert got["JOHN.DOE@x.com"][0] != "JOHN.DOE" and {got[v][0].lower() for v in values[:3]} == {got["john.doe@x.com"][0]}
+    same = lambda v: sum(a == b for a, b in zip(got[v][0], v))
+    # Chance leaves 2 of 52 letters and 5 of 50 digits as they were; no piece repeats another's permutation.
+    assert same(values[3]) < 12 and same(values[4]) < 16 and got[values[-1]][0][:22] != got[values[-1]][0][22:]
+    ten = spark.range(10).select(F.concat(F.lit("abcde"), F.col("id"), F.lit("@x.com")).alias("v")).select(pseudonym(F.col("v")).alias("p"))
+    assert len({r.p for r in ten.collect()}) == 10
+    one = spark.range(10).select(F.col("id").cast("string").alias("d")).select("d", permute_digits(F.col("d"), "k", "email").alias("e")).collect()
+    assert sorted(r.e for r in one) == list("0123456789")
