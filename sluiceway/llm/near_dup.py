@@ -8,12 +8,14 @@ COORDINATES + 3) darts are thrown whatever the document's length.  Each dart
 names a coordinate; the earliest dart of each is the signature.  Two documents
 agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents that share a band are joined to one member of the bucket, chosen by
-hash, other ones in other bands; pairs are checked exactly on the whole texts.
-In buckets whose members are then still in several classes, each document
-proposes the one of another class that it agrees with most, in two rounds; what
-is still apart is compared by longer signatures, and likely pairs are checked.
-Classes are connected components, found by DataFrame joins.
+Documents that share a band are first paired with one member of the bucket,
+chosen by hash, other ones in other bands: at most LEADERS pairs a document and
+leader, checked exactly on the whole texts.  What stays in several classes
+within a bucket meets in cells of bounded size that hold the documents'
+shingles: pairs of different classes that agree in AGREE coordinates are checked
+exactly there, classes merge as links are found, and a cell gives back only the
+links that merged two classes, fewer than it has members.  Classes are connected
+components, found by contracting links with DataFrame joins.
 """
 
 from __future__ import annotations
@@ -30,13 +32,12 @@ from sluiceway.llm.common import U64, Words, flat, materialize, mix, ngrams, ran
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
 COORDINATES = BANDS * ROWS
-#: Different choices of a bucket's leader; pairs with fewer agreeing coordinates than this are not near.
-LEADERS, AGREE = 3, int(0.68 * COORDINATES)
-#: Long signatures decide which pairs of documents still apart are checked: 3.5 standard deviations below SIMILAR.
-LONG = 480
-LONG_AGREE = int(0.735 * LONG)
-#: Rounds in which each document proposes whom it agrees with most; members of a bucket in one block.
-ROUNDS, BLOCK = 2, 2048
+#: Different choices of a bucket's leader.
+LEADERS = 3
+#: Pairs with fewer agreeing coordinates are not near: four standard deviations below SIMILAR.
+AGREE = 60
+#: A block of a bucket in a cell: so many members, so many shingles (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
 CHUNK = 2 << 20
 
 
@@ -102,7 +103,7 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, n: int, size: int = COORDI
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signature, band hashes and a 128-bit hash of the words of each document that has words."""
+    """Shingles, band hashes, signature and a 128-bit hash of the words of each document that has words."""
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for i, j in ranges(offsets, CHUNK):
@@ -110,17 +111,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(words.count > 0)
             if not len(full):
                 continue
-            sig = signatures(*ngrams(words, SHINGLE), j - i)[full]
+            shingles, doc = ngrams(words, SHINGLE)
+            sig = signatures(shingles, doc, j - i)[full]
             bands = np.zeros((len(full), BANDS), U64)
             for r in range(ROWS):
                 bands = mix((bands * U64(0x9FB21C651E98DF25)) ^ sig[:, r::ROWS] ^ U64(r))
             k = np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.count)
             same = [np.add.reduceat(mix(words.hash ^ mix(k.astype(U64) + U64(salt))), words.first[:-1][full]).view(np.int64) for salt in (1, 1 << 40)]
             low = (sig & U64(0xFFFF)).astype(np.uint16)
+            ids, texts = (batch.column(c).slice(i, j - i).take(pa.array(full)) for c in ("doc_id", "t"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i).take(pa.array(full)), pa.array(same[0]), pa.array(same[1]),
+                [ids, texts, pa.array(same[0]), pa.array(same[1]), pa.array(np.bincount(doc, minlength=j - i)[full], pa.int64()),
                  pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([row.tobytes() for row in low], pa.binary())],
-                names=["doc_id", "w1", "w2", "bands", "sig"],
+                names=["doc_id", "t", "w1", "w2", "weight", "bands", "sig"],
             )
 
 
@@ -142,157 +145,195 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], names=["a", "b", "similarity"])
 
 
-def _met(choose, once: bool):
-    """Pairs (a, b) of documents that meet in a cell (rows come sorted by cell) in different classes.
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the sorted hashes of its units of weight."""
+    for batch in batches:
+        data, offsets = flat(batch.column("text"))
+        for i, j in ranges(offsets, CHUNK):
+            slot, doc = _slots(*ngrams(Words(data, offsets, i, j), SHINGLE))
+            slot = slot[np.lexsort((slot, doc))]
+            cut = np.append(0, np.cumsum(np.bincount(doc, minlength=j - i)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([slot[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "slots"])
+
 
-    A cell holds two blocks of a bucket, or one block twice; choose gives, for one
-    document's agreement with each one of another class, whom it is paired with.  With
-    once, a pair comes only from the first band that it shares: where two classes meet,
-    all buckets that both documents share are open.
+class Cell:
+    """Members of a bucket, by their class, shingles and signature; finds the links between their classes.
+
+    A cell holds one block of a bucket, or two whose members are compared across only.
     """
 
-    def pairs(ids: list[int], classes: list[int], blocks: list[int], bands: list[int], short: list[bytes], sigs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        a, c, k = np.array(ids), np.array(classes), np.array(blocks)
-        s = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(a), -1)
-        rows = np.frombuffer(b"".join(short), np.uint16).reshape(len(a), BANDS, ROWS)
-        one = k.min() == k.max()
-        for i in range(len(a)):
-            other = np.flatnonzero((c != c[i]) & (one | (k != k[i])))
-            near = other[choose((s[other] == s[i]).sum(axis=1))] if len(other) else other
-            if once:
-                near = near[(a[near] > a[i]) & ((rows[near] == rows[i]).all(axis=2).argmax(axis=1) == bands[0])]
-            if len(near):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], a[near])), pa.array(np.maximum(a[i], a[near]))], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell = None, None
-        for batch in batches:
-            for k, *row in zip(*(batch.column(x).to_pylist() for x in ("cell", "doc_id", "class_id", "block", "band", "short", "sig"))):
-                if k != key:
-                    if cell and len(cell[0]) > 1:
-                        yield from pairs(*cell)
-                    key, cell = k, tuple([] for _ in row)
-                for x, y in zip(cell, row):
-                    x.append(y)
-        if cell and len(cell[0]) > 1:
-            yield from pairs(*cell)
-
-    return run
-
-
-def _best(agree: np.ndarray) -> np.ndarray:
-    """The document that agrees most, if it agrees enough."""
-    k = int(agree.argmax())
-    return np.array([k] if agree[k] >= AGREE else [], np.int64)
-
-
-def _likely(agree: np.ndarray) -> np.ndarray:
-    """All whose long signatures agree enough."""
-    return np.flatnonzero(agree >= LONG_AGREE)
-
-
-def _long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Long signatures, from other darts than the short ones."""
+    def __init__(self, classes: np.ndarray, blocks: np.ndarray, band: int, sigs: list[bytes], slots: list[bytes]) -> None:
+        self.classes, self.blocks, self.band = classes.copy(), blocks, band
+        self.sig = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(classes), BANDS, ROWS)
+        self.size = np.array([len(x) // 8 for x in slots])
+        self.start = np.append(0, np.cumsum(self.size))
+        self.slots = np.frombuffer(b"".join(slots), U64)
+
+    def similar(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Exact weighted Jaccard similarity of member i to each of others."""
+        mine, sizes = self.slots[self.start[i] : self.start[i + 1]], self.size[others]
+        begin = np.append(0, np.cumsum(sizes))[:-1]
+        theirs = self.slots[np.arange(sizes.sum()) + np.repeat(self.start[others] - begin, sizes)]
+        at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        shared = np.add.reduceat((mine[at] == theirs).astype(np.int64), begin)
+        return shared / (len(mine) + sizes - shared)
+
+    def candidates(self, i: int, pool: np.ndarray) -> np.ndarray:
+        """Members of pool in other classes that agree enough with i, most first; pairs meet in the first band they share."""
+        pool = pool[self.classes[pool] != self.classes[i]]
+        small, large = np.minimum(self.size[pool], self.size[i]), np.maximum(self.size[pool], self.size[i])
+        pool = pool[small >= SIMILAR * large]
+        if not len(pool):
+            return pool
+        equal = self.sig[pool] == self.sig[i]
+        agree = equal.sum(axis=(1, 2))
+        keep = np.flatnonzero((agree >= AGREE) & (equal.all(axis=2).argmax(axis=1) == self.band))
+        return pool[keep[np.argsort(-agree[keep], kind="stable")]]
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Pairs of classes that a link merges; afterwards all members joined by links within the cell are of one class."""
+        k = np.arange(len(self.classes))
+        one = self.blocks.min() == self.blocks.max()
+        here = k if one else np.flatnonzero(self.blocks == self.blocks.min())
+        across = k if one else np.flatnonzero(self.blocks != self.blocks.min())
+        for i in here:
+            pool, turn = self.candidates(i, across[across > i] if one else across), 8
+            while len(pool):
+                some, pool = pool[:turn], pool[turn:]
+                for j in some[self.similar(i, some) >= SIMILAR]:
+                    x, y = self.classes[i], self.classes[j]
+                    if x != y:
+                        yield min(x, y), max(x, y)
+                        self.classes[self.classes == max(x, y)] = min(x, y)
+                pool, turn = pool[self.classes[pool] != self.classes[i]], turn * 4
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes from rows sorted by cell."""
+    names = ("class_id", "block", "band", "sig", "slots")
+
+    def done(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        classes, blocks, bands, sigs, slots = zip(*rows)
+        if len(set(classes)) > 1:
+            found = list(Cell(np.array(classes, np.int64), np.array(blocks), bands[0], sigs, slots).links())
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    key, rows = None, []
     for batch in batches:
-        data, offsets = flat(batch.column("text"))
-        for i, j in ranges(offsets, CHUNK):
-            shingles, doc = ngrams(Words(data, offsets, i, j), SHINGLE)
-            sig = (signatures(mix(shingles ^ U64(0x5851F42D4C957F2D)), doc, j - i, LONG) & U64(0xFFFF)).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array([row.tobytes() for row in sig], pa.binary())], names=["doc_id", "sig"])
+        for k, *row in zip(*(batch.column(x).to_pylist() for x in ("cell", *names))):
+            if k != key:
+                if rows:
+                    yield from done(rows)
+                key, rows = k, []
+            rows.append(tuple(row))
+    if rows:
+        yield from done(rows)
 
 
 def _open(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     """cell, doc_id, class_id, block, band: members of buckets that hold several classes.
 
-    A bucket of more than BLOCK members is dealt into blocks, and each two blocks
-    meet in a cell of their own, so that no task gets a whole large bucket.
+    Of buckets with the same members that of the first band stays.  The members
+    of a bucket's largest class need no comparison with each other: they get
+    blocks of their own, numbered below 0, and each is copied only to the blocks
+    of the rest.  Blocks are of bounded size, and each two meet in a cell.
     """
-    named = buckets.select("bucket", "band", "doc_id").join(classes, "doc_id", "left").select("bucket", "band", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    split = named.groupBy("bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("x <> y").select("bucket", "blocks")
-    dealt = named.join(split, "bucket").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = buckets.join(classes, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    counted = named.groupBy("bucket", "band", "class_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).cast("decimal(38,0)")).alias("y"))
+    several = counted.groupBy("bucket", "band").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class_id", "w")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("x").alias("x"), F.sum("y").alias("y")).filter("classes > 1")
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    split = several.groupBy("n", "x", "y").agg(F.min_by(F.struct("bucket", "band", "top", "w"), "band").alias("s")).select(
+        "s.bucket", "s.band", F.col("s.top.class_id").alias("top"), blocks(F.col("s.top.n"), F.col("s.top.w")).alias("top_blocks"), F.greatest(blocks(F.col("n") - F.col("s.top.n"), F.col("s.w") - F.col("s.top.w")), F.lit(1)).alias("blocks"),
+    )
+    is_top = F.col("class_id") == F.col("top")
+    number = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    dealt = named.join(split, ["bucket", "band"]).withColumn("block", F.when(is_top, -1 - number(F.col("top_blocks"))).otherwise(number(F.col("blocks"))))
+    met = dealt.withColumn("o", F.explode(F.sequence(F.when(is_top, 0).otherwise(-F.col("top_blocks")), F.col("blocks") - 1)))
     return met.select(F.xxhash64("bucket", F.least("block", "o"), F.greatest("block", "o")).alias("cell"), "doc_id", "class_id", "block", "band")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """doc_id, class_id: the least id reachable over links (a, b), for each id in a link."""
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "labels")
+    """doc_id, class_id: the least id reachable over links (a, b), for each id in a link.
+
+    Each round hooks every id to its least neighbour and that one's, and puts
+    these in the links' place; links within a class vanish, so each round has
+    fewer.  The rounds' maps are chained at the end, the small ones first.
+    """
+    maps = []
     while True:
-        # The least label around each id, then the label of that label.
-        near = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(near, "a").select("a", "l", F.least("l", "m").alias("m"))
-        jump = step.join(labels.select(F.col("a").alias("m"), F.col("l").alias("j")), "m").select("a", "l", F.least("m", "j").alias("new"))
-        new = materialize(jump, "labels")
-        done = new.filter("new <> l").isEmpty()
-        labels = new.select("a", F.col("new").alias("l"))
-        if done:
-            return labels.select(F.col("a").alias("doc_id"), F.col("l").alias("class_id"))
+        edges = materialize(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+        if maps and edges.isEmpty():
+            break
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "hooks")
+        over = materialize(hooks.join(hooks.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p")), "over")
+        maps.append(over)
+        links = edges.join(over, "a").select(F.col("p").alias("a"), "b").join(over.select(F.col("a").alias("b"), F.col("p").alias("q")), "b").select("a", F.col("q").alias("b"))
+    found = maps.pop()
+    while maps:
+        onward = found.select(F.col("a").alias("p"), F.col("p").alias("last"))
+        found = maps.pop().join(onward, "p", "left").select("a", F.coalesce("last", "p").alias("p"))
+    return materialize(found.select(F.col("a").alias("doc_id"), F.col("p").alias("class_id")), "classes")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts are similar enough."""
+    """Pairs (a, b) whose texts are similar enough; a leader with many pairs is a skewed key, which the adaptive join splits."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     return with_b.select("a", "b", "ta", "tb").mapInArrow(_jaccard, "a long, b long, similarity double").filter(F.col("similarity") >= SIMILAR)
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_copies, t (hash of the text that counts), n_rows, for each doc_id."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
+    ids = rows.groupBy("doc_id").agg(F.max("t").alias("t"), F.count("*").alias("n_rows"))
+    signed = materialize(rows.mapInArrow(_sign, "doc_id long, t long, w1 long, w2 long, weight long, bands array<long>, sig binary"), "signatures")
+    signed = signed.groupBy("doc_id").agg(F.max(F.struct("t", "w1", "w2", "weight", "bands", "sig")).alias("s")).select("doc_id", "s.*").join(ids, ["doc_id", "t"], "left_semi")
+    leads = signed.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "t", "weight", "bands", "sig")).alias("lead"), F.count("*").alias("n_copies"))
+    leads = materialize(leads.select("w1", "w2", "lead.*", "n_copies"), "leads")
+    banded = leads.select("doc_id", "weight", F.posexplode("bands").alias("band", "h")).select("doc_id", "weight", "band", F.xxhash64("band", "h").alias("bucket"))
+    chosen = F.min(F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(LEADERS))), "doc_id"))["doc_id"]
+    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n"), chosen.alias("a")).filter("n > 1")
+    buckets = materialize(banded.join(crowded.select("bucket", "a"), "bucket").select("bucket", "band", "doc_id", "weight", "a"), "buckets")
+    wanted = leads.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "t")
+    texts = rows.join(wanted, ["doc_id", "t"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    tried = buckets.filter("doc_id <> a").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+    first = components(_verified(tried, texts).select("a", "b"))
+    open_ = materialize(_open(buckets.drop("a"), first), "open")
+    slots = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingled, "doc_id long, slots binary")
+    met = open_.join(leads.select("doc_id", "sig"), "doc_id").join(slots, "doc_id").repartition("cell").sortWithinPartitions("cell")
+    then = components(met.mapInArrow(_cells, "a long, b long"))
+    # What belongs to a representative is joined to it first, so that its copies, which may be many, meet it only once.
+    named = leads.select("w1", "w2", "doc_id", "n_copies").join(first, "doc_id", "left").withColumn("c", F.coalesce("class_id", "doc_id"))
+    known = named.join(then.select(F.col("doc_id").alias("c"), F.col("class_id").alias("last")), "c", "left").select("w1", "w2", F.coalesce("last", "c").alias("class_id"), "n_copies")
+    found = signed.select("doc_id", "w1", "w2").join(known, ["w1", "w2"]).select("doc_id", "class_id", "n_copies")
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "t", "n_rows")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, one row a doc_id.
+    """doc_id, class_id, n_copies, one row a doc_id.
 
     Documents are near if the weighted Jaccard similarity of their five-word
     shingles is 0.8 or more; a class is what such links connect, named by its
-    least doc_id.  n_copies: documents with the same words in the same order;
-    n_links: checked links of the representative of these copies.  Words are runs
-    of bytes other than ASCII white space, A-Z as a-z; a text of 1 to 4 words is
-    one shingle.  Texts without words (null, empty, white space) are near to
-    none.  Of rows that repeat a doc_id the greatest text counts; rows without
-    doc_id are left out.
+    least doc_id.  n_copies: documents with the same words in the same order.
+    Words are runs of bytes other than ASCII white space, A-Z as a-z; a text of 1
+    to 4 words is one shingle.  Texts without words (null, empty, white space)
+    are near to none.  Of rows that repeat a doc_id one text counts, that with
+    the greatest hash; rows without doc_id are left out.  Only doc_id and text
+    are read, whatever other columns there are.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, w1 long, w2 long, bands array<long>, sig binary"), "signatures")
-    signed = signed.groupBy("doc_id").agg(F.max(F.struct("w1", "w2", "bands", "sig")).alias("s")).select("doc_id", "s.*")
-    leads = signed.groupBy("w1", "w2").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n_copies"), F.min_by("bands", "doc_id").alias("bands"), F.min_by("sig", "doc_id").alias("sig"))
-    leads = materialize(leads, "leads")
-    banded = leads.select(F.col("lead").alias("doc_id"), F.posexplode("bands").alias("band", "h")).select("doc_id", "band", F.xxhash64("band", "h").alias("bucket"), F.pmod("band", F.lit(LEADERS)).alias("turn"))
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", "turn"), "doc_id"))["doc_id"].alias("a")).filter("n > 1")
-    buckets = materialize(banded.join(crowded, "bucket").select("bucket", "band", "doc_id", "a"), "buckets")
-    texts = rows.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    tried = materialize(buckets.filter("doc_id <> a").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct(), "tried")
-    links = materialize(_verified(tried, texts), "links")
-    classes = components(links)
-    for turn in range(ROUNDS + 1):
-        open_ = _open(buckets, classes)
-        short = leads.select(F.col("lead").alias("doc_id"), F.col("sig").alias("short"))
-        last = turn == ROUNDS
-        if last:
-            open_ = materialize(open_, "open")
-            long = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_long, "doc_id long, sig binary")
-            signed_open = open_.join(short, "doc_id").join(long, "doc_id")
-        else:
-            signed_open = open_.join(short, "doc_id").withColumn("sig", F.col("short"))
-        met = signed_open.repartition("cell").sortWithinPartitions("cell").mapInArrow(_met(_likely if last else _best, last), "a long, b long").distinct()
-        asked = materialize(met.join(tried, ["a", "b"], "left_anti"), "asked")
-        more = materialize(_verified(asked, texts), "more")
-        tried = tried.unionByName(asked)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            classes = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("lead")).groupBy("lead").agg(F.count("*").alias("n_links"))
-    # What belongs to a representative is joined to it first, so that its copies, which may be many, meet it only once.
-    known = leads.select("w1", "w2", "lead", "n_copies").join(classes.withColumnRenamed("doc_id", "lead"), "lead", "left").join(counts, "lead", "left")
-    named = signed.select("doc_id", "w1", "w2").join(known, ["w1", "w2"])
-    everyone = rows.select("doc_id").distinct().join(named, "doc_id", "left")
-    return everyone.select(
-        "doc_id", F.coalesce("class_id", "lead", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies")
-    )
+    return _classes(docs).select("doc_id", "class_id", "n_copies")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class, that of the least doc_id; all columns are kept.
 
-    Of rows that repeat this doc_id one stays; rows without doc_id stay.
+    Of rows that repeat a doc_id and its text one stays.  Rows without doc_id
+    stay, and so do rows of a repeated doc_id whose text is not the one that
+    counts (see near_duplicates), as nothing was compared with them.
     """
-    kept = near_duplicates(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    one = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", F.struct(*docs.columns).alias("_row")).groupBy("doc_id").agg(F.max_by("_row", F.coalesce("_row.text", F.lit(""))).alias("_row"))
-    return one.join(kept, one["doc_id"] == kept["_kept"], "left_semi").select("_row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
+    fate = _classes(docs).select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class"), F.col("t").alias("_t"), F.col("n_rows").alias("_n"))
+    whole = docs.select(F.col("doc_id").cast("long").alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"), F.struct(*docs.columns).alias("_row"))
+    judged = whole.join(fate, F.col("_key") == F.col("_id"), "left").filter("_id IS NULL OR _text <> _t OR _id = _class")
+    once = judged.filter("_n > 1").dropDuplicates(["_key", "_text"])
+    return judged.filter("_n IS NULL OR _n = 1").unionByName(once).select("_row.*")

@@ -99,3 +99,45 @@ def test_large_group_in_blocks(texts, monkeypatch):
     want = brute(items)
     got = {x.doc_id: x.class_id for x in near_duplicates(texts(items)).collect()}
     assert got == want and 3 < len(set(want.values())) < 80
+
+
+def test_two_texts_on_one_id(texts):
+    """One text of a repeated id counts, for the search and for the exact check alike."""
+    r = random.Random(3)
+    items = []
+    for k in range(20):
+        one, two = (" ".join(str(r.randrange(10**6)) for _ in range(40)) for _ in range(2))
+        items += [(k, one), (k, two), (100 + k, one), (200 + k, two)]
+    got = {x.doc_id: x.class_id for x in near_duplicates(texts(items)).collect()}
+    assert all((got[100 + k] == k) != (got[200 + k] == k) for k in range(20))
+    kept = sorted((x.doc_id, x.text) for x in drop_near_duplicates(texts(items)).collect())
+    assert sorted({k for k, _ in kept if k < 20}) == list(range(20)) and len(kept) == 60
+
+
+def test_equals_exact_pairs_of_the_table(spark):
+    """All 1,000 texts of sf0.01: classes by exact pairs, counted over shared shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    bags = {r.doc_id: bag(r.text) for r in docs.select("doc_id", "text").collect()}
+    holders = {}
+    for k, b in bags.items():
+        for s, n in b.items():
+            holders.setdefault(s, []).append((k, n))
+    shared = Counter()
+    for rows in holders.values():
+        for x, (a, m) in enumerate(rows):
+            for b, n in rows[:x]:
+                shared[min(a, b), max(a, b)] += min(m, n)
+    size = {k: sum(b.values()) for k, b in bags.items()}
+    label = {k: k for k in bags}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (size[a] + size[b] - n):
+            a, b = root(a), root(b)
+            label[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.class_id for x in near_duplicates(docs).collect()}
+    assert got == {k: root(k) for k in bags} and len(set(got.values())) < len(got)
