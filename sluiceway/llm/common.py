@@ -8,6 +8,7 @@ the chunk (or by the longest single text).
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,12 +28,40 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_staged: set[str] = set()
+
+
 # --- staging ---------------------------------------------------------------
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, else a local one for tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder all machines share: spark.checkpoint.dir.  Only where Spark itself is local may it be unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="sluiceway-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def staging_root(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it is deleted when the driver ends."""
+    root = f"{shared_dir(spark)}/sluiceway/{spark.sparkContext.applicationId}"
+    if root not in _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _staged.add(root)
+    return root
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -41,7 +70,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     Lineage ends there: a lost executor costs no recomputation before it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sluiceway/{uuid.uuid4().hex}/{tag}"
+    path = f"{staging_root(spark)}/{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -27,31 +27,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import U64, Words, flat, ranges
+from sluiceway.llm.common import U64, Words, flat, free_name, materialize, ranges
 
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 #: Room for rounding in the scores that retrieve an item.
 ROUNDING = 0.999
 BLOCK_ITEMS = 8
-#: Items indexed at once: larger benchmarks are searched part by part.
+#: Items indexed at once: larger benchmarks are searched part by part, with the statistics of all items.
 PART_ITEMS = 512
 CHUNK = 1 << 20
 
 
 class BlockIndex:
-    """The inverted index of some test items (id, text)."""
+    """The inverted index of some test items (id, text).
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    found: of each of their terms, in how many of all `number` test items it is;
+    mean: the words of all test items on average.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], found: dict[int, int], number: int, mean: float) -> None:
         texts = pa.array([t for _, t in items], pa.string())
         data, offsets = flat(texts)
         words = Words(data, offsets, 0, len(items))
         self.ids = [k for k, _ in items]
         lengths = words.count.astype(np.float64)
-        mean = max(float(lengths.mean()), 1.0)
         counts = [Counter(words.hash[words.first[i] : words.first[i + 1]].tolist()) for i in range(len(items))]
-        found = Counter(t for c in counts for t in c)
-        self.terms = np.array(sorted(found), U64)
+        self.terms = np.array(sorted({t for c in counts for t in c}), U64)
         place = {t: k for k, t in enumerate(self.terms.tolist())}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in place]
         self.halves = [self._parts(words, i) for i in range(len(items))]
@@ -59,7 +61,7 @@ class BlockIndex:
         for i, c in enumerate(counts):
             scores = {}
             for t, n in c.items():
-                idf = np.log(1 + (len(items) - found[t] + 0.5) / (found[t] + 0.5))
+                idf = np.log(1 + (number - found[t] + 0.5) / (found[t] + 0.5))
                 score = idf * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[i] / mean))
                 self.postings[place[t]].append((i, score))
                 scores[t] = score
@@ -70,7 +72,8 @@ class BlockIndex:
         for k, row in enumerate(self.postings):
             for i, score in row:
                 self.rows[i // BLOCK_ITEMS].setdefault(k, []).append((i, score))
-                self.block_max[k, i // BLOCK_ITEMS] = max(self.block_max[k, i // BLOCK_ITEMS], score)
+                # Rounded up: a bound must not fall below the scores it stands for.
+                self.block_max[k, i // BLOCK_ITEMS] = max(self.block_max[k, i // BLOCK_ITEMS], np.nextafter(np.float32(score), np.float32(np.inf)))
         full = lengths > 0
         self.block_need = np.array([min((self.need[i] for i in range(b * BLOCK_ITEMS, min(len(items), (b + 1) * BLOCK_ITEMS)) if full[i]), default=np.inf) for b in range(blocks)])
 
@@ -136,6 +139,22 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return np.unique(g)
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By part of the benchmark: each term with the items that hold it, and a row without term for all items and their words."""
+    for batch in batches:
+        data, offsets = flat(batch.column("text"))
+        words = Words(data, offsets, 0, batch.num_rows)
+        part = np.array(batch.column("part").to_pylist(), np.int64)
+        pairs = np.unique(np.stack([words.doc, words.hash.view(np.int64)]), axis=1)
+        owner = part[pairs[0]]
+        n = batch.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(owner, part), pa.int32()), pa.array(np.append(pairs[1], np.zeros(n, np.int64)), mask=np.append(np.zeros(len(owner), bool), np.ones(n, bool))),
+             pa.array(np.ones(len(owner) + n, np.int64)), pa.array(np.append(np.zeros(len(owner), np.int64), words.count))],
+            names=["part", "term", "n", "words"],
+        )
+
+
 def _search(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     index: BlockIndex = shared.value
     for batch in batches:
@@ -206,15 +225,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & (F.length(F.trim("text")) > 0)).distinct()
     parts = max(1, -(-items.count() // PART_ITEMS))
+    numbered = materialize(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")), "items")
+    terms = materialize(numbered.mapInArrow(_item_terms, "part int, term long, n long, words long"), "terms")
+    number, words = terms.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    holders = terms.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n"))
     found = None
-    numbered = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
     for part in range(parts):
-        # About PART_ITEMS items are on the driver and broadcast at a time.
+        # About PART_ITEMS items and their terms are on the driver and broadcast at a time.
         some = sorted((r["item_id"], r["text"]) for r in numbered.filter(F.col("part") == part).collect())
         if not some:
             continue
-        shared = spark.sparkContext.broadcast(BlockIndex(some))
+        own = terms.filter((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
+        known = {r["term"] & 2**64 - 1: r["n"] for r in holders.join(own, "term").collect()}
+        shared = spark.sparkContext.broadcast(BlockIndex(some, known, number, max(words / max(number, 1), 1.0)))
         hits = rows.mapInArrow(lambda it, shared=shared: _search(it, shared), "doc_id long, item_id long, question double, answer double")
+        if parts > 1:
+            hits = materialize(hits, "hits")
+            shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, question double, answer double")
@@ -222,6 +249,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a test item; all columns and rows without doc_id are kept."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    """docs without those that hold a test item; all columns are kept.
+
+    Null and empty texts hold none; rows without doc_id stay, as nothing names
+    them; of rows that repeat a doc_id all go if one holds an item.
+    """
+    name = free_name(docs, "_leak")
+    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col(name), "left_anti")

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.common import LOWERED_VALUE, U64, Words, crc_mod, flat, ranges
 
-#: Hash buckets of n-grams; with MOST_CELLS as a bound on languages times buckets.
-BUCKET_BITS, MOST_CELLS = 15, 1 << 21
+#: Hash buckets of n-grams, whatever the number of languages: the model has 256 KB a language.
+BUCKET_BITS = 15
 ROUNDS, SMOOTHING = 8, 0.5
-CHUNK = 1 << 20
+#: Text bytes and n-gram likelihoods (n-grams by languages) expanded at once.
+CHUNK, CELLS = 1 << 20, 8 << 20
 
 
 def _grams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +72,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, int]:
     are added up element-wise before the driver sees one vector a language.
     """
     rows = docs.filter(F.col("lang").isNotNull() & (crc_mod("doc_id", 3) != 1)).select("lang", "text")
-    number = rows.select("lang").distinct().count()
     bits = BUCKET_BITS
-    while number << bits > MOST_CELLS and bits > 8:
-        bits -= 1
     counted = rows.mapInArrow(lambda it: _count(it, bits), "lang string, counts array<bigint>")
     totals: dict[str, np.ndarray] = {}
     summed = counted.select("lang", F.posexplode("counts").alias("k", "c")).filter("c > 0").groupBy("lang", "k").agg(F.sum("c").alias("c"))
@@ -132,6 +130,14 @@ def select(likely: np.ndarray, first: np.ndarray) -> np.ndarray:
     return share * allowed
 
 
+def _by_word(table: np.ndarray, gram: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Log-likelihoods of words by language, so many n-grams at a time that memory is bounded; begins has the total at the end."""
+    out = np.empty((len(begins) - 1, table.shape[1]))
+    for a, b in ranges(begins, max(CELLS // table.shape[1], 1)):
+        out[a:b] = np.add.reduceat(table[gram[begins[a] : begins[b]]], begins[a:b] - begins[a], axis=0)
+    return out
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     langs, table, bits = model.value
     names = np.array([*langs, "und"], dtype=object)
@@ -141,13 +147,12 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
         best, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
         sets: list[list[str]] = [[]] * batch.num_rows
         letters = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_pylist(), bool)
-        for i, j in ranges(offsets, CHUNK):
+        for i, j in ranges(offsets, max(CHUNK // max(1, len(langs) // 8), 1)):
             words = Words(data, offsets, i, j)
             if not langs or not len(words.start):
                 continue
             gram, word = _grams(words, bits)
-            begins = np.searchsorted(word, np.arange(len(words.start)))
-            likely = np.add.reduceat(table[gram], begins, axis=0)
+            likely = _by_word(table, gram, np.searchsorted(word, np.arange(len(words.start) + 1)))
             full = np.flatnonzero(words.count > 0)
             share = select(likely, np.append(words.first[:-1][full], len(words.start)))
             best[i + full], score[i + full] = share.argmax(axis=1), np.clip(share.max(axis=1), 0, 1)

@@ -10,8 +10,6 @@ Everything is DataFrame work on the JVM; per source only histograms of at most
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,33 +73,25 @@ def _boundary(rows: DataFrame, budgets: DataFrame, level: int) -> DataFrame:
     return crossed.select("key", (F.col("bucket") * width).alias("lo"), ((F.col("bucket") + 1) * width).alias("hi"), (F.col("budget") - F.col("upto") + F.col("n")).alias("budget"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, repeats: int = MOST_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, text of every document.
+def _key() -> Column:
+    """The source as a key without null."""
+    return F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
 
-    size: words of the text (null text: 0).  taken: words the mix takes, repeats
-    counted, at most `repeats` times the size.  Every document is taken target
-    div source_size times whole; for what is left of the target, once more in the
-    order of a hash of doc_id until the words are used up.  The document on the
-    boundary is taken in part, so a source's taken words are the whole part of
-    its target; rows that share their hash there (repeated ids) share what is
-    left by size, rounded down.  Null is a source of its own, the last.  Empty
-    texts have size 0 and take 0.  The result depends only on the rows.
-    """
-    base = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("h"))
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
-    rows = materialize(base.withColumn("key", key), "sizes")
+
+def _planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, repeats: int = MOST_REPEATS) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and places (one row each), and the plan of each source, broadcast if there are few."""
+    rows = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("h")).withColumn("key", _key()), "sizes")
     totals = rows.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     aims = materialize(
         targets(totals.select("source", "source_size"), weights, percent, repeats)
-        .withColumn("key", key)
+        .withColumn("key", _key())
         .withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(repeats))).otherwise(F.lit(0)).cast("long"))
         .withColumn("budget", F.floor("target") - F.col("whole") * F.col("source_size"))
         .withColumn("whole", F.when(F.col("budget") < 0, F.col("whole") - 1).otherwise(F.col("whole")))
         .withColumn("budget", F.floor("target") - F.col("whole") * F.col("source_size")),
         "targets",
     )
-    few = aims.count() <= FEW_SOURCES
-    sent = F.broadcast if few else lambda df: df
+    sent = F.broadcast if aims.count() <= FEW_SOURCES else lambda df: df
     edge = aims.filter("budget > 0").select("key", F.lit(0).cast("long").alias("lo"), F.lit(1 << 60).cast("long").alias("hi"), "budget")
     for level in range(LEVELS):
         edge = materialize(_boundary(rows, sent(edge), level), f"level{level}")
@@ -112,21 +102,47 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: in
         last.withColumn("upto", upto).filter((F.col("upto") > F.col("budget")) & (F.col("upto") - F.col("n") <= F.col("budget")))
         .select("key", F.col("h").alias("stop"), F.col("n").alias("stop_n"), (F.col("budget") - F.col("upto") + F.col("n")).alias("rest"))
     )
-    plan = aims.join(stop, "key", "left").select("key", "source_size", "target", "whole", "budget", "stop", "stop_n", "rest")
+    plan = aims.join(stop, "key", "left").select("key", F.struct("source_size", "target", "whole", "budget", "stop", "stop_n", "rest").alias("plan"))
+    return rows, sent(plan)
+
+
+def _taken() -> Column:
+    """The words that the mix takes of a document, from its columns h and size and its source's plan."""
+    p, h, size = F.col("plan"), F.col("h"), F.col("size")
     more = (
-        F.when(F.col("budget") <= 0, 0).when(F.col("stop").isNull() | (F.col("h") < F.col("stop")), F.col("size"))
-        .when(F.col("h") == F.col("stop"), F.expr("size * rest div stop_n")).otherwise(0)
+        F.when(p["budget"] <= 0, 0).when(p["stop"].isNull() | (h < p["stop"]), size)
+        .when(h == p["stop"], F.expr("size * plan.rest div plan.stop_n")).otherwise(0)
     )
-    taken = (F.col("size") * F.col("whole") + more).cast("long").alias("taken")
-    return rows.join(sent(plan), "key").select("doc_id", "size", "source_size", "target", taken, "source")
+    return (size * p["whole"] + more).cast("long").alias("taken")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = TOTAL_PERCENT, repeats: int = MOST_REPEATS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source of every document.
+
+    size: words of the text (null text: 0).  taken: words the mix takes, repeats
+    counted, at most `repeats` times the size.  Every document is taken target
+    div source_size times whole; for what is left of the target, once more in the
+    order of a hash of doc_id until the words are used up.  The document on the
+    boundary is taken in part, so a source's taken words are the whole part of
+    its target; rows that share their hash there (repeated ids) share what is
+    left by size, rounded down.  Null is a source of its own, the last.  Empty
+    texts have size 0 and take 0.  The result depends only on the rows.
+    """
+    rows, plan = _planned(docs, weights, percent, repeats)
+    return rows.join(plan, "key").select("doc_id", "size", "plan.source_size", "plan.target", _taken(), "source")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """Each document with the words the mix takes of it: all columns of docs, size, target and taken."""
-    named = docs.withColumn("_row", F.struct(*docs.columns))
-    plan = mix_sources(docs, **how)
-    same = reduce(lambda a, b: a & b, [named["doc_id"].eqNullSafe(plan["doc_id"]), named["source"].eqNullSafe(plan["source"]), word_count(named["text"]) == plan["size"]])
-    return named.join(plan.distinct(), same).select("_row.*", plan["size"], plan["target"], plan["taken"])
+    """Each document with the words the mix takes of it: the columns of docs, then size, target and taken.
+
+    See mix_sources for nulls, empty texts, repeated rows and ties.  Columns of
+    docs that are named like the new ones are left out.  Whole rows do not move:
+    what is taken follows from the row and its source's plan.
+    """
+    _, plan = _planned(docs, **how)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("h"), _key().alias("key"))
+    kept = [f"_row.`{c}`" for c in docs.columns if c.lower() not in ("size", "target", "taken")]
+    return rows.join(plan, "key").select(*kept, "size", "plan.target", _taken())
 
 
 def oracle() -> str:

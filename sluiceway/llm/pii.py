@@ -10,12 +10,18 @@ finds, and a permutation is arithmetic on two halves with rounds keyed by SHA-25
 
 from __future__ import annotations
 
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "pseudonym-key"
+from sluiceway.llm.common import free_name
+
+#: Where a session names the key.  No key is built in: who has it can undo the pseudonyms.
+SETTING = "spark.sluiceway.pseudonym.key"
+#: For trials on synthetic tables only: everyone can read it.
+DEMO_KEY = "not-a-secret"
 ROUNDS = 6
 
 #: The kinds of value, in the order in which they are tried at a place.
@@ -36,6 +42,8 @@ PATTERNS = {
 FIND = "|".join(PATTERNS.values())
 #: Days of one permuted stretch of the calendar: 200 * 365, counted from EPOCH.
 DAYS_HIGH, DAYS_LOW, EPOCH = 200, 365, "1900-01-01"
+#: The days of 0001-01-01 and 9999-12-31, counted from EPOCH.
+DAYS = tuple((date(*d) - date(1900, 1, 1)).days for d in ((1, 1, 1), (9999, 12, 31)))
 
 
 def _digest(key: str, kind: str, turn: int, shape: Column, half: Column) -> Column:
@@ -196,9 +204,10 @@ def _ip(value: Column, key: str, undo: bool) -> Column:
 
 
 def _date(value: Column, key: str, undo: bool) -> Column:
-    """Dates, each within its stretch of 73,000 days from EPOCH; impossible dates stay.
+    """Dates from 0001-01-01 to 9999-12-31, each within its stretch of 73,000 days from EPOCH; impossible dates stay.
 
-    Years before 0101 or after 9899 stay too, so that no date leaves four digits.
+    The first and last stretch go beyond four digits: there the permutation is
+    walked on until it comes back, which half of its days are.
     """
     day = F.date_diff(F.try_to_date(value, "yyyy-MM-dd"), F.lit(EPOCH).cast("date")).cast("long")
     stretch = DAYS_HIGH * DAYS_LOW
@@ -206,10 +215,15 @@ def _date(value: Column, key: str, undo: bool) -> Column:
     def renew(n: Column) -> Column:
         inner = F.pmod(n, F.lit(stretch))
         new = feistel(F.floor(inner / DAYS_LOW), inner % DAYS_LOW, F.lit(DAYS_HIGH).cast("long"), F.lit(DAYS_LOW).cast("long"), key, "date", undo)
-        return _let(new, lambda p: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), (n - inner + p["a"] * DAYS_LOW + p["b"]).cast("int")), "yyyy-MM-dd"))
+        return _let(new, lambda p: n - inner + p["a"] * DAYS_LOW + p["b"])
+
+    def walk(n: Column) -> Column:
+        start = F.struct(n.alias("d"), F.lit(False).alias("done"))
+        step = lambda s, _: F.when(s["done"], s).otherwise(_let(renew(s["d"]), lambda m: F.struct(m.alias("d"), m.between(*DAYS).alias("done"))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, step, lambda s: s["d"])
 
-    inside = (value >= "0302") & (value < "9701")
-    return F.when(inside, F.coalesce(_let(day, renew), value)).otherwise(value)
+    show = lambda d: F.date_format(F.date_add(F.lit(EPOCH).cast("date"), d.cast("int")), "yyyy-MM-dd")
+    return F.coalesce(_let(day, lambda n: F.when(n.between(*DAYS), show(walk(n)))), value)
 
 
 def _email(value: Column, key: str, undo: bool) -> Column:
@@ -274,31 +288,44 @@ def kind_of(value: Column) -> Column:
     return reduce(lambda rest, k: F.when(value.rlike(_SHAPES[k]), k).otherwise(rest), reversed(PATTERNS), F.lit("none"))
 
 
-def pseudonym(value: Column, key: str = KEY, undo: bool = False) -> Column:
+def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of a whole value; a value of no kind, or one that fails its check, stays."""
+    if not key:
+        raise ValueError(f"pseudonyms need a key, as set in {SETTING}")
     kind = kind_of(value)
     return reduce(lambda rest, k: F.when(kind == k, RENEW[k](value, key, undo)).otherwise(rest), RENEW, value)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, undo: bool = False) -> DataFrame:
+def _searched(docs: DataFrame, key: str, undo: bool) -> tuple[DataFrame, Column, str, str]:
+    """docs with two more columns, the new text, and the two columns' names: the finds and what they become."""
+    text, old, new = F.col("text"), free_name(docs, "_old"), free_name(docs, "_new")
+    likely = text.rlike(r"\d[\d ().-]*\d") | text.contains("@")
+    # Texts without digits in a row or an @ are not searched.
+    finds = F.when(likely, F.regexp_extract_all(text, F.lit(FIND), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    base = docs.withColumn(old, F.coalesce(finds, F.array().cast("array<string>")))
+    base = base.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda v: pseudonym(v, key, undo))).otherwise(F.col(old)))
+    between = F.split(text, FIND, -1)
+    joined = F.concat_ws("", F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    return base, F.when(F.size(old) > 0, joined).otherwise(text), old, new
+
+
+def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """docs with the personal values of text replaced, and n_found, n_changed after the other columns.
 
     n_found: places that look like a value; n_changed: those that were replaced
-    by another value.  Null texts stay null with 0 found; texts without a find
-    stay as they are.  All rows, repeated ones too, are treated alike; the key is
-    the only other input, so equal values get equal pseudonyms in all documents.
-    With undo the same call gives the first text back.
+    by another value; columns of docs named so are replaced.  Null texts stay
+    null with 0 found; texts without a find stay as they are.  All rows, repeated
+    ones too, are treated alike; the key is the only other input, so equal values
+    get equal pseudonyms in all documents.  With undo and the same key the call
+    gives the first text back.
     """
-    text = docs["text"]
-    likely = text.rlike(r"\d[\d ().-]*\d") | text.contains("@")
-    # Texts without digits in a row or an @ are not searched; a struct keeps the finds and what stands between them.
-    finds = F.when(likely, F.regexp_extract_all(text, F.lit(FIND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    base = docs.withColumns({"_old": F.coalesce(finds, F.array().cast("array<string>"))})
-    base = base.withColumn("_new", F.when(F.size("_old") > 0, F.transform("_old", lambda v: pseudonym(v, key, undo))).otherwise(F.col("_old")))
-    between = F.split(F.col("text"), FIND, -1)
-    joined = F.concat_ws("", F.flatten(F.zip_with(between, "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    changed = F.size(F.filter(F.zip_with("_old", "_new", lambda a, b: a != b), lambda x: x))
-    out = base.withColumns({
-        "text": F.when(F.size("_old") > 0, joined).otherwise(F.col("text")), "n_found": F.size("_old").cast("long"), "n_changed": F.when(F.size("_old") > 0, changed).otherwise(0).cast("long"),
-    })
-    return out.drop("_old", "_new")
+    base, text, old, new = _searched(docs, key, undo)
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
+    found = base.withColumns({"text": text, "n_found": F.size(old).cast("long"), "n_changed": F.when(F.size(old) > 0, changed).otherwise(0).cast("long")})
+    return found.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("n_found", "n_changed")], "n_found", "n_changed")
+
+
+def replaced_text(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
+    """docs with the personal values of text replaced, as pseudonymise does it; exactly the columns of docs."""
+    base, text, _, _ = _searched(docs, key, undo)
+    return base.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from sluiceway.llm.ann import nearest
@@ -16,7 +15,7 @@ from sluiceway.llm.lm_score import score_documents
 from sluiceway.llm.mixing import mix_sources
 from sluiceway.llm.mixing import oracle as mixing_sql
 from sluiceway.llm.near_dup import near_duplicates
-from sluiceway.llm.pii import pseudonymise
+from sluiceway.llm.pii import DEMO_KEY, SETTING, pseudonymise
 from sluiceway.llm.suffix_dedup import remove_repeats
 from sluiceway.llm.toxicity import score_toxicity
 
@@ -26,48 +25,57 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the bytes of 100-byte strings that start earlier; see remove_repeats for nulls, ties and repeated rows."""
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents; see score_documents."""
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered; see render_conversations."""
     return render_conversations(_table(spark, sf_dir, "conversations"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document; see near_duplicates."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document; see mix_sources."""
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document; see score_toxicity."""
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest found for each query; see nearest."""
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that documents hold; see find_leaks."""
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Texts with personal values replaced, under the session's key (DEMO_KEY if it names none)."""
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(SETTING, DEMO_KEY))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of each document; see identify."""
     return identify(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language)}
-    return found | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

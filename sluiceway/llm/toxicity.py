@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: in
     y = y.groupBy("doc_id").agg(F.max("toxic").cast("long").alias("label")).withColumn("place", F.xxhash64("doc_id"))
     picked = [y.filter(F.col("label") == k).orderBy("place", "doc_id").limit(rows) for k in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # at most 2 * rows ids
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "place", "label").coalesce(1)
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "place", "label").repartition(1)  # an exchange: only the sample meets in one task
     model = sample.mapInArrow(lambda it: _learn(it, epochs), "feature long, weight double").toPandas()
     if not len(model):
         return np.zeros(0, np.int64), np.zeros(0), 0.0
@@ -127,7 +127,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those whose text scores `threshold` or more; all columns are kept."""
+    """docs without those whose text scores `threshold` or more; all columns are kept.
+
+    Each row is judged by its own text: null and empty texts get the score of the
+    bias, rows that repeat a doc_id are judged each, rows with equal texts alike.
+    Columns other than text may have any name.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels))
     whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))

@@ -2,7 +2,18 @@ import re
 
 from pyspark.sql import functions as F
 
-from sluiceway.llm.pii import luhn_sum, permute_digits, pseudonym, pseudonymise
+import pytest
+
+from sluiceway.llm import pii
+from sluiceway.llm.pii import luhn_sum, permute_digits, replaced_text
+
+
+def pseudonym(value, key="k", undo=False):
+    return pii.pseudonym(value, key, undo)
+
+
+def pseudonymise(docs, key="k", undo=False):
+    return pii.pseudonymise(docs, key, undo)
 
 
 def luhn(s):
@@ -24,9 +35,9 @@ def test_luhn(spark):
 
 VALUES = {
     "4111 1111 1111 1111": r"\d{4} \d{4} \d{4} \d{4}", "4207051279108084": r"\d{16}", "+1 (375) 555-4393": r"\+1 \(\d{3}\) \d{3}-\d{4}", "555-123-4567": r"\d{3}-\d{3}-\d{4}",
-    "10.0.0.255": r"\d{1,3}(\.\d{1,3}){3}", "1999-12-31": r"\d{4}-\d\d-\d\d", "2024-02-29": r"\d{4}-\d\d-\d\d", "123-45-6789": r"\d{3}-\d\d-\d{4}", "fakol.33@mail7.example.com": r"[a-z]{5}\.\d\d@mail7\.example\.com",
+    "10.0.0.255": r"\d{1,3}(\.\d{1,3}){3}", "1999-12-31": r"\d{4}-\d\d-\d\d", "2024-02-29": r"\d{4}-\d\d-\d\d", "0001-01-01": r"\d{4}-\d\d-\d\d", "9999-12-31": r"\d{4}-\d\d-\d\d", "123-45-6789": r"\d{3}-\d\d-\d{4}", "fakol.33@mail7.example.com": r"[a-z]{5}\.\d\d@mail7\.example\.com",
 }
-KEPT = ["4111111111111112", "2023-02-30", "300.1.1.1", "1.2.3", "12345", "password=e3b3ed3cc8548923d6", "000-12-3456", "0001-01-01"]
+KEPT = ["4111111111111112", "2023-02-30", "300.1.1.1", "1.2.3", "12345", "password=e3b3ed3cc8548923d6", "000-12-3456", "0000-05-05"]
 
 
 def test_each_format_and_back(spark):
@@ -106,3 +117,38 @@ def test_whole_local_parts(spark):
     assert len({r.p for r in ten.collect()}) == 10
     one = spark.range(10).select(F.col("id").cast("string").alias("d")).select("d", permute_digits(F.col("d"), "k", "email").alias("e")).collect()
     assert sorted(r.e for r in one) == list("0123456789")
+
+
+def test_a_key_is_asked_for(documents):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(documents([]), "")
+
+
+def test_clashing_columns(documents):
+    docs = documents([(1, "at 10.1.2.3", "en", "s", 1)]).selectExpr("*", "'a' AS _old", "'b' AS _new", "'c' AS n_found")
+    assert replaced_text(docs, "k").columns == docs.columns and replaced_text(docs, "k").first().asDict() | {"text": 0} == docs.first().asDict() | {"text": 0}
+    out = pseudonymise(docs)
+    assert out.columns == [*docs.columns[:-1], "n_found", "n_changed"] and (out.first()._old, out.first()._new, out.first().n_found) == ("a", "b", 1)
+
+
+def test_edges_of_the_calendar(spark):
+    """A permutation of the dates of the first and the last stretch, and back."""
+    days = [f"{y:04d}-{m:02d}-{d:02d}" for y in (1, 2, 99, 9995, 9999) for m in (1, 6, 12) for d in (1, 28)]
+    df = spark.createDataFrame([(d,) for d in days], "v string").select("v", pseudonym(F.col("v")).alias("p"))
+    rows = df.select("v", "p", pseudonym(F.col("p"), undo=True).alias("back")).collect()
+    assert len({r.p for r in rows}) == len(days) and all(r.back == r.v and r.p != r.v and len(r.p) == 10 for r in rows)
+
+
+def test_whole_texts_against_plain_python(spark, sf):
+    """All texts of the table: the finds by Python's own matcher, each replaced by its value's pseudonym, asked for by itself."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    finds = {v for t in texts.values() for v in re.findall(pii.FIND, t or "")}
+    asked = spark.createDataFrame([(v,) for v in sorted(finds)], "v string")
+    to = {r.v: r.p for r in asked.select("v", pseudonym(F.col("v")).alias("p")).collect()}
+    got = {r.doc_id: r for r in pseudonymise(docs).collect()}
+    assert sum(v != p for v, p in to.items()) > 10
+    for k, t in texts.items():
+        found = re.findall(pii.FIND, t or "")
+        assert got[k].text == (t if t is None else re.sub(pii.FIND, lambda m: to[m[0]], t))
+        assert (got[k].n_found, got[k].n_changed) == (len(found), sum(to[v] != v for v in found))
