@@ -12,13 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.model import Call, Config, Lit, Op, Ref
 
 # syslog's names.
-FACILITIES = ("kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp audit alert clock " "local0 local1 local2 local3 local4 local5 local6 local7").split()
+FACILITIES = ("kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console solaris-cron " "local0 local1 local2 local3 local4 local5 local6 local7").split()
 SEVERITIES = "emerg alert crit err warning notice info debug".split()
 SEVERITY_ALIASES = {"panic": "emerg", "error": "err", "warn": "warning"}
 
@@ -66,11 +67,19 @@ def as_bool(x: Typed) -> Column:
 
 def safe_pattern(pattern: str) -> str | None:
     """The pattern for Spark's regular expressions, or None if it is none; $ ends the text only."""
+    pattern = re.sub(r"(?<!\\)\$$", r"\\z", pattern)
+    spark = SparkSession.getActiveSession()
     try:
-        re.compile(pattern)
-    except re.error:
+        # The engine that will run it decides whether it is one.
+        spark._jvm.java.util.regex.Pattern.compile(pattern) if spark else re.compile(pattern)
+    except (re.error, IllegalArgumentException):
         return None
-    return re.sub(r"(?<!\\)\$$", r"\\z", pattern)
+    return pattern
+
+
+def groups(pattern: str) -> int:
+    """The number of a valid pattern's groups."""
+    return SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
 
 
 def matches(s: Column, pattern: Typed) -> Column:
@@ -82,24 +91,29 @@ def matches(s: Column, pattern: Typed) -> Column:
 
 
 def prifilt(spec: str, facility: Column, severity: Column) -> Column:
-    """Whether a priority is selected; without one, never."""
+    """Whether a priority is selected; without one, never.
+
+    Clauses apply from left to right: one whose test holds selects, `none` takes
+    back; names count in either case, and clauses with an unknown level do nothing.
+    """
     hit: Column = F.lit(False)
     for clause in spec.split(";"):
-        names, _, level = clause.strip().partition(".")
-        wanted = {n.strip() for n in names.split(",")}
+        names, dot, level = clause.strip().rpartition(".")
+        if not dot:
+            continue
+        wanted, level = [n.strip().lower() for n in names.split(",")], level.strip()
         here = F.lit(True) if "*" in wanted else facility.isin([FACILITIES.index(n) for n in wanted if n in FACILITIES])
-        negate, exact = level.startswith("!"), "=" in level[:2]
-        level = level.lstrip("!=").lower()
-        level = SEVERITY_ALIASES.get(level, level)
-        if level == "none":
-            hit = F.when(here, False).otherwise(hit)
-        elif level == "*":
-            hit = F.when(here, F.lit(not negate) | (hit if negate else F.lit(False))).otherwise(hit)
-        elif level in SEVERITIES:
-            k = SEVERITIES.index(level)
-            test = severity == k if exact else severity <= k
-            hit = F.when(here & (~test if negate else test), True).otherwise(hit)
-    return F.coalesce(hit & facility.isNotNull(), F.lit(False))
+        if level in ("none", "*"):
+            hit = F.when(here, level == "*").otherwise(hit)
+            continue
+        form = re.match(r"(!?)(=?)(.*)", level)
+        word = form[3].lower()
+        word = SEVERITY_ALIASES.get(word, word)
+        if word in SEVERITIES:
+            k = SEVERITIES.index(word)
+            test = severity == k if form[2] else severity <= k
+            hit = F.when(here & (~test if form[1] else test), True).otherwise(hit)
+    return F.coalesce(hit & facility.isNotNull() & severity.isNotNull(), F.lit(False))
 
 
 def _slice(s: Column, start: Column, length: Column | None) -> Column:
@@ -119,7 +133,7 @@ def modified(s: Column, modifiers: str) -> Column:
     if m:
         miss = {"DFLT": F.lit("**NO MATCH**"), "ZERO": F.lit("0")}.get(m[2], F.lit(""))
         pattern = safe_pattern(m[3])
-        if not pattern or int(m[1]) > re.compile(m[3]).groups:
+        if not pattern or int(m[1]) > groups(pattern):
             return miss
         return F.when(s.rlike(pattern), F.regexp_extract(s, pattern, int(m[1]))).otherwise(miss)
     for part in modifiers.split(":"):
@@ -132,7 +146,7 @@ def modified(s: Column, modifiers: str) -> Column:
         elif low == "space-cc":
             s = F.regexp_replace(s, r"[\x00-\x1f]", " ")
         elif low == "escape-cc":
-            s = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"#{k:02x}")), range(32), s)
+            s = reduce(lambda c, k: F.replace(c, F.lit(chr(k)), F.lit(f"#{k:x}")), range(32), s)
         elif low.startswith("date-") and low[5:] in ("unixtimestamp", "year", "month", "day", "hour"):
             t = F.try_to_timestamp(s)
             shown = F.unix_timestamp(t).cast("string") if low.endswith("timestamp") else F.date_format(t, {"year": "yyyy", "month": "MM", "day": "dd", "hour": "HH"}[low[5:]])
@@ -216,8 +230,10 @@ class Compiler:
         if e.name == "re_match":
             return Typed("bool", matches(s[0], args[1]))
         if e.name == "re_extract":
-            pattern, group = safe_pattern(str(args[1].literal)), int(float(args[3].literal))
-            if not pattern or group > re.compile(str(args[1].literal)).groups:
+            if not isinstance(args[1].literal, str) or args[3].literal is None:
+                return Typed("str", s[4])
+            pattern, group = safe_pattern(args[1].literal), int(float(args[3].literal))
+            if not pattern or group > groups(pattern):
                 return Typed("str", s[4])
             return Typed("str", F.when(s[0].rlike(pattern), F.regexp_extract(s[0], pattern, group)).otherwise(s[4]))
         if e.name == "field":

@@ -1,15 +1,37 @@
-"""Checks over a configuration's catalog: references, reachability, conflicts, silent drops."""
+"""Checks over a configuration's catalog: references, reachability, conflicts, silent drops, outputs of event stores.
+
+The catalog is a few small relations (uses, definitions, inputs, actions), made
+on the driver as rows; the checks are joins, filters and groupings over them, so
+many configurations can be checked in one job: each relation has a `config`
+column that all joins keep.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.model import Action, Call, CallRuleset, Config, If, Lit, Op, Set, Stop
+from sluiceway.model import Action, Call, CallRuleset, Config, If, Lit, Set, Stop
+from sluiceway.operators.targets import GELF_RESERVED, TARGETS
+
+FINDING = "config string, code string, severity string, name string, message string"
 
-FINDING = "code string, severity string, name string"
+# Inputs and actions that a module of their own name must be loaded for, and those built in.
+INPUT_MODULES = ("imudp imtcp imptcp imrelp imuxsock imjournal imklog imfile imkafka imhttp imhiredis immark imsolaris imrabbitmq imgssapi imdiag").split()
+OUTPUT_MODULES = (
+    "omkafka omelasticsearch omhttp omhttpfs ommongodb ommysql ompostgresql omrelp omudpspoof omprog omsnmp omhiredis omclickhouse omazureeventhubs omamqp1 omrabbitmq mmjsonparse mmnormalize mmpstrucdata mmgrok"
+).split()
+# What the stores' checks know.
+HIGH_CARDINALITY = "user username uid trace_id span_id request_id session_id order_id customer_id ip src_ip dest_ip host_ip pid".split()
+STANDARD_TABLES = ("Syslog", "SecurityEvent", "CommonSecurityLog", "AzureActivity", "SigninLogs", "AuditLogs")
+CUSTOM_TABLE = "^[A-Za-z][A-Za-z0-9]{1,44}_CL$"
+MORE_EVENT_TYPES = ("GENERIC_EVENT", "STATUS_HEARTBEAT", "STATUS_STARTUP", "STATUS_SHUTDOWN", "SETTING_MODIFICATION")
+TAXONOMY_FIELDS = {
+    "sourcetype": "sourcetype", "event_category": "ecs.event.category", "event.category": "ecs.event.category", "event_type": "ecs.event.type", "event.type": "ecs.event.type", "ddsource": "ddsource", "category": "generic", "log_class": "generic",
+}
 
 
 def statements(body: tuple) -> Iterator[object]:
@@ -55,6 +77,7 @@ def _ends(body: tuple) -> bool:
 
 
 def reachable(config: Config) -> set[str]:
+    """Rulesets that inputs, the default or calls from these lead to; a configuration has a bounded number of them."""
     out: dict[str, set[str]] = {}
     for kind, a, b in references(config):
         if kind == "ruleset":
@@ -66,50 +89,155 @@ def reachable(config: Config) -> set[str]:
     return seen
 
 
+#: The relations of a catalog.
+RELATIONS = {
+    "uses": "config string, kind string, src string, name string", "defined": "config string, kind string, name string, reached boolean, ends boolean, loaded boolean",
+    "inputs": "config string, type string", "modules": "config string, name string", "actions": "config string, ord int, driver string, params map<string,string>", "sets": "config string, space string, name string, lookup string",
+}
+
+
+def relations(spark: SparkSession, configs: dict[str, Config]) -> dict[str, DataFrame]:
+    """The catalogs of configurations as tables, see RELATIONS."""
+    rows: dict[str, list[tuple]] = {k: [] for k in RELATIONS}
+    for c, config in configs.items():
+        live = reachable(config)
+        rows["uses"] += [(c, *u) for u in references(config)]
+        rows["defined"] += [(c, "ruleset", n, n in live, _ends(body), True) for n, body in config.rulesets.items()]
+        rows["defined"] += [(c, "template", n, True, True, True) for n in config.templates]
+        rows["defined"] += [(c, "lookup", n, True, True, n not in config.lookups or config.lookups[n].loaded) for n in {*config.lookup_files, *config.lookups}]
+        rows["inputs"] += [(c, i.type.lower()) for i in config.inputs]
+        rows["modules"] += [(c, m.lower()) for m in config.modules]
+        for body in config.rulesets.values():
+            for s in statements(body):
+                if isinstance(s, Action):
+                    rows["actions"].append((c, len(rows["actions"]), (s.param("type") or s.kind).lower(), dict(s.params)))
+                if isinstance(s, Set) and s.value is not None:
+                    table = s.value.args[0].value if isinstance(s.value, Call) and s.value.name == "lookup" and s.value.args and isinstance(s.value.args[0], Lit) else None
+                    rows["sets"].append((c, s.space, s.name, table))
+    return {k: spark.createDataFrame(v, RELATIONS[k]) for k, v in rows.items()}
+
+
+def _finding(rows: DataFrame, code: object, severity: str, message: object, name: object = "name") -> DataFrame:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    return rows.select("config", text(code).alias("code"), F.lit(severity).alias("severity"), F.col(name).alias("name") if isinstance(name, str) else name.alias("name"), text(message).alias("message"))
+
+
+def general_findings(rel: dict[str, DataFrame]) -> DataFrame:
+    """References, dead code, files, conflicts, silent drops, modules: see FINDING."""
+    uses, defined = rel["uses"], rel["defined"]
+    lost = uses.join(defined, ["config", "kind", "name"], "left_anti")
+    near = suggestions(lost.select("config", "kind", "name").distinct(), defined)
+    lost = lost.join(near, ["config", "kind", "name"], "left")
+    hint = F.when(F.col("suggestion").isNotNull(), F.concat(F.lit("; did you mean "), "suggestion", F.lit("?"))).otherwise("")
+    code = F.when(F.col("src") == "<default>", "V_UNDEFINED_DEFAULT_RULESET").otherwise(F.concat(F.lit("V_UNDEFINED_"), F.upper("kind")))
+    found = [_finding(lost, code, "warning", F.concat("kind", F.lit(" is not defined"), hint))]
+    found.append(_finding(lost.filter("kind = 'template' AND src NOT LIKE '<%'"), "V_RSYSLOG_TEMPLATE_UNDEFINED", "error", F.concat(F.lit("an action names a template that is not defined"), hint)))
+    found.append(_finding(lost.filter("src = '<default>'"), "V_RSYSLOG_DEFAULT_RULESET_UNDEFINED", "error", F.concat(F.lit("the default ruleset is not defined"), hint)))
+    found.append(_finding(defined.filter("kind = 'ruleset' AND NOT reached AND name <> '_default_legacy'"), "V_DEAD_RULESET", "info", "no input, default or call leads here"))
+    unused = defined.filter("kind <> 'ruleset'").join(uses, ["config", "kind", "name"], "left_anti")
+    found.append(_finding(unused, F.concat(F.lit("V_UNUSED_"), F.upper("kind")), "info", "nothing uses it"))
+    found.append(_finding(defined.filter("kind = 'lookup' AND NOT loaded"), "V_LOOKUP_NOT_LOADED", "warning", "its file was not found"))
+    called = uses.filter("kind = 'ruleset' AND src NOT LIKE '<%'").select("config", "name")
+    found.append(_finding(defined.filter("kind = 'ruleset' AND NOT ends AND name <> '_default_legacy'").join(called, ["config", "name"], "left_anti"), "V_SILENT_DROP", "warning", "a path ends without an action, stop or call"))
+    p = lambda k: F.try_element_at("params", F.lit(k))
+    actions = rel["actions"]
+    place = F.when(F.col("driver") == "omfile", F.coalesce(F.concat(F.lit("dyna("), p("dynafile"), F.lit(")")), p("file"))).when((F.col("driver") == "omfwd") & p("target").isNotNull(), F.concat(p("target"), F.lit(":"), F.coalesce(p("port"), F.lit("?")), F.lit("/"), F.coalesce(p("protocol"), F.lit("?"))))
+    twice = actions.withColumn("name", place).filter("name IS NOT NULL").groupBy("config", "driver", "name").agg(F.count("*").alias("n")).filter("n > 1")
+    found.append(_finding(twice, "V_CONFLICTING_OUTPUT", "info", F.concat(F.col("n").cast("string"), F.lit(" actions write here"))))
+    needed = rel["inputs"].filter(F.col("type").isin(INPUT_MODULES)).select("config", F.col("type").alias("name")).union(actions.filter(F.col("driver").isin(OUTPUT_MODULES)).select("config", F.col("driver").alias("name"))).distinct()
+    found.append(_finding(needed.join(rel["modules"], ["config", "name"], "left_anti"), "V_MODULE_MISSING", "error", "used without loading its module"))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def infer_stores(rel: dict[str, DataFrame]) -> DataFrame:
+    """actions with store: the event store that an action's driver belongs to."""
+    drivers = [(d, t.name) for t in TARGETS.values() for d in t.drivers]
+    spark = rel["actions"].sparkSession
+    return rel["actions"].join(F.broadcast(spark.createDataFrame(drivers, "driver string, store string")), "driver")  # some 40 drivers
+
+
+def infer_taxonomies(rel: dict[str, DataFrame]) -> DataFrame:
+    """config, table, taxonomy: what a lookup table's words mean, by the structured field that first takes them."""
+    fields = F.create_map(*(F.lit(x) for kv in TAXONOMY_FIELDS.items() for x in kv))
+    named = rel["sets"].filter("space = '$!' AND lookup IS NOT NULL").withColumn("taxonomy", F.try_element_at(fields, F.lower("name")))
+    return named.filter("taxonomy IS NOT NULL").groupBy("config", F.col("lookup").alias("table")).agg(F.first("taxonomy").alias("taxonomy"))
+
+
+def store_findings(rel: dict[str, DataFrame]) -> DataFrame:
+    """What outputs to event stores lack or say wrongly: see FINDING.
+
+    Objects among the parameters are given as members written name=value, joined by commas.
+    """
+    outputs = infer_stores(rel)
+    upstream = rel["sets"].filter("space = '$!'").groupBy("config").agg(F.collect_set(F.lower("name")).alias("set_names"))  # names written in one configuration
+    rows = outputs.join(upstream, "config", "left").withColumn("name", F.coalesce(F.try_element_at("params", F.lit("name")), F.col("driver")))
+    at = lambda store: rows.filter(F.col("store") == store)
+    has = lambda *keys: reduce(lambda a, b: a | b, (F.map_contains_key("params", F.lit(k)) for k in keys))
+    upset = lambda *names: F.coalesce(F.arrays_overlap("set_names", F.array(*(F.lit(n.lower()) for n in names))), F.lit(False))
+    p = lambda *keys: F.coalesce(*(F.try_element_at("params", F.lit(k)) for k in keys))
+    members = lambda k: F.filter(F.split(F.coalesce(p(k), F.lit("")), ",\\s*"), lambda x: F.length(x) > 0)
+    found = [
+        _finding(at("splunk").filter(~has("sourcetype", "Sourcetype", "SOURCETYPE") & ~upset("sourcetype")), "SIEM_SPLUNK_MISSING_SOURCETYPE", "warning", "no sourcetype"),
+        _finding(at("elastic-ecs").filter(~has("event.dataset", "event_dataset", "dataset") & ~upset("event_dataset", "event.dataset")), "SIEM_ECS_MISSING_EVENT_DATASET", "info", "no event.dataset"),
+        _finding(at("datadog").filter(~has("service") & ~upset("service")), "SIEM_DATADOG_MISSING_SERVICE", "warning", "no service"),
+        _finding(at("sumo-logic").filter(~has("_sourceCategory", "_sourcecategory", "sourceCategory", "sourcecategory", "category") & ~upset("_sourceCategory", "sourceCategory")), "SIEM_SUMO_MISSING_SOURCE_CATEGORY", "warning", "no source category"),
+    ]
+    loki = at("loki").withColumn("label", F.explode(members("labels")))
+    dear = F.filter(F.array(*map(F.lit, HIGH_CARDINALITY)), lambda f: F.contains("label", F.concat(F.lit("$!"), f)) | F.contains("label", F.concat(F.lit("$"), f)) | F.contains("label", F.concat(F.lit("%"), f, F.lit("%"))))
+    found.append(_finding(loki.withColumn("dear", dear).filter(F.size("dear") > 0), "SIEM_LOKI_HIGH_CARDINALITY_LABEL", "warning", F.concat(F.lit("a label comes from "), F.col("dear")[0])))
+    found.append(_finding(at("loki").filter(F.size(members("labels")) == 0), "SIEM_LOKI_NO_LABELS", "info", "no labels"))
+    gelf = at("graylog-gelf").withColumn("field", F.explode(F.transform(members("fields"), lambda x: F.substring_index(x, "=", 1)))).filter(~F.col("field").isin(list(GELF_RESERVED)) & ~F.col("field").startswith("_"))
+    found.append(_finding(gelf, "SIEM_GELF_CUSTOM_FIELD_PREFIX", "warning", F.concat(F.lit("a field of its own needs an underscore: "), "field")))
+    table = at("microsoft-sentinel").withColumn("t", F.explode(F.array_compact(F.array(*(p(k) for k in ("table", "Table", "stream", "Stream", "table_name"))))))
+    found.append(_finding(table.filter((F.length("t") > 0) & ~F.col("t").rlike(CUSTOM_TABLE) & ~F.col("t").isin(list(STANDARD_TABLES))), "SIEM_SENTINEL_INVALID_TABLE_NAME", "error", F.concat(F.lit("no standard table and no name of an own one: "), "t")))
+    known = [w.partition("|")[0] for w in TARGETS["chronicle-udm"].words["udm.event_type"].split()] + list(MORE_EVENT_TYPES)
+    found.append(_finding(at("chronicle-udm").withColumn("e", p("event_type", "metadata.event_type")).filter((F.length("e") > 0) & ~F.col("e").isin(known)), "SIEM_UDM_UNKNOWN_EVENT_TYPE", "warning", F.concat(F.lit("event type that is not known: "), "e")))
+    lacking = F.array_compact(F.array(*(F.when(~has(k, k[0].upper() + k[1:], k.lower()), k) for k in ("vendor", "product", "version", "eventID"))))
+    found.append(_finding(at("qradar-leef").withColumn("lacking", lacking).filter(F.size("lacking") > 0), "SIEM_LEEF_HEADER_INCOMPLETE", "info", F.concat(F.lit("header lacks "), F.array_join("lacking", ", "))))
+    level = at("arcsight-cef").withColumn("s", p("severity", "Severity", "sev")).filter("s IS NOT NULL").withColumn("n", F.expr("try_cast(s AS double)"))
+    found.append(_finding(level.filter(F.col("n").isNull() | (F.col("n") < 0) | (F.col("n") > 10)), "SIEM_CEF_SEVERITY_OUT_OF_RANGE", "warning", F.concat(F.lit("severity is not in 0..10: "), "s")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def validate(spark: SparkSession, config: Config) -> DataFrame:
-    """code, severity, name of each finding."""
-    defined = {"ruleset": set(config.rulesets), "template": set(config.templates), "lookup": set(config.lookup_files) | set(config.lookups)}
-    uses = references(config)
-    found = {(f"V_UNDEFINED_{'DEFAULT_RULESET' if a == '<default>' else k.upper()}", "error", n) for k, a, n in uses if n not in defined[k]}
-    used = {(k, n) for k, _, n in uses}
-    found |= {("V_DEAD_RULESET", "warning", n) for n in defined["ruleset"] - reachable(config)}
-    found |= {(f"V_UNUSED_{k.upper()}", "info", n) for k in ("template", "lookup") for n in defined[k] if (k, n) not in used}
-    found |= {("V_LOOKUP_NOT_LOADED", "warning", n) for n, t in config.lookups.items() if not t.loaded}
-    called = {n for body in config.rulesets.values() for s in statements(body) if isinstance(s, CallRuleset) for n in [s.name]}
-    found |= {("V_SILENT_DROP", "warning", n) for n, body in config.rulesets.items() if n not in called and not _ends(body)}
-    targets: dict[str, int] = {}
-    for body in config.rulesets.values():
-        for s in statements(body):
-            if isinstance(s, Action) and s.kind == "omfile" and s.param("file"):
-                targets[s.param("file")] = targets.get(s.param("file"), 0) + 1
-    found |= {("V_CONFLICTING_OUTPUT", "warning", t) for t, n in targets.items() if n > 1}
-    return spark.createDataFrame(sorted(found), FINDING)
+    """code, severity, name, message of each finding in one configuration."""
+    rel = relations(spark, {"": config})
+    return general_findings(rel).unionByName(store_findings(rel)).drop("config")
 
 
-def suggest(word: str, names: list[str]) -> str | None:
-    """The nearest defined name, counting a swap of neighbours as one edit; None if all are too far."""
-    limit = min(1 if len(word) <= 3 else 2 if len(word) <= 7 else 3, max(1, int(0.4 * len(word))))
-    best = min(names, key=lambda n: distance(word, n), default=None)
-    return best if best is not None and distance(word, best) <= limit else None
+def validation_summary(findings: DataFrame) -> DataFrame:
+    """config, errors, warnings, infos, and how many of each code."""
+    count = lambda s: F.count_if(F.col("severity") == s)
+    return findings.groupBy("config").agg(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("infos"), F.countDistinct("code").alias("codes"))
 
 
-def distance(a: str, b: str) -> int:
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        rows.append([i])
-        for j, y in enumerate(b, 1):
-            d = min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, rows[i - 2][j - 2] + 1)
-            rows[i].append(d)
-    return rows[-1][-1]
+def catalog_counts(rel: dict[str, DataFrame]) -> DataFrame:
+    """config, kind, n: how many definitions of each kind, inputs, actions and assignments."""
+    kinds = [rel["defined"].select("config", "kind")] + [rel[k].select("config", F.lit(k).alias("kind")) for k in ("inputs", "modules", "actions", "sets")]
+    return reduce(DataFrame.unionByName, kinds).groupBy("config", "kind").agg(F.count("*").alias("n"))
+
+
+def suggestions(words: DataFrame, defined: DataFrame) -> DataFrame:
+    """config, kind, name, suggestion: the nearest defined name of the same kind, in either case, if it is near enough.
+
+    A swap of neighbours counts as one edit.  Both tables are as small as
+    configurations are, and only names of one configuration and kind meet.
+    """
+    names = defined.select("config", "kind", F.col("name").alias("known"))
+    pairs = words.join(names, ["config", "kind"])
+    a, b = F.lower("name"), F.lower("known")
+    # How far a suggestion may be from the word.
+    limit = F.least(F.when(F.length("name") <= 3, 1).when(F.length("name") <= 7, 2).otherwise(3), F.greatest(F.lit(1), F.floor(F.length("name") * 0.4)))
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda k: F.concat(F.substr(a, F.lit(1), k - 1), F.substr(a, k + 1, F.lit(1)), F.substr(a, k, F.lit(1)), F.substr(a, k + 2)) == b)
+    far = F.when(swapped, 1).otherwise(F.levenshtein(a, b))
+    near = pairs.withColumn("far", far).filter((F.col("far") <= limit) & (F.col("known") != F.col("name")))
+    first = F.row_number().over(Window.partitionBy("config", "kind", "name").orderBy("far", "known"))
+    return near.withColumn("k", first).filter("k = 1").select("config", "kind", "name", F.col("known").alias("suggestion"))
 
 
 def search(lines: DataFrame, query: str, regex: bool = False, case: bool = False, limit: int = 500) -> DataFrame:
-    """doc_id, line, snippet of the first lines that hold the query, in their order."""
+    """doc_id, line, snippet: the first line of each file that holds the query, files in their order."""
     text = F.col("value") if case else F.lower("value")
     hit = F.col("value").rlike(("" if case else "(?i)") + query) if regex else text.contains(query if case else query.lower())
-    return lines.filter(hit).select("doc_id", "line", F.substring(F.trim("value"), 1, 200).alias("snippet")).orderBy("doc_id", "line").limit(limit)
-
-
-__all__ = ["Op", "Set", "distance", "edges", "reachable", "references", "search", "suggest", "validate"]
+    first = lines.filter(hit).groupBy("doc_id").agg(F.min("line").alias("line"), F.min_by(F.substring(F.trim("value"), 1, 200), "line").alias("snippet"))
+    return first.orderBy("doc_id").limit(limit)

@@ -14,7 +14,8 @@ from sluiceway.functions.expressions import safe_pattern
 # Names of fields that rules use, and the property each reads.
 ALIASES = {
     "programname": ["programname", "image", "processname", "process_name", "imagepath"], "msg": ["msg", "message", "commandline", "command_line", "user", "username", "subjectusername"],
-    "hostname": ["hostname", "computer", "computername", "host"], "syslogfacility-text": ["facility"], "syslogseverity-text": ["severity", "level"], "rawmsg": ["rawmsg"],
+    "hostname": ["hostname", "computer", "computername", "host"], "syslogfacility": ["facility"], "syslogseverity": ["severity", "level"], "rawmsg": ["rawmsg"],
+    "syslogtag": ["syslogtag"], "fromhost": ["fromhost"], "fromhost-ip": ["fromhost-ip", "fromhostip"],
 }
 
 
@@ -123,19 +124,15 @@ def fires(messages: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def fired_samples(messages: DataFrame, rules: list[dict], k: int = 5) -> DataFrame:
-    """rule_ord, idx of the first k messages that fire each rule; a bounded aggregate, no sort of the messages."""
+    """rule_ord, idx of the first k messages that fire each rule; by a window that keeps no more than k rows of each rule before the shuffle."""
     hit = F.array_compact(F.array(*(F.when(compile_rule(r), n) for n, r in enumerate(rules))))
     rows = messages.select("idx", F.explode(hit).alias("rule_ord"))
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("rule_ord").orderBy("idx"))).filter(F.col("k") <= k).select("rule_ord", "idx")
 
 
 def fires_delta(messages: DataFrame, before: list[dict], after: list[dict]) -> DataFrame:
-    """title, baseline, overlay, delta, pct_change of rules by their place."""
-    a, b = (fires(messages, rules) for rules in (before, after))
-    joined = a.select("rule_ord", "title", F.col("n").alias("baseline")).join(b.select("rule_ord", F.col("n").alias("overlay")), "rule_ord")
-    delta = F.col("overlay") - F.col("baseline")
-    pct = F.when(F.col("baseline") == 0, F.when(delta == 0, 0.0).otherwise(100.0)).otherwise(F.floor(delta * 1000.0 / F.nullif("baseline", F.lit(0)) + 0.5) / 10)
-    return joined.select("rule_ord", "title", "baseline", "overlay", delta.alias("delta"), pct.alias("pct_change"))
+    """rule_ord, title, baseline, overlay, delta, pct of two rule sets over the same messages, rules by their place."""
+    return fire_deltas(fires(messages, before), fires(messages, after))
 
 
 def fire_deltas(before: DataFrame, after: DataFrame) -> DataFrame:

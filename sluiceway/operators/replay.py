@@ -14,9 +14,10 @@ from sluiceway.plans.routing import evaluate
 
 
 def outcomes(evaluated: DataFrame) -> DataFrame:
+    """Counts by what became of the messages.  An expression never raises here, so errors is 0; a ruleset that is not defined has no output."""
     delivered = (F.size("outputs") > 0) & ~F.col("dropped")
     return evaluated.agg(
-        F.count("*").alias("total"), F.count("*").alias("processed"), F.count_if(delivered).alias("delivered"), F.count_if(F.col("dropped")).alias("no_input_match"), F.count_if(~delivered & ~F.col("dropped")).alias("no_output")
+        F.count("*").alias("total"), F.count("*").alias("processed"), F.count_if(delivered).alias("delivered"), F.count_if(F.col("dropped")).alias("no_input_match"), F.count_if(~delivered & ~F.col("dropped")).alias("no_output"), F.lit(0).cast("long").alias("errors")
     )
 
 
@@ -27,13 +28,14 @@ def _ranked(counts: DataFrame, top: int | None) -> DataFrame:
 
 
 def top_values(evaluated: DataFrame, value: Column, top: int | None = 10) -> DataFrame:
-    """key, n, pct of the values that come most; empty and missing ones are <none>."""
+    """key, n, pct of the values that come most; empty and missing ones are <none>.
+
+    The total is the sum of the counts, so the messages are scanned once.
+    """
     key = F.when(F.length(value) > 0, value).otherwise("<none>")
     counts = evaluated.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
-    total = evaluated.agg(F.count("*").alias("total"))
-    with_total = counts.crossJoin(F.broadcast(total))  # one row
-    pct = F.floor(F.col("n") * 1000.0 / F.col("total") + 0.5) / 10
-    return _ranked(with_total.select("key", "n", pct.alias("pct"), "first_idx"), top)
+    ranked = _ranked(counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0)))), top)  # one row a value
+    return ranked.select("key", "n", (F.floor(F.col("n") * 1000.0 / F.col("total") + 0.5) / 10).alias("pct"))
 
 
 def per_output(evaluated: DataFrame, top: int | None = 10, outputs: str = "outputs") -> DataFrame:
@@ -48,11 +50,16 @@ def per_ruleset(evaluated: DataFrame, top: int | None = 10) -> DataFrame:
     return _ranked(counts, top)
 
 
+# Why a message is in a bucket.
+REASONS = {"unmatched": "no input matched", "no_output": "ruleset ran but no outputs"}
+
+
 def samples(evaluated: DataFrame, k: int = 5) -> DataFrame:
-    """The first k messages of each bucket (unmatched, no_output), by idx."""
+    """The first k messages of each bucket (unmatched, no_output), by idx, with the reason."""
     bucket = F.when(F.col("dropped"), "unmatched").when(F.size("outputs") == 0, "no_output")
     rows = evaluated.select(bucket.alias("bucket"), "idx", "programname", "hostname", F.substring("msg", 1, 200).alias("msg")).filter("bucket IS NOT NULL")
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("idx"))).filter(F.col("k") <= k).drop("k")
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("idx"))).filter(F.col("k") <= k).drop("k")
+    return first.withColumn("reason", F.when(F.col("bucket") == "unmatched", REASONS["unmatched"]).otherwise(REASONS["no_output"]))
 
 
 def _signature(suffix: str) -> Column:
@@ -70,11 +77,32 @@ def route_changes(compared: DataFrame) -> DataFrame:
     return compared.filter(F.col("baseline") != F.col("overlay")).select("idx", "baseline", "overlay")
 
 
+def route_change_samples(compared: DataFrame, k: int = 10) -> DataFrame:
+    """The first k messages, by idx, whose route changes, with the outputs of both sides in order."""
+    shown = lambda s: F.concat_ws(",", F.array_sort(F.transform(f"outputs_{s}", lambda o: F.concat_ws(":", o["kind"], o["label"]))))
+    rows = compared.filter(F.col("baseline") != F.col("overlay")).select("idx", "programname", "hostname", F.substring("msg", 1, 200).alias("msg"), shown("a").alias("baseline_outputs"), shown("b").alias("overlay_outputs"))
+    return rows.orderBy("idx").limit(k)
+
+
+def _deltas(rows: DataFrame, *keys: str) -> DataFrame:
+    """Sums of both sides by key, from rows with a and b; the largest change first is an orderBy of the few result rows."""
+    sums = rows.groupBy(*keys).agg(F.sum("a").alias("baseline"), F.sum("b").alias("overlay"))
+    return sums.withColumn("delta", F.col("overlay") - F.col("baseline")).orderBy(F.desc(F.abs("delta")), *keys)
+
+
 def output_deltas(compared: DataFrame) -> DataFrame:
-    """kind, target, baseline, overlay, delta over all outputs of either side."""
-    sides = [compared.select(F.explode(f"outputs_{s}").alias("o"), F.lit(int(s == "a")).alias("a"), F.lit(int(s == "b")).alias("b")) for s in "ab"]
-    sums = sides[0].unionByName(sides[1]).groupBy(F.col("o.kind").alias("kind"), F.col("o.label").alias("target")).agg(F.sum("a").alias("baseline"), F.sum("b").alias("overlay"))
-    return sums.withColumn("delta", F.col("overlay") - F.col("baseline"))
+    """kind, target, baseline, overlay, delta over all outputs of either side, the largest change first.
+
+    Both sides' outputs are one array, so the messages are evaluated once.
+    """
+    side = lambda s: F.transform(f"outputs_{s}", lambda o: F.struct(o["kind"].alias("kind"), o["label"].alias("target"), F.lit(int(s == "a")).alias("a"), F.lit(int(s == "b")).alias("b")))
+    return _deltas(compared.select(F.inline(F.concat(side("a"), side("b")))), "kind", "target")
+
+
+def ruleset_deltas(compared: DataFrame) -> DataFrame:
+    """ruleset, baseline, overlay, delta over the rulesets that either side selects, the largest change first."""
+    side = lambda s: F.struct(F.col(f"ruleset_{s}").alias("ruleset"), F.lit(int(s == "a")).alias("a"), F.lit(int(s == "b")).alias("b"))
+    return _deltas(compared.select(F.inline(F.array(side("a"), side("b")))).filter("ruleset IS NOT NULL"), "ruleset")
 
 
 def moves(compared: DataFrame) -> DataFrame:

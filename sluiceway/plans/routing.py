@@ -1,9 +1,8 @@
-"""Compiles a configuration to one flat projection over messages.
+"""Compiles a configuration to a chain of projections over messages.
 
-Statements become guarded values: an output is recorded where its guard holds, a
-variable is the last assignment whose guard holds.  Nothing refers to an earlier
-projection of itself, so the plan grows with the program and not exponentially,
-and a batch is evaluated by a single select inside whole-stage codegen.
+Statements become guarded values.  Each assignment, stop and test is a column of
+its own, that later ones refer to, so the plan grows with the number of
+statements; Spark computes the chain in one pass inside whole-stage codegen.
 """
 
 from __future__ import annotations
@@ -34,44 +33,72 @@ def _match(inputs: list[Input]) -> tuple[Column, Column]:
 
 
 class _Walk:
-    def __init__(self, config: Config) -> None:
-        self.config = config
-        self.env: dict[tuple[str, str], list[tuple[Column, Column | None]]] = {}
-        self.halts: list[Column] = []
+    """A walk over the statements that a message may meet; `rows` carries the state in columns."""
+
+    def __init__(self, rows: DataFrame, config: Config, tag: str) -> None:
+        self.rows, self.config, self.tag, self.number = rows, config, tag, 0
+        self.local: dict[str, Column] = {}
+        self.fields = F.col("structured")
+        self.parsed = F.lit("")
+        self.stopped: Column | None = None
         self.outputs: list[Column] = []
-        self.parsed: list[tuple[Column, Column]] = []
+        self.missing: list[Column] = []
         self.compile = Compiler(config, self.read, F.col("facility"), F.col("severity"))
 
+    def keep(self, value: Column) -> Column:
+        """The value as a column of its own."""
+        self.number += 1
+        name = f"_{self.tag}{self.number}"
+        self.rows = self.rows.withColumn(name, value)
+        return F.col(name)
+
     def read(self, space: str, name: str) -> Column:
         if space == "$":
-            value = F.col(f"props.{name}") if name in PROPERTIES else F.lit("")
-        else:
-            value = F.try_element_at(F.col("structured"), F.lit(name)) if space == "$!" else F.lit(None).cast("string")
-        for guard, assigned in self.env.get((space, name), []):
-            value = F.when(guard, assigned).otherwise(value)
-        return value
-
-    def alive(self, guard: Column) -> Column:
-        for h in self.halts:
-            guard = guard & ~h
-        return guard
+            return self.parsed if name == "parsesuccess" else F.col(f"props.`{name}`") if name in PROPERTIES else F.lit("")
+        if space == "$!":
+            return F.try_element_at(self.fields, F.lit(name))
+        return self.local.get(name, F.lit(None).cast("string"))
 
     def run(self, statements: tuple, guard: Column, depth: int = 0) -> None:
         for s in statements:
-            now = self.alive(guard)
+            now = guard if self.stopped is None else guard & ~self.stopped
             if isinstance(s, If):
-                test = as_bool(self.compile(s.test))
-                self.run(s.then, guard & test, depth)
-                self.run(s.other, guard & ~test, depth)
+                test = self.keep(now & F.coalesce(as_bool(self.compile(s.test)), F.lit(False)))
+                self.run(s.then, test, depth)
+                if s.other:
+                    self.run(s.other, self.keep(now & ~test), depth)
             elif isinstance(s, Stop):
-                self.halts.append(now)
+                self.stopped = self.keep(now if self.stopped is None else self.stopped | now)
             elif isinstance(s, Set):
-                value = None if s.value is None else as_str(self.compile(s.value))
-                self.env.setdefault((s.space, s.name), []).append((now, F.lit(None).cast("string") if value is None else value))
+                self.assign(s, now)
             elif isinstance(s, CallRuleset) and depth < MAX_DEPTH and s.name in self.config.rulesets:
-                self.run(self.config.rulesets[s.name], guard, depth + 1)
+                self.run(self.config.rulesets[s.name], now, depth + 1)
+            elif isinstance(s, Action) and s.kind == "mmjsonparse":
+                self.parse(s, now)
             elif isinstance(s, Action):
                 self.outputs.append(F.when(now, self.output(s)))
+                for name in (s.param("dynafile"),):
+                    if s.kind == "omfile" and name and name not in self.config.templates:
+                        self.missing.append(F.when(now, F.lit("W_TEMPLATE_MISSING")))
+
+    def assign(self, s: Set, now: Column) -> None:
+        value = F.lit(None).cast("string") if s.value is None else as_str(self.compile(s.value))
+        if s.space == "$!":
+            others = F.map_filter(self.fields, lambda k, _: k != s.name)
+            new = others if s.value is None else F.map_concat(others, F.create_map(F.lit(s.name), value))
+            self.fields = self.keep(F.when(now, new).otherwise(self.fields))
+        else:
+            self.local[s.name] = self.keep(F.when(now, value).otherwise(self.read(s.space, s.name)))
+
+    def parse(self, a: Action, now: Column) -> None:
+        """The members of a JSON object in a field become structured fields; other texts change nothing."""
+        container, cookie = a.param("container") or "msg", a.param("cookie") or "@cee:"
+        raw = F.coalesce(self.read("$!", container[2:]) if container.startswith("$!") else self.read("$", container.removeprefix("$").lower()), F.lit(""))
+        body = F.regexp_replace(F.when(raw.startswith(cookie), F.substr(raw, F.lit(len(cookie) + 1))).otherwise(raw), r"^\s+", "")
+        members = self.keep(F.when(now & body.startswith("{"), F.from_json(body, "map<string,string>")))
+        new = F.map_concat(F.map_filter(self.fields, lambda k, _: ~F.map_contains_key(members, k)), F.transform_values(members, lambda _, v: F.coalesce(v, F.lit(""))))
+        self.fields = self.keep(F.when(members.isNotNull(), new).otherwise(self.fields))
+        self.parsed = self.keep(F.when(now, F.when(members.isNotNull(), "OK").otherwise("FAIL")).otherwise(self.parsed))
 
     def output(self, a: Action) -> Column:
         text = lambda v: F.lit(v).cast("string")
@@ -89,27 +116,31 @@ class _Walk:
         return F.struct(*(c.alias(k) for k, c in fields.items()))
 
 
-PROPERTIES = ("msg", "rawmsg", "hostname", "fromhost", "fromhost-ip", "programname", "syslogtag", "inputname", "pri", "syslogfacility", "syslogseverity", "syslogfacility-text", "syslogseverity-text", "pri-text", "timereported", "timegenerated", "timestamp", "$year", "$month", "$day", "$hour", "$minute", "$myhostname")
+PROPERTIES = ("syslogpriority", "syslogpriority-text", "$second", "$now", "$now_utc", "$bom", "msg", "rawmsg", "hostname", "fromhost", "fromhost-ip", "programname", "syslogtag", "inputname", "pri", "syslogfacility", "syslogseverity", "syslogfacility-text", "syslogseverity-text", "pri-text", "timereported", "timegenerated", "timestamp", "$year", "$month", "$day", "$hour", "$minute", "$myhostname")
 _OUTPUT = "array<struct<kind:string,label:string,path:string,target:string,port:int,protocol:string>>"
 
 
-def evaluate(messages: DataFrame, config: Config, suffix: str = "") -> DataFrame:
-    """messages (with properties) and, per message: ruleset, stopped, dropped, outputs, vars.
+def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str | None = None) -> DataFrame:
+    """messages (with properties) and, per message: ruleset, stopped, dropped, outputs, vars, fields, notes.
 
-    ruleset is the selected one, null if no input matched and there is no default;
-    a selected ruleset that is not defined runs nothing.
+    ruleset is the selected one: that of the input that matches, else the default
+    one, or `force` for all; null if there is none.  A selected ruleset that is
+    not defined runs nothing.  vars and fields are the local variables and
+    structured fields at the end, notes the codes of what was missing.
     """
     where, named = _match(config.inputs)
-    chosen = F.when(where.isNotNull(), F.coalesce(named, F.lit(config.default))).otherwise(F.lit(config.default if not config.inputs else None))
-    walk = _Walk(config)
-    entries = {x.ruleset or config.default for x in config.inputs} if config.inputs else {config.default}
+    chosen = F.coalesce(F.when(where.isNotNull(), named), F.lit(config.default)) if force is None else F.lit(force)
+    walk = _Walk(messages, config, f"s{suffix}_")
+    chosen = walk.keep(chosen.cast("string"))
+    entries = {force} if force is not None else {config.default, *(x.ruleset for x in config.inputs)}
     for name in sorted(x for x in entries if x in config.rulesets):
-        walk.run(config.rulesets[name], chosen == name)
+        walk.run(config.rulesets[name], walk.keep(F.coalesce(chosen == name, F.lit(False))))
     outputs = F.array_compact(F.array(*walk.outputs)) if walk.outputs else F.array().cast(_OUTPUT)
-    stopped = walk.halts[0] if walk.halts else F.lit(False)
-    for h in walk.halts[1:]:
-        stopped = stopped | h
-    values = {name: walk.read(space, name) for space, name in walk.env if space == "$."}
-    variables = F.map_filter(F.create_map(*(x for k, v in values.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull()) if values else F.create_map().cast("map<string,string>")
-    named_out = {"ruleset": chosen, "stopped": F.coalesce(stopped, F.lit(False)), "dropped": chosen.isNull(), "outputs": outputs, "vars": variables}
-    return messages.select("*", *(c.alias(k + suffix) for k, c in named_out.items()))
+    undefined = F.when(chosen.isNotNull() & ~chosen.isin(list(config.rulesets)), F.lit("W_RULESET_MISSING"))
+    pairs = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in walk.local.items()]
+    variables = F.map_from_entries(F.array_compact(F.array(*pairs))) if pairs else F.create_map().cast("map<string,string>")
+    found = {
+        "ruleset": chosen, "stopped": F.lit(False) if walk.stopped is None else walk.stopped, "dropped": chosen.isNull(), "outputs": outputs, "vars": variables, "fields": walk.fields,
+        "notes": F.array_distinct(F.array_compact(F.array(undefined, *walk.missing))),
+    }
+    return walk.rows.select(*(f"`{c}`" for c in messages.columns), *(c.alias(k + suffix) for k, c in found.items()))

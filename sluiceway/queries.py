@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.operators import detect, replay, siem
+from sluiceway.functions.expressions import prifilt
+from sluiceway.operators import catalog, detect, replay, siem
+from sluiceway.operators.targets import TARGETS
 from sluiceway.plans.routing import evaluate
 from sluiceway.sources.config import parse_config
-from sluiceway.sources.messages import MESSAGES_SQL, event_messages, read_lines, structured_data
+from sluiceway.sources.messages import MESSAGES_SQL, event_messages, read_lines, structured_data, with_properties
 from sluiceway.sources.ndjson import read_ndjson
 from sluiceway.streaming.route import deliveries, route_lines
 
@@ -55,7 +57,7 @@ title: Any of two
 level: low
 detection:
   sel_a: {host|endswith: ["3", "7"]}
-  sel_b: {severity: [emerg, alert]}
+  sel_b: {severity: [0, 1]}
   other: {image: cron}
   condition: 1 of sel_* and not other
 ---
@@ -83,6 +85,13 @@ def _routed(needle: str = "9", siem: str = "siem") -> str:
     return _ROUTED.format(needle=needle, siem=siem)
 
 
+def _both() -> str:
+    """Relations a and b: idx, o (the outputs in order, null if none), s (the signature) under both configurations."""
+    side = lambda routed: f"""{routed} x AS (SELECT idx, string_agg(kind || ':' || target, ',' ORDER BY kind || ':' || target) AS o FROM o GROUP BY 1)
+SELECT f.*, x.o, CASE WHEN ruleset IS NULL THEN 'unmatched' ELSE 'rs=' || ruleset || '|' || coalesce(x.o, '') END AS s FROM f LEFT JOIN x USING (idx)"""
+    return f"WITH a AS ({side(_routed())}), b AS ({side(_routed('8', 'siem2'))})\n"
+
+
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(event_messages(spark, sf_dir), parse_config(CONFIG, LOOKUPS))
 
@@ -113,15 +122,121 @@ def _json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("idx", F.when(F.col("event_type") == "view", F.concat(F.lit("!"), whole)).otherwise(whole).alias("value"))
 
 
-_VALUES = [("a", "t", 1, "auth", 3, 3002, 1), ("a", "t", 2, "web", 4, 4002, None), ("a", "t", 3, "proc", 1, 1007, None), ("b", "u", 1, "iam", 3, 3001, None), ("b", "u", 2, "authentication", 3, 3002, None), ("b", "u", 3, "http", 4, 4001, None)]
-_KIND = {"sshd": "auth", "sudo": "auth", "nginx": "web", "kernel": "proc", "cron": "cron"}
+_KIND = {"sshd": "linux:secure", "sudo": "linux:messages", "nginx": "haproxy:access", "kernel": "pan:threat", "cron": "other"}
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.create_map(*(F.lit(x) for kv in _KIND.items() for x in kv))
-    values = spark.createDataFrame(_VALUES, siem.VALUE_MAP)
     rows = event_messages(spark, sf_dir).select("idx", pairs[F.col("programname")].alias("tag"))
-    return siem.retag(rows, "tag", siem.retag_map(values, ("a", "t"), ("b", "u")))
+    return siem.retag(rows, "tag", siem.retag_map(siem.value_map(spark), ("splunk", "sourcetype"), ("datadog", "ddsource")))
+
+
+def _retagged(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """No two stores share a taxonomy, so a table's words find none in the other store's."""
+    entries = [("types", "sshd", "linux:secure"), ("types", "x", "odd"), ("categories", "sshd", "authentication"), ("categories", "nginx", "web"), ("teams", "sshd", "security")]
+    kinds = [("types", "sourcetype"), ("categories", "ecs.event.category")]
+    return siem.retag_lookup(spark.createDataFrame(entries, "table string, key string, value string"), spark.createDataFrame(kinds, "table string, taxonomy string"), siem.value_map(spark), "splunk", "datadog")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the column `event`, by pivot names."""
+    named = {"src_endpoint.hostname": "hostname", "service.name": "programname", "metadata.log_name": "event_type", "custom.note": "msg"}
+    return event_messages(spark, sf_dir).withColumn("event", F.create_map(*(x for k, c in named.items() for x in (F.lit(k), F.col(c)))))
+
+
+_NOTE = """'{"custom.note":"' || msg || '"}'"""
+_FLAT = lambda host, service, log: f"""'{{"{host}":"' || hostname || '","{service}":"' || programname || '","{log}":"' || event_type || '","unmapped":' || {_NOTE} || '}}'"""
+#: The lines of the stores, by hand.
+_LINES = {
+    "generic": """'{"unmapped":{"src_endpoint.hostname":"' || hostname || '","service.name":"' || programname || '","metadata.log_name":"' || event_type || '","custom.note":"' || msg || '"}}'""",
+    "splunk": _FLAT("host", "source", "sourcetype"), "datadog": _FLAT("hostname", "service", "ddsource"), "loki": _FLAT("host", "service", "job"), "microsoft-sentinel": _FLAT("Computer", "ProcessName", "Type"),
+    "sumo-logic": _FLAT("_sourceHost", "_sourceName", "_sourceCategory"),
+    "elastic-ecs": f"""'{{"host":{{"hostname":"' || hostname || '"}},"service":{{"name":"' || programname || '"}},"event":{{"dataset":"' || event_type || '"}},"unmapped":' || {_NOTE} || '}}'""",
+    "graylog-gelf": """'{"version":"1.1","host":"' || hostname || '","facility":"' || programname || '","short_message":"' || event_type || '","_unmapped":"{\\"custom.note\\":\\"' || msg || '\\"}"}'""",
+    "chronicle-udm": """'{"metadata":{"product_name":"sluiceway","event_type":"' || event_type || '"},"principal":{"hostname":"' || hostname || '","application":"' || programname || '"},"additional":{"fields":[{"key":"custom.note","value":{"string_value":"' || msg || '"}}]}}'""",
+    "qradar-leef": "'LEEF:2.0|sluiceway|unknown|0|0||srcHost=' || hostname || chr(9) || 'cat=' || programname || chr(9) || 'metadataLogName=' || event_type || chr(9) || 'customNote=' || replace(msg, '=', '\\=')",
+    "arcsight-cef": "'CEF:0|sluiceway|unknown|0|0|event|5|shost=' || hostname || ' app=' || programname || ' metadataLogName=' || event_type || ' customNote=' || replace(msg, '=', '\\=')",
+}
+
+STATE = """
+set $.a = $programname;
+set $.a = $.a & "!";
+set $!n = $msg;
+if $hostname == "host1" then unset $.a;
+if $syslogfacility < 4 then unset $!n;
+set $.b = $.a & "?";
+"""
+JSON_ROUTES = """
+template(name="by_k" type="string" string="/var/log/k%$!k%.log")
+action(type="mmjsonparse")
+ruleset(name="json") { action(type="mmjsonparse") set $.ok = $parsesuccess; action(type="omfile" dynafile="by_k") }
+global(defaultruleset="json")
+"""
+STRUCTURED = """
+ruleset(name="sd") { if $!x1_kind == "click" or $!x1_kind == "error" then action(type="omfile" file="/var/log/%$!x1_kind%-%$!x1_on%.log") }
+global(defaultruleset="sd")
+"""
+BROKEN = """
+module(load="imtcp")
+input(type="imudp" port="514" ruleset="mian")
+template(name="idle" type="string" string="x")
+lookup_table(name="teams" file="absent.json")
+global(defaultruleset="nowhere")
+ruleset(name="main") {
+  set $.w = lookup("who", $programname);
+  action(type="omfile" file="/a") action(type="omfile" file="/a") action(type="omfile" file="/b" template="shape")
+  action(type="omfwd" target="h" port="514" protocol="tcp") action(type="omfwd" target="h" port="514" protocol="tcp") action(type="omkafka" topic="t")
+  if $msg == "x" then call gone
+}
+ruleset(name="alone") { if $msg == "a" then action(type="omfile" file="/c") }
+"""
+STORES = """
+module(load="omelasticsearch")
+ruleset(name="main") {
+  set $!event_type = lookup("kinds", $programname);
+  action(type="splunk_hec" name="splunk") action(type="splunk" name="good" sourcetype="x") action(type="omelasticsearch" name="es") action(type="datadog" name="datadog") action(type="sumologic" name="sumo")
+  action(type="loki" name="loki" labels="job=$programname, who=$!user") action(type="grafana_loki" name="bare") action(type="gelf" name="gelf" fields="_ok=1,bad=2,host=x")
+  action(type="sentinel" name="sentinel" table="1bad") action(type="azure_sentinel" name="fine" table="Mine_CL") action(type="chronicle" name="chronicle" event_type="ODD")
+  action(type="leef" name="qradar" vendor="v") action(type="cef" name="cef" severity="11") action(type="arcsight" name="calm" severity="10")
+}
+lookup_table(name="kinds" file="kinds.json")
+global(defaultruleset="main")
+"""
+
+
+def _relations(spark: SparkSession) -> dict[str, DataFrame]:
+    return catalog.relations(spark, {"broken": parse_config(BROKEN), "stores": parse_config(STORES, {"kinds.json": "{}"}), "whole": parse_config(CONFIG, LOOKUPS)})
+
+
+def _config_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, k, x) for k, x in enumerate(CONFIG.splitlines(), 1)], "doc_id int, line int, value string")
+
+
+def _priorities(spark: SparkSession) -> DataFrame:
+    rows = spark.range(192).select(F.shiftright("id", 3).alias("fac"), F.col("id").bitwiseAND(F.lit(7).cast("long")).alias("sev"))
+    specs = {"a": "security.*", "b": "*.info;mail.none", "c": "KERN,mail.!=error", "d": "*.!Warning", "e": "console,solaris-cron.=alert;cron.*"}
+    return rows.select("fac", "sev", *(prifilt(x, F.col("fac"), F.col("sev")).alias(k) for k, x in specs.items()))
+
+
+def _json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = event_messages(spark, sf_dir).drop("props", "facility", "severity")
+    return with_properties(m.withColumn("msg", F.when(m["event_type"] == "click", F.concat(F.lit("@cee: "), "body")).when(m["event_type"] == "view", F.col("body")).otherwise(F.col("msg"))))
+
+
+def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = (F.lit('<34>1 - h app - - [x1 kind="'), "event_type", F.lit('" on="'), "hostname", F.lit('"][y] '), "msg")
+    return event_messages(spark, sf_dir).select("idx", F.concat(*parts).alias("value"))
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of lines that differ in blanks, tags and parts that are missing."""
+    c = lambda *parts: F.concat(*(F.lit(x) if x not in ("hostname", "programname", "msg") else F.col(x) for x in parts))
+    forms = [
+        c("<34>Oct 1 22:14:15  ", "hostname", " ", "programname", "[7]: ", "msg"), c("<34>Oct  1 22:14:15 ", "hostname", " no tag here"), c("\t Oct 11 22:14:15 ", "hostname", " ", "programname", ": ", "msg", " \r"),
+        c("Oct 1 22:14:15 ", "hostname", " ", "programname", " 1.4: ", "msg"), c("<34>1  2024-01-02T03:04:05Z ", "hostname", " ", "programname", " 7 ID9 - \ufeff", "msg"), c("<34>", "msg"),
+    ]
+    pick = F.element_at(F.array(*forms), (F.col("idx") % 6 + 1).cast("int"))
+    return event_messages(spark, sf_dir).select("idx", pick.alias("value")).union(spark.createDataFrame([(-1, " \t ")], "idx long, value string"))
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
@@ -129,21 +244,25 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "replay_top_outputs": (lambda s, d: replay.per_output(_evaluated(s, d)), _routed() + "x AS (SELECT 1) SELECT kind, target, n FROM (SELECT kind, target, count(*) AS n, min(idx) AS i FROM o GROUP BY ALL ORDER BY n DESC, i LIMIT 10)"),
     "replay_outcomes": (lambda s, d: replay.outcomes(_evaluated(s, d)), _routed() + """
 d AS (SELECT DISTINCT idx FROM o) SELECT count(*) AS total, count(*) AS processed, count(d.idx) AS delivered, count(*) FILTER (WHERE ruleset IS NULL) AS no_input_match,
-  count(*) FILTER (WHERE ruleset IS NOT NULL AND d.idx IS NULL) AS no_output FROM f LEFT JOIN d ON d.idx = f.idx"""),
+  count(*) FILTER (WHERE ruleset IS NOT NULL AND d.idx IS NULL) AS no_output, CAST(0 AS BIGINT) AS errors FROM f LEFT JOIN d ON d.idx = f.idx"""),
     "replay_per_ruleset": (lambda s, d: replay.per_ruleset(_evaluated(s, d)), _routed() + "x AS (SELECT 1) SELECT ruleset, count(*) AS n FROM f WHERE ruleset IS NOT NULL GROUP BY 1"),
     "replay_top_programs": (lambda s, d: replay.top_values(event_messages(s, d), F.col("programname")), _M + """
 x AS (SELECT programname AS key, count(*) AS n, min(idx) AS i FROM p GROUP BY 1) SELECT key, n, floor(n * 1000.0 / (SELECT count(*) FROM p) + 0.5) / 10 AS pct FROM x ORDER BY n DESC, i LIMIT 10"""),
     "replay_samples": (lambda s, d: replay.samples(_evaluated(s, d)), _routed() + """
 b AS (SELECT CASE WHEN ruleset IS NULL THEN 'unmatched' WHEN idx NOT IN (SELECT idx FROM o) THEN 'no_output' END AS bucket, idx, programname, hostname, substr(msg, 1, 200) AS msg FROM f)
-SELECT bucket, idx, programname, hostname, msg FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY idx) AS k FROM b WHERE bucket IS NOT NULL) WHERE k <= 5"""),
+SELECT bucket, idx, programname, hostname, msg, CASE bucket WHEN 'unmatched' THEN 'no input matched' ELSE 'ruleset ran but no outputs' END AS reason FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY idx) AS k FROM b WHERE bucket IS NOT NULL) WHERE k <= 5"""),
     "diff_output_deltas": (lambda s, d: replay.output_deltas(_compared(s, d)), f"""
 WITH a AS ({_routed()} x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL), b AS ({_routed("8", "siem2")} x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL)
 SELECT coalesce(a.kind, b.kind) AS kind, coalesce(a.target, b.target) AS target, coalesce(a.n, 0) AS baseline, coalesce(b.n, 0) AS overlay, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta
 FROM a FULL JOIN b ON a.kind = b.kind AND a.target = b.target"""),
-    "diff_route_changes": (lambda s, d: replay.route_changes(_compared(s, d)).select("idx"), f"""
-WITH a AS ({_routed()} x AS (SELECT 1) SELECT idx, string_agg(kind || target, ',' ORDER BY kind || target) AS s FROM o GROUP BY 1),
-b AS ({_routed("8", "siem2")} x AS (SELECT 1) SELECT idx, string_agg(kind || target, ',' ORDER BY kind || target) AS s FROM o GROUP BY 1)
-SELECT coalesce(a.idx, b.idx) AS idx FROM a FULL JOIN b ON a.idx = b.idx WHERE a.s IS DISTINCT FROM b.s"""),
+    "diff_route_changes": (lambda s, d: replay.route_changes(_compared(s, d)), _both() + "SELECT idx, a.s AS baseline, b.s AS overlay FROM a JOIN b USING (idx) WHERE a.s <> b.s"),
+    "diff_route_samples": (lambda s, d: replay.route_change_samples(_compared(s, d)), _both() + """
+SELECT idx, a.programname, a.hostname, substr(a.msg, 1, 200) AS msg, coalesce(a.o, '') AS baseline_outputs, coalesce(b.o, '') AS overlay_outputs FROM a JOIN b USING (idx) WHERE a.s <> b.s ORDER BY idx LIMIT 10"""),
+    "diff_moves": (lambda s, d: replay.moves(_compared(s, d)), _both() + """
+SELECT count(*) AS changed, count(*) FILTER (WHERE a.o IS NULL AND b.o IS NOT NULL) AS moved_to_delivered, count(*) FILTER (WHERE a.o IS NOT NULL AND b.o IS NULL) AS moved_to_unmatched FROM a JOIN b USING (idx) WHERE a.s <> b.s"""),
+    "diff_ruleset_deltas": (lambda s, d: replay.ruleset_deltas(replay.compare(event_messages(s, d), parse_config(CONFIG, LOOKUPS), parse_config(CONFIG.replace('port="6601" ruleset="tcp"', 'port="6601" ruleset="main"'), LOOKUPS))), _M + """
+x AS (SELECT CASE WHEN transport = 'udp' AND port = 514 THEN 'main' WHEN transport = 'tcp' AND port = 6601 THEN 'tcp' END AS r FROM p WHERE transport = 'tcp' AND port = 6601 OR transport = 'udp' AND port = 514)
+SELECT ruleset, CAST(sum(a) AS BIGINT) AS baseline, CAST(sum(b) AS BIGINT) AS overlay, CAST(sum(b) - sum(a) AS BIGINT) AS delta FROM (SELECT r AS ruleset, 1 AS a, 0 AS b FROM x UNION ALL SELECT 'main', 0, 1 FROM x) GROUP BY 1"""),
     "properties_pri": (lambda s, d: event_messages(s, d).select("idx", F.col("facility").cast("long").alias("facility"), F.col("severity").cast("long").alias("severity"), F.col("props.syslogseverity-text").alias("name")), _M + """
 x AS (SELECT 1) SELECT idx, CAST(pri // 8 AS BIGINT) AS facility, CAST(pri % 8 AS BIGINT) AS severity, ['emerg', 'alert', 'crit', 'err', 'warning', 'notice', 'info', 'debug'][pri % 8 + 1] AS name FROM p"""),
     "decode_3164": (lambda s, d: read_lines(_lines(s, d)).select("idx", "format", "pri", "hostname", "programname", "procid", "syslogtag", "msg"), _M + """
@@ -154,10 +273,10 @@ x AS (SELECT 1) SELECT idx, CASE WHEN ruleset IS DISTINCT FROM 'main' THEN '' WH
 x AS (SELECT count(*) FILTER (WHERE programname = 'sshd' AND (contains(msg, '1') OR contains(msg, '2'))) AS a,
   count(*) FILTER (WHERE (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron') AS b FROM p)
 SELECT 0 AS rule_ord, 'Login errors' AS title, 'high' AS level, a AS n FROM x UNION ALL SELECT 1, 'Any of two', 'low', b FROM x UNION ALL SELECT 2, 'Windows only', '', 0 FROM x"""),
-    "sigma_diff": (lambda s, d: detect.fire_deltas(detect.fires(event_messages(s, d), detect.parse_rules(RULES)), detect.fires(event_messages(s, d).filter("transport = 'udp'"), detect.parse_rules(RULES))), _M + """
-h AS (SELECT transport, programname = 'sshd' AND (contains(msg, '1') OR contains(msg, '2')) AS a, (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron' AS b FROM p),
-x AS (SELECT 0 AS rule_ord, 'Login errors' AS title, count(*) FILTER (WHERE a) AS baseline, count(*) FILTER (WHERE a AND transport = 'udp') AS overlay FROM h
-  UNION ALL SELECT 1, 'Any of two', count(*) FILTER (WHERE b), count(*) FILTER (WHERE b AND transport = 'udp') FROM h UNION ALL SELECT 2, 'Windows only', 0, 0)
+    "sigma_diff": (lambda s, d: detect.fires_delta(event_messages(s, d), detect.parse_rules(RULES), detect.parse_rules(RULES.replace('["1", "2"]', '["2"]').replace("other: {image: cron}", "other: {image: [cron, sudo]}"))), _M + """
+h AS (SELECT programname = 'sshd' AND (contains(msg, '1') OR contains(msg, '2')) AS a, programname = 'sshd' AND contains(msg, '2') AS a2, (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron' AS b, programname <> 'sudo' AS c FROM p),
+x AS (SELECT 0 AS rule_ord, 'Login errors' AS title, count(*) FILTER (WHERE a) AS baseline, count(*) FILTER (WHERE a2) AS overlay FROM h
+  UNION ALL SELECT 1, 'Any of two', count(*) FILTER (WHERE b), count(*) FILTER (WHERE b AND c) FROM h UNION ALL SELECT 2, 'Windows only', 0, 0)
 SELECT *, overlay - baseline AS delta, CASE WHEN baseline = 0 THEN CASE WHEN overlay = 0 THEN 0.0 ELSE 100.0 END ELSE floor((overlay - baseline) * 1000.0 / baseline + 0.5) / 10 END::DOUBLE AS pct FROM x"""),
     "legacy_selectors": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), parse_config(SELECTORS, {})), None), _M + """
 f AS (SELECT pri // 8 AS fac, pri % 8 AS sev FROM p), o AS (
@@ -186,16 +305,55 @@ h AS (SELECT 0 AS rule_ord, idx FROM p WHERE programname = 'sshd' AND (contains(
   UNION ALL SELECT 1, idx FROM p WHERE (hostname LIKE '%3' OR hostname LIKE '%7' OR pri % 8 < 2) AND programname <> 'cron')
 SELECT rule_ord, idx FROM (SELECT *, row_number() OVER (PARTITION BY rule_ord ORDER BY idx) AS k FROM h) WHERE k <= 5"""),
     "retag_values": (lambda s, d: _tagged(s, d).groupBy("tag", "retagged", "lossy").agg(F.count("*").alias("n")), _M + """
-x AS (SELECT CASE programname WHEN 'sshd' THEN 'auth' WHEN 'sudo' THEN 'auth' WHEN 'nginx' THEN 'web' WHEN 'kernel' THEN 'proc' ELSE 'cron' END AS tag FROM p)
-SELECT tag, CASE tag WHEN 'auth' THEN 'authentication' WHEN 'web' THEN 'http' ELSE tag END AS retagged, tag NOT IN ('auth', 'web') AS lossy, count(*) AS n FROM x GROUP BY ALL"""),
-    "render_cef": (lambda s, d: event_messages(s, d).select("idx", siem.render_cef("acme", "log|ger", "1", F.col("programname"), F.col("event_type"), F.col("severity"), {"msg": F.col("msg"), "shost": F.col("hostname")}).alias("line")), _M + """
-x AS (SELECT 1) SELECT idx, 'CEF:0|acme|log\\|ger|1|' || programname || '|' || event_type || '|' || (pri % 8) || '|msg=' || replace(msg, '=', '\\=') || ' shost=' || hostname AS line FROM p"""),
-    "render_leef": (lambda s, d: event_messages(s, d).select("idx", siem.render_leef("acme", "logger", "1", F.col("programname"), {"msg": F.col("msg"), "src": F.col("hostname")}).alias("line")), _M + """
-x AS (SELECT 1) SELECT idx, 'LEEF:2.0|acme|logger|1|' || programname || '|x09|msg=' || replace(msg, '=', '\\=') || chr(9) || 'src=' || hostname AS line FROM p"""),
-    "render_gelf": (lambda s, d: event_messages(s, d).select("idx", siem.render_gelf(F.col("hostname"), F.col("msg"), {"program": F.col("programname")}).alias("line")), _M + """
-x AS (SELECT 1) SELECT idx, '{"version":"1.1","host":"' || hostname || '","short_message":"' || msg || '","_program":"' || programname || '"}' AS line FROM p"""),
-    "render_json": (lambda s, d: event_messages(s, d).select("idx", siem.render_json({"device.hostname": F.col("hostname"), "device.app.name": F.col("programname")}, {"msg": F.col("msg")}).alias("line")), _M + """
-x AS (SELECT 1) SELECT idx, '{"device":{"hostname":"' || hostname || '","app":{"name":"' || programname || '"}},"unmapped":{"msg":"' || msg || '"}}' AS line FROM p"""),
+x AS (SELECT CASE programname WHEN 'sshd' THEN 'linux:secure' WHEN 'sudo' THEN 'linux:messages' WHEN 'nginx' THEN 'haproxy:access' WHEN 'kernel' THEN 'pan:threat' ELSE 'other' END AS tag FROM p)
+SELECT tag, CASE tag WHEN 'linux:secure' THEN 'ssh' WHEN 'linux:messages' THEN 'syslog' WHEN 'haproxy:access' THEN 'nginx' ELSE tag END AS retagged, tag IN ('pan:threat', 'other') AS lossy, count(*) AS n FROM x GROUP BY ALL"""),
+    "retag_lookup_losses": (lambda s, d: _retagged(s)[1], """
+SELECT 'categories' AS "table", 'ecs.event.category' AS taxonomy, CAST(2 AS BIGINT) AS n, CAST(2 AS BIGINT) AS n_lossy UNION ALL SELECT 'types', 'sourcetype', 2, 2"""),
+    "retag_lookup_entries": (lambda s, d: _retagged(s)[0], """
+SELECT * FROM (VALUES ('types', 'sshd', 'linux:secure', true), ('types', 'x', 'odd', true), ('categories', 'sshd', 'authentication', true), ('categories', 'nginx', 'web', true), ('teams', 'sshd', 'security', false)) AS t("table", key, value, lossy)"""),
+    **{f"render_{name.replace('-', '_')}": (lambda s, d, t=target: _events(s, d).select("idx", siem.render(t).alias("line")), _M + "x AS (SELECT 1) SELECT idx, " + _LINES[name] + " AS line FROM p") for name, target in TARGETS.items()},
+    "render_cef_header": (lambda s, d: _events(s, d).select("idx", siem.render_cef(TARGETS["arcsight-cef"], F.lit("ac|me"), F.lit("logger"), F.lit("1"), F.col("programname"), F.col("event_type"), F.col("severity") + 5).alias("line")), _M + """
+x AS (SELECT 1) SELECT idx, 'CEF:0|ac\\|me|logger|1|' || programname || '|' || event_type || '|' || least(pri % 8 + 5, 10) || '|shost=' || hostname || ' app=' || programname || ' metadataLogName=' || event_type || ' customNote=' || replace(msg, '=', '\\=') AS line FROM p"""),
+    "prifilt_matrix": (lambda s, d: _priorities(s), """
+WITH p AS (SELECT CAST(i // 8 AS BIGINT) AS fac, CAST(i % 8 AS BIGINT) AS sev FROM range(192) t(i))
+SELECT fac, sev, fac = 13 AS a, sev <= 6 AND fac <> 2 AS b, fac IN (0, 2) AND sev <> 3 AS c, sev > 4 AS d, fac IN (14, 15) AND sev = 1 OR fac = 9 AS e FROM p"""),
+    "default_fallback": (lambda s, d: replay.per_ruleset(evaluate(event_messages(s, d), parse_config('global(defaultruleset="tcp")\n' + CONFIG, LOOKUPS)), None), _M + """
+x AS (SELECT 1) SELECT CASE WHEN transport = 'udp' AND port = 514 THEN 'main' ELSE 'tcp' END AS ruleset, count(*) AS n FROM p GROUP BY 1"""),
+    "forced_ruleset": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), parse_config(CONFIG, LOOKUPS), force="tcp"), None), _M + """
+x AS (SELECT 1) SELECT 'omfile' AS kind, '/var/log/short.log' AS target, count(*) AS n FROM p WHERE pri // 8 < 16 AND regexp_matches(msg, 'value=[0-9]$')"""),
+    "set_unset_state": (lambda s, d: evaluate(event_messages(s, d), parse_config(STATE)).select("idx", F.try_element_at("vars", F.lit("a")).alias("a"), F.try_element_at("vars", F.lit("b")).alias("b"), F.try_element_at("fields", F.lit("n")).alias("n")), _M + """
+x AS (SELECT idx, CASE WHEN hostname = 'host1' THEN NULL ELSE programname || '!' END AS a, pri // 8 < 4 AS low, msg FROM p)
+SELECT idx, a, coalesce(a, '') || '?' AS b, CASE WHEN NOT low THEN msg END AS n FROM x"""),
+    "json_parse_merge": (lambda s, d: evaluate(_json_bodies(s, d), parse_config(JSON_ROUTES)).select("idx", F.try_element_at("fields", F.lit("k")).alias("k"), F.try_element_at("vars", F.lit("ok")).alias("ok"), F.col("outputs")[0]["path"].alias("path")), _M + """
+x AS (SELECT idx, event_type, CASE WHEN event_type IN ('click', 'view') THEN CAST(json_extract_string(body, '$.k') AS VARCHAR) END AS k FROM p)
+SELECT idx, k, CASE WHEN k IS NULL THEN 'FAIL' ELSE 'OK' END AS ok, '/var/log/k' || coalesce(k, '') || '.log' AS path FROM x"""),
+    "structured_routes": (lambda s, d: replay.per_output(evaluate(with_properties(read_lines(_structured(s, d))), parse_config(STRUCTURED)), None), _M + """
+x AS (SELECT 1) SELECT 'omfile' AS kind, '/var/log/' || event_type || '-' || hostname || '.log' AS target, count(*) AS n FROM p WHERE event_type IN ('click', 'error') GROUP BY ALL"""),
+    "decode_variants": (lambda s, d: read_lines(_variants(s, d)).select("idx", "format", "hostname", "programname", "procid", "msgid", "syslogtag", "msg"), _M + """
+x AS (SELECT *, CAST(idx % 6 AS INT) AS k, programname AS g FROM p) SELECT idx, ['rfc3164', 'rfc3164', 'received', 'received', 'rfc5424', 'unknown'][k + 1] AS format, CASE WHEN k < 5 THEN hostname END AS hostname,
+  CASE WHEN k IN (0, 2, 3, 4) THEN g END AS programname, CASE WHEN k IN (0, 4) THEN '7' END AS procid, CASE WHEN k = 4 THEN 'ID9' END AS msgid,
+  CASE k WHEN 0 THEN g || '[7]:' WHEN 2 THEN g || ':' WHEN 3 THEN g || ' 1.4:' WHEN 4 THEN g || '[7]:' END AS syslogtag, CASE WHEN k = 1 THEN 'no tag here' ELSE msg END AS msg FROM x"""),
+    "replay_top_hostnames": (lambda s, d: replay.top_values(event_messages(s, d), F.col("hostname")), _M + """
+x AS (SELECT hostname AS key, count(*) AS n, min(idx) AS i FROM p GROUP BY 1) SELECT key, n, floor(n * 1000.0 / (SELECT count(*) FROM p) + 0.5) / 10 AS pct FROM x ORDER BY n DESC, i LIMIT 10"""),
+    "catalog_findings": (lambda s, d: catalog.general_findings(_relations(s)).select("config", "code", "severity", "name"), """
+SELECT * FROM (VALUES ('broken', 'V_UNDEFINED_RULESET', 'warning', 'mian'), ('broken', 'V_UNDEFINED_RULESET', 'warning', 'gone'), ('broken', 'V_UNDEFINED_DEFAULT_RULESET', 'warning', 'nowhere'), ('broken', 'V_RSYSLOG_DEFAULT_RULESET_UNDEFINED', 'error', 'nowhere'),
+  ('broken', 'V_UNDEFINED_TEMPLATE', 'warning', 'shape'), ('broken', 'V_RSYSLOG_TEMPLATE_UNDEFINED', 'error', 'shape'), ('broken', 'V_UNDEFINED_LOOKUP', 'warning', 'who'), ('broken', 'V_DEAD_RULESET', 'info', 'alone'), ('broken', 'V_DEAD_RULESET', 'info', 'main'),
+  ('broken', 'V_UNUSED_TEMPLATE', 'info', 'idle'), ('broken', 'V_UNUSED_LOOKUP', 'info', 'teams'), ('broken', 'V_LOOKUP_NOT_LOADED', 'warning', 'teams'), ('broken', 'V_SILENT_DROP', 'warning', 'alone'), ('broken', 'V_SILENT_DROP', 'warning', 'main'),
+  ('broken', 'V_CONFLICTING_OUTPUT', 'info', '/a'), ('broken', 'V_CONFLICTING_OUTPUT', 'info', 'h:514/tcp'), ('broken', 'V_MODULE_MISSING', 'error', 'imudp'), ('broken', 'V_MODULE_MISSING', 'error', 'omkafka'), ('whole', 'V_MODULE_MISSING', 'error', 'imtcp'), ('whole', 'V_SILENT_DROP', 'warning', 'main'), ('whole', 'V_SILENT_DROP', 'warning', 'tcp')) AS t(config, code, severity, name)"""),
+    "catalog_suggestions": (lambda s, d: catalog.general_findings(_relations(s)).filter("message LIKE '%did you mean%'").select("name", "message").distinct(), "SELECT 'mian' AS name, 'ruleset is not defined; did you mean main?' AS message"),
+    "store_findings": (lambda s, d: catalog.store_findings(_relations(s)).select("code", "severity", "name"), """
+SELECT * FROM (VALUES ('SIEM_SPLUNK_MISSING_SOURCETYPE', 'warning', 'splunk'), ('SIEM_ECS_MISSING_EVENT_DATASET', 'info', 'es'), ('SIEM_DATADOG_MISSING_SERVICE', 'warning', 'datadog'), ('SIEM_SUMO_MISSING_SOURCE_CATEGORY', 'warning', 'sumo'),
+  ('SIEM_LOKI_HIGH_CARDINALITY_LABEL', 'warning', 'loki'), ('SIEM_LOKI_NO_LABELS', 'info', 'bare'), ('SIEM_GELF_CUSTOM_FIELD_PREFIX', 'warning', 'gelf'), ('SIEM_SENTINEL_INVALID_TABLE_NAME', 'error', 'sentinel'),
+  ('SIEM_UDM_UNKNOWN_EVENT_TYPE', 'warning', 'chronicle'), ('SIEM_LEEF_HEADER_INCOMPLETE', 'info', 'qradar'), ('SIEM_CEF_SEVERITY_OUT_OF_RANGE', 'warning', 'cef')) AS t(code, severity, name)"""),
+    "validation_summary": (lambda s, d: catalog.validation_summary(catalog.general_findings(_relations(s)).unionByName(catalog.store_findings(_relations(s)))), """
+SELECT * FROM (VALUES ('broken', 4, 8, 6, 13), ('stores', 1, 7, 3, 11), ('whole', 1, 2, 0, 2)) AS t(config, errors, warnings, infos, codes)"""),
+    "catalog_counts": (lambda s, d: catalog.catalog_counts(_relations(s)).filter("config = 'broken'"), """
+SELECT * FROM (VALUES ('broken', 'ruleset', 2), ('broken', 'template', 1), ('broken', 'lookup', 1), ('broken', 'inputs', 1), ('broken', 'modules', 1), ('broken', 'actions', 7), ('broken', 'sets', 1)) AS t(config, kind, n)"""),
+    "inferred_stores": (lambda s, d: catalog.infer_stores(_relations(s)).groupBy("store").agg(F.count("*").alias("n")), """
+SELECT * FROM (VALUES ('splunk', 2), ('elastic-ecs', 1), ('datadog', 1), ('loki', 2), ('graylog-gelf', 1), ('microsoft-sentinel', 2), ('sumo-logic', 1), ('chronicle-udm', 1), ('qradar-leef', 1), ('arcsight-cef', 2)) AS t(store, n)"""),
+    "inferred_taxonomies": (lambda s, d: catalog.infer_taxonomies(_relations(s)), """SELECT 'stores' AS config, 'kinds' AS "table", 'ecs.event.type' AS taxonomy"""),
+    "config_search": (lambda s, d: catalog.search(_config_lines(s), "ACTION"), """
+SELECT * FROM (VALUES (0, 9, 'if $programname == "kernel" then { action(type="omfile" file="/var/log/kern.log") stop }')) AS t(doc_id, line, snippet)"""),
 }
 
 

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _FIELDS = ("fromhost", "fromhost_ip", "hostname", "programname", "syslogtag", "rawmsg", "msg", "inputname", "myhostname")
-_SCHEMA = "transport string, port int, " + ", ".join(f"{f} string" for f in _FIELDS) + ", structured map<string,string>, _bad string"
+# Keys of the input that are named otherwise here.
+_KEYS = {"fromhost_ip": "fromhostIp", "sim_time": "simTime"}
+_SCHEMA = "transport string, port int, simTime double, " + ", ".join(f"{_KEYS.get(f, f)} string" for f in _FIELDS) + ", structured map<string,string>, _bad string"
 
 
 def read_ndjson(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Messages, and the rows that are no JSON object; other columns are kept in both.
 
-    transport is tcp or else udp, port 514 if missing; blank lines are left out.
+    transport is tcp or else udp, port 514 if missing, simTime is in milliseconds;
+    blank lines are left out.
     """
     kept = lines.filter(F.length(F.trim(column)) > 0)
     read = kept.withColumn("_m", F.from_json(column, _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("_m").isNull() | F.col("_m._bad").isNotNull() | ~F.ltrim(column).startswith("{")
     transport = F.when(F.col("_m.transport") == "tcp", "tcp").otherwise("udp")
     names = [c for c in lines.columns if c != column]
-    messages = read.filter(~bad).select(*names, transport.alias("transport"), F.coalesce("_m.port", F.lit(514)).alias("port"), *(f"_m.{f}" for f in _FIELDS), F.coalesce("_m.structured", F.create_map().cast("map<string,string>")).alias("structured"))
+    messages = read.filter(~bad).select(*names, transport.alias("transport"), F.coalesce("_m.port", F.lit(514)).alias("port"), *(F.col(f"_m.{_KEYS.get(f, f)}").alias(f) for f in _FIELDS), F.timestamp_millis(F.col("_m.simTime").cast("long")).alias("sim_time"), F.coalesce("_m.structured", F.create_map().cast("map<string,string>")).alias("structured"))
     return messages, read.filter(bad).select(*lines.columns, F.lit("not a JSON object").alias("message"))

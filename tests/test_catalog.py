@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.operators.catalog import distance, reachable, suggest, validate
+from sluiceway.operators.catalog import reachable, validate
 from sluiceway.plans.routing import evaluate
 from sluiceway.sources.config import parse_config, parse_lookup
 from sluiceway.sources.messages import decode_line, structured_data, with_properties
@@ -46,12 +48,14 @@ def test_checks(spark):
     config = parse_config("""
     input(type="imudp" ruleset="r")
     template(name="unused" type="string" string="x")
-    ruleset(name="r") { if $msg == "a" then call gone  action(type="omfile" file="/a") action(type="omfile" file="/a") }
+    ruleset(name="r") { if $msg == "a" then call daed call gone  action(type="omfile" file="/a") action(type="omfile" file="/a") }
     ruleset(name="dead") { set $.x = "1"; }
     """)
     found = {(r.code, r.name) for r in validate(spark, config).collect()}
     assert {("V_UNDEFINED_RULESET", "gone"), ("V_DEAD_RULESET", "dead"), ("V_UNUSED_TEMPLATE", "unused"), ("V_CONFLICTING_OUTPUT", "/a"), ("V_SILENT_DROP", "dead")} <= found
-    assert reachable(config) == {"r", "gone"} and distance("sshd", "ssdh") == 1 and suggest("mian", ["main", "other"]) == "main"
+    said = {r.name: r.message for r in validate(spark, config).collect() if r.code == "V_UNDEFINED_RULESET"}
+    assert said["daed"].endswith("did you mean dead?") and "mean" not in said["gone"]
+    assert reachable(config) == {"r", "gone", "daed"}
 
 
 def test_lookup_shapes():
@@ -67,3 +71,29 @@ def test_decoding(spark):
     assert [r.format for r in got] == ["rfc5424", "rfc3164", "received", "unknown", "unknown"]
     assert got[0].map == {"x@1_k": 'a"b', "x@1_j": "c"} and got[0].msg == "body" and got[0].syslogtag == "app[77]:"
     assert (got[1].programname, got[1].procid, got[1].msg) == ("su", "9", "failed") and got[2].rawmsg.startswith("<13>") and got[3].msg == "rest"
+
+
+def test_many_assignments(spark):
+    """The plan grows with the statements: a hundred that read themselves, and forty stops."""
+    sets = "".join('set $.x = $.x & "b"; ' for _ in range(100))
+    began = time.time()
+    assert len(run(spark, f'ruleset(name="r") {{ {sets} }}').vars["x"]) == 100
+    stops = "".join(f'if $msg == "m{k}" then stop ' for k in range(40))
+    assert run(spark, f'ruleset(name="r") {{ {stops} action(type="omfile" file="/a") }}').outputs[0].path == "/a"
+    assert time.time() - began < 60
+
+
+def test_json_and_missing(spark):
+    text = 'ruleset(name="r") {{ action(type="mmjsonparse") action(type="omfile" dynafile="none") }}'
+    for msg, fields, ok in (('@cee:{"a": "x", "b": null, "c": {"d": [1, true]}}', {"a": "x", "b": "", "c": '{"d":[1,true]}'}, True), ("[1]", {}, False), ("{bad", {}, False), ("", {}, False)):
+        out = run(spark, text.format(), msg=msg)
+        assert out.fields == fields and out.notes == ["W_TEMPLATE_MISSING"] and len(out.outputs) == 1
+    assert run(spark, "", msg="x").notes == ["W_RULESET_MISSING"]
+
+
+def test_loose_lines(spark):
+    lines = ["<34>Oct 1 22:14:15 mach su[9]: failed", "<34>Oct 1 22:14:15 mach su[x]: failed", "Oct 1 22:14:15 h a b: t", '<34>1 - - - - - [a k="v]"][b] body', "<34>2 a b", ""]
+    got = [r.m for r in spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "k int, v string").orderBy("k").select(decode_line(F.col("v")).alias("m")).collect()]
+    assert (got[0].hostname, got[0].programname, got[0].procid, got[0].msg) == ("mach", "su", "9", "failed")
+    assert (got[1].programname, got[1].msg) == (None, "su[x]: failed") and (got[2].programname, got[2].syslogtag) == ("a", "a b:")
+    assert (got[3].hostname, got[3].sd, got[3].msg) == (None, '[a k="v]"][b]', "body") and (got[4].format, got[4].msg) == ("unknown", "2 a b") and got[5].msg == ""
