@@ -284,9 +284,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_copies, t (hash of the text that counts), n_rows, for each doc_id."""
+    """doc_id, class_id, n_copies, t (hash of the text that counts), for each doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
-    ids = rows.groupBy("doc_id").agg(F.max("t").alias("t"), F.count("*").alias("n_rows"))
+    ids = rows.groupBy("doc_id").agg(F.max("t").alias("t"))
     signed = materialize(rows.mapInArrow(_sign, "doc_id long, t long, w1 long, w2 long, weight long, bands array<long>, sig binary"), "signatures")
     signed = signed.groupBy("doc_id").agg(F.max(F.struct("t", "w1", "w2", "weight", "bands", "sig")).alias("s")).select("doc_id", "s.*").join(ids, ["doc_id", "t"], "left_semi")
     leads = signed.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "t", "weight", "bands", "sig")).alias("lead"), F.count("*").alias("n_copies"))
@@ -307,7 +307,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     named = leads.select("w1", "w2", "doc_id", "n_copies").join(first, "doc_id", "left").withColumn("c", F.coalesce("class_id", "doc_id"))
     known = named.join(then.select(F.col("doc_id").alias("c"), F.col("class_id").alias("last")), "c", "left").select("w1", "w2", F.coalesce("last", "c").alias("class_id"), "n_copies")
     found = signed.select("doc_id", "w1", "w2").join(known, ["w1", "w2"]).select("doc_id", "class_id", "n_copies")
-    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "t", "n_rows")
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "t")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -332,8 +332,9 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     stay, and so do rows of a repeated doc_id whose text is not the one that
     counts (see near_duplicates), as nothing was compared with them.
     """
-    fate = _classes(docs).select(F.col("doc_id").alias("_id"), F.col("class_id").alias("_class"), F.col("t").alias("_t"), F.col("n_rows").alias("_n"))
-    whole = docs.select(F.col("doc_id").cast("long").alias("_key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"), F.struct(*docs.columns).alias("_row"))
-    judged = whole.join(fate, F.col("_key") == F.col("_id"), "left").filter("_id IS NULL OR _text <> _t OR _id = _class")
-    once = judged.filter("_n > 1").dropDuplicates(["_key", "_text"])
-    return judged.filter("_n IS NULL OR _n = 1").unionByName(once).select("_row.*")
+    key, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    fate = materialize(_classes(docs).select(F.col("doc_id").alias("_key"), F.col("class_id").alias("_class"), F.col("t").alias("_t")), "fate")
+    whole = docs.filter(key.isNotNull()).select(key.alias("_key"), text.alias("_text"), F.struct(*docs.columns).alias("_row"))
+    # Whole rows move once: the join has dealt them by the id already.
+    kept = whole.join(fate, "_key").filter("_text <> _t OR _key = _class").dropDuplicates(["_key", "_text"]).select("_row.*")
+    return kept.unionByName(docs.filter(key.isNull()))
