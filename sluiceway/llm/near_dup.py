@@ -38,6 +38,8 @@ LEADERS = 3
 AGREE = 60
 #: A block of a bucket in a cell: so many members, so many shingles (8 bytes each).
 BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
+#: Tables of ids are broadcast up to so many rows (24 bytes each); beyond, both sides of their join are dealt.
+FEW = 500_000
 CHUNK = 2 << 20
 
 
@@ -102,13 +104,19 @@ def signatures(shingles: np.ndarray, doc: np.ndarray, n: int, size: int = COORDI
     return name.reshape(n, size)
 
 
+_SIGNED = ["doc_id", "t", "w1", "w2", "weight", "bands", "sig"]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles, band hashes, signature and a 128-bit hash of the words of each document that has words."""
+    """A 128-bit hash of the words, weight, band hashes and signature of each document; nulls for those without words."""
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         for i, j in ranges(offsets, CHUNK):
             words = Words(data, offsets, i, j)
-            full = np.flatnonzero(words.count > 0)
+            full, bare = np.flatnonzero(words.count > 0), np.flatnonzero(words.count == 0)
+            if len(bare):
+                named = [batch.column(c).slice(i, j - i).take(pa.array(bare)) for c in ("doc_id", "t")]
+                yield pa.RecordBatch.from_arrays([*named, *(pa.nulls(len(bare), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=_SIGNED)
             if not len(full):
                 continue
             shingles, doc = ngrams(words, SHINGLE)
@@ -123,7 +131,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [ids, texts, pa.array(same[0]), pa.array(same[1]), pa.array(np.bincount(doc, minlength=j - i)[full], pa.int64()),
                  pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64())), pa.array([row.tobytes() for row in low], pa.binary())],
-                names=["doc_id", "t", "w1", "w2", "weight", "bands", "sig"],
+                names=_SIGNED,
             )
 
 
@@ -283,30 +291,45 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "ta", "tb").mapInArrow(_jaccard, "a long, b long, similarity double").filter(F.col("similarity") >= SIMILAR)
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most FEW rows; else the join deals both sides."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def _texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text of the wanted (doc_id, t), once each."""
+    return rows.join(_sent(wanted), ["doc_id", "t"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+
+
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_copies, t (hash of the text that counts), for each doc_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("doc_id IS NOT NULL").withColumn("t", F.xxhash64("text"))
-    ids = rows.groupBy("doc_id").agg(F.max("t").alias("t"))
     signed = materialize(rows.mapInArrow(_sign, "doc_id long, t long, w1 long, w2 long, weight long, bands array<long>, sig binary"), "signatures")
-    signed = signed.groupBy("doc_id").agg(F.max(F.struct("t", "w1", "w2", "weight", "bands", "sig")).alias("s")).select("doc_id", "s.*").join(ids, ["doc_id", "t"], "left_semi")
-    leads = signed.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "t", "weight", "bands", "sig")).alias("lead"), F.count("*").alias("n_copies"))
-    leads = materialize(leads.select("w1", "w2", "lead.*", "n_copies"), "leads")
+    ids = signed.groupBy("doc_id").agg(F.max("t").alias("t"), F.min("t").alias("low"))
+    torn = materialize(ids.filter("low <> t").select("doc_id", F.col("t").alias("chosen")), "torn")
+    if not torn.isEmpty():
+        # Ids that come with several texts: only the chosen one's rows stay.
+        signed = signed.join(_sent(torn), "doc_id", "left").filter("chosen IS NULL OR t = chosen").drop("chosen")
+    worded = signed.filter("w1 IS NOT NULL")
+    leads = materialize(worded.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "t", "weight", "bands", "sig")).alias("lead")).select("w1", "w2", "lead.*"), "leads")
     banded = leads.select("doc_id", "weight", F.posexplode("bands").alias("band", "h")).select("doc_id", "weight", "band", F.xxhash64("band", "h").alias("bucket"))
     chosen = F.min(F.struct(F.xxhash64("doc_id", F.pmod("band", F.lit(LEADERS))), "doc_id"))["doc_id"]
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n"), chosen.alias("a")).filter("n > 1")
     buckets = materialize(banded.join(crowded.select("bucket", "a"), "bucket").select("bucket", "band", "doc_id", "weight", "a"), "buckets")
-    wanted = leads.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "t")
-    texts = rows.join(wanted, ["doc_id", "t"], "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    known = leads.select("doc_id", "t")
+    texts = _texts(rows, known.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"))
     tried = buckets.filter("doc_id <> a").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
     first = components(_verified(tried, texts).select("a", "b"))
     open_ = materialize(_open(buckets.drop("a"), first), "open")
-    slots = texts.join(open_.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingled, "doc_id long, slots binary")
+    slots = _texts(rows, known.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")).mapInArrow(_shingled, "doc_id long, slots binary")
     met = open_.join(leads.select("doc_id", "sig"), "doc_id").join(slots, "doc_id").repartition("cell").sortWithinPartitions("cell")
     then = components(met.mapInArrow(_cells, "a long, b long"))
     # What belongs to a representative is joined to it first, so that its copies, which may be many, meet it only once.
-    named = leads.select("w1", "w2", "doc_id", "n_copies").join(first, "doc_id", "left").withColumn("c", F.coalesce("class_id", "doc_id"))
-    known = named.join(then.select(F.col("doc_id").alias("c"), F.col("class_id").alias("last")), "c", "left").select("w1", "w2", F.coalesce("last", "c").alias("class_id"), "n_copies")
-    found = signed.select("doc_id", "w1", "w2").join(known, ["w1", "w2"]).select("doc_id", "class_id", "n_copies")
+    members = worded.select("doc_id", "w1", "w2").distinct()
+    named = leads.select("w1", "w2", "doc_id").join(first, "doc_id", "left").withColumn("c", F.coalesce("class_id", "doc_id"))
+    named = named.join(then.select(F.col("doc_id").alias("c"), F.col("class_id").alias("last")), "c", "left").select("w1", "w2", F.coalesce("last", "c").alias("class_id"))
+    copies = members.groupBy("w1", "w2").agg(F.count("*").alias("n_copies"))
+    found = members.join(named.join(copies, ["w1", "w2"]), ["w1", "w2"]).select("doc_id", "class_id", "n_copies")
     return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), "t")
 
 
