@@ -119,7 +119,8 @@ def select(likely: np.ndarray, first: np.ndarray) -> np.ndarray:
     while len(active):
         some = np.where(allowed[active], share[active], np.inf)
         trial = allowed[active].copy()
-        trial[np.arange(len(active)), some.argmin(axis=1)] = False
+        # Of equal shares the last language goes.
+        trial[np.arange(len(active)), k - 1 - some[:, ::-1].argmin(axis=1)] = False
         take = np.concatenate([np.arange(first[d], first[d + 1]) for d in active])
         inner = np.append(0, np.cumsum(n[active]))
         new_share, new_fit = mixture(likely[take], inner, trial)

@@ -3,8 +3,9 @@
 Every window of WINDOW bytes is dealt by its minimizer, the least hash of its
 GRAM-byte strings: equal windows have equal minimizers, so they meet in one
 shard wherever they stand.  Neighbouring windows with one minimizer travel as
-one string, so a byte is sent about three times, compressed.  In a shard equal
-strings collapse at once; where different strings share a minimizer, their
+one string, so a byte is sent about three times, compressed.  Equal strings
+collapse within each chunk of documents before they are sent, so a shard gets
+one copy from a chunk however common a string is, and within the shard again; where different strings share a minimizer, their
 suffixes are sorted by induction and windows with a common prefix of WINDOW
 bytes compared by place.  A minimizer whose different strings outgrow a worker
 is dealt anew, window by window, by plain aggregation; the result is the same.
@@ -93,6 +94,30 @@ def runs(d: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, ..
     return m[start], doc, start, last + window, np.isin(m[start], twice)
 
 
+def _collapsed(raw: bytes, h: np.ndarray, start: np.ndarray, end: np.ndarray, place: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs (minimizer h, bytes start to end): those whose bytes no run at an earlier place has, and the others.
+
+    Runs at one place, of rows that are one document, count once.  So whatever a
+    common string's number of copies, a shard gets one of them from each chunk.
+    """
+    key = mix(h ^ mix((end - start).astype(U64)))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    alike = np.zeros(len(key), bool)
+    alike[order[1:][same]] = alike[order[:-1][same]] = True
+    some = np.flatnonzero(alike)
+    some = some[np.lexsort(tuple(x[some] for x in reversed(place)))]
+    seen: dict[bytes, int] = {}
+    spare, later = np.zeros(len(key), bool), []
+    for k in some.tolist():
+        q = seen.setdefault(raw[start[k] : end[k]], k)
+        if q != k:
+            spare[k] = True
+            if any(x[q] != x[k] for x in place):
+                later.append(k)
+    return np.flatnonzero(~spare), np.array(later, np.int64)
+
+
 def _shards(batches: Iterator[pa.RecordBatch], parts: int, window: int) -> Iterator[pa.RecordBatch]:
     """Documents to packed runs, one row a chunk and shard."""
     packer = zstandard.ZstdCompressor(level=1)
@@ -110,12 +135,19 @@ def _shards(batches: Iterator[pa.RecordBatch], parts: int, window: int) -> Itera
             start = np.concatenate([x[2] + x[6] for x in found])
             end = np.concatenate([x[3] + x[6] for x in found])
             loop = np.concatenate([x[4] for x in found])
+            raw = d.tobytes()
             shard = (h >> U64(20)) % U64(parts)
-            order = np.argsort(shard, kind="stable")
+            rows, blobs = [], []
+            first, later = _collapsed(raw, h, start, end, (ids[doc + i], marks[doc + i], start - bounds[doc]))
+            if len(later):
+                # Copies within a chunk are found here; they need no shard of their own, so any will do.
+                spans = np.stack([ids[doc[later] + i], marks[doc[later] + i], (start - bounds[doc])[later], (end - bounds[doc])[later]])
+                rows.append(int(shard[0]))
+                blobs.append(packer.compress(struct.pack("<q", -len(later)) + spans.astype(np.int64).tobytes()))
+            order = first[np.argsort(shard[first], kind="stable")]
             shard, h, doc, start, end, loop = (x[order] for x in (shard, h, doc, start, end, loop))
             cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
-            size, at, raw = end - start, start - bounds[doc], d.tobytes()
-            rows, blobs = [], []
+            size, at = end - start, start - bounds[doc]
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 body = b"".join([raw[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])
                 k = doc[a:b] + i
@@ -181,6 +213,9 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         for blob in batch.column("packed"):
             raw = unpack.decompress(blob.as_py())
             (n,) = struct.unpack_from("<q", raw)
+            if n < 0:
+                yield _found(np.frombuffer(raw, np.int64, -4 * n, 8).reshape(4, -n).T.tolist())
+                continue
             h, doc, mark, at, size, loop = np.frombuffer(raw, np.int64, 6 * n, 8).reshape(6, n)
             ends = np.cumsum(size) + 8 + 48 * n
             out: list[tuple] = []

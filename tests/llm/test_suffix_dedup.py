@@ -76,3 +76,27 @@ def test_suffix_array_and_prefixes():
             for a, b, n in zip(order[1:], order[:-1], common_prefixes(t, order, depth)):
                 true = next((k for k, (x, y) in enumerate(zip(s[a:], s[b:])) if x != y), min(len(s) - a, len(s) - b))
                 assert min(true, depth) == min(n, depth)
+
+
+def test_common_string_long_text_and_clashing_columns(texts):
+    """A line that every document holds, many times within one; a text of 200,000 bytes; columns named as the inner ones."""
+    import hashlib
+
+    line = " ".join(f"common{k}" for k in range(20))
+    long = " ".join(str(k * k) for k in range(24_000))
+    items = [(k, f"own {k} {line} {'again ' + line if k % 3 == 0 else ''} end {k}") for k in range(40)] + [(90, long), (91, "x" + long)]
+    docs = texts(items).selectExpr("*", "1 AS _doc", "2 AS _mark", "3 AS shard", "4 AS n_bytes")
+    seen, want = set(), {}
+    for k, t in items:
+        raw = t.encode()
+        cut = [False] * len(raw)
+        last = -1
+        for s in range(len(raw) - 99):
+            w = hashlib.md5(raw[s : s + 100]).digest()
+            if w in seen:
+                cut[max(s, last) : s + 100] = [True] * (s + 100 - max(s, last))
+                last = s + 100
+            seen.add(w)
+        want[k] = (len(raw), sum(cut), hashlib.sha256(bytes(b for b, c in zip(raw, cut) if not c)).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert got == want

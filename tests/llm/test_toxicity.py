@@ -52,3 +52,42 @@ def test_no_labels_no_rows(documents, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert score_toxicity(documents([]), labels).collect() == []
     assert [r.score for r in score_toxicity(documents([(1, "a", "en", "s", 1)]), labels).collect()] == [0.5]
+
+
+def test_equals_plain_ftrl():
+    """The learner against the update rule written out coordinate by coordinate."""
+    import math
+    import random
+
+    import pyarrow as pa
+
+    from sluiceway.llm import toxicity as t
+    from sluiceway.llm.common import Words, flat
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice(["bad", "good", "cat", "dog", "sun", "Moon", "x"]) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    labels = [int("bad" in x) for x in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(60)), pa.array(labels)], names=["text", "place", "label"])
+    got = next(t._learn(iter([batch]), 3)).to_pydict()
+    rows = []
+    for x in texts:
+        data, offsets = flat(pa.array([x]))
+        rows.append(sorted(set(t._features(Words(data, offsets, 0, 1))[0].tolist())))
+    z, n, bz, bn, bias = {}, {}, 0.0, 0.0, 0.0
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= t.L1 else -(v - math.copysign(t.L1, v)) / ((t.BETA + math.sqrt(n.get(k, 0.0))) / t.ALPHA + t.L2)
+
+    for _ in range(3):
+        for y, f in zip(labels, rows):
+            w = {k: weight(k) for k in f}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()) + bias)))) - y
+            for k in f:
+                old = n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / t.ALPHA * w[k]
+                n[k] = old + g * g
+            bz, bn = bz + g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / t.ALPHA * bias, bn + g * g
+            bias = -bz / ((t.BETA + math.sqrt(bn)) / t.ALPHA)
+    want = {k: weight(k) for k in z if weight(k)} | {-1: bias}
+    assert set(got["feature"]) == set(want) and all(abs(want[k] - w) < 1e-9 for k, w in zip(got["feature"], got["weight"]))
