@@ -2,12 +2,16 @@
 
 A word that the corpus does not settle has the marginal probability of its
 lattice: all ways to spell it with pieces of an existing vocabulary, each way
-the product of its pieces' probabilities, added up by a forward recursion in log
+the product of its pieces' weights, added up by a forward recursion in log
 space.  The vocabulary's scores are ranks, read as probabilities by Zipf's law;
-pieces that begin a word and pieces that go on are told apart, so the words'
-probabilities add up to 1.  Corpus counts are discounted absolutely, and the
-mass gained goes to the lattice.  A document is a Polya urn over these word
-probabilities: words it has already used are likelier to come again.
+from these the weights are fitted to all distinct learned words, each once, by
+expectation-maximisation (the expected use of each piece comes from a forward
+and a backward recursion; the pieces stay as they are).  Pieces that begin a
+word and pieces that go on are told apart, so the words' probabilities add up to
+1.  Corpus counts are discounted absolutely, by as much as the numbers of words
+that occur once and twice imply, and the mass gained goes to the lattice.  A
+document is a Polya urn over these word probabilities: words it has already used
+are likelier to come again.
 
 Counts are gathered from all learning documents.  Words with at least N / HEAVY
 of the N tokens, so at most HEAVY of them, are broadcast; the rest are asked for
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -31,10 +36,12 @@ from sluiceway.llm.common import U64, Words, crc_mod, flat, ints, materialize, m
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAVY = 1 << 19
-DISCOUNT, URN, ZIPF_SHIFT = 0.5, 300.0, 2.7
+URN, ZIPF_SHIFT = 300.0, 2.7
+#: Rounds of fitting the pieces' weights, and the counts that their own scores stand for.
+ROUNDS, PRIOR = 4, 1000.0
 #: Probability of a character outside the vocabulary, shared by all code points.
 UNKNOWN = 1e-4 / 1_114_112
-CHUNK, PART_TOKENS = 4 << 20, 1_500_000
+CHUNK, PART_TOKENS, WORDS = 4 << 20, 1_500_000, 20_000
 MARK = "▁"
 END = U64(0xE7037ED1A0B428DB)
 
@@ -51,59 +58,95 @@ def pieces(path: str) -> list[tuple[str, float]]:
     return [(found[k][0], float(x)) for k, x in enumerate(np.log(p / p.sum()))]
 
 
+@lru_cache(maxsize=2)
+def _trie(names: tuple[str, ...]) -> ahocorasick.Automaton:
+    trie = ahocorasick.Automaton()
+    for k, p in enumerate(names):
+        trie.add_word(p, (len(p), k))
+    trie.make_automaton()
+    return trie
+
+
+def _sweep(to: np.ndarray, start: np.ndarray, score: np.ndarray, level: np.ndarray, nodes: int, seeds: np.ndarray) -> np.ndarray:
+    """Log-probability of each node: the sum over all paths of arcs start -> to from the seeds, level by level."""
+    out = np.full(nodes, -np.inf)
+    out[seeds] = 0.0
+    order = np.lexsort((to, level))
+    to, start, score, level = to[order], start[order], score[order], level[order]
+    cuts = np.searchsorted(level, np.arange(1, int(level.max(initial=0)) + 2))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if a == b:
+            continue
+        value = out[start[a:b]] + score[a:b]
+        heads = np.flatnonzero(np.append(True, to[a + 1 : b] != to[a : b - 1]))
+        top = np.maximum.reduceat(value, heads)
+        safe = np.where(np.isfinite(top), top, 0)
+        sums = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(heads, b - a)))), heads)
+        out[to[a:b][heads]] = np.log(np.maximum(sums, 1e-300)) + safe
+    return out
+
+
 class Lattice:
     """Marginal log-probabilities of words."""
 
     def __init__(self, vocabulary: list[tuple[str, float]]) -> None:
-        begin = np.logaddexp.reduce([s for p, s in vocabulary if p[0] == MARK])
-        self.stop = float(begin)  # the next piece begins a word
-        self.trie = ahocorasick.Automaton()
-        for p, s in vocabulary:
-            # The first piece is one of those that begin a word.
-            self.trie.add_word(p, (len(p), s - begin if p[0] == MARK else s))
-        self.trie.make_automaton()
-
-    def score(self, words: list[str]) -> np.ndarray:
-        """The log-probability of each word (without mark): a forward recursion over all words at once."""
-        n = np.array([len(w) + 1 for w in words])
+        self.begins = np.array([p[0] == MARK for p, _ in vocabulary])
+        scores = np.array([s for _, s in vocabulary])
+        self.stop = float(np.logaddexp.reduce(scores[self.begins]))  # the next piece begins a word
+        # The first piece is one of those that begin a word.
+        self.scores = np.where(self.begins, scores - self.stop, scores)
+        self.trie = _trie(tuple(p for p, _ in vocabulary))
+
+    def _arcs(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Each word's first and last node; each arc's word, first and last node, levels from both ends, piece (-1: none) and score."""
+        n = np.array([len(w) + 1 for w in words], np.int64)
         begin = np.cumsum(n) - n
-        joined = MARK + MARK.join(w.replace(MARK, "�") for w in words)
-        ends, sizes, scores = [], [], []
-        for end, (size, s) in self.trie.iter(joined):
-            ends.append(end), sizes.append(size), scores.append(s)
-        total = int(n.sum())
-        # One arc for each match, and one for each single character that no piece spells.
-        end, size, score = np.array(ends, np.int64) + 1, np.array(sizes, np.int64), np.array(scores)
-        lone = np.ones(total, bool)
+        joined = MARK + MARK.join(w.replace(MARK, "\ufffd") for w in words)
+        ends, sizes, found = [], [], []
+        for end, (size, k) in self.trie.iter(joined):
+            ends.append(end), sizes.append(size), found.append(k)
+        end, size, piece = np.array(ends, np.int64) + 1, np.array(sizes, np.int64), np.array(found, np.int64)
+        # Beside the matches, one arc for each single character that no piece spells.
+        lone = np.ones(int(n.sum()), bool)
         lone[end[size == 1] - 1] = False
-        lone[begin] = False
-        alone = np.flatnonzero(lone)
-        missing_mark = np.ones(total, bool)
-        missing_mark[end[size == 1] - 1] = False
-        first = begin[missing_mark[begin]]
-        end = np.concatenate([end, alone + 1, first + 1])
-        size = np.concatenate([size, np.ones(len(alone) + len(first), np.int64)])
-        score = np.concatenate([score, np.full(len(alone) + len(first), np.log(UNKNOWN))])
-        # alpha[k]: log-probability of all spellings of a word up to character k.
-        alpha = np.full(total + 1, -np.inf)
+        alone = np.flatnonzero(lone) + 1
+        end, size = np.append(end, alone), np.append(size, np.ones(len(alone), np.int64))
+        piece = np.append(piece, np.full(len(alone), -1))
         word = np.searchsorted(begin, end - 1, "right") - 1
+        score = np.where(piece < 0, np.log(UNKNOWN), self.scores[piece])
+        first = begin + np.arange(len(words))
         inside = end - begin[word]
-        order = np.lexsort((end, inside))
-        end, size, score, inside, word = (x[order] for x in (end, size, score, inside, word))
-        cuts = np.searchsorted(inside, np.arange(1, int(n.max(initial=0)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if a == b:
-                continue
-            start = end[a:b] - size[a:b]
-            before = np.where(start == begin[word[a:b]], 0.0, alpha[start])
-            value = before + score[a:b]
-            new = np.append(True, end[a + 1 : b] != end[a : b - 1])
-            heads = np.flatnonzero(new)
-            top = np.maximum.reduceat(value, heads)
-            safe = np.where(np.isfinite(top), top, 0)
-            sums = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(heads, b - a)))), heads)
-            alpha[end[a:b][heads]] = np.log(np.maximum(sums, 1e-300)) + safe
-        return alpha[begin + n] + self.stop
+        return first, first + n, word, end - size + word, end + word, inside, n[word] - inside + size, piece, score
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """The log-probability of each word (without mark): a forward recursion over all words at once."""
+        first, last, _, start, end, level, _, _, score = self._arcs(words)
+        return _sweep(end, start, score, level, int(last[-1]) + 1, first)[last] + self.stop
+
+    def expected(self, words: list[str]) -> np.ndarray:
+        """How often each piece is expected in the words' spellings, by a forward and a backward recursion."""
+        first, last, word, start, end, level, back, piece, score = self._arcs(words)
+        nodes = int(last[-1]) + 1
+        alpha = _sweep(end, start, score, level, nodes, first)
+        beta = _sweep(start, end, score, back, nodes, last)
+        share = np.exp(alpha[start] + score + beta[end] - alpha[last][word])
+        return np.bincount(piece[piece >= 0], weights=share[piece >= 0], minlength=len(self.scores))
+
+
+def refitted(vocabulary: list[tuple[str, float]], expected: np.ndarray, words: int) -> list[tuple[str, float]]:
+    """The vocabulary with weights fitted to expected counts from so many words.
+
+    The vocabulary's own scores stand for PRIOR counts, so pieces that the corpus
+    does not use keep a share.
+    """
+    begins = np.array([p[0] == MARK for p, _ in vocabulary])
+    old = np.exp([s for _, s in vocabulary])
+    stop = old[begins].sum()
+    rest = expected[~begins].sum() + words + PRIOR
+    new = np.where(begins, expected + PRIOR * old / stop, expected + PRIOR * old)
+    new[begins] *= (words + PRIOR * stop) / rest / new[begins].sum()
+    new[~begins] /= rest
+    return [(p, float(x)) for (p, _), x in zip(vocabulary, np.log(new))]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,22 +165,64 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _spelled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _texts(batch: pa.RecordBatch) -> tuple[list[int], list[str]]:
+    """The rows of a batch that hold words, and the words."""
+    real = [(k, w.decode("utf-8", "replace")) for k, w in enumerate(batch.column("word").to_pylist()) if w is not None]
+    return [k for k, _ in real], [w for _, w in real]
+
+
+def _expected(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """Expected counts of the pieces in the distinct words of a partition."""
+    lattice = Lattice(model.value)
+    total = np.zeros(len(model.value))
+    for batch in batches:
+        words = _texts(batch)[1]
+        for a in range(0, len(words), WORDS):
+            total += lattice.expected(words[a : a + WORDS])
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "e"])
+
+
+def _spelled(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """The lattice's log-probability of each word."""
-    lattice = Lattice(pieces(path))
+    lattice = Lattice(model.value)
     for batch in batches:
-        texts = [w.decode("utf-8", "replace") if w is not None else None for w in batch.column("word").to_pylist()]
-        real = [k for k, w in enumerate(texts) if w is not None]
+        real, words = _texts(batch)
         out = np.zeros(batch.num_rows)
-        for a in range(0, len(real), 20_000):
-            out[real[a : a + 20_000]] = lattice.score([texts[k] for k in real[a : a + 20_000]])
+        for a in range(0, len(real), WORDS):
+            out[real[a : a + WORDS]] = lattice.score(words[a : a + WORDS])
         yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("c"), pa.array(out)], names=["h", "c", "spell"])
 
 
-def _chance(c: np.ndarray, spell: np.ndarray, n: int, v: int) -> np.ndarray:
+def fitted(words: DataFrame, vocabulary: list[tuple[str, float]], rounds: int = ROUNDS) -> list[tuple[str, float]]:
+    """The vocabulary with its weights fitted to all distinct learned words (h, word, c).
+
+    Each round sends the weights out and gets one sum for each piece back, so
+    the driver holds no more than the vocabulary.
+    """
+    context = words.sparkSession.sparkContext
+    learned = words.filter((F.col("c") > 0) & F.col("word").isNotNull()).select("word")
+    count = learned.count()
+    now = vocabulary
+    for _ in range(rounds if count else 0):
+        model = context.broadcast(now)
+        sums = learned.mapInArrow(lambda it, m=model: _expected(it, m), "piece long, e double").groupBy("piece").agg(F.sum("e").alias("e")).toPandas()
+        model.destroy()
+        expected = np.zeros(len(vocabulary))
+        expected[sums["piece"].to_numpy()] = sums["e"].to_numpy()
+        now = refitted(vocabulary, expected, count)
+    return now
+
+
+def discount(once: int, twice: int) -> float:
+    """The share of a count that goes to the lattice, from how many words occur once and twice."""
+    return (once + 1) / (once + 2 * twice + 2)
+
+
+def _chance(c: np.ndarray, spell: np.ndarray, n: int, v: int, less: float) -> np.ndarray:
     """Natural logarithm of a word's probability in the corpus."""
-    own = np.maximum(c - DISCOUNT, 0) / max(n, 1)
-    rest = DISCOUNT * v / n if n else 1.0
+    own = np.maximum(c - less, 0) / max(n, 1)
+    rest = less * v / n if n else 1.0
     return np.logaddexp(np.log(np.maximum(own, 1e-320)), np.log(rest) + spell)
 
 
@@ -164,7 +249,7 @@ _PACKED = "part long, block long, packed binary"
 
 def _ask(batches: Iterator[pa.RecordBatch], model, parts: int) -> Iterator[pa.RecordBatch]:
     """Per block of documents: what the heavy words give, and requests for the others."""
-    heavy_h, heavy_c, heavy_p, n, v = model.value
+    heavy_h, heavy_c, heavy_p, n, v = model.value[:5]
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         data, offsets = flat(batch.column("text"))
@@ -219,7 +304,7 @@ def _answer(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
 
     Rows come sorted by part and block, so a part's words come before its requests.
     """
-    n, v = model.value[3:]
+    n, v, less = model.value[3:]
     part, held = None, []
     for batch in batches:
         rows: list[tuple[int, bytes]] = []
@@ -237,7 +322,7 @@ def _answer(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
             if table is None:
                 h, c, s = (np.concatenate(x) for x in zip(*held))
                 order = np.argsort(h)
-                table = h[order], c[order], _chance(c[order], s[order], n, v)
+                table = h[order], c[order], _chance(c[order], s[order], n, v, less)
             h, t, d = np.frombuffer(raw, U64, m, 16), np.frombuffer(raw, np.int32, m, 16 + 8 * m), np.frombuffer(raw, np.int32, m, 16 + 12 * m)
             at = np.searchsorted(table[0], h)
             c, p_word = table[1][at], table[2][at]
@@ -283,19 +368,22 @@ def score_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     bytes other than ASCII white space with A-Z as a-z, then one end; null and
     empty texts have the end alone.  base_score: add-one unigram score; score:
     log10 of the model's probability of the text.  A null doc_id counts as empty
-    text for the crc32.  Repeated rows are learned from and scored each.  Words
+    text for the crc32.  `vocabulary` is a path on the driver.  Repeated rows are learned from and scored each.  Words
     are told apart by hashes of 64 bits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
     counted = rows.select("text", "held_out").mapInArrow(_word_counts, "h long, word binary, c long").groupBy("h").agg(F.first("word").alias("word"), F.sum("c").alias("c"))
-    words = materialize(counted.mapInArrow(lambda it: _spelled(it, vocabulary), "h long, c long, spell double"), "words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    counted = materialize(counted, "counted")
+    n, v, once, twice = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(x) for x in (F.col("c") > 0, F.col("c") == 1, F.col("c") == 2))).first()
+    weights = spark.sparkContext.broadcast(fitted(counted, pieces(vocabulary)))
+    words = materialize(counted.mapInArrow(lambda it: _spelled(it, weights), "h long, c long, spell double"), "words")
     # At most HEAVY words have a count of n / HEAVY or more.
     top = words.filter(F.col("c") >= max(n / HEAVY, 2)).toPandas().sort_values("h", key=lambda x: x.to_numpy().view(U64))
     h, c, s = top["h"].to_numpy().view(U64), top["c"].to_numpy(), top["spell"].to_numpy()
     s[h == END] = -np.inf
-    model = spark.sparkContext.broadcast((h, c, _chance(c, s, n, v), n, v))
+    less = discount(once, twice)
+    model = spark.sparkContext.broadcast((h, c, _chance(c, s, n, v, less), n, v, less))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "8")), n // PART_TOKENS)
     asked = rows.select("doc_id", "text").mapInArrow(lambda it: _ask(it, model, parts), _PACKED)
     known = words.withColumn("spell", F.when(F.col("h") == F.lit(int(END.view(np.int64))), F.lit(float("-inf"))).otherwise(F.col("spell"))).mapInArrow(lambda it: _pack_words(it, parts), _PACKED)
