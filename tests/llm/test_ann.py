@@ -50,3 +50,31 @@ def test_copies_edges_and_ties(spark):
     assert got[0] == [(k, 0.0) for k in range(1, 11)] and got[100] == [(k, 0.0) for k in range(10)]
     assert got[1500] == [(1501, 1.0)]
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def plain_search(vectors, ids, query, own, k, step):
+    """Windows grown turn by turn, collisions counted one vector at a time."""
+    axes = ann.directions(vectors.shape[1])
+    apart = np.abs(vectors @ axes.T - axes @ query)
+    radius = step
+    while True:
+        everything = radius * ann.WIDTH / 2 >= apart.max()
+        hits = [i for i in range(len(ids)) if ids[i] != own and (everything or (apart[i] <= radius * ann.WIDTH / 2).sum() >= ann.THRESHOLD)]
+        best = sorted((np.sqrt(((vectors[i] - query) ** 2).sum()), ids[i]) for i in hits)[:k]
+        if everything or len(best) == k and best[-1][0] <= radius:
+            return best
+        radius *= ann.RATIO
+
+
+def test_a_shard_finds_what_growing_windows_find():
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((6, 12))
+    vectors = np.concatenate([centres[r.integers(0, 6, 300)] + 0.2 * r.standard_normal((300, 12)), np.repeat(centres[:1], 40, axis=0), 30 * r.standard_normal((3, 12))])
+    ids = r.permutation(1000)[: len(vectors)]
+    index = ann.Index(ids, vectors)
+    asked = np.array([*range(0, 300, 9), 301, 341])
+    for i, (found, far) in zip(asked, index.search(vectors[asked], ids[asked], 10)):
+        assert list(zip(far, found)) == plain_search(vectors, ids, vectors[i], ids[i], 10, index.step)
+    few = ann.Index(ids[:4], vectors[:4])
+    ((found, _),) = few.search(vectors[:1], ids[:1], 10)
+    assert sorted(found) == sorted(ids[1:4])
