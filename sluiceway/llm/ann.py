@@ -22,6 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluiceway.llm.common import materialize
+
 PROJECTIONS, THRESHOLD, RATIO, WIDTH = 40, 24, 1.5, 2.0
 SHARD_ROWS, QUERY_ROWS = 8192, 1024
 #: Queries whose windows are found together.
@@ -145,7 +147,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     nearest counts, and as many queries, of which the best matches count.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors).distinct().withColumn("dim", F.size("v"))
+    # Written once: the vectors are counted, dealt and asked from, and the exchange of distinct is the dear part.
+    rows = materialize(usable(vectors).distinct().withColumn("dim", F.size("v")), "vectors")
     sizes = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()}
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
