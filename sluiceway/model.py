@@ -39,6 +39,11 @@ class If:
     other: tuple = ()
 
 
+@dataclass(frozen=True)
+class Selector(If):
+    """The test that a selector line stands for."""
+
+
 @dataclass(frozen=True)
 class Action:
     kind: str

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.functions.expressions import prifilt
-from sluiceway.operators import catalog, detect, replay, siem
+from sluiceway.operators import catalog, detect, expect, replay, siem
 from sluiceway.operators.targets import TARGETS
 from sluiceway.plans.routing import evaluate
 from sluiceway.sources.config import parse_config
 from sluiceway.sources.messages import MESSAGES_SQL, event_messages, read_lines, structured_data, with_properties
-from sluiceway.sources.ndjson import read_ndjson
+from sluiceway.sources.ndjson import read_line_array, read_ndjson
+from sluiceway.sources.tree import load_tree, overlaid, tree_findings
 from sluiceway.streaming.route import deliveries, route_lines
 
 CONFIG = """
@@ -239,6 +240,45 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_messages(spark, sf_dir).select("idx", pick.alias("value")).union(spark.createDataFrame([(-1, " \t ")], "idx long, value string"))
 
 
+#: The configuration above as a tree, and an overlay that replaces one of its files.
+_HEAD, _RULES = CONFIG.split('ruleset(name="main")', 1)
+TREE = {
+    "/etc/router.conf": _HEAD + 'include(file="rules.d/*.conf")\ninclude(file="gone.conf")\n$IncludeConfig none.d/*.conf\n',
+    "/etc/rules.d/10-main.conf": 'ruleset(name="main")' + _RULES.split('ruleset(name="tcp")')[0] + 'include(file="../router.conf")\n',
+    "/etc/rules.d/20-rest.conf": 'ruleset(name="tcp")' + _RULES.split('ruleset(name="tcp")')[1], "/etc/rules.d/notes.txt": "not read", "/srv/tables/teams.json": LOOKUPS["teams.json"],
+}
+PREFIXED = """
+kern.*;*.<= action(type="omfile"
+  file="/skipped")
+kern.* action(type="omfile"
+  file="/var/log/kern.log")
+*.=debug /var/log/debug.log
+"""
+
+
+def _tree(changed: dict[str, str] | None = None):
+    return load_tree(overlaid(TREE, changed or {}), "/etc/router.conf")
+
+
+def _line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = event_messages(spark, sf_dir)
+    body = F.when(m["event_type"] == "view", F.to_json(F.struct("msg"))).otherwise(F.concat(F.lit("[1, null, "), F.to_json(F.array("msg", "programname")).substr(F.lit(2), F.lit(1 << 20))))
+    return m.select("idx", body.alias("value"))
+
+
+def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message is to be in main, to be written to kern.log, and to belong to the security team; and one message that is not there."""
+    out = "array(named_struct('kind', 'omfile', 'path_contains', 'kern', 'target', NULL, 'port', NULL, 'protocol', NULL))"
+    asked = event_messages(spark, sf_dir).select("idx").union(spark.createDataFrame([(-1,)], "idx long")).selectExpr(
+        "concat('t', idx) AS test", "idx", "'main' AS ruleset", "CAST(NULL AS BOOLEAN) AS stopped", "false AS dropped", f"{out} AS outputs", "CAST(NULL AS MAP<STRING, STRING>) AS structured", "map('team', 'security') AS locals")
+    return expect.checks(_evaluated(spark, sf_dir), asked)
+
+
+_ASKED = """w AS (SELECT idx, ruleset IS NOT DISTINCT FROM 'main' AS a, ruleset IS NOT NULL AS b, ruleset IS NOT DISTINCT FROM 'main' AND programname = 'kernel' AS c, ruleset IS NOT DISTINCT FROM 'main' AND sec AS d FROM f
+  UNION ALL SELECT -1, false, false, false, false),
+"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "replay_per_output": (lambda s, d: replay.per_output(_evaluated(s, d), None), _routed() + "x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"),
     "replay_top_outputs": (lambda s, d: replay.per_output(_evaluated(s, d)), _routed() + "x AS (SELECT 1) SELECT kind, target, n FROM (SELECT kind, target, count(*) AS n, min(idx) AS i FROM o GROUP BY ALL ORDER BY n DESC, i LIMIT 10)"),
@@ -352,6 +392,27 @@ SELECT * FROM (VALUES ('broken', 'ruleset', 2), ('broken', 'template', 1), ('bro
     "inferred_stores": (lambda s, d: catalog.infer_stores(_relations(s)).groupBy("store").agg(F.count("*").alias("n")), """
 SELECT * FROM (VALUES ('splunk', 2), ('elastic-ecs', 1), ('datadog', 1), ('loki', 2), ('graylog-gelf', 1), ('microsoft-sentinel', 2), ('sumo-logic', 1), ('chronicle-udm', 1), ('qradar-leef', 1), ('arcsight-cef', 2)) AS t(store, n)"""),
     "inferred_taxonomies": (lambda s, d: catalog.infer_taxonomies(_relations(s)), """SELECT 'stores' AS config, 'kinds' AS "table", 'ecs.event.type' AS taxonomy"""),
+    "tree_per_output": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), _tree()[0]), None), _routed() + "x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"),
+    "tree_overlay_deltas": (lambda s, d: replay.output_deltas(replay.compare(event_messages(s, d), _tree()[0], _tree({"/etc/rules.d/20-rest.conf": 'ruleset(name="audit") { stop }'})[0])), _routed() + """
+x AS (SELECT kind, target, count(*) AS baseline, count(*) FILTER (k < 4) AS overlay FROM o GROUP BY ALL)
+SELECT kind, target, baseline, overlay, overlay - baseline AS delta FROM x"""),
+    "tree_findings": (lambda s, d: tree_findings(s, _tree()[1]).select("code", "severity", "name"), """
+SELECT * FROM (VALUES ('W_INCLUDE_MISSING', 'warning', 'gone.conf'), ('I_INCLUDE_EMPTY_GLOB', 'info', 'none.d/*.conf'), ('I_LOOKUP_ELSEWHERE', 'info', 'teams')) AS t(code, severity, name)"""),
+    "prefixed_actions": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), parse_config(PREFIXED)), None), _M + """
+x AS (SELECT 'omfile' AS kind, '/var/log/kern.log' AS target FROM p WHERE pri // 8 = 0 UNION ALL SELECT 'omfile', '/var/log/debug.log' FROM p WHERE pri % 8 = 7)
+SELECT kind, target, count(*) AS n FROM x GROUP BY ALL"""),
+    "line_arrays": (lambda s, d: read_line_array(_line_arrays(s, d))[0].withColumn("row", F.col("row").cast("long")), _M + """
+x AS (SELECT 1) SELECT idx, CAST(3 AS BIGINT) AS "row", msg AS value FROM p WHERE event_type <> 'view' UNION ALL SELECT idx, 4, programname FROM p WHERE event_type <> 'view'"""),
+    "line_array_diagnostics": (lambda s, d: read_line_array(_line_arrays(s, d))[1].withColumn("row", F.col("row").cast("long")), _M + """
+x AS (SELECT 1) SELECT idx, k AS "row", 'not a string' AS message FROM p, (VALUES (CAST(1 AS BIGINT)), (2)) AS t(k) WHERE event_type <> 'view'"""),
+    "config_test_checks": (lambda s, d: _checks(s, d).groupBy("name").agg(F.count("*").alias("n"), F.count_if("passed").alias("passed")), _routed() + _ASKED + """
+x AS (SELECT unnest(['ruleset', 'dropped', 'outputsContains', 'localVars.team']) AS name, unnest([a, b, c, d]) AS passed FROM w UNION ALL SELECT 'message', false)
+SELECT name, count(*) AS n, count(*) FILTER (passed) AS passed FROM x GROUP BY 1"""),
+    "config_test_results": (lambda s, d: expect.results(_checks(s, d)).select("test", "passed", F.concat_ws(",", "failures").alias("failures")), _routed() + _ASKED + """
+x AS (SELECT 1) SELECT 't' || idx AS test, a AND b AND c AND d AS passed,
+  concat_ws(',', CASE WHEN NOT b THEN 'dropped' END, CASE WHEN NOT d THEN 'localVars.team' END, CASE WHEN idx < 0 THEN 'message' END, CASE WHEN NOT c THEN 'outputsContains' END, CASE WHEN NOT a THEN 'ruleset' END) AS failures FROM w"""),
+    "config_test_summary": (lambda s, d: expect.summary(expect.results(_checks(s, d))), _routed() + _ASKED + """
+x AS (SELECT a AND b AND c AND d AS passed FROM w) SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM x"""),
     "config_search": (lambda s, d: catalog.search(_config_lines(s), "ACTION"), """
 SELECT * FROM (VALUES (0, 9, 'if $programname == "kernel" then { action(type="omfile" file="/var/log/kern.log") stop }')) AS t(doc_id, line, snippet)"""),
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import re
 
-from sluiceway.model import Action, Call, CallRuleset, Config, If, Input, Lit, Lookup, Op, Ref, Set, Stop, Unknown
+from sluiceway.model import Action, Call, CallRuleset, Config, If, Input, Lit, Lookup, Op, Ref, Selector, Set, Stop, Unknown
 
 _TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*|/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<num>\d+(?:\.\d+)?)"""
@@ -58,7 +58,7 @@ class _Parser:
             for s in self.statement(True):
                 if isinstance(s, Action):
                     self.bare.append(s)
-                elif isinstance(s, If) and getattr(s.test, "name", "") == "prifilt":
+                elif isinstance(s, Selector):
                     self.legacy.append(s)
                 else:
                     self.other.append(s)
@@ -78,6 +78,9 @@ class _Parser:
 
     def statement(self, top: bool) -> list:
         kind, word = self.peek()
+        if (m := _SELECTOR.match(self.text, self.at)) and re.match(r"action\s*\(", m[2]):
+            self.at = m.start(2)
+            return [If(Call("prifilt", (Lit(m[1]),)), tuple(self.statement(False)))]
         for pattern, make in ((_SELECTOR, self._selector), (_PROPERTY, self._property)):
             if m := pattern.match(self.text, self.at):
                 self.at = m.end()
@@ -175,8 +178,8 @@ class _Parser:
             self.maybe(",")
         return out
 
-    def _selector(self, m: re.Match) -> If:
-        return If(Call("prifilt", (Lit(m[1]),)), _target(m[2].strip()))
+    def _selector(self, m: re.Match) -> Selector:
+        return Selector(Call("prifilt", (Lit(m[1]),)), _target(m[2].strip()))
 
     def _property(self, m: re.Match) -> If:
         """A property filter needs a priority to fire, as any selector."""

@@ -24,3 +24,16 @@ def read_ndjson(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     names = [c for c in lines.columns if c != column]
     messages = read.filter(~bad).select(*names, transport.alias("transport"), F.coalesce("_m.port", F.lit(514)).alias("port"), *(F.col(f"_m.{_KEYS.get(f, f)}").alias(f) for f in _FIELDS), F.timestamp_millis(F.col("_m.simTime").cast("long")).alias("sim_time"), F.coalesce("_m.structured", F.create_map().cast("map<string,string>")).alias("structured"))
     return messages, read.filter(bad).select(*lines.columns, F.lit("not a JSON object").alias("message"))
+
+
+def read_line_array(bodies: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lines of JSON arrays of strings, and what in them is no string.
+
+    Both with the other columns and `row`, the place in the array from 1; the
+    first with `value`.  A body that is no array has no lines.
+    """
+    names = [c for c in bodies.columns if c != column]
+    items = bodies.select(*names, F.posexplode(F.from_json(column, "array<variant>")).alias("row", "_v")).withColumn("row", F.col("row") + 1)
+    is_text = F.coalesce(F.schema_of_variant("_v") == "STRING", F.lit(False))
+    lines = items.filter(is_text).select(*names, "row", F.variant_get("_v", "$", "string").alias("value"))
+    return lines, items.filter(~is_text).select(*names, "row", F.lit("not a string").alias("message"))
