@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.expressions import safe_pattern
+from sluiceway.model import Config
+from sluiceway.plans.routing import evaluate
 
 # Names of fields that rules use, and the property each reads.
 ALIASES = {
@@ -140,7 +142,32 @@ def fire_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
 
     pct is 0 or 100 where the baseline is 0.
     """
-    a, b = before.withColumnRenamed("n", "baseline"), after.select("rule_ord", F.col("n").alias("overlay"))
+    rows = before.withColumnRenamed("n", "baseline").join(after.select("rule_ord", F.col("n").alias("overlay")), "rule_ord")
+    return _with_change(rows)
+
+
+def _with_change(rows: DataFrame) -> DataFrame:
     delta = F.col("overlay") - F.col("baseline")
     pct = F.when(F.col("baseline") == 0, F.when(F.col("overlay") == 0, 0.0).otherwise(100.0)).otherwise(F.floor(delta * 1000 / F.col("baseline") + 0.5) / 10)
-    return a.join(b, "rule_ord").select("rule_ord", "title", "baseline", "overlay", delta.alias("delta"), pct.alias("pct"))
+    return rows.select("rule_ord", "title", "baseline", "overlay", delta.alias("delta"), pct.alias("pct"))
+
+
+def _hits(messages: DataFrame, rules: list[dict], config: Config, tag: str) -> DataFrame:
+    """messages with a column of each rule: whether it fires once the configuration has set the structured fields."""
+    routed = evaluate(messages, config, "_")
+    fed = routed.withColumns({"_before": F.col("structured"), "structured": F.col("fields_")})
+    hit = fed.withColumns({f"_{tag}{k}": compile_rule(r) for k, r in enumerate(rules)}).withColumn("structured", F.col("_before"))
+    return hit.select(*messages.columns, *(f"_{tag}{k}" for k in range(len(rules))))
+
+
+def routed_fire_deltas(messages: DataFrame, rules: list[dict], baseline: Config, overlay: Config) -> DataFrame:
+    """rule_ord, title, baseline, overlay, delta, pct, of the same rules over messages as each of two configurations leaves them, in one pass."""
+    both = _hits(_hits(messages, rules, baseline, "a"), rules, overlay, "b")
+    counts = both.agg(*(F.count_if(f"_{t}{k}").alias(f"{t}{k}") for t in "ab" for k in range(len(rules))))
+    rows = counts.select(F.inline(F.array(*(F.struct(F.lit(k).alias("rule_ord"), F.lit(str(r["title"])).alias("title"), F.col(f"a{k}").alias("baseline"), F.col(f"b{k}").alias("overlay")) for k, r in enumerate(rules)))))
+    return _with_change(rows)
+
+
+def regression_gate(deltas: DataFrame, most: int = 0) -> DataFrame:
+    """regressions, passed: rules that fire less in the overlay, and whether there are no more than allowed."""
+    return deltas.agg(F.count_if(F.col("delta") < 0).alias("regressions")).withColumn("passed", F.col("regressions") <= most)

@@ -111,3 +111,16 @@ def moves(compared: DataFrame) -> DataFrame:
     return compared.agg(
         F.count_if(changed).alias("changed"), F.count_if(changed & ~there("a") & there("b")).alias("moved_to_delivered"), F.count_if(changed & there("a") & ~there("b")).alias("moved_to_unmatched")
     )
+
+
+def route_gate(compared: DataFrame, most: int | None = None, most_pct: float | None = None) -> DataFrame:
+    """changed, processed, pct, passed: whether no more routes change than allowed."""
+    found = compared.agg(F.count_if(F.col("baseline") != F.col("overlay")).alias("changed"), F.count("*").alias("processed"))
+    pct = F.when(F.col("processed") > 0, F.col("changed") * 100.0 / F.col("processed")).otherwise(0.0)
+    passed = (F.lit(True) if most is None else F.col("changed") <= most) & (F.lit(True) if most_pct is None else F.col("pct") <= most_pct)
+    return found.withColumn("pct", pct).withColumn("passed", passed)
+
+
+def trace_events(evaluated: DataFrame) -> DataFrame:
+    """idx, step, type, message: what happened to each message, from an evaluation with trace."""
+    return evaluated.select("idx", F.inline("trace"))

@@ -43,6 +43,7 @@ class _Walk:
         self.stopped: Column | None = None
         self.outputs: list[Column] = []
         self.missing: list[Column] = []
+        self.events: list[Column] = []
         self.compile = Compiler(config, self.read, F.col("facility"), F.col("severity"))
 
     def keep(self, value: Column) -> Column:
@@ -52,6 +53,11 @@ class _Walk:
         self.rows = self.rows.withColumn(name, value)
         return F.col(name)
 
+    def note(self, now: Column, kind: str, message: Column | str) -> None:
+        """An event of the messages that come here."""
+        text = F.lit(message) if isinstance(message, str) else F.coalesce(message, F.lit(""))
+        self.events.append(F.when(now, F.struct(F.lit(kind).alias("type"), text.alias("message"))))
+
     def read(self, space: str, name: str) -> Column:
         if space == "$":
             return self.parsed if name == "parsesuccess" else F.col(f"props.`{name}`") if name in PROPERTIES else F.lit("")
@@ -64,19 +70,25 @@ class _Walk:
             now = guard if self.stopped is None else guard & ~self.stopped
             if isinstance(s, If):
                 test = self.keep(now & F.coalesce(as_bool(self.compile(s.test)), F.lit(False)))
+                self.note(now, "condition_eval", test.cast("string"))
                 self.run(s.then, test, depth)
                 if s.other:
                     self.run(s.other, self.keep(now & ~test), depth)
             elif isinstance(s, Stop):
+                self.note(now, "stop", "")
                 self.stopped = self.keep(now if self.stopped is None else self.stopped | now)
             elif isinstance(s, Set):
                 self.assign(s, now)
+                self.note(now, "unset" if s.value is None else "set", s.space + s.name if s.value is None else F.concat_ws("=", F.lit(s.space + s.name), self.read(s.space, s.name)))
             elif isinstance(s, CallRuleset) and depth < MAX_DEPTH and s.name in self.config.rulesets:
+                self.note(now, "call", s.name)
                 self.run(self.config.rulesets[s.name], now, depth + 1)
             elif isinstance(s, Action) and s.kind == "mmjsonparse":
                 self.parse(s, now)
+                self.note(now, "action", F.concat(F.lit("mmjsonparse "), self.parsed))
             elif isinstance(s, Action):
                 self.outputs.append(F.when(now, self.output(s)))
+                self.note(now, "action", F.concat_ws(" ", F.lit(s.kind), self.outputs[-1]["label"]))
                 for name in (s.param("dynafile"),):
                     if s.kind == "omfile" and name and name not in self.config.templates:
                         self.missing.append(F.when(now, F.lit("W_TEMPLATE_MISSING")))
@@ -120,21 +132,25 @@ PROPERTIES = ("syslogpriority", "syslogpriority-text", "$second", "$now", "$now_
 _OUTPUT = "array<struct<kind:string,label:string,path:string,target:string,port:int,protocol:string>>"
 
 
-def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str | None = None) -> DataFrame:
+def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str | None = None, trace: bool = False) -> DataFrame:
     """messages (with properties) and, per message: ruleset, stopped, dropped, outputs, vars, fields, notes.
 
     ruleset is the selected one: that of the input that matches, else the default
     one, or `force` for all; null if there is none.  A selected ruleset that is
     not defined runs nothing.  vars and fields are the local variables and
-    structured fields at the end, notes the codes of what was missing.
+    structured fields at the end, notes the codes of what was missing.  With
+    trace, also the events of each message in their order.
     """
     where, named = _match(config.inputs)
     chosen = F.coalesce(F.when(where.isNotNull(), named), F.lit(config.default)) if force is None else F.lit(force)
     walk = _Walk(messages, config, f"s{suffix}_")
     chosen = walk.keep(chosen.cast("string"))
     entries = {force} if force is not None else {config.default, *(x.ruleset for x in config.inputs)}
+    walk.note(chosen.isNotNull(), "input_selected", chosen)
     for name in sorted(x for x in entries if x in config.rulesets):
-        walk.run(config.rulesets[name], walk.keep(F.coalesce(chosen == name, F.lit(False))))
+        here = walk.keep(F.coalesce(chosen == name, F.lit(False)))
+        walk.note(here, "ruleset_entered", name)
+        walk.run(config.rulesets[name], here)
     outputs = F.array_compact(F.array(*walk.outputs)) if walk.outputs else F.array().cast(_OUTPUT)
     undefined = F.when(chosen.isNotNull() & ~chosen.isin(list(config.rulesets)), F.lit("W_RULESET_MISSING"))
     pairs = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in walk.local.items()]
@@ -143,4 +159,6 @@ def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str |
         "ruleset": chosen, "stopped": F.lit(False) if walk.stopped is None else walk.stopped, "dropped": chosen.isNull(), "outputs": outputs, "vars": variables, "fields": walk.fields,
         "notes": F.array_distinct(F.array_compact(F.array(undefined, *walk.missing))),
     }
+    if trace:
+        found["trace"] = F.transform(F.array_compact(F.array(*walk.events)), lambda e, k: F.struct((k + 1).alias("step"), e["type"].alias("type"), e["message"].alias("message")))
     return walk.rows.select(*(f"`{c}`" for c in messages.columns), *(c.alias(k + suffix) for k, c in found.items()))

@@ -255,6 +255,31 @@ kern.* action(type="omfile"
 *.=debug /var/log/debug.log
 """
 
+TAGGING = """
+input(type="imudp" port="514" ruleset="tag")
+ruleset(name="tag") {
+  if $programname == "sshd" then { set $!sourcetype = "secure"; action(type="omfile" file="/a") stop }
+  set $!sourcetype = $programname;
+  if $syslogseverity < 2 then call late
+}
+ruleset(name="late") { unset $!sourcetype; action(type="omfile" file="/late") }
+"""
+TAG_RULES = """
+title: Secure
+detection: {selection: {sourcetype: secure}}
+---
+title: Scheduled
+detection: {selection: {sourcetype: cron, msg|contains: '1'}}
+---
+title: Never
+detection: {selection: {sourcetype: none}}
+"""
+
+
+def _tag_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = parse_config(TAGGING), parse_config(TAGGING.replace('"sshd"', '"sudo"').replace("< 2", "< 0"))
+    return detect.routed_fire_deltas(event_messages(spark, sf_dir), detect.parse_rules(TAG_RULES), before, after)
+
 
 def _tree(changed: dict[str, str] | None = None):
     return load_tree(overlaid(TREE, changed or {}), "/etc/router.conf")
@@ -278,6 +303,12 @@ _ASKED = """w AS (SELECT idx, ruleset IS NOT DISTINCT FROM 'main' AS a, ruleset
   UNION ALL SELECT -1, false, false, false, false),
 """
 
+_TAGGED = """t AS (SELECT *, transport = 'udp' AND port = 514 AS here FROM p),
+r AS (SELECT 0 AS rule_ord, 'Secure' AS title, count(*) FILTER (here AND programname = 'sshd') AS baseline, count(*) FILTER (here AND programname = 'sudo') AS overlay FROM t
+  UNION ALL SELECT 1, 'Scheduled', count(*) FILTER (here AND programname = 'cron' AND contains(msg, '1') AND pri % 8 >= 2), count(*) FILTER (here AND programname = 'cron' AND contains(msg, '1')) FROM t
+  UNION ALL SELECT 2, 'Never', 0, 0)
+"""
+
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "replay_per_output": (lambda s, d: replay.per_output(_evaluated(s, d), None), _routed() + "x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"),
@@ -413,6 +444,18 @@ x AS (SELECT 1) SELECT 't' || idx AS test, a AND b AND c AND d AS passed,
   concat_ws(',', CASE WHEN NOT b THEN 'dropped' END, CASE WHEN NOT d THEN 'localVars.team' END, CASE WHEN idx < 0 THEN 'message' END, CASE WHEN NOT c THEN 'outputsContains' END, CASE WHEN NOT a THEN 'ruleset' END) AS failures FROM w"""),
     "config_test_summary": (lambda s, d: expect.summary(expect.results(_checks(s, d))), _routed() + _ASKED + """
 x AS (SELECT a AND b AND c AND d AS passed FROM w) SELECT count(*) AS total, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS failed FROM x"""),
+    "routed_fire_deltas": (_tag_deltas, _M + _TAGGED + """
+SELECT *, overlay - baseline AS delta, CASE WHEN baseline = 0 THEN CASE WHEN overlay = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE END ELSE floor(CAST((overlay - baseline) * 1000 AS DOUBLE) / baseline + 0.5) / 10 END AS pct FROM r"""),
+    "regression_gate": (lambda s, d: detect.regression_gate(_tag_deltas(s, d)), _M + _TAGGED + "SELECT count(*) FILTER (overlay < baseline) AS regressions, count(*) FILTER (overlay < baseline) = 0 AS passed FROM r"),
+    "route_gate": (lambda s, d: replay.route_gate(_compared(s, d), most_pct=0.0), _both() + """
+SELECT count(*) FILTER (a.s <> b.s) AS changed, count(*) AS processed, count(*) FILTER (a.s <> b.s) * 100.0::DOUBLE / count(*) AS pct, count(*) FILTER (a.s <> b.s) = 0 AS passed FROM a JOIN b USING (idx)"""),
+    "trace_events": (lambda s, d: replay.trace_events(evaluate(event_messages(s, d), parse_config(TAGGING), trace=True)).withColumn("step", F.col("step").cast("long")), _M + """
+t AS (SELECT *, programname = 'sshd' AS ssh, pri % 8 < 2 AS low FROM p WHERE transport = 'udp' AND port = 514),
+e AS (SELECT idx, unnest(CASE WHEN ssh THEN [0, 1, 2, 3, 4, 5] WHEN low THEN [0, 1, 2, 6, 7, 8, 9, 10] ELSE [0, 1, 2, 6, 7] END) AS k, ssh, low, programname FROM t)
+SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY k) AS step,
+  ['input_selected', 'ruleset_entered', 'condition_eval', 'set', 'action', 'stop', 'set', 'condition_eval', 'call', 'unset', 'action'][k + 1] AS type,
+  CASE k WHEN 0 THEN 'tag' WHEN 1 THEN 'tag' WHEN 2 THEN CAST(ssh AS VARCHAR) WHEN 3 THEN '$!sourcetype=secure' WHEN 4 THEN 'omfile /a' WHEN 5 THEN '' WHEN 6 THEN '$!sourcetype=' || programname
+    WHEN 7 THEN CAST(low AS VARCHAR) WHEN 8 THEN 'late' WHEN 9 THEN '$!sourcetype' ELSE 'omfile /late' END AS message FROM e"""),
     "config_search": (lambda s, d: catalog.search(_config_lines(s), "ACTION"), """
 SELECT * FROM (VALUES (0, 9, 'if $programname == "kernel" then { action(type="omfile" file="/var/log/kern.log") stop }')) AS t(doc_id, line, snippet)"""),
 }
