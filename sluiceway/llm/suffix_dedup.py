@@ -5,9 +5,10 @@ GRAM-byte strings: equal windows have equal minimizers, so they meet in one
 shard wherever they stand.  Neighbouring windows with one minimizer travel as
 one string, so a byte is sent about three times, compressed.  Equal strings
 collapse within each chunk of documents before they are sent, so a shard gets
-one copy from a chunk however common a string is, and within the shard again; where different strings share a minimizer, their
-suffixes are sorted by induction and windows with a common prefix of WINDOW
-bytes compared by place.  A minimizer whose different strings outgrow a worker
+one copy from a chunk however common a string is, and within the shard again;
+where different strings share a minimizer, the suffixes of what may be a repeat
+in them (windows whose hash comes twice) are sorted by induction and windows
+with a common prefix of WINDOW bytes compared by place.  A minimizer whose different strings outgrow a worker
 is dealt anew, window by window, by plain aggregation; the result is the same.
 """
 
@@ -32,6 +33,8 @@ WINDOW, GRAM = 100, 24
 #: Text bytes expanded at once, bytes sorted at once, distinct bytes a worker may hold.
 CHUNK, BLOCK, HOLD = 8 << 20, 4 << 20, 96 << 20
 SHARD_BYTES = 12 << 20
+#: Bytes whose windows are hashed at once.
+STEP = 1 << 20
 _B = U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -165,17 +168,68 @@ def _found(rows: list[tuple], overflow: list[bytes | None] | None = None) -> pa.
     return pa.RecordBatch.from_arrays([*cols, pa.array(overflow or [None] * len(rows), pa.binary())], names=["doc", "mark", "s", "e", "overflow"])
 
 
+def window_hashes(d: np.ndarray, window: int) -> np.ndarray:
+    """Hashes of the `window`-byte strings of d, put together from strings of doubling length."""
+    h, size, left = BYTE_VALUE[d], 1, window
+    out, done = None, 0
+    while left:
+        if left & 1:
+            rest = h[done:]
+            out = rest if out is None else out[: len(rest)] * _power(size) + rest
+            done += size
+        left >>= 1
+        if left:
+            h = h[:-size] * _power(size) + h[size:]
+            size *= 2
+    return mix(out.copy())
+
+
+def suspects(strings: list[tuple[bytes, tuple[int, int, int]]], window: int) -> list[tuple[bytes, tuple[int, int, int]]]:
+    """The stretches of strings whose windows have a hash that comes more than once.
+
+    No other window can be a repeat, so only these need a suffix order; it
+    decides, hashes being equal by chance too.  Many different strings around one
+    common passage come down to little.
+    """
+    t = np.frombuffer(b"".join(s for s, _ in strings), np.uint8)
+    size = np.array([len(s) for s, _ in strings])
+    begin = np.cumsum(size) - size
+    if len(t) < window:
+        return []
+    h = np.concatenate([window_hashes(t[k : k + STEP + window - 1], window) for k in range(0, len(t) - window + 1, STEP)])
+    inner = np.zeros(len(t) + 1, np.int32)
+    fit = size >= window
+    np.add.at(inner, begin[fit], 1)
+    np.add.at(inner, (begin + size - window + 1)[fit], -1)
+    at = np.flatnonzero(np.cumsum(inner)[: len(h)] > 0)
+    h = h[at]
+    ordered = np.sort(h)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return []
+    again = again[np.append(True, again[1:] != again[:-1])]
+    hit = at[again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h]
+    owner = np.searchsorted(begin, hit, "right") - 1
+    cut = np.flatnonzero((hit[1:] != hit[:-1] + 1) | (owner[1:] != owner[:-1])) + 1
+    heads, tails = np.append(0, cut), np.append(cut, len(hit)) - 1
+    out = []
+    for k, a, b in zip(owner[heads].tolist(), (hit - begin[owner])[heads].tolist(), (hit - begin[owner])[tails].tolist()):
+        text, (doc, mark, start) = strings[k]
+        out.append((text[a : b + window], (doc, mark, start + a)))
+    return out
+
+
 def repeats_in(strings: list[tuple[bytes, tuple[int, int, int]]], window: int) -> Iterator[tuple[int, int, int, int]]:
     """(document, mark, start, end) of runs of windows that stand earlier in the same strings.
 
-    strings: bytes and place (document, mark, start); all different bytes.
+    strings: bytes and place (document, mark, start); no window stands in two of them.
     """
+    strings = suspects(strings, window)
+    if not strings:
+        return
     t = np.frombuffer(b"".join(s for s, _ in strings), np.uint8)
     size = np.array([len(s) for s, _ in strings])
     begin = np.cumsum(size) - size
-    places = sorted(range(len(strings)), key=lambda k: strings[k][1])
-    rank = np.zeros(len(strings), np.int64)
-    rank[places] = np.arange(len(strings))
     owner = np.repeat(np.arange(len(strings)), size)
     inside = np.arange(len(t)) - begin[owner]
     order = suffix_array(t, window)

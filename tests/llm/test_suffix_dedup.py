@@ -100,3 +100,22 @@ def test_common_string_long_text_and_clashing_columns(texts):
         want[k] = (len(raw), sum(cut), hashlib.sha256(bytes(b for b, c in zip(raw, cut) if not c)).hexdigest())
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in remove_repeats(docs).collect()}
     assert got == want
+
+
+def test_only_windows_that_may_repeat_are_sorted():
+    r = np.random.default_rng(3)
+    line = bytes(r.integers(97, 123, 60).astype(np.uint8))
+    strings = []
+    for k in range(300):
+        around = bytes(r.integers(97, 123, 80).astype(np.uint8))
+        strings.append((around[:40] + line + around[40:], (k, 0, 5 * k)))
+    assert suffix_dedup.suspects(strings, 100) == []
+    common = b"x" * 10 + line + b"y" * 40
+    strings += [(common + b"1" * 30, (900, 0, 7)), (b"2" * 30 + common, (901, 0, 9)), (b"short", (902, 0, 0))]
+    assert suffix_dedup.suspects(strings, 100) == [(common, (900, 0, 7)), (common, (901, 0, 39))]
+    assert list(suffix_dedup.repeats_in(strings, 100)) == [(901, 0, 39, 149)]
+    for window in (1, 2, 3, 7, 100):
+        d = r.integers(97, 99, 300).astype(np.uint8)
+        h = suffix_dedup.window_hashes(d, window)
+        seen: dict[bytes, int] = {}
+        assert len(h) == 301 - window and all(seen.setdefault(d[k : k + window].tobytes(), int(h[k])) == h[k] for k in range(len(h))) and len(set(seen.values())) == len(seen)
