@@ -15,6 +15,7 @@ from sluiceway.llm.lm_score import score_documents
 from sluiceway.llm.mixing import mix_sources
 from sluiceway.llm.mixing import oracle as mixing_sql
 from sluiceway.llm.near_dup import near_duplicates
+from sluiceway.llm.packing import pack_documents
 from sluiceway.llm.pii import DEMO_KEY, SETTING, pseudonymise
 from sluiceway.llm.suffix_dedup import remove_repeats
 from sluiceway.llm.toxicity import score_toxicity
@@ -74,8 +75,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each piece of each document in sequences of 4,096 ids; see pack_documents."""
+    import public_tokenizers
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
