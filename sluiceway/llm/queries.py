@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from sluiceway.llm.ann import nearest
 from sluiceway.llm.chat import oracle as chat_sql
 from sluiceway.llm.chat import render_conversations
+from sluiceway.llm.collocations import collocations
+from sluiceway.llm.collocations import oracle as collocations_sql
 from sluiceway.llm.decontam import find_leaks
+from sluiceway.llm.hard_negatives import mine_hard_negatives
+from sluiceway.llm.hard_negatives import oracle as hard_negatives_sql
 from sluiceway.llm.langid import identify
 from sluiceway.llm.lm_score import score_documents
 from sluiceway.llm.mixing import mix_sources
@@ -75,6 +79,16 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language; see collocations."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives beside each anchor's positives; see mine_hard_negatives."""
+    return mine_hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each piece of each document in sequences of 4,096 ids; see pack_documents."""
     import public_tokenizers
@@ -83,8 +97,8 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language, op13_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_chat, op4_near_duplicates, op5_mixing, op6_toxicity, op7_ann, op8_decontamination, op9_pii, op10_language, op11_collocations, op12_hard_negatives, op13_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat_sql(), "op5_mixing": mixing_sql()}
+    return {"op3_chat": chat_sql(), "op5_mixing": mixing_sql(), "op11_collocations": collocations_sql(), "op12_hard_negatives": hard_negatives_sql()}
