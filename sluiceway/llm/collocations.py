@@ -110,7 +110,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, list[st
         known = names.dictionary.to_pylist()
         code = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in known] or [0], U64)
         data, offsets = flat(b.column(0))
-        for i, j in ranges(offsets, 8 << 20):
+        for i, j in ranges(offsets, 4 << 20):
             yield Pieces(data, offsets, i, j, code[own]), known, own
 
 

@@ -62,7 +62,7 @@ def test_odd_rows_ties_and_dimensions(spark):
 
 def test_scores_that_doubles_cannot_hold(spark):
     r = np.random.default_rng(4)
-    rows = [(k, int(k % 3), [float(2.0**25 + x) for x in r.integers(0, 2**20, 3)]) for k in range(0, 130)]
+    rows = [(k, int(k % 3), (2.0**20 * r.uniform(0.3, 1, 3)).tolist()) for k in range(0, 130)]
     rows += [(k, int(k % 3), [1e300, -1e290, 3.0]) for k in range(150, 156)]
     want = brute(rows)
     assert any(x[4] > 2**53 and x[4] % 2 for x in want) and got(spark, rows) == want
