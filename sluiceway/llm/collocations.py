@@ -13,6 +13,7 @@ the scores apply.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -30,7 +31,9 @@ LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 #: Cells of a sketch's row: a power of two, about one for eight words, at most this many (a bitmap of 32 MB).
 CELLS = 1 << 28
 #: Characters of the candidates of one automaton (some 60 bytes each), and of the text that one group scans.
-SHARD_CHARS, GROUP_CHARS = 3 << 20, 8 << 20
+SHARD_CHARS, GROUP_CHARS = 4 << 20, 8 << 20
+#: Bytes of text that are cut into words at once, and hashes that are counted at once.
+CHUNK, COUNTED = 2 << 20, 2 << 20
 _BLOCK = 1 << 16
 
 #: 1: blank, 2: between pieces, 0: in a word.
@@ -110,7 +113,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Pieces, list[st
         known = names.dictionary.to_pylist()
         code = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in known] or [0], U64)
         data, offsets = flat(b.column(0))
-        for i, j in ranges(offsets, 4 << 20):
+        for i, j in ranges(offsets, CHUNK):
             yield Pieces(data, offsets, i, j, code[own]), known, own
 
 
@@ -138,17 +141,27 @@ def _cell(h: np.ndarray, row: int, cells: int) -> np.ndarray:
 def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
     """The next filter: counts of cells by task, summed by blocks of cells; those that reach LEAST are set."""
 
+    def cells_of(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate(hashes)
+        for row in (0, 1):
+            cell, n = np.unique(_cell(h, row, cells), return_counts=True)
+            block, first = np.unique(cell // _BLOCK, return_index=True)
+            cell, n, first = (cell % _BLOCK).astype(np.uint16), n.astype(np.uint32), np.append(first, len(cell))
+            yield pa.RecordBatch.from_arrays([pa.array((row * (cells // _BLOCK) + block).astype(np.int64)), _cut(cell, first), _cut(n, first)], ["block", "cells", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = [f.value for f in filters]
+        before, hashes, held = [f.value for f in filters], [], 0
+        level = len(before) + 1
         for pieces, _, _ in _chunks(batches):
-            found = pieces.phrases(before)
-            level = len(before) + 1
-            h = np.concatenate([g[may] for n, (g, may) in enumerate(found, 1) if n == level or n > level == 3])
-            for row in (0, 1):
-                cell, n = np.unique(_cell(h, row, cells), return_counts=True)
-                block, first = np.unique(cell // _BLOCK, return_index=True)
-                cell, n, first = (cell % _BLOCK).astype(np.uint16), n.astype(np.uint32), np.append(first, len(cell))
-                yield pa.RecordBatch.from_arrays([pa.array((row * (cells // _BLOCK) + block).astype(np.int64)), _cut(cell, first), _cut(n, first)], ["block", "cells", "counts"])
+            for n, (g, may) in enumerate(pieces.phrases(before), 1):
+                if n == level or n > level == 3:
+                    hashes.append(g[may])
+                    held += len(hashes[-1])
+            if held > COUNTED:
+                yield from cells_of(hashes)
+                hashes, held = [], 0
+        if held:
+            yield from cells_of(hashes)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -177,57 +190,74 @@ def _cut(values: np.ndarray, first: np.ndarray) -> pa.Array:
 # --- candidates and the text they can lie in -----------------------------------------
 
 
-def _dealt(first: np.ndarray, size: np.ndarray, owner: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of text by shard: with one shard all, else those within LONGEST words from a word of the shard on."""
-    if shards == 1:
-        return first, size, np.zeros(len(first), np.int64)
-    bounds = np.cumsum(size) - size
-    word = np.arange(int(size.sum())) + np.repeat(first - bounds, size)
-    stop = np.minimum(word + LONGEST, np.repeat(first + size, size))
-    order = np.argsort(owner[word], kind="stable")
-    word, stop = word[order], stop[order]
-    fresh = np.ones(len(word), bool)
-    fresh[1:] = (owner[word[1:]] != owner[word[:-1]]) | (word[1:] >= stop[:-1])
-    begin = np.flatnonzero(fresh)
-    last = np.append(begin[1:], len(word)) - 1
-    return word[begin], stop[last] - word[begin], owner[word[begin]]
-
-
-def _pieces_of(docs: DataFrame, filters: list, shards: int) -> DataFrame:
-    """kind, shard, lang, phrase, weight: candidates (0), stretches of text and how often each comes (1), numbers of words (2), by batch."""
+def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
+    """kind, lang, phrase, weight: candidates of two words and more (0), once a task; stretches of text and how often each comes (1) and numbers of words (2), by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = [f.value for f in filters]
-        for pieces, names, own in _chunks(batches):
-            found = pieces.phrases(before)
-            owner = (pieces.hash >> U64(7)).astype(np.int64) % shards if shards > 1 else np.zeros(len(pieces.hash), np.int64)
-            lang = own[pieces.doc]
-            first, size = [], []
-            for n, (g, may) in enumerate(found, 1):
-                some = np.flatnonzero(may)
-                some = some[np.unique(g[some], return_index=True)[1]]
-                first.append(some)
-                size.append(np.full(len(some), n))
-            first, size = np.concatenate(first), np.concatenate(size)
-            yield _rows(0, owner[first], pc.take(pa.array(names), pa.array(lang[first])), pieces.strings(first, size), np.zeros(len(first), np.int64))
-            # A stretch goes on as long as pairs may be frequent; a word alone may be, too.
-            may, tied = found[0][1], np.append(found[1][1], False)
-            opens = np.flatnonzero(may & ~np.append(False, tied[:-1])[: len(may)])
-            closes = np.flatnonzero(may & ~tied[: len(may)])
-            first, size, shard = _dealt(opens, closes - opens + 1, owner, shards)
-            texts = pieces.strings(first, size).dictionary_encode()
-            key = (texts.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + lang[first]) * shards + shard
-            key, n = np.unique(key, return_counts=True)
-            yield _rows(1, key % shards, pc.take(pa.array(names), pa.array(key // shards % len(names))), texts.dictionary.take(pa.array(key // shards // len(names))), n)
-            key, n = np.unique(lang, return_counts=True)
-            yield _rows(2, np.zeros(len(key), np.int64), pc.take(pa.array(names), pa.array(key)), pa.array([""] * len(key), pa.string()), n)
-
-    return docs.select("text", "lang").mapInArrow(run, "kind int, shard int, lang string, phrase string, weight long")
-
-
-def _rows(kind: int, shard: np.ndarray, lang: pa.Array, phrase: pa.Array, weight: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(phrase), kind, np.int32)), pa.array(shard.astype(np.int32)), lang.cast(pa.string()), phrase, pa.array(weight.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "shard", "lang", "phrase", "weight"])
+        before, seen = [f.value for f in filters], np.zeros(0, U64)
+        for b in batches:
+            texts, langs, names = [], [], []
+            for pieces, names, own in _chunks(iter([b])):
+                found = pieces.phrases(before)
+                lang = own[pieces.doc]
+                first, size, fresh = [], [], []
+                for n, (g, may) in enumerate(found[1:], 2):
+                    some = np.flatnonzero(may)
+                    some = some[np.unique(g[some], return_index=True)[1]]
+                    some = some[~np.isin(g[some], seen)]
+                    first.append(some)
+                    size.append(np.full(len(some), n))
+                    fresh.append(g[some])
+                seen = np.concatenate([seen, *fresh])
+                first, size = np.concatenate(first), np.concatenate(size)
+                yield _rows(0, pc.take(pa.array(names), pa.array(lang[first])), pieces.strings(first, size), np.zeros(len(first), np.int64))
+                # A stretch goes on as long as pairs may be frequent; a word alone may be, too.
+                may, tied = found[0][1], np.append(found[1][1], False)
+                opens = np.flatnonzero(may & ~np.append(False, tied[:-1])[: len(may)])
+                closes = np.flatnonzero(may & ~tied[: len(may)])
+                texts.append(pieces.strings(opens, closes - opens + 1))
+                langs.append(lang[opens])
+                key, n = np.unique(lang, return_counts=True)
+                yield _rows(2, pc.take(pa.array(names), pa.array(key)), pa.array([""] * len(key), pa.string()), n)
+            if texts:
+                whole = pa.concat_arrays(texts).dictionary_encode()
+                key = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + np.concatenate(langs)
+                key, n = np.unique(key, return_counts=True)
+                yield _rows(1, pc.take(pa.array(names), pa.array(key % len(names))), whole.dictionary.take(pa.array(key // len(names))), n)
+
+    return docs.select("text", "lang").mapInArrow(run, "kind int, lang string, phrase string, weight long")
+
+
+def _rows(kind: int, lang: pa.Array, phrase: pa.Array, weight: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array(np.full(len(phrase), kind, np.int32)), lang.cast(pa.string()), phrase, pa.array(weight.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "lang", "phrase", "weight"])
+
+
+def _windows(words: list[str], shards: int) -> Iterator[tuple[int, str]]:
+    """A stretch of text by shard: what lies within LONGEST words from a word of the shard on, overlaps as one."""
+    parts: dict[int, list[list[int]]] = {}
+    for k, w in enumerate(words):
+        own = parts.setdefault(zlib.crc32(w.encode()) % shards, [])
+        stop = min(k + LONGEST, len(words))
+        if own and k < own[-1][1]:
+            own[-1][1] = stop
+        else:
+            own.append([k, stop])
+    for shard, spans in parts.items():
+        for i, j in spans:
+            yield shard, " ".join(words[i:j])
+
+
+def _cut_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, weight, shards: to shard, lang, phrase, weight; a language of one shard stays as it is."""
+    for b in batches:
+        shards = b.column(3).to_numpy()
+        alone = np.flatnonzero(shards == 1)
+        one = b.take(pa.array(alone))
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(alone), np.int32)), *one.columns[:3]], ["shard", "lang", "phrase", "weight"])
+        rows = [(s, r["lang"], p, r["weight"]) for r in b.take(pa.array(np.flatnonzero(shards > 1))).to_pylist() for s, p in _windows(r["phrase"].split(" "), r["shards"])]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64()))], ["shard", "lang", "phrase", "weight"])
 
 
 # --- the scan ------------------------------------------------------------------
@@ -241,11 +271,12 @@ class Scanner:
         self.automaton = ahocorasick.Automaton()
         for k, p in enumerate(phrases):
             self.automaton.add_word(f" {p} ", k)
-        self.automaton.make_automaton()
+        if phrases:
+            self.automaton.make_automaton()
 
     def scan(self, texts: list[str], weights: np.ndarray) -> None:
         """All occurrences, overlapping ones too; texts of one weight are scanned as one, with a line break between."""
-        order = np.argsort(weights, kind="stable")
+        order = np.argsort(weights, kind="stable") if self.phrases else weights[:0]
         for some in np.split(order, np.flatnonzero(np.diff(weights[order])) + 1):
             line = " " + " \n ".join([texts[k] for k in some]) + " "
             hits = Counter(map(itemgetter(1), self.automaton.iter(line)))
@@ -255,14 +286,14 @@ class Scanner:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of shard, salt, kind, lang: a group's candidates come before its texts."""
+    """Rows in the order of lang, shard, salt, kind: a group's candidates come before its texts."""
     group: tuple | None = None
-    phrases: dict[str, list[str]] = {}
-    scanner: tuple[str, Scanner] | None = None
+    phrases: list[str] = []
+    scanner: Scanner | None = None
 
     def counted() -> Iterator[pa.RecordBatch]:
-        if scanner is not None and (hit := np.flatnonzero(scanner[1].counts)).size:
-            yield pa.RecordBatch.from_pydict({"lang": [scanner[0]] * len(hit), "phrase": [scanner[1].phrases[k] for k in hit], "n": scanner[1].counts[hit]})
+        if scanner is not None and (hit := np.flatnonzero(scanner.counts)).size:
+            yield pa.RecordBatch.from_pydict({"lang": [group[0]] * len(hit), "phrase": [scanner.phrases[k] for k in hit], "n": scanner.counts[hit]})
 
     for b in batches:
         shard, salt, kind, weight = (b.column(k).to_numpy() for k in (0, 1, 2, 5))
@@ -272,19 +303,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in zip([0, *change], [*change, len(shard)]):
             if i == j:
                 continue
-            if group != (shard[i], salt[i]):
+            if group != (known[lang[i]], shard[i], salt[i]):
                 yield from counted()
-                group, phrases, scanner = (shard[i], salt[i]), {}, None
-            name, texts = known[lang[i]], b.column(4).slice(i, j - i).to_pylist()
+                group, phrases, scanner = (known[lang[i]], shard[i], salt[i]), [], None
+            texts = b.column(4).slice(i, j - i).to_pylist()
             if kind[i] == 0:
-                phrases.setdefault(name, []).extend(texts)
-            elif name in phrases:
-                if scanner is None or scanner[0] != name:
-                    yield from counted()
-                    scanner = (name, Scanner(phrases.pop(name)))
-                scanner[1].scan(texts, weight[i:j])
-            elif scanner is not None and scanner[0] == name:
-                scanner[1].scan(texts, weight[i:j])
+                phrases += texts
+                continue
+            if scanner is None:
+                scanner = Scanner(phrases)
+            scanner.scan(texts, weight[i:j])
     yield from counted()
 
 
@@ -296,21 +324,24 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     filters = []
     for _ in range(3):
         filters.append(spark.sparkContext.broadcast(_level(docs, cells, filters)))
-    # Set cells of a row are at most as many as candidates, but for cells that share; some 16 characters each.
-    likely = sum(int(np.bitwise_count(f.value.bits[0]).sum()) for f in filters) * 16
-    shards = -(-max(likely, 1) // SHARD_CHARS)
-    rows = materialize(_pieces_of(docs, filters, shards), "phrases")
+    rows = materialize(_pieces_of(docs, filters), "phrases")
     for f in filters:
         f.destroy()
-    texts = rows.filter("kind = 1").select("shard", "kind", "lang", "phrase", "weight")
-    # One row a shard.
-    sizes = texts.groupBy("shard").agg(F.sum(F.octet_length("phrase")).alias("size"))
-    salts = F.greatest(F.ceil(F.col("size") / GROUP_CHARS), F.lit(-(-16 // shards))).cast("int")
-    dealt = spark.createDataFrame(sizes.select("shard", salts.alias("salts")).collect(), "shard int, salts int")
-    candidates = rows.filter("kind = 0").select("shard", "kind", "lang", "phrase", "weight").distinct().join(F.broadcast(dealt), "shard")
-    copies = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "kind", "lang", "phrase", "weight")
-    salted = texts.join(F.broadcast(dealt), "shard").select("shard", F.pmod(F.xxhash64("lang", "phrase"), F.col("salts")).cast("int").alias("salt"), "kind", "lang", "phrase", "weight")
-    together = copies.unionByName(salted).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "lang")
+    found = rows.filter("kind = 0").select("lang", "phrase").distinct()
+    words = found.select("lang", F.explode(F.split("phrase", " ", -1)).alias("phrase")).distinct()
+    candidates = materialize(found.unionByName(words), "candidates")
+    stretches = rows.filter("kind = 1").select("lang", "phrase", "weight")
+    # One row a language: its automata, and the groups that share the text of each.
+    chars = candidates.groupBy("lang").agg(F.ceil(F.sum(F.length("phrase") + 2) / SHARD_CHARS).cast("int").alias("shards"))
+    sizes = stretches.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 1).alias("size"))
+    copies_of_text = F.least(F.col("shards"), F.lit(LONGEST)) / F.col("shards")
+    deal = materialize(chars.join(sizes, "lang").select("lang", "shards", F.greatest(F.lit(1), F.ceil(F.col("size") * copies_of_text / GROUP_CHARS)).cast("int").alias("salts")), "deal")
+    first = F.substring_index("phrase", " ", 1)
+    shard = F.when(F.col("shards") == 1, 0).otherwise(F.crc32(first.cast("binary")) % F.col("shards")).cast("int")
+    copies = candidates.join(deal, "lang").select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "lang", "phrase", F.lit(0).cast("long").alias("weight"))
+    cut = stretches.join(deal.select("lang", "shards"), "lang").select("lang", "phrase", "weight", "shards").mapInArrow(_cut_by_shard, "shard int, lang string, phrase string, weight long")
+    salted = cut.join(deal.select("lang", "salts"), "lang").select("shard", F.pmod(F.xxhash64("phrase"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "lang", "phrase", "weight")
+    together = copies.unionByName(salted).repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "kind")
     counts = together.mapInArrow(_scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
     return materialize(counts, "counts"), rows.filter("kind = 2").groupBy("lang").agg(F.sum("weight").alias("n"))
 
