@@ -10,13 +10,16 @@ import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
+import regex
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
-from sluiceway.model import Call, Config, Lit, Op, Ref
+from sluiceway.model import Call, Config, Lit, Lookup, Op, Ref
 
 # syslog's names.
 FACILITIES = ("kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console solaris-cron " "local0 local1 local2 local3 local4 local5 local6 local7").split()
@@ -82,12 +85,47 @@ def groups(pattern: str) -> int:
     return SparkSession.getActiveSession()._jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
 
 
-def matches(s: Column, pattern: Typed) -> Column:
-    if isinstance(pattern.literal, str):
-        p = safe_pattern(pattern.literal)
-        return F.lit(False) if not p else s.rlike(p)
-    p = as_str(pattern)
-    return (F.length(p) > 0) & F.regexp_like(s, p)
+#: Seconds after which a pattern of a message is given up for it.
+PATTERN_SECONDS = 2.0
+
+
+@lru_cache(maxsize=4096)
+def _compiled(pattern: str):
+    """A pattern as one, or None; each worker compiles each distinct one once while it is in use."""
+    try:
+        return regex.compile(pattern)
+    except (regex.error, OverflowError, RecursionError):
+        return None
+
+
+def _hit(text: str | None, pattern: str | None) -> bool | None:
+    compiled = _compiled(pattern) if pattern else None
+    try:
+        return compiled is not None and compiled.search(text or "", timeout=PATTERN_SECONDS) is not None
+    except TimeoutError:
+        return None
+
+
+def _group(text: str | None, pattern: str | None, group: str, miss: str) -> str | None:
+    compiled = _compiled(pattern or "")
+    try:
+        found = compiled.search(text or "", timeout=PATTERN_SECONDS) if compiled is not None else None
+    except TimeoutError:
+        return None
+    k = int(group) if group.isdigit() else 0
+    return miss if found is None or k > compiled.groups or found[k] is None else found[k]
+
+
+def dynamic_match(text: Column, pattern: Column) -> Column:
+    """Whether a pattern that is no literal is found: false if it is none or empty, null if it takes too long."""
+    udf = F.pandas_udf(lambda s, p: pd.Series([_hit(a, b) for a, b in zip(s, p)], dtype=object), BooleanType())
+    return udf(text, pattern)
+
+
+def dynamic_extract(text: Column, pattern: Column, group: Column, miss: Column) -> Column:
+    """A group of the first match of a pattern that is no literal, or `miss`; null if it takes too long."""
+    udf = F.pandas_udf(lambda s, p, g, m: pd.Series([_group(*x) for x in zip(s, p, g, m)], dtype=object), StringType())
+    return udf(text, pattern, group, miss)
 
 
 def prifilt(spec: str, facility: Column, severity: Column) -> Column:
@@ -160,8 +198,11 @@ def modified(s: Column, modifiers: str) -> Column:
 class Compiler:
     """Compiles expressions; `read` gives the column of a name in the present state."""
 
-    def __init__(self, config: Config, read: Callable[[str, str], Column], facility: Column, severity: Column) -> None:
-        self.config, self.read, self.facility, self.severity = config, read, facility, severity
+    def __init__(self, config: Config, read: Callable[[str, str], Column], facility: Column, severity: Column, keep: Callable[[Column], Column], attach: Callable[[Lookup, Column], Column]) -> None:
+        """keep: makes a value a column of its own; attach: the value of a key in a lookup table that is a frame."""
+        self.config, self.read, self.facility, self.severity, self.keep, self.attach = config, read, facility, severity, keep, attach
+        #: Values that are null where they could not be found.
+        self.open: list[Column] = []
 
     def __call__(self, e: object) -> Typed:
         if isinstance(e, Lit):
@@ -176,6 +217,18 @@ class Compiler:
             return self.call(e)
         return self.operation(e)
 
+    def decided(self, value: Column, otherwise: Column) -> Column:
+        """A value that may fail to be found for a message."""
+        value = self.keep(value)
+        self.open.append(value)
+        return F.coalesce(value, otherwise)
+
+    def matches(self, s: Column, pattern: Typed) -> Column:
+        if isinstance(pattern.literal, str):
+            p = safe_pattern(pattern.literal)
+            return F.lit(False) if not p else s.rlike(p)
+        return self.decided(dynamic_match(s, as_str(pattern)), F.lit(False))
+
     def operation(self, e: Op) -> Typed:
         args = [self(a) for a in e.args]
         if e.op == "not":
@@ -189,7 +242,7 @@ class Compiler:
             same = as_str(a) == as_str(b)
             return Typed("bool", same if e.op == "==" else ~same)
         if e.op in ("=~", "!~"):
-            hit = matches(as_str(a), b)
+            hit = self.matches(as_str(a), b)
             return Typed("bool", hit if e.op == "=~" else ~hit)
         if e.op in ("<", "<=", ">", ">="):
             compare = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}[e.op]
@@ -218,6 +271,8 @@ class Compiler:
             if table is None or not table.loaded:
                 return Typed("str", F.lit(""))
             miss = F.lit(table.nomatch or "")
+            if table.rows is not None:
+                return Typed("str", F.coalesce(self.attach(table, s[1]), miss))
             if not table.entries:
                 return Typed("str", miss)
             pairs = F.create_map(*(F.lit(x) for kv in table.entries.items() for x in kv))
@@ -228,22 +283,26 @@ class Compiler:
         if e.name == "getenv":
             return Typed("str", F.lit(os.environ.get(str(args[0].literal), "")))
         if e.name == "re_match":
-            return Typed("bool", matches(s[0], args[1]))
+            return Typed("bool", self.matches(s[0], args[1]))
         if e.name == "re_extract":
-            if not isinstance(args[1].literal, str) or args[3].literal is None:
-                return Typed("str", s[4])
-            pattern, group = safe_pattern(args[1].literal), int(float(args[3].literal))
-            if not pattern or group > groups(pattern):
+            s += [F.lit(""), F.lit(""), F.lit("0"), F.lit("0"), F.lit("")][len(s) :]
+            literal = [args[k].literal if k < len(args) else 0.0 for k in (1, 3)]
+            if not isinstance(literal[0], str) or literal[1] is None:
+                group = F.coalesce(F.nullif(F.regexp_extract(s[3], r"^\s*(\d{1,9})", 1), F.lit("")), F.lit("0"))
+                return Typed("str", self.decided(dynamic_extract(s[0], s[1], group, s[4]), s[4]))
+            number_ = re.match(r"\s*\d+", str(literal[1]))
+            pattern, group = safe_pattern(literal[0]), int(number_[0]) if number_ else 0
+            if pattern is None or group > groups(pattern):
                 return Typed("str", s[4])
+            # A group that takes no part is null here and empty there; only a pattern with choices has such.
             return Typed("str", F.when(s[0].rlike(pattern), F.regexp_extract(s[0], pattern, group)).otherwise(s[4]))
         if e.name == "field":
-            delimiter = str(args[1].literal)
-            k = F.greatest(n(2, 1.0).cast("int"), F.lit(1))
-            parts = F.split(s[0], re.sub(r"([^\w\s])", r"\\\1", delimiter), -1)
-            return Typed("str", F.coalesce(F.get(parts, k - 1), F.lit("")) if delimiter else s[0])
+            k = F.coalesce(F.nullif(n(2, 1.0).try_cast("int"), F.lit(0)), F.lit(1))
+            part = F.when((F.length(s[1]) > 0) & (k > 0), F.split_part(s[0], F.nullif(s[1], F.lit("")), F.greatest(k, F.lit(1)))).when(F.length(s[1]) > 0, "").otherwise(s[0])
+            return Typed("str", part)
         simple = {
             "tolower": lambda: ("str", F.lower(s[0])), "toupper": lambda: ("str", F.upper(s[0])), "strlen": lambda: ("num", F.length(s[0]).cast("double")),
-            "cnum": lambda: ("num", n(0)), "cstr": lambda: ("str", s[0]), "replace": lambda: ("str", F.replace(s[0], s[1], s[2])),
+            "cnum": lambda: ("num", n(0)), "cstr": lambda: ("str", s[0]), "replace": lambda: ("str", F.when(F.length(s[1]) > 0, F.replace(s[0], s[1], s[2])).otherwise(F.array_join(F.split(s[0], ""), s[2]))),
             "wrap": lambda: ("str", F.when(F.length(s[0]) > 0, F.concat(s[1], s[0], s[2] if len(s) > 2 else s[1])).otherwise("")),
             "substring": lambda: ("str", _slice(s[0], n(1), n(2) if len(s) > 2 else None)),
         }

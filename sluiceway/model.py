@@ -86,11 +86,12 @@ class Input:
 
 @dataclass
 class Lookup:
-    """A loaded lookup table."""
+    """A loaded lookup table: entries by key, or rows, a table of its own (see operators.enrich.Table)."""
 
     entries: dict[str, str] = field(default_factory=dict)
     nomatch: str | None = None
     loaded: bool = True
+    rows: object = None
 
 
 @dataclass

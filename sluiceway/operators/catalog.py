@@ -11,11 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.functions.distance import alignment_distance, deletions
 from sluiceway.model import Action, Call, CallRuleset, Config, If, Lit, Set, Stop
 from sluiceway.operators.targets import GELF_RESERVED, TARGETS
+from sluiceway.operators.trees import STATEMENTS, intervals, silent_drops
 
 FINDING = "config string, code string, severity string, name string, message string"
 
@@ -67,13 +69,26 @@ def references(config: Config) -> list[tuple[str, str, str]]:
     return out
 
 
-def edges(spark: SparkSession, config: Config) -> DataFrame:
-    return spark.createDataFrame([(a, b) for kind, a, b in references(config) if kind == "ruleset"] or [], "src string, dst string")
+def statement_rows(config: Config) -> list[tuple]:
+    """ruleset, id, parent, branch, ord, kind of each statement, see operators.trees."""
+    out: list[tuple] = []
+
+    def walk(name: str, body: tuple, parent: int | None, branch: str) -> None:
+        for k, s in enumerate(body):
+            here, nested = len(out), isinstance(s, If)
+            kind = {"CallRuleset": "Call"}.get(type(s).__name__, type(s).__name__)
+            out.append((name, here, parent, branch, k, "If" if nested else kind))
+            if nested:
+                walk(name, s.then, here, "then")
+                walk(name, s.other, here, "else")
+
+    for name, body in config.rulesets.items():
+        walk(name, body, None, "body")
+    return out
 
 
-def _ends(body: tuple) -> bool:
-    last = body[-1] if body else None
-    return isinstance(last, (Action, Stop, CallRuleset)) or isinstance(last, If) and bool(last.other) and _ends(last.then) and _ends(last.other)
+def edges(spark: SparkSession, config: Config) -> DataFrame:
+    return spark.createDataFrame([(a, b) for kind, a, b in references(config) if kind == "ruleset"] or [], "src string, dst string")
 
 
 def reachable(config: Config) -> set[str]:
@@ -91,8 +106,8 @@ def reachable(config: Config) -> set[str]:
 
 #: The relations of a catalog.
 RELATIONS = {
-    "uses": "config string, kind string, src string, name string", "defined": "config string, kind string, name string, reached boolean, ends boolean, loaded boolean",
-    "inputs": "config string, type string", "modules": "config string, name string", "actions": "config string, ord int, driver string, params map<string,string>", "sets": "config string, space string, name string, lookup string",
+    "uses": "config string, kind string, src string, name string", "defined": "config string, kind string, name string, reached boolean, loaded boolean",
+    "inputs": "config string, type string", "modules": "config string, name string", "actions": "config string, ord int, driver string, params map<string,string>", "sets": "config string, ord int, space string, name string, lookup string", "statements": STATEMENTS,
 }
 
 
@@ -102,18 +117,19 @@ def relations(spark: SparkSession, configs: dict[str, Config]) -> dict[str, Data
     for c, config in configs.items():
         live = reachable(config)
         rows["uses"] += [(c, *u) for u in references(config)]
-        rows["defined"] += [(c, "ruleset", n, n in live, _ends(body), True) for n, body in config.rulesets.items()]
-        rows["defined"] += [(c, "template", n, True, True, True) for n in config.templates]
-        rows["defined"] += [(c, "lookup", n, True, True, n not in config.lookups or config.lookups[n].loaded) for n in {*config.lookup_files, *config.lookups}]
+        rows["defined"] += [(c, "ruleset", n, n in live, True) for n in config.rulesets]
+        rows["defined"] += [(c, "template", n, True, True) for n in config.templates]
+        rows["defined"] += [(c, "lookup", n, True, n not in config.lookups or config.lookups[n].loaded) for n in {*config.lookup_files, *config.lookups}]
         rows["inputs"] += [(c, i.type.lower()) for i in config.inputs]
         rows["modules"] += [(c, m.lower()) for m in config.modules]
+        rows["statements"] += [(c, *r) for r in statement_rows(config)]
         for body in config.rulesets.values():
             for s in statements(body):
                 if isinstance(s, Action):
                     rows["actions"].append((c, len(rows["actions"]), (s.param("type") or s.kind).lower(), dict(s.params)))
                 if isinstance(s, Set) and s.value is not None:
                     table = s.value.args[0].value if isinstance(s.value, Call) and s.value.name == "lookup" and s.value.args and isinstance(s.value.args[0], Lit) else None
-                    rows["sets"].append((c, s.space, s.name, table))
+                    rows["sets"].append((c, len(rows["sets"]), s.space, s.name, table))
     return {k: spark.createDataFrame(v, RELATIONS[k]) for k, v in rows.items()}
 
 
@@ -137,8 +153,10 @@ def general_findings(rel: dict[str, DataFrame]) -> DataFrame:
     unused = defined.filter("kind <> 'ruleset'").join(uses, ["config", "kind", "name"], "left_anti")
     found.append(_finding(unused, F.concat(F.lit("V_UNUSED_"), F.upper("kind")), "info", "nothing uses it"))
     found.append(_finding(defined.filter("kind = 'lookup' AND NOT loaded"), "V_LOOKUP_NOT_LOADED", "warning", "its file was not found"))
-    called = uses.filter("kind = 'ruleset' AND src NOT LIKE '<%'").select("config", "name")
-    found.append(_finding(defined.filter("kind = 'ruleset' AND NOT ends AND name <> '_default_legacy'").join(called, ["config", "name"], "left_anti"), "V_SILENT_DROP", "warning", "a path ends without an action, stop or call"))
+    called = uses.filter("kind = 'ruleset' AND src NOT LIKE '<%'").select("config", F.col("name").alias("ruleset"))
+    drops = silent_drops(defined.filter("kind = 'ruleset'").select("config", F.col("name").alias("ruleset")), intervals(rel["statements"]), called)
+    found.append(_finding(drops.filter("code = 'V_SILENT_DROP'"), "V_SILENT_DROP", "warning", "a path ends without an action, stop or call", "ruleset"))
+    found.append(_finding(drops.filter("code = 'V_SILENT_DROP_BRANCH'"), "V_SILENT_DROP_BRANCH", "info", F.concat(F.lit("the "), "branch", F.lit(" branch that ends with statement "), F.col("id").cast("string"), F.lit(" has no action, stop or call there")), "ruleset"))
     p = lambda k: F.try_element_at("params", F.lit(k))
     actions = rel["actions"]
     place = F.when(F.col("driver") == "omfile", F.coalesce(F.concat(F.lit("dyna("), p("dynafile"), F.lit(")")), p("file"))).when((F.col("driver") == "omfwd") & p("target").isNotNull(), F.concat(p("target"), F.lit(":"), F.coalesce(p("port"), F.lit("?")), F.lit("/"), F.coalesce(p("protocol"), F.lit("?"))))
@@ -160,7 +178,7 @@ def infer_taxonomies(rel: dict[str, DataFrame]) -> DataFrame:
     """config, table, taxonomy: what a lookup table's words mean, by the structured field that first takes them."""
     fields = F.create_map(*(F.lit(x) for kv in TAXONOMY_FIELDS.items() for x in kv))
     named = rel["sets"].filter("space = '$!' AND lookup IS NOT NULL").withColumn("taxonomy", F.try_element_at(fields, F.lower("name")))
-    return named.filter("taxonomy IS NOT NULL").groupBy("config", F.col("lookup").alias("table")).agg(F.first("taxonomy").alias("taxonomy"))
+    return named.filter("taxonomy IS NOT NULL").groupBy("config", F.col("lookup").alias("table")).agg(F.min_by("taxonomy", "ord").alias("taxonomy"))
 
 
 def store_findings(rel: dict[str, DataFrame]) -> DataFrame:
@@ -217,22 +235,29 @@ def catalog_counts(rel: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, kinds).groupBy("config", "kind").agg(F.count("*").alias("n"))
 
 
+def edit_limit(name: Column) -> Column:
+    """How far a suggestion may be from a name."""
+    # Edits by the length of the name, and their share of it.
+    by_length = F.when(F.length(name) <= 3, 1).when(F.length(name) <= 7, 2).otherwise(3)
+    return F.least(by_length, F.greatest(F.lit(1), F.floor(F.length(name) * 0.4).cast("int")))
+
+
 def suggestions(words: DataFrame, defined: DataFrame) -> DataFrame:
     """config, kind, name, suggestion: the nearest defined name of the same kind, in either case, if it is near enough.
 
-    A swap of neighbours counts as one edit.  Both tables are as small as
-    configurations are, and only names of one configuration and kind meet.
+    A swap of neighbours counts as one edit.  Only names that share what is left
+    after a few deletions meet, so catalogs of any size can be searched; of names
+    equally near the first in the alphabet counts.  A null or empty name has none.
     """
-    names = defined.select("config", "kind", F.col("name").alias("known"))
-    pairs = words.join(names, ["config", "kind"])
-    a, b = F.lower("name"), F.lower("known")
-    # How far a suggestion may be from the word.
-    limit = F.least(F.when(F.length("name") <= 3, 1).when(F.length("name") <= 7, 2).otherwise(3), F.greatest(F.lit(1), F.floor(F.length("name") * 0.4)))
-    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda k: F.concat(F.substr(a, F.lit(1), k - 1), F.substr(a, k + 1, F.lit(1)), F.substr(a, k, F.lit(1)), F.substr(a, k + 2)) == b)
-    far = F.when(swapped, 1).otherwise(F.levenshtein(a, b))
-    near = pairs.withColumn("far", far).filter((F.col("far") <= limit) & (F.col("known") != F.col("name")))
-    first = F.row_number().over(Window.partitionBy("config", "kind", "name").orderBy("far", "known"))
-    return near.withColumn("k", first).filter("k = 1").select("config", "kind", "name", F.col("known").alias("suggestion"))
+    names = defined.filter(F.length("name") > 0).select("config", "kind", F.col("name").alias("known")).distinct()
+    asked = words.filter(F.length("name") > 0).select("config", "kind", "name").distinct()
+    left = asked.select("*", F.inline(deletions(F.lower("name"), 3))).filter(F.col("k") <= edit_limit(F.col("name"))).drop("k")
+    right = names.select("*", F.inline(deletions(F.lower("known"), 3))).withColumnRenamed("k", "dropped")
+    met = left.join(right, ["config", "kind", "v"]).filter((F.col("dropped") <= edit_limit(F.col("name"))) & (F.abs(F.length("name") - F.length("known")) <= edit_limit(F.col("name"))))
+    pairs = met.select("config", "kind", "name", "known").distinct().filter("known <> name")
+    near = pairs.withColumn("far", alignment_distance(F.lower("name"), F.lower("known"))).filter(F.col("far") <= edit_limit(F.col("name")))
+    best = near.groupBy("config", "kind", "name").agg(F.min(F.struct("far", "known")).alias("best"))
+    return best.select("config", "kind", "name", F.col("best.known").alias("suggestion"))
 
 
 def search(lines: DataFrame, query: str, regex: bool = False, case: bool = False, limit: int = 500) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 import yaml
@@ -66,12 +68,35 @@ def _selection(body: object) -> Column:
     return reduce(Column.__or__, (_selection(x) if isinstance(x, dict) else _test("msg|contains", str(x)) for x in items), F.lit(False))
 
 
-def compile_rule(rule: dict) -> Column:
-    """Whether a message fires a rule: or, and, not, parentheses, names, `1 of`, `any of` and `all of`."""
+@dataclass(frozen=True)
+class Algebra:
+    """What and, or, not and `never` are for the values that a condition joins."""
+
+    both: Callable
+    either: Callable
+    inverse: Callable
+    never: object
+
+
+def runs_here(rule: dict) -> bool:
+    """Whether a rule's source is one that messages can come from."""
     product = (rule.get("logsource") or {}).get("product")
-    if product and str(product).lower() not in ("linux", "unix"):
+    return not product or str(product).lower() in ("linux", "unix")
+
+
+def selections(rule: dict) -> dict[str, object]:
+    return {k: v for k, v in rule["detection"].items() if k not in ("condition", "timeframe")}
+
+
+def compile_rule(rule: dict) -> Column:
+    """Whether a message fires a rule."""
+    if not runs_here(rule):
         return F.lit(False)
-    named = {k: _selection(v) for k, v in rule["detection"].items() if k not in ("condition", "timeframe")}
+    return condition(rule, {k: _selection(v) for k, v in selections(rule).items()}, Algebra(Column.__and__, Column.__or__, Column.__invert__, F.lit(False)))
+
+
+def condition(rule: dict, named: dict, algebra: Algebra):
+    """A rule's condition over the values of its selections: or, and, not, parentheses, names, `1 of`, `any of` and `all of`."""
     tokens = re.findall(r"[()]|[\w*-]+", str(rule["detection"].get("condition", "selection")))
     at = 0
 
@@ -83,25 +108,25 @@ def compile_rule(rule: dict) -> Column:
         at += 1
         return tokens[at - 1]
 
-    def chain(word: str, below, join) -> Column:
+    def chain(word: str, below, join):
         left = below()
         while peek() == word:
             take()
             left = join(left, below())
         return left
 
-    def inverse() -> Column:
+    def inverse():
         if peek() == "not":
             take()
-            return ~inverse()
+            return algebra.inverse(inverse())
         return atom()
 
-    def atom() -> Column:
+    def atom():
         if at >= len(tokens):
-            return F.lit(False)
+            return algebra.never
         word = take()
         if word == "(":
-            inner = chain("or", conjunction, Column.__or__)
+            inner = chain("or", conjunction, algebra.either)
             if peek() == ")":
                 take()
             return inner
@@ -109,13 +134,13 @@ def compile_rule(rule: dict) -> Column:
             take()
             pattern = take()
             chosen = [c for k, c in named.items() if pattern == "them" or re.fullmatch(pattern.replace("*", ".*"), k)]
-            return reduce(Column.__and__ if word.lower() == "all" else Column.__or__, chosen) if chosen else F.lit(False)
-        return named.get(word, F.lit(False))
+            return reduce(algebra.both if word.lower() == "all" else algebra.either, chosen) if chosen else algebra.never
+        return named.get(word, algebra.never)
 
-    def conjunction() -> Column:
-        return chain("and", inverse, Column.__and__)
+    def conjunction():
+        return chain("and", inverse, algebra.both)
 
-    return chain("or", conjunction, Column.__or__)
+    return chain("or", conjunction, algebra.either)
 
 
 def fires(messages: DataFrame, rules: list[dict]) -> DataFrame:

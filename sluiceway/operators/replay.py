@@ -14,13 +14,22 @@ from sluiceway.plans.routing import evaluate
 
 
 def outcomes(evaluated: DataFrame) -> DataFrame:
-    """Counts by what became of the messages.  An expression never raises here, so errors is 0; a ruleset that is not defined has no output."""
-    delivered = (F.size("outputs") > 0) & ~F.col("dropped")
+    """Counts by what became of the messages; a ruleset that is not defined has no output, a message that failed counts as an error only."""
+    delivered, failed = (F.size("outputs") > 0) & ~F.col("dropped"), F.col("error").isNotNull()
     return evaluated.agg(
-        F.count("*").alias("total"), F.count("*").alias("processed"), F.count_if(delivered).alias("delivered"), F.count_if(F.col("dropped")).alias("no_input_match"), F.count_if(~delivered & ~F.col("dropped")).alias("no_output"), F.lit(0).cast("long").alias("errors")
+        F.count("*").alias("total"), F.count("*").alias("processed"), F.count_if(delivered).alias("delivered"), F.count_if(F.col("dropped")).alias("no_input_match"), F.count_if(~delivered & ~F.col("dropped") & ~failed).alias("no_output"), F.count_if(failed).alias("errors")
     )
 
 
+def _settled(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with values that later filters do not go behind.
+
+    A filter on a value that stands for a whole configuration would be written
+    out once more, before the chain of its projections; behind a generator it is not.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in values.items())))))
+
+
 def _ranked(counts: DataFrame, top: int | None) -> DataFrame:
     if top is None:
         return counts.drop("first_idx")
@@ -30,11 +39,11 @@ def _ranked(counts: DataFrame, top: int | None) -> DataFrame:
 def top_values(evaluated: DataFrame, value: Column, top: int | None = 10) -> DataFrame:
     """key, n, pct of the values that come most; empty and missing ones are <none>.
 
-    The total is the sum of the counts, so the messages are scanned once.
+    The total is one row, the sum of partial counts; it joins the values that are left.
     """
     key = F.when(F.length(value) > 0, value).otherwise("<none>")
     counts = evaluated.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
-    ranked = _ranked(counts.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0)))), top)  # one row a value
+    ranked = _ranked(counts, top).join(F.broadcast(evaluated.agg(F.count("*").alias("total"))))
     return ranked.select("key", "n", (F.floor(F.col("n") * 1000.0 / F.col("total") + 0.5) / 10).alias("pct"))
 
 
@@ -52,25 +61,28 @@ def per_ruleset(evaluated: DataFrame, top: int | None = 10) -> DataFrame:
 
 # Why a message is in a bucket.
 REASONS = {"unmatched": "no input matched", "no_output": "ruleset ran but no outputs"}
+#: How many messages of a batch are run.
+MOST_MESSAGES = 50_000
 
 
 def samples(evaluated: DataFrame, k: int = 5) -> DataFrame:
-    """The first k messages of each bucket (unmatched, no_output), by idx, with the reason."""
-    bucket = F.when(F.col("dropped"), "unmatched").when(F.size("outputs") == 0, "no_output")
-    rows = evaluated.select(bucket.alias("bucket"), "idx", "programname", "hostname", F.substring("msg", 1, 200).alias("msg")).filter("bucket IS NOT NULL")
+    """The first k messages of each bucket (error, unmatched, no_output), by idx, with the reason."""
+    bucket = F.when(F.col("error").isNotNull(), "error").when(F.col("dropped"), "unmatched").when(F.size("outputs") == 0, "no_output")
+    rows = _settled(evaluated, bucket=bucket).filter("bucket IS NOT NULL").select("bucket", "idx", "programname", "hostname", F.substring("msg", 1, 200).alias("msg"), "error")
     first = rows.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("idx"))).filter(F.col("k") <= k).drop("k")
-    return first.withColumn("reason", F.when(F.col("bucket") == "unmatched", REASONS["unmatched"]).otherwise(REASONS["no_output"]))
+    reason = F.coalesce("error", F.when(F.col("bucket") == "unmatched", REASONS["unmatched"]).otherwise(REASONS["no_output"]))
+    return first.withColumn("reason", reason).drop("error")
 
 
 def _signature(suffix: str) -> Column:
     labels = F.array_sort(F.transform(f"outputs{suffix}", lambda o: F.concat_ws(":", o["kind"], o["label"])))
-    return F.when(F.col(f"dropped{suffix}"), "unmatched").otherwise(F.concat(F.lit("rs="), F.col(f"ruleset{suffix}"), F.lit("|"), F.concat_ws(",", labels)))
+    return F.when(F.col(f"error{suffix}").isNotNull(), "error").when(F.col(f"dropped{suffix}"), "unmatched").otherwise(F.concat(F.lit("rs="), F.col(f"ruleset{suffix}"), F.lit("|"), F.concat_ws(",", labels)))
 
 
 def compare(messages: DataFrame, baseline: Config, overlay: Config) -> DataFrame:
     """Both configurations in one projection: each message with its two signatures."""
     both = evaluate(evaluate(messages, baseline, "_a"), overlay, "_b")
-    return both.withColumns({"baseline": _signature("_a"), "overlay": _signature("_b")})
+    return _settled(both, baseline=_signature("_a"), overlay=_signature("_b"))
 
 
 def route_changes(compared: DataFrame) -> DataFrame:
@@ -106,7 +118,7 @@ def ruleset_deltas(compared: DataFrame) -> DataFrame:
 
 
 def moves(compared: DataFrame) -> DataFrame:
-    there = lambda s: (F.size(f"outputs_{s}") > 0) & ~F.col(f"dropped_{s}")
+    there = lambda s: (F.size(f"outputs_{s}") > 0) & ~F.col(f"dropped_{s}")  # noqa: E731  none if it failed
     changed = F.col("baseline") != F.col("overlay")
     return compared.agg(
         F.count_if(changed).alias("changed"), F.count_if(changed & ~there("a") & there("b")).alias("moved_to_delivered"), F.count_if(changed & there("a") & ~there("b")).alias("moved_to_unmatched")

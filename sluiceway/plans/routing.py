@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.expressions import Compiler, as_bool, as_str
-from sluiceway.model import Action, CallRuleset, Config, If, Input, Set, Stop
+from sluiceway.functions.jsontext import json_object, repeated_keys, shown_members
+from sluiceway.model import Action, CallRuleset, Config, If, Input, Lookup, Set, Stop
+from sluiceway.operators.enrich import attach
 
 MAX_DEPTH = 16
 _TYPES = {"udp": ("imudp",), "tcp": ("imtcp", "imptcp")}
@@ -44,7 +46,8 @@ class _Walk:
         self.outputs: list[Column] = []
         self.missing: list[Column] = []
         self.events: list[Column] = []
-        self.compile = Compiler(config, self.read, F.col("facility"), F.col("severity"))
+        self.faults: list[Column] = []
+        self.compile = Compiler(config, self.read, F.col("facility"), F.col("severity"), self.keep, self.attach)
 
     def keep(self, value: Column) -> Column:
         """The value as a column of its own."""
@@ -53,6 +56,20 @@ class _Walk:
         self.rows = self.rows.withColumn(name, value)
         return F.col(name)
 
+    def attach(self, table: Lookup, key: Column) -> Column:
+        """The value of a key in a table that is a frame: a join in the chain of projections."""
+        self.keep(key)
+        on, self.number = f"_{self.tag}{self.number}", self.number + 1
+        self.rows = attach(self.rows, table.rows, on, f"_{self.tag}{self.number}")
+        return F.col(f"_{self.tag}{self.number}")
+
+    def value(self, e: object, now: Column):
+        """A compiled expression; what it could not find for a message that comes here is that message's fault."""
+        out = self.compile(e)
+        self.faults += [F.when(now & v.isNull(), F.lit("a pattern took too long")) for v in self.compile.open]
+        self.compile.open.clear()
+        return out
+
     def note(self, now: Column, kind: str, message: Column | str) -> None:
         """An event of the messages that come here."""
         text = F.lit(message) if isinstance(message, str) else F.coalesce(message, F.lit(""))
@@ -69,7 +86,7 @@ class _Walk:
         for s in statements:
             now = guard if self.stopped is None else guard & ~self.stopped
             if isinstance(s, If):
-                test = self.keep(now & F.coalesce(as_bool(self.compile(s.test)), F.lit(False)))
+                test = self.keep(now & F.coalesce(as_bool(self.value(s.test, now)), F.lit(False)))
                 self.note(now, "condition_eval", test.cast("string"))
                 self.run(s.then, test, depth)
                 if s.other:
@@ -94,7 +111,7 @@ class _Walk:
                         self.missing.append(F.when(now, F.lit("W_TEMPLATE_MISSING")))
 
     def assign(self, s: Set, now: Column) -> None:
-        value = F.lit(None).cast("string") if s.value is None else as_str(self.compile(s.value))
+        value = F.lit(None).cast("string") if s.value is None else as_str(self.value(s.value, now))
         if s.space == "$!":
             others = F.map_filter(self.fields, lambda k, _: k != s.name)
             new = others if s.value is None else F.map_concat(others, F.create_map(F.lit(s.name), value))
@@ -107,8 +124,9 @@ class _Walk:
         container, cookie = a.param("container") or "msg", a.param("cookie") or "@cee:"
         raw = F.coalesce(self.read("$!", container[2:]) if container.startswith("$!") else self.read("$", container.removeprefix("$").lower()), F.lit(""))
         body = F.regexp_replace(F.when(raw.startswith(cookie), F.substr(raw, F.lit(len(cookie) + 1))).otherwise(raw), r"^\s+", "")
-        members = self.keep(F.when(now & body.startswith("{"), F.from_json(body, "map<string,string>")))
-        new = F.map_concat(F.map_filter(self.fields, lambda k, _: ~F.map_contains_key(members, k)), F.transform_values(members, lambda _, v: F.coalesce(v, F.lit(""))))
+        with repeated_keys(self.rows.sparkSession):
+            members = self.keep(F.when(now & body.startswith("{"), shown_members(json_object(body))))
+        new = F.map_concat(F.map_filter(self.fields, lambda k, _: ~F.map_contains_key(members, k)), members)
         self.fields = self.keep(F.when(members.isNotNull(), new).otherwise(self.fields))
         self.parsed = self.keep(F.when(now, F.when(members.isNotNull(), "OK").otherwise("FAIL")).otherwise(self.parsed))
 
@@ -133,18 +151,21 @@ _OUTPUT = "array<struct<kind:string,label:string,path:string,target:string,port:
 
 
 def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str | None = None, trace: bool = False) -> DataFrame:
-    """messages (with properties) and, per message: ruleset, stopped, dropped, outputs, vars, fields, notes.
+    """messages (with properties) and, per message: ruleset, stopped, dropped, outputs, vars, fields, notes, error.
 
     ruleset is the selected one: that of the input that matches, else the default
     one, or `force` for all; null if there is none.  A selected ruleset that is
     not defined runs nothing.  vars and fields are the local variables and
-    structured fields at the end, notes the codes of what was missing.  With
-    trace, also the events of each message in their order.
+    structured fields at the end, notes the codes of what was missing.  error says
+    why a message failed: by the column fault of messages, if there is one, or by a
+    statement; such a message has no ruleset and no output and is not dropped.
+    With trace, also the events of each message in their order.
     """
     where, named = _match(config.inputs)
     chosen = F.coalesce(F.when(where.isNotNull(), named), F.lit(config.default)) if force is None else F.lit(force)
     walk = _Walk(messages, config, f"s{suffix}_")
-    chosen = walk.keep(chosen.cast("string"))
+    given = F.col("fault") if "fault" in messages.columns else F.lit(None).cast("string")
+    chosen = walk.keep(F.when(given.isNull(), chosen.cast("string")))
     entries = {force} if force is not None else {config.default, *(x.ruleset for x in config.inputs)}
     walk.note(chosen.isNotNull(), "input_selected", chosen)
     for name in sorted(x for x in entries if x in config.rulesets):
@@ -152,12 +173,14 @@ def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str |
         walk.note(here, "ruleset_entered", name)
         walk.run(config.rulesets[name], here)
     outputs = F.array_compact(F.array(*walk.outputs)) if walk.outputs else F.array().cast(_OUTPUT)
+    error = walk.keep(F.coalesce(given, *walk.faults)) if walk.faults else given
+    outputs = F.when(error.isNull(), outputs).otherwise(F.array().cast(_OUTPUT))
     undefined = F.when(chosen.isNotNull() & ~chosen.isin(list(config.rulesets)), F.lit("W_RULESET_MISSING"))
     pairs = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in walk.local.items()]
     variables = F.map_from_entries(F.array_compact(F.array(*pairs))) if pairs else F.create_map().cast("map<string,string>")
     found = {
-        "ruleset": chosen, "stopped": F.lit(False) if walk.stopped is None else walk.stopped, "dropped": chosen.isNull(), "outputs": outputs, "vars": variables, "fields": walk.fields,
-        "notes": F.array_distinct(F.array_compact(F.array(undefined, *walk.missing))),
+        "ruleset": F.when(error.isNull(), chosen), "stopped": F.lit(False) if walk.stopped is None else walk.stopped, "dropped": chosen.isNull() & error.isNull(), "outputs": outputs, "vars": variables, "fields": walk.fields,
+        "notes": F.array_distinct(F.array_compact(F.array(undefined, *walk.missing))), "error": error,
     }
     if trace:
         found["trace"] = F.transform(F.array_compact(F.array(*walk.events)), lambda e, k: F.struct((k + 1).alias("step"), e["type"].alias("type"), e["message"].alias("message")))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway import table_queries
 from sluiceway.functions.expressions import prifilt
-from sluiceway.operators import catalog, detect, expect, replay, siem
+from sluiceway.operators import detect, detect_index, enrich, expect, replay, siem
 from sluiceway.operators.targets import TARGETS
 from sluiceway.plans.routing import evaluate
 from sluiceway.sources.config import parse_config
 from sluiceway.sources.messages import MESSAGES_SQL, event_messages, read_lines, structured_data, with_properties
 from sluiceway.sources.ndjson import read_line_array, read_ndjson
+from sluiceway.sources.ordered import first_messages, read_ordered_lines
 from sluiceway.sources.tree import load_tree, overlaid, tree_findings
+from sluiceway.staging import folder
 from sluiceway.streaming.route import deliveries, route_lines
 
 CONFIG = """
@@ -132,13 +136,6 @@ def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return siem.retag(rows, "tag", siem.retag_map(siem.value_map(spark), ("splunk", "sourcetype"), ("datadog", "ddsource")))
 
 
-def _retagged(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """No two stores share a taxonomy, so a table's words find none in the other store's."""
-    entries = [("types", "sshd", "linux:secure"), ("types", "x", "odd"), ("categories", "sshd", "authentication"), ("categories", "nginx", "web"), ("teams", "sshd", "security")]
-    kinds = [("types", "sourcetype"), ("categories", "ecs.event.category")]
-    return siem.retag_lookup(spark.createDataFrame(entries, "table string, key string, value string"), spark.createDataFrame(kinds, "table string, taxonomy string"), siem.value_map(spark), "splunk", "datadog")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with the column `event`, by pivot names."""
     named = {"src_endpoint.hostname": "hostname", "service.name": "programname", "metadata.log_name": "event_type", "custom.note": "msg"}
@@ -177,44 +174,8 @@ STRUCTURED = """
 ruleset(name="sd") { if $!x1_kind == "click" or $!x1_kind == "error" then action(type="omfile" file="/var/log/%$!x1_kind%-%$!x1_on%.log") }
 global(defaultruleset="sd")
 """
-BROKEN = """
-module(load="imtcp")
-input(type="imudp" port="514" ruleset="mian")
-template(name="idle" type="string" string="x")
-lookup_table(name="teams" file="absent.json")
-global(defaultruleset="nowhere")
-ruleset(name="main") {
-  set $.w = lookup("who", $programname);
-  action(type="omfile" file="/a") action(type="omfile" file="/a") action(type="omfile" file="/b" template="shape")
-  action(type="omfwd" target="h" port="514" protocol="tcp") action(type="omfwd" target="h" port="514" protocol="tcp") action(type="omkafka" topic="t")
-  if $msg == "x" then call gone
-}
-ruleset(name="alone") { if $msg == "a" then action(type="omfile" file="/c") }
-"""
-STORES = """
-module(load="omelasticsearch")
-ruleset(name="main") {
-  set $!event_type = lookup("kinds", $programname);
-  action(type="splunk_hec" name="splunk") action(type="splunk" name="good" sourcetype="x") action(type="omelasticsearch" name="es") action(type="datadog" name="datadog") action(type="sumologic" name="sumo")
-  action(type="loki" name="loki" labels="job=$programname, who=$!user") action(type="grafana_loki" name="bare") action(type="gelf" name="gelf" fields="_ok=1,bad=2,host=x")
-  action(type="sentinel" name="sentinel" table="1bad") action(type="azure_sentinel" name="fine" table="Mine_CL") action(type="chronicle" name="chronicle" event_type="ODD")
-  action(type="leef" name="qradar" vendor="v") action(type="cef" name="cef" severity="11") action(type="arcsight" name="calm" severity="10")
-}
-lookup_table(name="kinds" file="kinds.json")
-global(defaultruleset="main")
-"""
-
-
-def _relations(spark: SparkSession) -> dict[str, DataFrame]:
-    return catalog.relations(spark, {"broken": parse_config(BROKEN), "stores": parse_config(STORES, {"kinds.json": "{}"}), "whole": parse_config(CONFIG, LOOKUPS)})
-
-
-def _config_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(0, k, x) for k, x in enumerate(CONFIG.splitlines(), 1)], "doc_id int, line int, value string")
-
-
-def _priorities(spark: SparkSession) -> DataFrame:
-    rows = spark.range(192).select(F.shiftright("id", 3).alias("fac"), F.col("id").bitwiseAND(F.lit(7).cast("long")).alias("sev"))
+def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_messages(spark, sf_dir).select(F.col("facility").cast("long").alias("fac"), F.col("severity").cast("long").alias("sev")).distinct()
     specs = {"a": "security.*", "b": "*.info;mail.none", "c": "KERN,mail.!=error", "d": "*.!Warning", "e": "console,solaris-cron.=alert;cron.*"}
     return rows.select("fac", "sev", *(prifilt(x, F.col("fac"), F.col("sev")).alias(k) for k, x in specs.items()))
 
@@ -285,6 +246,14 @@ def _tree(changed: dict[str, str] | None = None):
     return load_tree(overlaid(TREE, changed or {}), "/etc/router.conf")
 
 
+def _nation_files(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """A tree with a file for each nation (a fixed table) of three regions, and a pattern for each region."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", "n_regionkey").collect()
+    regions = sorted({n.n_regionkey for n in nations})
+    files = {"/etc/router.conf": "".join(f'include(file="{n.n_name}.conf")\n' for n in nations) + "".join(f"$IncludeConfig r{r}/*.conf\n" for r in regions)}
+    return files | {f"/etc/{n.n_name}.conf": 'include(file="router.conf")\n' for n in nations if n.n_regionkey >= 2} | {f"/etc/r{r}/all.conf": "" for r in regions if r >= 2}
+
+
 def _line_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = event_messages(spark, sf_dir)
     body = F.when(m["event_type"] == "view", F.to_json(F.struct("msg"))).otherwise(F.concat(F.lit("[1, null, "), F.to_json(F.array("msg", "programname")).substr(F.lit(2), F.lit(1 << 20))))
@@ -310,6 +279,102 @@ r AS (SELECT 0 AS rule_ord, 'Secure' AS title, count(*) FILTER (here AND program
 """
 
 
+JOINED = """
+template(name="by_segment" type="string" string="/var/log/%$.segment%.log")
+ruleset(name="main") {
+  set $.segment = lookup("segments", $!user);
+  if $.segment == "BUILDING" then action(type="omfwd" target="sink" port="514" protocol="udp") else action(type="omfile" dynafile="by_segment")
+  if lookup("segments", $!next) == $.segment then action(type="omfile" file="/same")
+}
+global(defaultruleset="main")
+"""
+PATTERNS = """
+ruleset(name="main") {
+  if $msg =~ $programname then action(type="omfile" file="/hit")
+  set $.found = re_extract($msg, $programname, 0, 0, "none");
+  set $.part = field($msg, $hostname, 2);
+}
+global(defaultruleset="main")
+"""
+ODD_JSON = """
+ruleset(name="main") { action(type="mmjsonparse") set $.ok = $parsesuccess; }
+global(defaultruleset="main")
+"""
+RULE = {
+    "title": "{p_name}", "level": "{p_brand}",
+    "detection": {"sel_word": {"msg|contains": ["{word}", "{p_name}"]}, "sel_pair": {"msg|i|contains|all": ["{upper}", "{p_type}"]}, "other": {"programname": "{lang}"}, "condition": "1 of sel_* and not other"},
+}
+_SYLLABLES = "th er on an re he in ed nd ha".split()
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with the fields user and next, through lookups in the table of customers."""
+    table = enrich.lookup_table(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", "c_mktsegment", "c_custkey", "none")
+    user = lambda k: (F.col("user_id") + k).cast("string")
+    rows = event_messages(spark, sf_dir).withColumn("structured", F.create_map(F.lit("user"), user(0), F.lit("next"), user(1)))
+    return evaluate(rows, enrich.bound(parse_config(JOINED), segments=table))
+
+
+def _dealt_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by the host of their number; the first part of a host counts.  The table is dealt, as if it were large; a host is a hot key."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("host", F.concat(F.lit("host"), F.col("p_partkey") % 25))
+    table = enrich.lookup_table(parts.filter("p_partkey % 25 <> 3"), "host", "p_name", "p_partkey", "none", limit=0)
+    config = parse_config('ruleset(name="main") { set $.part = lookup("hosts", $hostname); }\nglobal(defaultruleset="main")')
+    return evaluate(event_messages(spark, sf_dir), enrich.bound(config, hosts=table))
+
+
+def _pattern_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as messages; a word of the text gives a pattern, every other one of them none that is valid."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    word = F.regexp_replace(F.split_part(F.coalesce("text", F.lit("")), F.lit(" "), F.lit(3)), "[^a-zA-Z]", "")
+    pattern = F.element_at(F.array(F.concat(F.lit("("), word), F.concat(F.lit("^"), word), F.concat(F.substring(word, 1, 2), F.lit(".")), F.concat(F.lit("["), word)), (F.col("doc_id") % 4 + 1).cast("int"))
+    return with_properties(docs.select(F.col("doc_id").alias("idx"), F.lit("udp").alias("transport"), F.lit(514).alias("port"), F.coalesce("text", F.lit("")).alias("msg"), pattern.alias("programname"), F.lit("e").alias("hostname")))
+
+
+def _odd_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON that is whole, broken, followed by more, or repeats a key."""
+    forms = ['{"a":"x","a":"#"}', '{"a":"#"} more', "{'a':1}", "[1]", '  {"a":1.50,"b":null,"c":{"d":[1,"q"]},"e":true,"f":1e3}', '@cee: {"a":"#"}', '{"a":"#"', '{"n":{"b":1,"b":2},"":"#"}', '{"a":"#"}]']
+    pick = F.element_at(F.array(*map(F.lit, forms)), (F.col("idx") % len(forms) + 1).cast("int"))
+    m = event_messages(spark, sf_dir).drop("props", "facility", "severity")
+    out = evaluate(with_properties(m.withColumn("msg", F.replace(pick, F.lit("#"), F.col("hostname")))), parse_config(ODD_JSON))
+    at = lambda k: F.try_element_at("fields", F.lit(k)).alias(k or "none")
+    return out.select("idx", F.try_element_at("vars", F.lit("ok")).alias("ok"), *map(at, ("a", "b", "c", "e", "f", "n", "")))
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines, of which some have a number where a text belongs."""
+    m = event_messages(spark, sf_dir)
+    whole = F.to_json(F.struct("transport", "port", "programname", "hostname", F.when(F.col("event_type") != "purchase", F.col("msg")).alias("msg")))
+    line = F.when(F.col("event_type") == "purchase", F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(',"msg":'), "user_id", F.lit("}"))).otherwise(whole)
+    return with_properties(read_ndjson(m.select("idx", line.alias("value")))[0])
+
+
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of messages, written as a file for each type of event and read in the order of files and lines."""
+    lines = _lines(spark, sf_dir).join(event_messages(spark, sf_dir).select("idx", "event_type"), "idx")
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    lines.repartition("event_type").sortWithinPartitions("event_type", "idx").select("value", "event_type").write.partitionBy("event_type").text(path)
+    return read_ordered_lines(spark, path)
+
+
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each part."""
+    pick = lambda k: F.element_at(F.array(*map(F.lit, _SYLLABLES)), (F.floor(F.col("p_partkey") / 10**k) % 10 + 1).cast("int"))
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("p_size") % 4 + 1).cast("int"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").withColumns({"word": F.concat(pick(0), pick(1), pick(2)), "upper": F.upper(F.concat(pick(2), pick(1))), "lang": lang})
+    return detect_index.templated_rules(parts, "p_partkey", RULE)
+
+
+def _doc_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return with_properties(docs.select(F.col("doc_id").alias("idx"), F.lit("udp").alias("transport"), F.lit(514).alias("port"), F.col("text").alias("msg"), F.col("lang").alias("programname"), F.col("source").alias("hostname")))
+
+
+_FIRED = f"""WITH s AS (SELECT {_SYLLABLES!r} AS s),
+r AS (SELECT *, s[p_partkey % 10 + 1] || s[p_partkey // 10 % 10 + 1] || s[p_partkey // 100 % 10 + 1] AS word, s[p_partkey // 100 % 10 + 1] || s[p_partkey // 10 % 10 + 1] AS pair, ['en', 'de', 'fr', 'es'][p_size % 4 + 1] AS no FROM part, s),
+h AS (SELECT p_partkey AS rule_ord, doc_id AS idx FROM r JOIN documents d ON (contains(d.text, word) OR contains(d.text, p_name) OR contains(lower(d.text), pair) AND contains(lower(d.text), lower(p_type))) AND coalesce(d.lang, '') <> no),
+"""
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "replay_per_output": (lambda s, d: replay.per_output(_evaluated(s, d), None), _routed() + "x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"),
     "replay_top_outputs": (lambda s, d: replay.per_output(_evaluated(s, d)), _routed() + "x AS (SELECT 1) SELECT kind, target, n FROM (SELECT kind, target, count(*) AS n, min(idx) AS i FROM o GROUP BY ALL ORDER BY n DESC, i LIMIT 10)"),
@@ -378,16 +443,12 @@ SELECT rule_ord, idx FROM (SELECT *, row_number() OVER (PARTITION BY rule_ord OR
     "retag_values": (lambda s, d: _tagged(s, d).groupBy("tag", "retagged", "lossy").agg(F.count("*").alias("n")), _M + """
 x AS (SELECT CASE programname WHEN 'sshd' THEN 'linux:secure' WHEN 'sudo' THEN 'linux:messages' WHEN 'nginx' THEN 'haproxy:access' WHEN 'kernel' THEN 'pan:threat' ELSE 'other' END AS tag FROM p)
 SELECT tag, CASE tag WHEN 'linux:secure' THEN 'ssh' WHEN 'linux:messages' THEN 'syslog' WHEN 'haproxy:access' THEN 'nginx' ELSE tag END AS retagged, tag IN ('pan:threat', 'other') AS lossy, count(*) AS n FROM x GROUP BY ALL"""),
-    "retag_lookup_losses": (lambda s, d: _retagged(s)[1], """
-SELECT 'categories' AS "table", 'ecs.event.category' AS taxonomy, CAST(2 AS BIGINT) AS n, CAST(2 AS BIGINT) AS n_lossy UNION ALL SELECT 'types', 'sourcetype', 2, 2"""),
-    "retag_lookup_entries": (lambda s, d: _retagged(s)[0], """
-SELECT * FROM (VALUES ('types', 'sshd', 'linux:secure', true), ('types', 'x', 'odd', true), ('categories', 'sshd', 'authentication', true), ('categories', 'nginx', 'web', true), ('teams', 'sshd', 'security', false)) AS t("table", key, value, lossy)"""),
     **{f"render_{name.replace('-', '_')}": (lambda s, d, t=target: _events(s, d).select("idx", siem.render(t).alias("line")), _M + "x AS (SELECT 1) SELECT idx, " + _LINES[name] + " AS line FROM p") for name, target in TARGETS.items()},
     "render_cef_header": (lambda s, d: _events(s, d).select("idx", siem.render_cef(TARGETS["arcsight-cef"], F.lit("ac|me"), F.lit("logger"), F.lit("1"), F.col("programname"), F.col("event_type"), F.col("severity") + 5).alias("line")), _M + """
 x AS (SELECT 1) SELECT idx, 'CEF:0|ac\\|me|logger|1|' || programname || '|' || event_type || '|' || least(pri % 8 + 5, 10) || '|shost=' || hostname || ' app=' || programname || ' metadataLogName=' || event_type || ' customNote=' || replace(msg, '=', '\\=') AS line FROM p"""),
-    "prifilt_matrix": (lambda s, d: _priorities(s), """
-WITH p AS (SELECT CAST(i // 8 AS BIGINT) AS fac, CAST(i % 8 AS BIGINT) AS sev FROM range(192) t(i))
-SELECT fac, sev, fac = 13 AS a, sev <= 6 AND fac <> 2 AS b, fac IN (0, 2) AND sev <> 3 AS c, sev > 4 AS d, fac IN (14, 15) AND sev = 1 OR fac = 9 AS e FROM p"""),
+    "prifilt_matrix": (lambda s, d: _priorities(s, d), _M + """
+q AS (SELECT DISTINCT CAST(pri // 8 AS BIGINT) AS fac, CAST(pri % 8 AS BIGINT) AS sev FROM p)
+SELECT fac, sev, fac = 13 AS a, sev <= 6 AND fac <> 2 AS b, fac IN (0, 2) AND sev <> 3 AS c, sev > 4 AS d, fac IN (14, 15) AND sev = 1 OR fac = 9 AS e FROM q"""),
     "default_fallback": (lambda s, d: replay.per_ruleset(evaluate(event_messages(s, d), parse_config('global(defaultruleset="tcp")\n' + CONFIG, LOOKUPS)), None), _M + """
 x AS (SELECT 1) SELECT CASE WHEN transport = 'udp' AND port = 514 THEN 'main' ELSE 'tcp' END AS ruleset, count(*) AS n FROM p GROUP BY 1"""),
     "forced_ruleset": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), parse_config(CONFIG, LOOKUPS), force="tcp"), None), _M + """
@@ -406,29 +467,12 @@ x AS (SELECT *, CAST(idx % 6 AS INT) AS k, programname AS g FROM p) SELECT idx,
   CASE k WHEN 0 THEN g || '[7]:' WHEN 2 THEN g || ':' WHEN 3 THEN g || ' 1.4:' WHEN 4 THEN g || '[7]:' END AS syslogtag, CASE WHEN k = 1 THEN 'no tag here' ELSE msg END AS msg FROM x"""),
     "replay_top_hostnames": (lambda s, d: replay.top_values(event_messages(s, d), F.col("hostname")), _M + """
 x AS (SELECT hostname AS key, count(*) AS n, min(idx) AS i FROM p GROUP BY 1) SELECT key, n, floor(n * 1000.0 / (SELECT count(*) FROM p) + 0.5) / 10 AS pct FROM x ORDER BY n DESC, i LIMIT 10"""),
-    "catalog_findings": (lambda s, d: catalog.general_findings(_relations(s)).select("config", "code", "severity", "name"), """
-SELECT * FROM (VALUES ('broken', 'V_UNDEFINED_RULESET', 'warning', 'mian'), ('broken', 'V_UNDEFINED_RULESET', 'warning', 'gone'), ('broken', 'V_UNDEFINED_DEFAULT_RULESET', 'warning', 'nowhere'), ('broken', 'V_RSYSLOG_DEFAULT_RULESET_UNDEFINED', 'error', 'nowhere'),
-  ('broken', 'V_UNDEFINED_TEMPLATE', 'warning', 'shape'), ('broken', 'V_RSYSLOG_TEMPLATE_UNDEFINED', 'error', 'shape'), ('broken', 'V_UNDEFINED_LOOKUP', 'warning', 'who'), ('broken', 'V_DEAD_RULESET', 'info', 'alone'), ('broken', 'V_DEAD_RULESET', 'info', 'main'),
-  ('broken', 'V_UNUSED_TEMPLATE', 'info', 'idle'), ('broken', 'V_UNUSED_LOOKUP', 'info', 'teams'), ('broken', 'V_LOOKUP_NOT_LOADED', 'warning', 'teams'), ('broken', 'V_SILENT_DROP', 'warning', 'alone'), ('broken', 'V_SILENT_DROP', 'warning', 'main'),
-  ('broken', 'V_CONFLICTING_OUTPUT', 'info', '/a'), ('broken', 'V_CONFLICTING_OUTPUT', 'info', 'h:514/tcp'), ('broken', 'V_MODULE_MISSING', 'error', 'imudp'), ('broken', 'V_MODULE_MISSING', 'error', 'omkafka'), ('whole', 'V_MODULE_MISSING', 'error', 'imtcp'), ('whole', 'V_SILENT_DROP', 'warning', 'main'), ('whole', 'V_SILENT_DROP', 'warning', 'tcp')) AS t(config, code, severity, name)"""),
-    "catalog_suggestions": (lambda s, d: catalog.general_findings(_relations(s)).filter("message LIKE '%did you mean%'").select("name", "message").distinct(), "SELECT 'mian' AS name, 'ruleset is not defined; did you mean main?' AS message"),
-    "store_findings": (lambda s, d: catalog.store_findings(_relations(s)).select("code", "severity", "name"), """
-SELECT * FROM (VALUES ('SIEM_SPLUNK_MISSING_SOURCETYPE', 'warning', 'splunk'), ('SIEM_ECS_MISSING_EVENT_DATASET', 'info', 'es'), ('SIEM_DATADOG_MISSING_SERVICE', 'warning', 'datadog'), ('SIEM_SUMO_MISSING_SOURCE_CATEGORY', 'warning', 'sumo'),
-  ('SIEM_LOKI_HIGH_CARDINALITY_LABEL', 'warning', 'loki'), ('SIEM_LOKI_NO_LABELS', 'info', 'bare'), ('SIEM_GELF_CUSTOM_FIELD_PREFIX', 'warning', 'gelf'), ('SIEM_SENTINEL_INVALID_TABLE_NAME', 'error', 'sentinel'),
-  ('SIEM_UDM_UNKNOWN_EVENT_TYPE', 'warning', 'chronicle'), ('SIEM_LEEF_HEADER_INCOMPLETE', 'info', 'qradar'), ('SIEM_CEF_SEVERITY_OUT_OF_RANGE', 'warning', 'cef')) AS t(code, severity, name)"""),
-    "validation_summary": (lambda s, d: catalog.validation_summary(catalog.general_findings(_relations(s)).unionByName(catalog.store_findings(_relations(s)))), """
-SELECT * FROM (VALUES ('broken', 4, 8, 6, 13), ('stores', 1, 7, 3, 11), ('whole', 1, 2, 0, 2)) AS t(config, errors, warnings, infos, codes)"""),
-    "catalog_counts": (lambda s, d: catalog.catalog_counts(_relations(s)).filter("config = 'broken'"), """
-SELECT * FROM (VALUES ('broken', 'ruleset', 2), ('broken', 'template', 1), ('broken', 'lookup', 1), ('broken', 'inputs', 1), ('broken', 'modules', 1), ('broken', 'actions', 7), ('broken', 'sets', 1)) AS t(config, kind, n)"""),
-    "inferred_stores": (lambda s, d: catalog.infer_stores(_relations(s)).groupBy("store").agg(F.count("*").alias("n")), """
-SELECT * FROM (VALUES ('splunk', 2), ('elastic-ecs', 1), ('datadog', 1), ('loki', 2), ('graylog-gelf', 1), ('microsoft-sentinel', 2), ('sumo-logic', 1), ('chronicle-udm', 1), ('qradar-leef', 1), ('arcsight-cef', 2)) AS t(store, n)"""),
-    "inferred_taxonomies": (lambda s, d: catalog.infer_taxonomies(_relations(s)), """SELECT 'stores' AS config, 'kinds' AS "table", 'ecs.event.type' AS taxonomy"""),
     "tree_per_output": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), _tree()[0]), None), _routed() + "x AS (SELECT 1) SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"),
     "tree_overlay_deltas": (lambda s, d: replay.output_deltas(replay.compare(event_messages(s, d), _tree()[0], _tree({"/etc/rules.d/20-rest.conf": 'ruleset(name="audit") { stop }'})[0])), _routed() + """
 x AS (SELECT kind, target, count(*) AS baseline, count(*) FILTER (k < 4) AS overlay FROM o GROUP BY ALL)
 SELECT kind, target, baseline, overlay, overlay - baseline AS delta FROM x"""),
-    "tree_findings": (lambda s, d: tree_findings(s, _tree()[1]).select("code", "severity", "name"), """
-SELECT * FROM (VALUES ('W_INCLUDE_MISSING', 'warning', 'gone.conf'), ('I_INCLUDE_EMPTY_GLOB', 'info', 'none.d/*.conf'), ('I_LOOKUP_ELSEWHERE', 'info', 'teams')) AS t(code, severity, name)"""),
+    "tree_findings": (lambda s, d: tree_findings(s, load_tree(_nation_files(s, d), "/etc/router.conf")[1]).select("code", "severity", "name"), """
+SELECT 'W_INCLUDE_MISSING' AS code, 'warning' AS severity, n_name || '.conf' AS name FROM nation WHERE n_regionkey < 2 UNION ALL SELECT 'I_INCLUDE_EMPTY_GLOB', 'info', 'r' || r_regionkey || '/*.conf' FROM region WHERE r_regionkey < 2"""),
     "prefixed_actions": (lambda s, d: replay.per_output(evaluate(event_messages(s, d), parse_config(PREFIXED)), None), _M + """
 x AS (SELECT 'omfile' AS kind, '/var/log/kern.log' AS target FROM p WHERE pri // 8 = 0 UNION ALL SELECT 'omfile', '/var/log/debug.log' FROM p WHERE pri % 8 = 7)
 SELECT kind, target, count(*) AS n FROM x GROUP BY ALL"""),
@@ -449,6 +493,36 @@ SELECT *, overlay - baseline AS delta, CASE WHEN baseline = 0 THEN CASE WHEN ove
     "regression_gate": (lambda s, d: detect.regression_gate(_tag_deltas(s, d)), _M + _TAGGED + "SELECT count(*) FILTER (overlay < baseline) AS regressions, count(*) FILTER (overlay < baseline) = 0 AS passed FROM r"),
     "route_gate": (lambda s, d: replay.route_gate(_compared(s, d), most_pct=0.0), _both() + """
 SELECT count(*) FILTER (a.s <> b.s) AS changed, count(*) AS processed, count(*) FILTER (a.s <> b.s) * 100.0::DOUBLE / count(*) AS pct, count(*) FILTER (a.s <> b.s) = 0 AS passed FROM a JOIN b USING (idx)"""),
+    "lookup_join_broadcast": (lambda s, d: replay.per_output(_segments(s, d), None), _M + """
+s AS (SELECT p.*, coalesce(a.c_mktsegment, 'none') AS seg, coalesce(b.c_mktsegment, 'none') AS nxt FROM p LEFT JOIN customer a ON a.c_custkey = user_id LEFT JOIN customer b ON b.c_custkey = user_id + 1),
+o AS (SELECT CASE seg WHEN 'BUILDING' THEN 'omfwd' ELSE 'omfile' END AS kind, CASE seg WHEN 'BUILDING' THEN 'sink:514/udp' ELSE '/var/log/' || seg || '.log' END AS target FROM s UNION ALL SELECT 'omfile', '/same' FROM s WHERE seg = nxt)
+SELECT kind, target, count(*) AS n FROM o GROUP BY ALL"""),
+    "lookup_join_dealt": (lambda s, d: _dealt_hosts(s, d).select("idx", "hostname", F.try_element_at("vars", F.lit("part")).alias("part")), _M + """
+t AS (SELECT 'host' || (p_partkey % 25) AS host, arg_min(p_name, p_partkey) AS part FROM part WHERE p_partkey % 25 <> 3 GROUP BY 1) SELECT idx, hostname, coalesce(t.part, 'none') AS part FROM p LEFT JOIN t ON host = hostname"""),
+    "dynamic_patterns": (lambda s, d: evaluate(_pattern_messages(s, d), parse_config(PATTERNS)).select("idx", (F.size("outputs") > 0).alias("hit"), F.try_element_at("vars", F.lit("found")).alias("found"), F.try_element_at("vars", F.lit("part")).alias("part")), """
+WITH w AS (SELECT doc_id AS idx, coalesce(text, '') AS msg, doc_id % 4 AS k, regexp_replace(split_part(coalesce(text, ''), ' ', 3), '[^a-zA-Z]', '', 'g') AS w FROM documents)
+SELECT idx, CASE k WHEN 1 THEN starts_with(msg, w) WHEN 2 THEN regexp_matches(msg, substr(w, 1, 2) || '.') ELSE false END AS hit,
+  CASE WHEN k = 1 AND starts_with(msg, w) THEN w WHEN k = 2 AND regexp_matches(msg, substr(w, 1, 2) || '.') THEN regexp_extract(msg, substr(w, 1, 2) || '.') ELSE 'none' END AS found, split_part(msg, 'e', 2) AS part FROM w"""),
+    "json_parse_odd": (_odd_json, _M + """
+x AS (SELECT idx, idx % 9 AS k, hostname AS h FROM p)
+SELECT idx, CASE WHEN k IN (0, 4, 5, 7) THEN 'OK' ELSE 'FAIL' END AS ok, CASE WHEN k IN (0, 5) THEN h WHEN k = 4 THEN '1.5' END AS a, CASE WHEN k = 4 THEN '' END AS b, CASE WHEN k = 4 THEN '{"d":[1,"q"]}' END AS c, CASE WHEN k = 4 THEN 'true' END AS e, CASE WHEN k = 4 THEN '1000' END AS f,
+  CASE WHEN k = 7 THEN '{"b":2}' END AS n, CASE WHEN k = 7 THEN h END AS "none" FROM x"""),
+    "replay_errors": (lambda s, d: replay.outcomes(evaluate(_faulty(s, d), parse_config(CONFIG, LOOKUPS))), _M + """
+x AS (SELECT event_type = 'purchase' AS bad, CASE WHEN transport = 'udp' AND port = 514 THEN 1 WHEN transport = 'tcp' AND port = 6601 THEN 2 ELSE 0 END AS r, regexp_matches(msg, 'value=[0-9]$') AS short FROM p)
+SELECT count(*) AS total, count(*) AS processed, count(*) FILTER (NOT bad AND (r = 1 OR r = 2 AND short)) AS delivered, count(*) FILTER (NOT bad AND r = 0) AS no_input_match, count(*) FILTER (NOT bad AND r = 2 AND NOT short) AS no_output, count(*) FILTER (bad) AS errors FROM x"""),
+    "replay_error_samples": (lambda s, d: replay.samples(evaluate(_faulty(s, d), parse_config(CONFIG, LOOKUPS))).filter("bucket = 'error'"), _M + """
+x AS (SELECT 1) SELECT 'error' AS bucket, idx, programname, hostname, CAST(NULL AS VARCHAR) AS msg, 'msg is not a string' AS reason FROM p WHERE event_type = 'purchase' ORDER BY idx LIMIT 5"""),
+    "diff_errors": (lambda s, d: replay.route_changes(replay.compare(_faulty(s, d), parse_config(CONFIG, LOOKUPS), parse_config(OVERLAY.replace('"siem2"', '"siem"').replace('file="/var/log/short.log"', 'file="/short"'), LOOKUPS))).filter("baseline LIKE '%short%' OR baseline = 'error'"), _M + """
+x AS (SELECT 1) SELECT idx, 'rs=tcp|omfile:/var/log/short.log' AS baseline, 'rs=tcp|omfile:/short' AS overlay FROM p WHERE transport = 'tcp' AND port = 6601 AND event_type <> 'purchase' AND regexp_matches(msg, 'value=[0-9]$')"""),
+    "replay_capped": (lambda s, d: replay.top_values(first_messages(read_lines(_ordered(s, d)), 5000), F.col("programname"), None), _M + """
+o AS (SELECT programname, row_number() OVER (ORDER BY event_type, idx) AS idx FROM p), c AS (SELECT * FROM o WHERE idx <= 5000)
+SELECT programname AS key, count(*) AS n, floor(count(*) * 1000.0 / (SELECT count(*) FROM c) + 0.5) / 10 AS pct FROM c GROUP BY 1"""),
+    "ordered_lines": (lambda s, d: read_lines(_ordered(s, d)).select("idx", "hostname", "msg"), _M + "x AS (SELECT 1) SELECT row_number() OVER (ORDER BY event_type, idx) AS idx, hostname, msg FROM p"),
+    "indexed_fires": (lambda s, d: detect_index.indexed_fires(_doc_messages(s, d), _rules(s, d)), _FIRED + """
+n AS (SELECT rule_ord, count(*) AS n FROM h GROUP BY 1) SELECT p_partkey AS rule_ord, p_name AS title, p_brand AS level, coalesce(n.n, 0) AS n FROM part LEFT JOIN n ON n.rule_ord = p_partkey"""),
+    "indexed_samples": (lambda s, d: detect_index.indexed_samples(_doc_messages(s, d), _rules(s, d)), _FIRED + """
+x AS (SELECT 1) SELECT rule_ord, idx FROM h QUALIFY row_number() OVER (PARTITION BY rule_ord ORDER BY idx) <= 5"""),
+    **table_queries.QUERIES,
     "trace_events": (lambda s, d: replay.trace_events(evaluate(event_messages(s, d), parse_config(TAGGING), trace=True)).withColumn("step", F.col("step").cast("long")), _M + """
 t AS (SELECT *, programname = 'sshd' AS ssh, pri % 8 < 2 AS low FROM p WHERE transport = 'udp' AND port = 514),
 e AS (SELECT idx, unnest(CASE WHEN ssh THEN [0, 1, 2, 3, 4, 5] WHEN low THEN [0, 1, 2, 6, 7, 8, 9, 10] ELSE [0, 1, 2, 6, 7] END) AS k, ssh, low, programname FROM t)
@@ -456,8 +530,6 @@ SELECT idx, row_number() OVER (PARTITION BY idx ORDER BY k) AS step,
   ['input_selected', 'ruleset_entered', 'condition_eval', 'set', 'action', 'stop', 'set', 'condition_eval', 'call', 'unset', 'action'][k + 1] AS type,
   CASE k WHEN 0 THEN 'tag' WHEN 1 THEN 'tag' WHEN 2 THEN CAST(ssh AS VARCHAR) WHEN 3 THEN '$!sourcetype=secure' WHEN 4 THEN 'omfile /a' WHEN 5 THEN '' WHEN 6 THEN '$!sourcetype=' || programname
     WHEN 7 THEN CAST(low AS VARCHAR) WHEN 8 THEN 'late' WHEN 9 THEN '$!sourcetype' ELSE 'omfile /late' END AS message FROM e"""),
-    "config_search": (lambda s, d: catalog.search(_config_lines(s), "ACTION"), """
-SELECT * FROM (VALUES (0, 9, 'if $programname == "kernel" then { action(type="omfile" file="/var/log/kern.log") stop }')) AS t(doc_id, line, snippet)"""),
 }
 
 

@@ -2,28 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.functions.jsontext import is_number, is_text, json_object, repeated_keys, shown_members
+
 _FIELDS = ("fromhost", "fromhost_ip", "hostname", "programname", "syslogtag", "rawmsg", "msg", "inputname", "myhostname")
 # Keys of the input that are named otherwise here.
 _KEYS = {"fromhost_ip": "fromhostIp", "sim_time": "simTime"}
-_SCHEMA = "transport string, port int, simTime double, " + ", ".join(f"{_KEYS.get(f, f)} string" for f in _FIELDS) + ", structured map<string,string>, _bad string"
 
 
 def read_ndjson(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """Messages, and the rows that are no JSON object; other columns are kept in both.
 
-    transport is tcp or else udp, port 514 if missing, simTime is in milliseconds;
-    blank lines are left out.
+    transport is tcp or else udp, port 514 if it is no number, simTime is in
+    milliseconds; of repeated keys the last counts; blank lines are left out.
+    fault names the first field of a message that should be a text and is none
+    (null counts as missing); such a field is null.
     """
     kept = lines.filter(F.length(F.trim(column)) > 0)
-    read = kept.withColumn("_m", F.from_json(column, _SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    bad = F.col("_m").isNull() | F.col("_m._bad").isNotNull() | ~F.ltrim(column).startswith("{")
-    transport = F.when(F.col("_m.transport") == "tcp", "tcp").otherwise("udp")
+    with repeated_keys(lines.sparkSession):
+        read = kept.withColumn("_m", F.element_at(F.transform(F.array(json_object(F.col(column))), _message), 1))
     names = [c for c in lines.columns if c != column]
-    messages = read.filter(~bad).select(*names, transport.alias("transport"), F.coalesce("_m.port", F.lit(514)).alias("port"), *(F.col(f"_m.{_KEYS.get(f, f)}").alias(f) for f in _FIELDS), F.timestamp_millis(F.col("_m.simTime").cast("long")).alias("sim_time"), F.coalesce("_m.structured", F.create_map().cast("map<string,string>")).alias("structured"))
-    return messages, read.filter(bad).select(*lines.columns, F.lit("not a JSON object").alias("message"))
+    messages = read.filter(F.col("_m").isNotNull()).select(*(f"`{c}`" for c in names), "_m.*")
+    return messages, read.filter(F.col("_m").isNull()).select(*(f"`{c}`" for c in lines.columns), F.lit("not a JSON object").alias("message"))
+
+
+def _message(members: Column) -> Column:
+    """A message as a struct; all of it is one expression, so the text is read once."""
+    at = lambda k: F.try_element_at(members, F.lit(_KEYS.get(k, k)))
+    text = lambda k: F.when(is_text(at(k)), F.try_variant_get(at(k), "$", "string"))
+    odd = lambda k: F.when(at(k).isNotNull() & ~F.is_variant_null(at(k)) & ~is_text(at(k)), F.lit(f"{_KEYS.get(k, k)} is not a string"))
+    structured = shown_members(F.try_variant_get(at("structured"), "$", "map<string,variant>"))
+    fields = {
+        "transport": F.when(text("transport") == "tcp", "tcp").otherwise("udp"), "port": F.coalesce(F.when(is_number(at("port")), F.try_variant_get(at("port"), "$", "int")), F.lit(514)), **{f: text(f) for f in _FIELDS},
+        "sim_time": F.when(is_number(at("sim_time")), F.timestamp_millis(F.try_variant_get(at("sim_time"), "$", "double").try_cast("long"))),
+        "structured": F.coalesce(structured, F.create_map().cast("map<string,string>")), "fault": F.coalesce(*(odd(f) for f in _FIELDS)),
+    }
+    return F.when(members.isNotNull(), F.struct(*(c.alias(k) for k, c in fields.items())))
 
 
 def read_line_array(bodies: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
