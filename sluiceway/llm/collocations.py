@@ -31,7 +31,7 @@ LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 #: Cells of a sketch's row: a power of two, about one for eight words, at most this many (a bitmap of 32 MB).
 CELLS = 1 << 28
 #: Characters of the candidates of one automaton (some 60 bytes each), and of the text that one group scans.
-SHARD_CHARS, GROUP_CHARS = 4 << 20, 8 << 20
+SHARD_CHARS, GROUP_CHARS = 4 << 20, 64 << 20
 #: Bytes of text that are cut into words at once, and hashes that are counted at once.
 CHUNK, COUNTED = 2 << 20, 2 << 20
 _BLOCK = 1 << 16
@@ -191,28 +191,28 @@ def _cut(values: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
-    """kind, lang, phrase, weight: candidates of two words and more (0), once a task; stretches of text and how often each comes (1) and numbers of words (2), by batch."""
+    """kind, lang, phrase, weight: candidates of two words and more (0), stretches of text and how often each comes (1) and numbers of words (2), by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, seen = [f.value for f in filters], np.zeros(0, U64)
+        before = [f.value for f in filters]
         for b in batches:
-            texts, langs, names = [], [], []
+            texts, langs, found, hashes, owners, names = [], [], [], [], [], []
             for pieces, names, own in _chunks(iter([b])):
-                found = pieces.phrases(before)
+                per_size = pieces.phrases(before)
                 lang = own[pieces.doc]
                 first, size, fresh = [], [], []
-                for n, (g, may) in enumerate(found[1:], 2):
+                for n, (g, may) in enumerate(per_size[1:], 2):
                     some = np.flatnonzero(may)
                     some = some[np.unique(g[some], return_index=True)[1]]
-                    some = some[~np.isin(g[some], seen)]
                     first.append(some)
                     size.append(np.full(len(some), n))
                     fresh.append(g[some])
-                seen = np.concatenate([seen, *fresh])
-                first, size = np.concatenate(first), np.concatenate(size)
-                yield _rows(0, pc.take(pa.array(names), pa.array(lang[first])), pieces.strings(first, size), np.zeros(len(first), np.int64))
+                first = np.concatenate(first)
+                found.append(pieces.strings(first, np.concatenate(size)))
+                hashes += fresh
+                owners.append(lang[first])
                 # A stretch goes on as long as pairs may be frequent; a word alone may be, too.
-                may, tied = found[0][1], np.append(found[1][1], False)
+                may, tied = per_size[0][1], np.append(per_size[1][1], False)
                 opens = np.flatnonzero(may & ~np.append(False, tied[:-1])[: len(may)])
                 closes = np.flatnonzero(may & ~tied[: len(may)])
                 texts.append(pieces.strings(opens, closes - opens + 1))
@@ -220,6 +220,8 @@ def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
                 key, n = np.unique(lang, return_counts=True)
                 yield _rows(2, pc.take(pa.array(names), pa.array(key)), pa.array([""] * len(key), pa.string()), n)
             if texts:
+                once = np.unique(np.concatenate(hashes), return_index=True)[1]
+                yield _rows(0, pc.take(pa.array(names), pa.array(np.concatenate(owners)[once])), pa.concat_arrays(found).take(pa.array(once)), np.zeros(len(once), np.int64))
                 whole = pa.concat_arrays(texts).dictionary_encode()
                 key = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + np.concatenate(langs)
                 key, n = np.unique(key, return_counts=True)
@@ -249,13 +251,9 @@ def _windows(words: list[str], shards: int) -> Iterator[tuple[int, str]]:
 
 
 def _cut_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, weight, shards: to shard, lang, phrase, weight; a language of one shard stays as it is."""
+    """lang, phrase, weight, shards: to shard, lang, phrase, weight."""
     for b in batches:
-        shards = b.column(3).to_numpy()
-        alone = np.flatnonzero(shards == 1)
-        one = b.take(pa.array(alone))
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(alone), np.int32)), *one.columns[:3]], ["shard", "lang", "phrase", "weight"])
-        rows = [(s, r["lang"], p, r["weight"]) for r in b.take(pa.array(np.flatnonzero(shards > 1))).to_pylist() for s, p in _windows(r["phrase"].split(" "), r["shards"])]
+        rows = [(s, r["lang"], p, r["weight"]) for r in b.to_pylist() for s, p in _windows(r["phrase"].split(" "), r["shards"])]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64()))], ["shard", "lang", "phrase", "weight"])
 
@@ -286,28 +284,24 @@ class Scanner:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of lang, shard, salt, kind: a group's candidates come before its texts."""
-    group: tuple | None = None
-    phrases: list[str] = []
-    scanner: Scanner | None = None
+    """Rows in the order of place, twice a group's number and 1 for text: a group's candidates come before its texts."""
+    group, lang, phrases, scanner = -1, "", [], None
 
     def counted() -> Iterator[pa.RecordBatch]:
         if scanner is not None and (hit := np.flatnonzero(scanner.counts)).size:
-            yield pa.RecordBatch.from_pydict({"lang": [group[0]] * len(hit), "phrase": [scanner.phrases[k] for k in hit], "n": scanner.counts[hit]})
+            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(hit), "phrase": [scanner.phrases[k] for k in hit], "n": scanner.counts[hit]})
 
     for b in batches:
-        shard, salt, kind, weight = (b.column(k).to_numpy() for k in (0, 1, 2, 5))
-        names = b.column(3).dictionary_encode()
-        lang, known = names.indices.to_numpy(), names.dictionary.to_pylist()
-        change = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0) | (np.diff(kind) != 0) | (np.diff(lang) != 0)) + 1
-        for i, j in zip([0, *change], [*change, len(shard)]):
+        place, weight = b.column(0).to_numpy(), b.column(3).to_numpy()
+        change = np.flatnonzero(np.diff(place)) + 1
+        for i, j in zip([0, *change], [*change, len(place)]):
             if i == j:
                 continue
-            if group != (known[lang[i]], shard[i], salt[i]):
+            if group != place[i] // 2:
                 yield from counted()
-                group, phrases, scanner = (known[lang[i]], shard[i], salt[i]), [], None
-            texts = b.column(4).slice(i, j - i).to_pylist()
-            if kind[i] == 0:
+                group, lang, phrases, scanner = place[i] // 2, b.column(1)[i].as_py(), [], None
+            texts = b.column(2).slice(i, j - i).to_pylist()
+            if place[i] % 2 == 0:
                 phrases += texts
                 continue
             if scanner is None:
@@ -331,17 +325,26 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = found.select("lang", F.explode(F.split("phrase", " ", -1)).alias("phrase")).distinct()
     candidates = materialize(found.unionByName(words), "candidates")
     stretches = rows.filter("kind = 1").select("lang", "phrase", "weight")
-    # One row a language: its automata, and the groups that share the text of each.
+    # One row a language: its automata, the groups that share the text of each, and the first group's number.
     chars = candidates.groupBy("lang").agg(F.ceil(F.sum(F.length("phrase") + 2) / SHARD_CHARS).cast("int").alias("shards"))
     sizes = stretches.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 1).alias("size"))
     copies_of_text = F.least(F.col("shards"), F.lit(LONGEST)) / F.col("shards")
-    deal = materialize(chars.join(sizes, "lang").select("lang", "shards", F.greatest(F.lit(1), F.ceil(F.col("size") * copies_of_text / GROUP_CHARS)).cast("int").alias("salts")), "deal")
+    deal = chars.join(sizes, "lang").select("lang", "shards", F.greatest(F.lit(1), F.ceil(F.col("size") * copies_of_text / GROUP_CHARS)).cast("int").alias("salts"))
+    before = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    deal = materialize(deal.withColumn("base", F.coalesce(F.sum(F.col("shards") * F.col("salts")).over(before), F.lit(0)).cast("int")), "deal")
+    groups, most = deal.agg(F.sum(F.col("shards") * F.col("salts")), F.max("shards")).first()
     first = F.substring_index("phrase", " ", 1)
     shard = F.when(F.col("shards") == 1, 0).otherwise(F.crc32(first.cast("binary")) % F.col("shards")).cast("int")
-    copies = candidates.join(deal, "lang").select(shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "lang", "phrase", F.lit(0).cast("long").alias("weight"))
-    cut = stretches.join(deal.select("lang", "shards"), "lang").select("lang", "phrase", "weight", "shards").mapInArrow(_cut_by_shard, "shard int, lang string, phrase string, weight long")
-    salted = cut.join(deal.select("lang", "salts"), "lang").select("shard", F.pmod(F.xxhash64("phrase"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "lang", "phrase", "weight")
-    together = copies.unionByName(salted).repartition("lang", "shard", "salt").sortWithinPartitions("lang", "shard", "salt", "kind")
+    own = F.col("base") + F.col("shard") * F.col("salts") + F.col("salt")
+    copies = candidates.join(deal, "lang").withColumn("shard", shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    copies = copies.select(own.alias("group"), F.lit(0).alias("kind"), "lang", "phrase", F.lit(0).cast("long").alias("weight"))
+    shared = stretches.join(deal.select("lang", "shards"), "lang")
+    cut = shared.filter("shards = 1").select(F.lit(0).alias("shard"), "lang", "phrase", "weight")
+    if (most or 1) > 1:
+        cut = cut.unionByName(shared.filter("shards > 1").select("lang", "phrase", "weight", "shards").mapInArrow(_cut_by_shard, "shard int, lang string, phrase string, weight long"))
+    salted = cut.join(deal, "lang").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.col("salts")).cast("int")).select(own.alias("group"), F.lit(1).alias("kind"), "lang", "phrase", "weight")
+    # A group is a partition of its own; its candidates come first.
+    together = copies.unionByName(salted).repartitionById(int(groups or 1), "group").withColumn("place", F.col("group").cast("long") * 2 + F.col("kind")).sortWithinPartitions("place").select("place", "lang", "phrase", "weight")
     counts = together.mapInArrow(_scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
     return materialize(counts, "counts"), rows.filter("kind = 2").groupBy("lang").agg(F.sum("weight").alias("n"))
 
