@@ -30,8 +30,8 @@ from sluiceway.llm.common import LOWER, LOWERED_VALUE, POWERS, U64, flat, materi
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 #: Cells of a sketch's row: a power of two, about one for eight words, at most this many (a bitmap of 32 MB).
 CELLS = 1 << 28
-#: Characters of the candidates of one automaton (some 60 bytes each), and of the text that one group scans.
-SHARD_CHARS, GROUP_CHARS = 4 << 20, 64 << 20
+#: Candidates of one automaton (some 250 bytes each), and characters of the text that one group scans.
+SHARD_PHRASES, GROUP_CHARS = 1 << 19, 64 << 20
 #: Bytes of text that are cut into words at once, and hashes that are counted at once.
 CHUNK, COUNTED = 2 << 20, 2 << 20
 _BLOCK = 1 << 16
@@ -262,27 +262,43 @@ def _cut_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class Scanner:
-    """Counts of phrases in stretches of text, by an automaton over phrases with a blank on both sides."""
+    """Counts of phrases in stretches of text, by an automaton over phrases with a blank on both sides.
+
+    Each word of a phrase is one character in the automaton, any other word a
+    line break, so it has two states a word.
+    """
 
     def __init__(self, phrases: list[str]) -> None:
         self.phrases, self.counts = phrases, np.zeros(len(phrases), np.int64)
+        self.code: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         for k, p in enumerate(phrases):
-            self.automaton.add_word(f" {p} ", k)
+            self.automaton.add_word(f" {' '.join([self.code.setdefault(w, _character(len(self.code))) for w in p.split(' ')])} ", k)
         if phrases:
             self.automaton.make_automaton()
 
     def scan(self, texts: list[str], weights: np.ndarray) -> None:
         """All occurrences, overlapping ones too; texts of one weight are scanned as one, with a line break between."""
-        order = np.argsort(weights, kind="stable") if self.phrases else weights[:0]
+        order, get = np.argsort(weights, kind="stable"), self.code.get
         for some in np.split(order, np.flatnonzero(np.diff(weights[order])) + 1):
-            line = " " + " \n ".join([texts[k] for k in some]) + " "
+            words = " \n ".join([texts[k] for k in some]).split(" ")
+            line = f" {' '.join([get(w, BREAK) for w in words])} "
             hits = Counter(map(itemgetter(1), self.automaton.iter(line)))
             if hits:
                 at = np.fromiter(hits.keys(), np.int64, len(hits))
                 self.counts[at] += np.fromiter(hits.values(), np.int64, len(hits)) * weights[some[0]]
 
 
+#: What is no word of a phrase.
+BREAK = "\n"
+
+
+def _character(k: int) -> str:
+    """The k-th character behind the blank that is no half of a pair."""
+    k += 0x21
+    return chr(k if k < 0xD800 else k + 0x800)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of place, twice a group's number and 1 for text: a group's candidates come before its texts."""
     group, lang, phrases, scanner = -1, "", [], None
@@ -326,7 +342,7 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     candidates = materialize(found.unionByName(words), "candidates")
     stretches = rows.filter("kind = 1").select("lang", "phrase", "weight")
     # One row a language: its automata, the groups that share the text of each, and the first group's number.
-    chars = candidates.groupBy("lang").agg(F.ceil(F.sum(F.length("phrase") + 2) / SHARD_CHARS).cast("int").alias("shards"))
+    chars = candidates.groupBy("lang").agg(F.ceil(F.count("*") / SHARD_PHRASES).cast("int").alias("shards"))
     sizes = stretches.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 1).alias("size"))
     copies_of_text = F.least(F.col("shards"), F.lit(LONGEST)) / F.col("shards")
     deal = chars.join(sizes, "lang").select("lang", "shards", F.greatest(F.lit(1), F.ceil(F.col("size") * copies_of_text / GROUP_CHARS)).cast("int").alias("salts"))

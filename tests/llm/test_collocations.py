@@ -66,7 +66,7 @@ def test_equals_brute_force(spark, monkeypatch, least):
 
 def test_shards_salts_and_a_narrow_sketch_change_nothing(spark, monkeypatch):
     """Five and more automata, a group of text for each few hundred characters, cells that all phrases share."""
-    monkeypatch.setattr(module, "SHARD_CHARS", 200)
+    monkeypatch.setattr(module, "SHARD_PHRASES", 9)
     monkeypatch.setattr(module, "GROUP_CHARS", 400)
     monkeypatch.setattr(module, "CELLS", 1 << 16)
     assert got(spark, corpus(), 50) == brute(corpus(), 30, 50)
