@@ -302,7 +302,7 @@ class Compiler:
             return Typed("str", part)
         simple = {
             "tolower": lambda: ("str", F.lower(s[0])), "toupper": lambda: ("str", F.upper(s[0])), "strlen": lambda: ("num", F.length(s[0]).cast("double")),
-            "cnum": lambda: ("num", n(0)), "cstr": lambda: ("str", s[0]), "replace": lambda: ("str", F.when(F.length(s[1]) > 0, F.replace(s[0], s[1], s[2])).otherwise(F.array_join(F.split(s[0], ""), s[2]))),
+            "cnum": lambda: ("num", n(0)), "cstr": lambda: ("str", s[0]), "replace": lambda: ("str", F.when(F.length(s[1]) > 0, F.replace(s[0], s[1], s[2])).otherwise(F.call_function("array_join", F.split(s[0], ""), s[2]))),
             "wrap": lambda: ("str", F.when(F.length(s[0]) > 0, F.concat(s[1], s[0], s[2] if len(s) > 2 else s[1])).otherwise("")),
             "substring": lambda: ("str", _slice(s[0], n(1), n(2) if len(s) > 2 else None)),
         }

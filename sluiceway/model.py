@@ -103,3 +103,6 @@ class Config:
     lookup_files: dict[str, str] = field(default_factory=dict)
     modules: list[str] = field(default_factory=list)
     default: str | None = None
+    #: Files to include, in the order of reading; line and message of what could not be read.
+    includes: list[str] = field(default_factory=list)
+    problems: list[tuple[int, str]] = field(default_factory=list)

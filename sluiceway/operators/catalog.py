@@ -208,7 +208,7 @@ def store_findings(rel: dict[str, DataFrame]) -> DataFrame:
     found.append(_finding(gelf, "SIEM_GELF_CUSTOM_FIELD_PREFIX", "warning", F.concat(F.lit("a field of its own needs an underscore: "), "field")))
     table = at("microsoft-sentinel").withColumn("t", F.explode(F.array_compact(F.array(*(p(k) for k in ("table", "Table", "stream", "Stream", "table_name"))))))
     found.append(_finding(table.filter((F.length("t") > 0) & ~F.col("t").rlike(CUSTOM_TABLE) & ~F.col("t").isin(list(STANDARD_TABLES))), "SIEM_SENTINEL_INVALID_TABLE_NAME", "error", F.concat(F.lit("no standard table and no name of an own one: "), "t")))
-    known = [w.partition("|")[0] for w in TARGETS["chronicle-udm"].words["udm.event_type"].split()] + list(MORE_EVENT_TYPES)
+    known = [w[0] for w in TARGETS["chronicle-udm"].words["udm.event_type"]] + list(MORE_EVENT_TYPES)
     found.append(_finding(at("chronicle-udm").withColumn("e", p("event_type", "metadata.event_type")).filter((F.length("e") > 0) & ~F.col("e").isin(known)), "SIEM_UDM_UNKNOWN_EVENT_TYPE", "warning", F.concat(F.lit("event type that is not known: "), "e")))
     lacking = F.array_compact(F.array(*(F.when(~has(k, k[0].upper() + k[1:], k.lower()), k) for k in ("vendor", "product", "version", "eventID"))))
     found.append(_finding(at("qradar-leef").withColumn("lacking", lacking).filter(F.size("lacking") > 0), "SIEM_LEEF_HEADER_INCOMPLETE", "info", F.concat(F.lit("header lacks "), F.array_join("lacking", ", "))))

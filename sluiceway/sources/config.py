@@ -25,6 +25,7 @@ _COMPARE = {"==", "!=", "<", "<=", ">", ">=", "=~", "!~", "contains", "contains_
 class _Parser:
     def __init__(self, text: str) -> None:
         self.text, self.at, self.config = text, 0, Config()
+        self.wrong = self.config.problems
         self.legacy: list = []
         self.bare: list = []
         self.other: list = []
@@ -39,9 +40,9 @@ class _Parser:
             self.at = m.end()
 
     def take(self, want: str | None = None) -> str:
-        _, text = self.peek()
-        if want is not None and text != want:
-            raise SyntaxError(f"expected {want!r}, found {text!r} at {self.at}")
+        kind, text = self.peek()
+        if kind == "end" or want is not None and text != want:
+            raise SyntaxError(f"expected {want or 'more'}, found {text or 'the end'}")
         self.at += len(text)
         return text
 
@@ -55,7 +56,7 @@ class _Parser:
 
     def file(self) -> Config:
         while self.peek()[0] != "end":
-            for s in self.statement(True):
+            for s in self.attempt(True):
                 if isinstance(s, Action):
                     self.bare.append(s)
                 elif isinstance(s, Selector):
@@ -73,9 +74,29 @@ class _Parser:
             return tuple(self.statement(False))
         out: list = []
         while not self.maybe("}"):
-            out += self.statement(False)
+            if self.peek()[0] == "end":
+                self.note("a block is not closed")
+                break
+            out += self.attempt(False)
         return tuple(out)
 
+    def note(self, message: str) -> None:
+        self.wrong.append((self.text.count("\n", 0, self.at) + 1, message))
+
+    def attempt(self, top: bool) -> list:
+        """A statement; one that cannot be read is noted, and reading goes on behind it: after its semicolon, or on the next line."""
+        began = self.at
+        try:
+            return self.statement(top)
+        except SyntaxError as e:
+            self.note(str(e))
+            if self.at < len(self.text) and self.text[self.at] != ";":
+                line = self.text.find("\n", max(self.at, began + 1))
+                self.at = len(self.text) if line < 0 else line
+            else:
+                self.at += 1
+            return []
+
     def statement(self, top: bool) -> list:
         kind, word = self.peek()
         if (m := _SELECTOR.match(self.text, self.at)) and re.match(r"action\s*\(", m[2]):
@@ -114,7 +135,7 @@ class _Parser:
                 return [CallRuleset(self.take())]
             self.params()
             return []
-        if low in ("action", "input", "module", "template", "ruleset", "lookup_table", "global", "main_queue"):
+        if low in ("include", "action", "input", "module", "template", "ruleset", "lookup_table", "global", "main_queue"):
             self.take()
             params = self.params()
             return self._object(low, params)
@@ -133,6 +154,8 @@ class _Parser:
             self.config.templates[name.strip()] = _string(text.strip())
         elif line[0].lower() == "$defaultruleset" and len(line) > 1:
             self.config.default = line[1].strip()
+        elif line[0].lower() == "$includeconfig" and len(line) > 1:
+            self.config.includes.append(line[1].partition("#")[0].strip())
         elif line[0].lower() == "$modload" and len(line) > 1:
             self.config.modules.append(line[1].strip())
         return []
@@ -144,6 +167,8 @@ class _Parser:
             return [Action(p.get("type", "") if p.get("type") in kinds else "unknown", tuple(sorted(p.items())))]
         if kind == "input":
             c.inputs.append(Input(p.get("type", ""), int(p["port"]) if p.get("port", "").isdigit() else None, p.get("ruleset")))
+        elif kind == "include" and p.get("file"):
+            c.includes.append(p["file"])
         elif kind == "module":
             c.modules.append(p.get("load", ""))
         elif kind == "lookup_table":
@@ -241,7 +266,8 @@ class _Parser:
                 args.append(self.expression())
                 self.maybe(",")
             return Call(text.lower(), tuple(args))
-        raise SyntaxError(f"no expression at {self.at}: {text!r}")
+        self.at -= len(text)
+        raise SyntaxError(f"no expression: {text}")
 
     @staticmethod
     def _name(text: str) -> tuple[str, str]:

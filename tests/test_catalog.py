@@ -97,3 +97,19 @@ def test_loose_lines(spark):
     assert (got[0].hostname, got[0].programname, got[0].procid, got[0].msg) == ("mach", "su", "9", "failed")
     assert (got[1].programname, got[1].msg) == (None, "su[x]: failed") and (got[2].programname, got[2].syslogtag) == ("a", "a b:")
     assert (got[3].hostname, got[3].sd, got[3].msg) == (None, '[a k="v]"][b]', "body") and (got[4].format, got[4].msg) == ("unknown", "2 a b") and got[5].msg == ""
+
+
+def test_reading_goes_on_after_what_cannot_be_read():
+    config = parse_config("""
+    set $.x = ;
+    ruleset(name="r") {
+      set $.y = "1" "2";
+      if then stop
+      action(type="omfile" file="/a")
+    }
+    module(load=
+    """)
+    assert [line for line, _ in config.problems] and {line for line, _ in config.problems} >= {2, 4}
+    assert any(getattr(s, "kind", "") == "omfile" for s in config.rulesets["r"])
+    assert parse_config('ruleset(name="r") { stop').problems and parse_config('template(name="t" type="list") {').problems and parse_config("if (").problems
+    assert parse_config('include(file="a.conf")\n$IncludeConfig b/*.conf # all\n').includes == ["a.conf", "b/*.conf"]

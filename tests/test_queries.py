@@ -7,7 +7,8 @@ from sluiceway.queries import QUERIES
 @pytest.fixture(scope="module")
 def con(sf):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    for table in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     return c
 
 
