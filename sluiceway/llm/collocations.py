@@ -12,6 +12,7 @@ the scores apply.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import zlib
 from collections import Counter
@@ -34,6 +35,8 @@ CELLS = 1 << 28
 SHARD_PHRASES, GROUP_CHARS = 1 << 19, 64 << 20
 #: Bytes of text that are cut into words at once, and hashes that are counted at once.
 CHUNK, COUNTED = 2 << 20, 2 << 20
+#: Bytes of text whose stretches collapse together.
+GATHERED = 16 << 20
 _BLOCK = 1 << 16
 
 #: 1: blank, 2: between pieces, 0: in a word.
@@ -42,6 +45,15 @@ _CLASS[[0x20, 0x09]] = 1
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system at a task's end; the worker waits beside others for its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 # --- words and phrases of a batch ----------------------------------------------
 
 
@@ -150,7 +162,7 @@ def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
             yield pa.RecordBatch.from_arrays([pa.array((row * (cells // _BLOCK) + block).astype(np.int64)), _cut(cell, first), _cut(n, first)], ["block", "cells", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, hashes, held = [f.value for f in filters], [], 0
+        before, hashes, held, pieces = [f.value for f in filters], [], 0, None
         level = len(before) + 1
         for pieces, _, _ in _chunks(batches):
             for n, (g, may) in enumerate(pieces.phrases(before), 1):
@@ -162,6 +174,8 @@ def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
                 hashes, held = [], 0
         if held:
             yield from cells_of(hashes)
+        del pieces, hashes
+        _give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -170,6 +184,8 @@ def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
                 total = sums.setdefault(block, np.zeros(_BLOCK, np.int64))
                 total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint32)
         full = [(k, np.packbits(v >= LEAST, bitorder="little").tobytes()) for k, v in sums.items() if (v >= LEAST).any()]
+        del sums
+        _give_back()
         yield pa.RecordBatch.from_pylist([{"block": k, "bits": v} for k, v in full], pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
 
     counted = docs.select("text", "lang").mapInArrow(count, "block long, cells binary, counts binary")
@@ -196,8 +212,12 @@ def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = [f.value for f in filters]
         for b in batches:
-            texts, langs, found, hashes, owners, names = [], [], [], [], [], []
+            texts, langs, found, hashes, owners, names, held = [], [], [], [], [], [], 0
             for pieces, names, own in _chunks(iter([b])):
+                if held > GATHERED:
+                    yield from collapsed(texts, langs, found, hashes, owners, names)
+                    texts, langs, found, hashes, owners, held = [], [], [], [], [], 0
+                held += len(pieces.data)
                 per_size = pieces.phrases(before)
                 lang = own[pieces.doc]
                 first, size, fresh = [], [], []
@@ -220,12 +240,17 @@ def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
                 key, n = np.unique(lang, return_counts=True)
                 yield _rows(2, pc.take(pa.array(names), pa.array(key)), pa.array([""] * len(key), pa.string()), n)
             if texts:
-                once = np.unique(np.concatenate(hashes), return_index=True)[1]
-                yield _rows(0, pc.take(pa.array(names), pa.array(np.concatenate(owners)[once])), pa.concat_arrays(found).take(pa.array(once)), np.zeros(len(once), np.int64))
-                whole = pa.concat_arrays(texts).dictionary_encode()
-                key = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + np.concatenate(langs)
-                key, n = np.unique(key, return_counts=True)
-                yield _rows(1, pc.take(pa.array(names), pa.array(key % len(names))), whole.dictionary.take(pa.array(key // len(names))), n)
+                yield from collapsed(texts, langs, found, hashes, owners, names)
+        _give_back()
+
+    def collapsed(texts: list, langs: list, found: list, hashes: list, owners: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """Each candidate once, and each stretch once with its weight."""
+        once = np.unique(np.concatenate(hashes), return_index=True)[1]
+        yield _rows(0, pc.take(pa.array(names), pa.array(np.concatenate(owners)[once])), pa.concat_arrays(found).take(pa.array(once)), np.zeros(len(once), np.int64))
+        whole = pa.concat_arrays(texts).dictionary_encode()
+        key = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + np.concatenate(langs)
+        key, n = np.unique(key, return_counts=True)
+        yield _rows(1, pc.take(pa.array(names), pa.array(key % len(names))), whole.dictionary.take(pa.array(key // len(names))), n)
 
     return docs.select("text", "lang").mapInArrow(run, "kind int, lang string, phrase string, weight long")
 
@@ -294,9 +319,9 @@ BREAK = "\n"
 
 
 def _character(k: int) -> str:
-    """The k-th character behind the blank that is no half of a pair."""
-    k += 0x21
-    return chr(k if k < 0xD800 else k + 0x800)
+    """A text of its own for each number: one character behind the blank that is no half of a pair, two from a million on."""
+    more, k = divmod(k, 1_000_000)
+    return (_character(more - 1) if more else "") + chr(k + 0x21 if k + 0x21 < 0xD800 else k + 0x821)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +349,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 scanner = Scanner(phrases)
             scanner.scan(texts, weight[i:j])
     yield from counted()
+    phrases, scanner = [], None
+    _give_back()
 
 
 def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
