@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import materialize
+from sluiceway.llm.common import materialize, quoted, whole_row
 
 WEIGHTS = (5, 2, 1)
 TOTAL_PERCENT, MOST_REPEATS = 150, 2
@@ -140,8 +140,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     what is taken follows from the row and its source's plan.
     """
     _, plan = _planned(docs, **how)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("h"), _key().alias("key"))
-    kept = [f"_row.`{c}`" for c in docs.columns if c.lower() not in ("size", "target", "taken")]
+    rows = docs.select(whole_row(docs).alias("_row"), word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("h"), _key().alias("key"))
+    kept = [f"_row.{quoted(c)}" for c in docs.columns if c.lower() not in ("size", "target", "taken")]
     return rows.join(plan, "key").select(*kept, "size", "plan.target", _taken())
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import U64, Words, flat, materialize, mix, ngrams, ranges
+from sluiceway.llm.common import U64, Words, flat, materialize, mix, ngrams, ranges, whole_row
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -357,7 +357,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     key, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     fate = materialize(_classes(docs).select(F.col("doc_id").alias("_key"), F.col("class_id").alias("_class"), F.col("t").alias("_t")), "fate")
-    whole = docs.filter(key.isNotNull()).select(key.alias("_key"), text.alias("_text"), F.struct(*docs.columns).alias("_row"))
+    whole = docs.filter(key.isNotNull()).select(key.alias("_key"), text.alias("_text"), whole_row(docs).alias("_row"))
     # Whole rows move once: the join has dealt them by the id already.
     kept = whole.join(fate, "_key").filter("_text <> _t OR _key = _class").dropDuplicates(["_key", "_text"]).select("_row.*")
     return kept.unionByName(docs.filter(key.isNull()))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import free_name
+from sluiceway.llm.common import free_name, quoted
 
 #: Where a session names the key.  No key is built in: who has it can undo the pseudonyms.
 SETTING = "spark.sluiceway.pseudonym.key"
@@ -322,10 +322,10 @@ def pseudonymise(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     base, text, old, new = _searched(docs, key, undo)
     changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
     found = base.withColumns({"text": text, "n_found": F.size(old).cast("long"), "n_changed": F.when(F.size(old) > 0, changed).otherwise(0).cast("long")})
-    return found.select(*[f"`{c}`" for c in docs.columns if c.lower() not in ("n_found", "n_changed")], "n_found", "n_changed")
+    return found.select(*[quoted(c) for c in docs.columns if c.lower() not in ("n_found", "n_changed")], "n_found", "n_changed")
 
 
 def replaced_text(docs: DataFrame, key: str, undo: bool = False) -> DataFrame:
     """docs with the personal values of text replaced, as pseudonymise does it; exactly the columns of docs."""
     base, text, _, _ = _searched(docs, key, undo)
-    return base.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
+    return base.withColumn("text", text).select(*map(quoted, docs.columns))

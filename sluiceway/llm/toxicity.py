@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sluiceway.llm.common import U64, Words, crc_mod, flat, ints, ranges
+from sluiceway.llm.common import U64, Words, crc_mod, flat, ints, ranges, whole_row
 
 DIM_BITS = 22
 #: At most so many labelled rows of each class are learned from, those with the least hash of doc_id.
@@ -135,6 +136,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(train(docs, labels))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    schema = f"_row {whole.schema['_row'].dataType.simpleString()}, score double"
+    whole = docs.select(whole_row(docs).alias("_row"), F.col("text"))
+    schema = StructType([whole.schema["_row"], StructField("score", DoubleType())])
     return whole.mapInArrow(lambda it: _score(it, model), schema).filter(F.col("score") < threshold).select("_row.*")

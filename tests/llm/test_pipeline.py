@@ -30,7 +30,7 @@ def test_stages_against_their_operators(spark, sf):
     assert sorted(map(str, whole.collect())) == sorted(map(str, out.collect()))
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, _row string, n_found string, class_id int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, _row string, n_found string, class_id int, `my col` string, `a.b` int, `a-b` string, `t``k` string"
 LONG = " ".join(f"w{k}" for k in range(30_000))
 ODD = [
     (1, None, None, None, None, 1, "a", None, 1), (2, "", "en", "s", 0, 1, None, "x", None), (None, "no id here", "en", "s", 10, None, "b", "y", 2),
@@ -39,6 +39,9 @@ ODD = [
 ]
 
 
+ODD = [(*r, "m", 1, None, "q") for r in ODD]
+
+
 @pytest.mark.parametrize("name, stage", cp.STAGES)
 def test_odd_rows(spark, sf, name, stage):
     """Nulls, an empty and a very long text, repeated rows and columns with clashing names; and an empty table."""
@@ -55,3 +58,14 @@ def test_odd_rows(spark, sf, name, stage):
         assert ids == (sorted({*every}) if name == "near_duplicates" else every)
         assert all(r._row == next(x[6] for x in ODD if x[0] == r.doc_id) for r in rows)
     assert stage(spark, docs.limit(0), sf).collect() == []
+
+
+def test_run_on_odd_rows(spark, sf, tmp_path):
+    """The whole pipeline over nulls, repeats, a long text and odd names, and over an empty table."""
+    for rows, name in ((ODD, "odd"), ([], "none")):
+        spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{sf}/{table}.parquet").write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    out = cp.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((r.doc_id or 0) for r in out) == [0, 3, 4, 5] and all(r["a.b"] == 1 and r["my col"] == "m" for r in out)
+    assert cp.run(spark, f"{tmp_path}/none").collect() == []
