@@ -289,8 +289,9 @@ def _cut_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 class Scanner:
     """Counts of phrases in stretches of text, by an automaton over phrases with a blank on both sides.
 
-    Each word of a phrase is one character in the automaton, any other word a
-    line break, so it has two states a word.
+    Each word of a phrase is a short code in the automaton, any other word a line
+    break; a code has few characters, so it has few states, and few kinds of
+    them, so no state has many ways on.
     """
 
     def __init__(self, phrases: list[str]) -> None:
@@ -298,7 +299,7 @@ class Scanner:
         self.code: dict[str, str] = {}
         self.automaton = ahocorasick.Automaton()
         for k, p in enumerate(phrases):
-            self.automaton.add_word(f" {' '.join([self.code.setdefault(w, _character(len(self.code))) for w in p.split(' ')])} ", k)
+            self.automaton.add_word(f" {' '.join([self.code.setdefault(w, _code(len(self.code))) for w in p.split(' ')])} ", k)
         if phrases:
             self.automaton.make_automaton()
 
@@ -318,10 +319,10 @@ class Scanner:
 BREAK = "\n"
 
 
-def _character(k: int) -> str:
-    """A text of its own for each number: one character behind the blank that is no half of a pair, two from a million on."""
-    more, k = divmod(k, 1_000_000)
-    return (_character(more - 1) if more else "") + chr(k + 0x21 if k + 0x21 < 0xD800 else k + 0x821)
+def _code(k: int) -> str:
+    """A number as a text of 64 kinds of characters, none of them a blank or a break."""
+    more, k = divmod(k, 64)
+    return (_code(more - 1) if more else "") + chr(0x30 + k)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
