@@ -34,6 +34,12 @@ def alignment_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.slice(F.sequence(F.lit(0), n), F.lit(2), n), start, row, lambda s: F.element_at(s["old"], -1))
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """The same distance; the dynamic programme runs only where two neighbours of one text stand in the other's the other way round, else no swap can help."""
+    pairs = lambda s, back: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 1, F.lit(1))), lambda i: F.reverse(F.substr(s, i, F.lit(2))) if back else F.substr(s, i, F.lit(2)))
+    return F.when(F.arrays_overlap(pairs(a, False), pairs(b, True)), alignment_distance(a, b)).otherwise(F.levenshtein(a, b))
+
+
 def deletions(s: Column, most: int) -> Column:
     """Structs of v and k: what is left of the first START characters without any k of them, k from 0 to most.
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.functions.distance import alignment_distance, deletions
+from sluiceway.functions.distance import deletions, edit_distance
 from sluiceway.model import Action, Call, CallRuleset, Config, If, Lit, Set, Stop
 from sluiceway.operators.targets import GELF_RESERVED, TARGETS
 from sluiceway.operators.trees import STATEMENTS, intervals, silent_drops
@@ -255,7 +255,9 @@ def suggestions(words: DataFrame, defined: DataFrame) -> DataFrame:
     right = names.select("*", F.inline(deletions(F.lower("known"), 3))).withColumnRenamed("k", "dropped")
     met = left.join(right, ["config", "kind", "v"]).filter((F.col("dropped") <= edit_limit(F.col("name"))) & (F.abs(F.length("name") - F.length("known")) <= edit_limit(F.col("name"))))
     pairs = met.select("config", "kind", "name", "known").distinct().filter("known <> name")
-    near = pairs.withColumn("far", alignment_distance(F.lower("name"), F.lower("known"))).filter(F.col("far") <= edit_limit(F.col("name")))
+    # A swap is two edits of the plain distance at most.
+    close = pairs.filter(F.levenshtein(F.lower("name"), F.lower("known"), 6) >= 0)
+    near = close.withColumn("far", edit_distance(F.lower("name"), F.lower("known"))).filter(F.col("far") <= edit_limit(F.col("name")))
     best = near.groupBy("config", "kind", "name").agg(F.min(F.struct("far", "known")).alias("best"))
     return best.select("config", "kind", "name", F.col("best.known").alias("suggestion"))
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.functions.distance import alignment_distance
+from sluiceway.functions.distance import alignment_distance, edit_distance
 from sluiceway.functions.jsontext import json_object, repeated_keys, shown_members
 from sluiceway.operators import catalog, detect, detect_index, enrich, graph, replay, tags, trees
 from sluiceway.plans.routing import evaluate
@@ -286,7 +286,8 @@ def test_nearest_names_equal_all_pairs(spark):
             want[a] = near[0][1]
     assert {x.name: x.suggestion for x in catalog.suggestions(frame(asked), frame(known)).collect()} == want and want["mani_aduit"] == "main_audit"
     pairs = spark.createDataFrame([(a, b) for a in asked for b in known if a is not None and b is not None], "a string, b string")
-    assert all(x.d == plain_distance(x.a, x.b) for x in pairs.select("a", "b", alignment_distance(F.col("a"), F.col("b")).alias("d")).collect())
+    for distance in (alignment_distance, edit_distance):
+        assert all(x.d == plain_distance(x.a, x.b) for x in pairs.select("a", "b", distance(F.col("a"), F.col("b")).alias("d")).collect())
     assert catalog.suggestions(frame([]), frame([])).collect() == []
 
 
