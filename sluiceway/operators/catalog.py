@@ -18,6 +18,7 @@ from sluiceway.functions.distance import deletions, edit_distance
 from sluiceway.model import Action, Call, CallRuleset, Config, If, Lit, Set, Stop
 from sluiceway.operators.targets import GELF_RESERVED, TARGETS
 from sluiceway.operators.trees import STATEMENTS, intervals, silent_drops
+from sluiceway.staging import written
 
 FINDING = "config string, code string, severity string, name string, message string"
 
@@ -254,7 +255,8 @@ def suggestions(words: DataFrame, defined: DataFrame) -> DataFrame:
     left = asked.select("*", F.inline(deletions(F.lower("name"), 3))).filter(F.col("k") <= edit_limit(F.col("name"))).drop("k")
     right = names.select("*", F.inline(deletions(F.lower("known"), 3))).withColumnRenamed("k", "dropped")
     met = left.join(right, ["config", "kind", "v"]).filter((F.col("dropped") <= edit_limit(F.col("name"))) & (F.abs(F.length("name") - F.length("known")) <= edit_limit(F.col("name"))))
-    pairs = met.select("config", "kind", "name", "known").distinct().filter("known <> name")
+    # Written, else the distances would be taken before the distinct, for each deletion that two names share.
+    pairs = written(met.select("config", "kind", "name", "known").distinct().filter("known <> name"))
     # A swap is two edits of the plain distance at most.
     close = pairs.filter(F.levenshtein(F.lower("name"), F.lower("known"), 6) >= 0)
     near = close.withColumn("far", edit_distance(F.lower("name"), F.lower("known"))).filter(F.col("far") <= edit_limit(F.col("name")))
