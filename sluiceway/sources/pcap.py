@@ -1,31 +1,33 @@
 """Packet captures: the log messages in UDP datagrams and TCP streams.
 
-A file is read by one task, since a stream needs its packets in order; many
-files are read side by side.  Damaged files give the packets before the damage.
+A file is cut into packets by one task; many files are read side by side.  The
+streams in them are dealt to all tasks.  Damaged files give the packets before
+the damage.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.sources.messages import decode_line
+from sluiceway.sources.streams import cut, reassembled
 
-#: Ports of log traffic, and the longest unfinished stream text that is kept.
+#: Ports of log traffic.
 PORTS = (514, 6514, 601)
-MAX_PENDING = 1_000_000
+#: Packets that leave the reader at a time.
+BATCH = 4096
 #: Link types, file magics and block types of the capture formats.
 ETHERNET, RAW, COOKED = 1, (12, 101), 113
 CLASSIC = {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}
 SECTION, INTERFACE, SIMPLE, ENHANCED = 0x0A0D0D0A, 1, 3, 6
 
-_COUNTED = re.compile(rb"(\d+) ")
-SCHEMA = "path string, packet long, time_ms long, transport string, src_ip string, port int, payload string"
+SCHEMA = "path string, packet long, time_ms long, transport string, src_ip string, port int, flow binary, payload binary"
 
 
 def frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -70,27 +72,8 @@ def _network(link: int, frame: bytes) -> bytes:
     return frame if link in RAW else b""
 
 
-def _cut(pending: bytes) -> tuple[list[bytes], bytes]:
-    """Whole messages at the start of a stream, by octet count or by line, and what is left."""
-    out = []
-    while pending:
-        if m := _COUNTED.match(pending):
-            end = m.end() + int(m[1])
-            if len(pending) < end:
-                break
-            out.append(pending[m.end() : end])
-        else:
-            end = pending.find(b"\n") + 1
-            if not end:
-                break
-            out.append(pending[: end - 1])
-        pending = pending[end:]
-    return out, pending if len(pending) <= MAX_PENDING else b""
-
-
-def payloads(data: bytes) -> Iterator[tuple[int, int, str, str, int, bytes]]:
-    """Packet number, time, transport, source address, port and text of each message of a file."""
-    streams: dict[tuple, tuple[bytes, tuple]] = {}
+def segments(data: bytes) -> Iterator[tuple[int, int, str, str, int, bytes | None, bytes]]:
+    """Packet number, time, transport, source address, port, flow (null for datagrams) and bytes of each packet of a file that may hold messages."""
     for number, (time, link, frame) in enumerate(frames(data), 1):
         ip = _network(link, frame)
         if len(ip) < 20 or ip[0] >> 4 != 4:
@@ -99,30 +82,41 @@ def payloads(data: bytes) -> Iterator[tuple[int, int, str, str, int, bytes]]:
         body = ip[head : total or len(ip)]
         if ip[9] == 17 and len(body) >= 8:
             port, size = struct.unpack_from(">HH", body, 2)
-            yield number, time, "udp", source, port, body[8 : max(size, 8)]
+            yield number, time, "udp", source, port, None, body[8 : max(size, 8)]
         elif ip[9] == 6 and len(body) >= 20:
             port = struct.unpack_from(">H", body, 2)[0]
             text = body[(body[12] >> 4) * 4 :]
             if port in PORTS and text:
-                flow, about = (ip[12:20], body[:4]), (number, time, "tcp", source, port)
-                found, left = _cut(streams.get(flow, (b"", None))[0] + text)
-                streams[flow] = (left, about)
-                yield from (about + (x,) for x in found)
-    for left, about in streams.values():
-        if left.strip():
-            yield about + (left,)
+                yield number, time, "tcp", source, port, ip[12:20] + body[:4], text
+
+
+def payloads(data: bytes) -> Iterator[tuple[int, int, str, str, int, bytes]]:
+    """Packet number, time, transport, source address, port and text of each message of one small capture at hand."""
+    streams: dict[bytes, tuple[bytes, tuple]] = {}
+    for *about, flow, text in segments(data):
+        if flow is None:
+            yield (*about, text)
+            continue
+        found, left = cut(streams.get(flow, (b"",))[0] + text)
+        streams[flow] = (left, about)
+        yield from ((*about, x) for x in found)
+    yield from ((*about, left) for left, about in streams.values() if left.strip())
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            rows = [(path, *row[:-1], row[-1].decode("utf-8", "replace")) for row in payloads(bytes(content))]
-            yield pd.DataFrame(rows, columns=["path", "packet", "time_ms", "transport", "src_ip", "port", "payload"])
+            rows = ((path, *row) for row in segments(bytes(content)))
+            while some := list(islice(rows, BATCH)):
+                yield pd.DataFrame(some, columns=["path", "packet", "time_ms", "transport", "src_ip", "port", "flow", "payload"])
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
     """One row a message of the capture files at path, whatever its port."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_read, SCHEMA)
+    packets = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_read, SCHEMA)
+    flows = packets.withColumn("flow", F.when(F.col("flow").isNotNull(), F.struct("path", "flow")))
+    messages = reassembled(flows, "flow", ["packet"], "payload")
+    return messages.drop("flow").withColumn("payload", F.make_valid_utf8(F.col("payload").cast("string")))
 
 
 def read_captures(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:

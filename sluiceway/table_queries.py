@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.distance import alignment_distance
 from sluiceway.operators import catalog, graph, siem, tags, trees
+from sluiceway.sources.streams import reassembled
 
 Query = tuple[Callable[[SparkSession, str], DataFrame], str]
 
+#: Bytes of a segment of the streams made from events.
+SEGMENT = 64
+
 #: Views over the tables, in SQL of both engines: the catalogs of 25 configurations.
 VIEWS = {
     "defined": """
@@ -50,6 +54,11 @@ SELECT concat('c', CAST(l.o % 100 AS STRING)) AS config, concat('r', CAST(l.o AS
   CASE WHEN p.n IS NULL THEN 'body' WHEN l.n % 2 = 0 THEN 'then' ELSE 'else' END AS branch, l.n AS ord,
   CASE WHEN EXISTS (SELECT 1 FROM x q WHERE q.o = l.o AND q.h = l.n) THEN 'If' WHEN l.f = 'A' THEN 'Action' WHEN l.f = 'N' THEN 'Set' ELSE 'Call' END AS kind
 FROM x l LEFT JOIN x p ON p.o = l.o AND p.n = l.h""",
+    # A user's events as one stream: a third by octet count, the others by line; fin is where a message ends.
+    "wire": """
+SELECT user_id, text, framed, sum(length(framed)) OVER (PARTITION BY user_id ORDER BY event_id) AS fin FROM (
+  SELECT user_id, event_id, text, CASE WHEN event_id % 3 = 0 THEN concat(CAST(length(text) AS STRING), ' ', text) ELSE concat(text, chr(10)) END AS framed
+  FROM (SELECT user_id, event_id, concat('<', CAST(event_id % 192 AS STRING), '>', coalesce(event_type, ''), ' ', coalesce(props, '')) AS text FROM events WHERE user_id IS NOT NULL) e) e""",
     "edges": """
 SELECT l_linestatus AS graph, CASE l_returnflag WHEN 'A' THEN concat('o', CAST(l_orderkey AS STRING)) WHEN 'R' THEN concat('p', CAST(l_partkey AS STRING)) ELSE concat('s', CAST(l_suppkey AS STRING)) END AS src,
   CASE l_returnflag WHEN 'A' THEN concat('p', CAST(l_partkey AS STRING)) WHEN 'R' THEN concat('s', CAST(l_suppkey AS STRING)) ELSE concat('o', CAST(l_orderkey AS STRING)) END AS dst FROM lineitem""",
@@ -183,6 +192,8 @@ m AS (SELECT p.* FROM tags t JOIN patterns p ON CASE WHEN p.pattern LIKE '%*' TH
     "tag_routes_dotted": (lambda s, d: tags.routed_tags(view(s, d, "tags"), view(s, d, "patterns"), True).select("event_id", F.size("routes").cast("long").alias("n"), F.element_at("routes", -1).alias("last")), _with("tags", "patterns") + """
 m AS (SELECT t.event_id, p.ord, p.route FROM tags t JOIN patterns p ON p.pattern IN ('*', '**', t.tag) OR p.pattern LIKE '%.**' AND (t.tag = left(p.pattern, -3) OR starts_with(t.tag, left(p.pattern, -2))))
 SELECT event_id, count(*) AS n, arg_max(route, (ord, route)) AS last FROM m GROUP BY 1"""),
+    "stream_messages": (lambda s, d: _stream_messages(view(s, d, "wire")), _with("wire") + f"""
+z AS (SELECT 1) SELECT user_id, CAST((fin - 1) // {SEGMENT} AS BIGINT) AS segment, text FROM wire"""),
     "nearest_names": (lambda s, d: catalog.suggestions(view(s, d, "words"), view(s, d, "names")), _with("words", "names") + """
 p AS (SELECT w.name, n.name AS suggestion, damerau_levenshtein(lower(w.name), lower(n.name)) AS far FROM words w JOIN names n ON n.name <> w.name)
 SELECT 'all' AS config, 'part' AS kind, name, suggestion FROM p WHERE far <= least(CASE WHEN length(name) <= 3 THEN 1 WHEN length(name) <= 7 THEN 2 ELSE 3 END, greatest(1, floor(length(name) * 0.4))) QUALIFY row_number() OVER (PARTITION BY name ORDER BY far, suggestion) = 1"""),
@@ -208,6 +219,17 @@ def _silent_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.silent_drops(tops, numbered, called)
 
 
+def _stream_messages(wire: DataFrame) -> DataFrame:
+    """The streams cut into segments of equal size, wherever messages end in them, and framed again."""
+    start = F.col("fin") - F.length("framed")
+    pieces = wire.select("user_id", "framed", start.alias("start"), F.explode(F.sequence(F.floor(start / SEGMENT), F.floor((F.col("fin") - 1) / SEGMENT))).alias("segment"))
+    first = F.greatest(F.col("segment") * SEGMENT - F.col("start"), F.lit(0))
+    size = (F.col("segment") + 1) * SEGMENT - F.col("start") - first
+    part = F.struct("start", F.substr("framed", (first + 1).cast("int"), size.cast("int")).alias("text"))
+    segments = pieces.groupBy("user_id", "segment").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"])).cast("binary").alias("text"))
+    return reassembled(segments, "user_id", ["segment"], "text").withColumn("text", F.col("text").cast("string"))
+
+
 def _nodes(spark: SparkSession, sf_dir: str, letter: str) -> DataFrame:
     return view(spark, sf_dir, "feeds").select("graph", F.col("dst").alias("node")).filter(F.col("node").startswith(letter)).distinct()
 
