@@ -2,11 +2,14 @@
 
 Statements become guarded values.  Each assignment, stop and test is a column of
 its own, that later ones refer to, so the plan grows with the number of
-statements; Spark computes the chain in one pass inside whole-stage codegen.
+statements; those that do not depend on one another share a projection.  Spark
+computes the chain in one pass inside whole-stage codegen.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from sluiceway.functions.expressions import Compiler, as_bool, as_str
 from sluiceway.functions.jsontext import json_object, repeated_keys, shown_members
 from sluiceway.model import Action, CallRuleset, Config, If, Input, Lookup, Set, Stop
 from sluiceway.operators.enrich import attach
+from sluiceway.plans.levels import Levels
 
 MAX_DEPTH = 16
 _TYPES = {"udp": ("imudp",), "tcp": ("imtcp", "imptcp")}
@@ -35,11 +39,12 @@ def _match(inputs: list[Input]) -> tuple[Column, Column]:
 
 
 class _Walk:
-    """A walk over the statements that a message may meet; `rows` carries the state in columns."""
+    """A walk over the statements that a message may meet; `levels` carries the state in columns."""
 
-    def __init__(self, rows: DataFrame, config: Config, tag: str) -> None:
-        self.rows, self.config, self.tag, self.number = rows, config, tag, 0
+    def __init__(self, rows: DataFrame, config: Config, tag: str, trace: bool) -> None:
+        self.levels, self.config, self.trace, self.strict = Levels(rows, tag), config, trace, False
         self.local: dict[str, Column] = {}
+        self.props: dict[str, Column] = {}
         self.fields = F.col("structured")
         self.parsed = F.lit("")
         self.stopped: Column | None = None
@@ -51,17 +56,19 @@ class _Walk:
 
     def keep(self, value: Column) -> Column:
         """The value as a column of its own."""
-        self.number += 1
-        name = f"_{self.tag}{self.number}"
-        self.rows = self.rows.withColumn(name, value)
-        return F.col(name)
+        return F.col(self.levels.keep(value))
+
+    def lay_out(self, wanted: set[str] | None = None) -> DataFrame:
+        if not self.strict:
+            return self.levels.lay_out(wanted)
+        with repeated_keys(self.levels.rows.sparkSession):
+            return self.levels.lay_out(wanted)
 
     def attach(self, table: Lookup, key: Column) -> Column:
         """The value of a key in a table that is a frame: a join in the chain of projections."""
-        self.keep(key)
-        on, self.number = f"_{self.tag}{self.number}", self.number + 1
-        self.rows = attach(self.rows, table.rows, on, f"_{self.tag}{self.number}")
-        return F.col(f"_{self.tag}{self.number}")
+        on, into = self.levels.keep(key), self.levels.new_name()
+        self.levels.rows = attach(self.lay_out(), table.rows, on, into)
+        return F.col(into)
 
     def value(self, e: object, now: Column):
         """A compiled expression; what it could not find for a message that comes here is that message's fault."""
@@ -70,14 +77,17 @@ class _Walk:
         self.compile.open.clear()
         return out
 
-    def note(self, now: Column, kind: str, message: Column | str) -> None:
-        """An event of the messages that come here."""
-        text = F.lit(message) if isinstance(message, str) else F.coalesce(message, F.lit(""))
-        self.events.append(F.when(now, F.struct(F.lit(kind).alias("type"), text.alias("message"))))
+    def note(self, now: Column, kind: str, message: Callable[[], Column] | str) -> None:
+        """An event of the messages that come here; nothing is made unless there is a trace."""
+        if self.trace:
+            text = F.lit(message) if isinstance(message, str) else F.coalesce(message(), F.lit(""))
+            self.events.append(F.when(now, F.struct(F.lit(kind).alias("type"), text.alias("message"))))
 
     def read(self, space: str, name: str) -> Column:
         if space == "$":
-            return self.parsed if name == "parsesuccess" else F.col(f"props.`{name}`") if name in PROPERTIES else F.lit("")
+            if name not in self.props:
+                self.props[name] = F.col(f"props.`{name}`") if name in PROPERTIES else F.lit("")
+            return self.parsed if name == "parsesuccess" else self.props[name]
         if space == "$!":
             return F.try_element_at(self.fields, F.lit(name))
         return self.local.get(name, F.lit(None).cast("string"))
@@ -87,7 +97,7 @@ class _Walk:
             now = guard if self.stopped is None else guard & ~self.stopped
             if isinstance(s, If):
                 test = self.keep(now & F.coalesce(as_bool(self.value(s.test, now)), F.lit(False)))
-                self.note(now, "condition_eval", test.cast("string"))
+                self.note(now, "condition_eval", lambda: test.cast("string"))
                 self.run(s.then, test, depth)
                 if s.other:
                     self.run(s.other, self.keep(now & ~test), depth)
@@ -96,16 +106,16 @@ class _Walk:
                 self.stopped = self.keep(now if self.stopped is None else self.stopped | now)
             elif isinstance(s, Set):
                 self.assign(s, now)
-                self.note(now, "unset" if s.value is None else "set", s.space + s.name if s.value is None else F.concat_ws("=", F.lit(s.space + s.name), self.read(s.space, s.name)))
+                self.note(now, "unset" if s.value is None else "set", s.space + s.name if s.value is None else lambda: F.concat_ws("=", F.lit(s.space + s.name), self.read(s.space, s.name)))
             elif isinstance(s, CallRuleset) and depth < MAX_DEPTH and s.name in self.config.rulesets:
                 self.note(now, "call", s.name)
                 self.run(self.config.rulesets[s.name], now, depth + 1)
             elif isinstance(s, Action) and s.kind == "mmjsonparse":
                 self.parse(s, now)
-                self.note(now, "action", F.concat(F.lit("mmjsonparse "), self.parsed))
+                self.note(now, "action", lambda: F.concat(F.lit("mmjsonparse "), self.parsed))
             elif isinstance(s, Action):
                 self.outputs.append(F.when(now, self.output(s)))
-                self.note(now, "action", F.concat_ws(" ", F.lit(s.kind), self.outputs[-1]["label"]))
+                self.note(now, "action", lambda: F.concat_ws(" ", F.lit(s.kind), self.outputs[-1]["label"]))
                 for name in (s.param("dynafile"),):
                     if s.kind == "omfile" and name and name not in self.config.templates:
                         self.missing.append(F.when(now, F.lit("W_TEMPLATE_MISSING")))
@@ -124,8 +134,8 @@ class _Walk:
         container, cookie = a.param("container") or "msg", a.param("cookie") or "@cee:"
         raw = F.coalesce(self.read("$!", container[2:]) if container.startswith("$!") else self.read("$", container.removeprefix("$").lower()), F.lit(""))
         body = F.regexp_replace(F.when(raw.startswith(cookie), F.substr(raw, F.lit(len(cookie) + 1))).otherwise(raw), r"^\s+", "")
-        with repeated_keys(self.rows.sparkSession):
-            members = self.keep(F.when(now & body.startswith("{"), shown_members(json_object(body))))
+        self.strict = True
+        members = self.keep(F.when(now & body.startswith("{"), shown_members(json_object(body))))
         new = F.map_concat(F.map_filter(self.fields, lambda k, _: ~F.map_contains_key(members, k)), members)
         self.fields = self.keep(F.when(members.isNotNull(), new).otherwise(self.fields))
         self.parsed = self.keep(F.when(now, F.when(members.isNotNull(), "OK").otherwise("FAIL")).otherwise(self.parsed))
@@ -163,11 +173,11 @@ def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str |
     """
     where, named = _match(config.inputs)
     chosen = F.coalesce(F.when(where.isNotNull(), named), F.lit(config.default)) if force is None else F.lit(force)
-    walk = _Walk(messages, config, f"s{suffix}_")
+    walk = _Walk(messages, config, f"s{suffix}_", trace)
     given = F.col("fault") if "fault" in messages.columns else F.lit(None).cast("string")
     chosen = walk.keep(F.when(given.isNull(), chosen.cast("string")))
     entries = {force} if force is not None else {config.default, *(x.ruleset for x in config.inputs)}
-    walk.note(chosen.isNotNull(), "input_selected", chosen)
+    walk.note(chosen.isNotNull(), "input_selected", lambda: chosen)
     for name in sorted(x for x in entries if x in config.rulesets):
         here = walk.keep(F.coalesce(chosen == name, F.lit(False)))
         walk.note(here, "ruleset_entered", name)
@@ -184,4 +194,5 @@ def evaluate(messages: DataFrame, config: Config, suffix: str = "", force: str |
     }
     if trace:
         found["trace"] = F.transform(F.array_compact(F.array(*walk.events)), lambda e, k: F.struct((k + 1).alias("step"), e["type"].alias("type"), e["message"].alias("message")))
-    return walk.rows.select(*(f"`{c}`" for c in messages.columns), *(c.alias(k + suffix) for k, c in found.items()))
+    rows = walk.lay_out(set().union(*map(walk.levels.reads, found.values())))
+    return rows.select(*(f"`{c}`" for c in messages.columns), *(c.alias(k + suffix) for k, c in found.items()))
