@@ -160,6 +160,20 @@ def test_index_in_several_passes_and_without_rules(spark, monkeypatch):
     assert detect_index.fired(df, rules.limit(0)).collect() == [] and detect_index.fired(df.limit(0), rules).collect() == []
 
 
+def test_rules_share_their_parts(spark):
+    """The pairs of messages and parts do not grow with rules that say the same; shared, overlapping and folded parts count each message once."""
+    df = messages(spark, [(n, "p" if n % 3 else "q", "h", f"Word{n % 5} tail{n % 4} {'WORD1' * (n % 2)}") for n in range(120)])
+    template = {"title": "t{id}", "detection": {"a": {"msg|contains": ["Word{w}", "tail{v}"]}, "b": {"msg|i|contains|all": ["word{w}", "WORD1"]}, "no": {"programname": "q"}, "condition": "1 of a or b and not no"}}
+    rows = lambda n: spark.range(n).selectExpr("id", "id % 5 AS w", "id % 3 AS v")
+    held = [detect_index._held(df, detect_index.templated_rules(rows(n), "id", template))[0].count() for n in (15, 300)]
+    assert held[0] == held[1] > 0
+    fires = lambda w, v, n: f"Word{w}" in (m := f"Word{n % 5} tail{n % 4} {'WORD1' * (n % 2)}") or f"tail{v}" in m or (f"word{w}" in m.lower() and "word1" in m.lower() and n % 3 > 0)
+    found = {k: [n for n in range(120) if fires(k % 5, k % 3, n)] for k in range(40)}
+    rules = detect_index.templated_rules(rows(40), "id", template)
+    assert {r.rule_ord: r.n for r in detect_index.indexed_fires(df, rules).collect()} == {k: len(v) for k, v in found.items()}
+    assert sorted(map(tuple, detect_index.indexed_samples(df, rules).select("rule_ord", "idx").collect())) == sorted((k, n) for k, v in found.items() for n in v[:5])
+
+
 def test_plan_does_not_grow_with_the_rules(spark):
     df = messages(spark, [(1, "p", "h", "m")])
     size = lambda n: len(detect_index.fired(df, detect_index.templated_rules(spark.range(n), "id", {"title": "t", "detection": {"selection": {"msg|contains": "w{id}"}}}))._jdf.queryExecution().optimizedPlan().toString())
