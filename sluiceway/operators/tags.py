@@ -50,6 +50,18 @@ def matched_tags(tags: DataFrame, patterns: DataFrame, dotted: bool = False) ->
     return pairs.select(*(f"`{c}`" for c in tags.columns), *(f"`{c}`" for c in patterns.columns))
 
 
+def counted_tags(tags: DataFrame, patterns: DataFrame, dotted: bool = False) -> DataFrame:
+    """patterns with n: how many rows of tags each matches; patterns that match none are left out.
+
+    Each distinct tag meets each distinct pattern once, however many rows repeat
+    them, so the work grows with these and not with the pairs of rows.
+    """
+    counts = tags.groupBy("tag").agg(F.count("*").alias("rows"))
+    n = matched_tags(counts, patterns.select("pattern").distinct(), dotted).groupBy("pattern").agg(F.sum("rows").alias("n"))
+    n = n.withColumnRenamed("pattern", "counted")
+    return patterns.join(n, F.col("pattern").eqNullSafe(F.col("counted"))).drop("counted")
+
+
 def routed_tags(tags: DataFrame, routes: DataFrame, dotted: bool = False) -> DataFrame:
     """tags with routes: the routes (pattern, ord, route) that each tag matches, in the order of ord; null if none.
 

@@ -187,7 +187,7 @@ r AS (SELECT graph, node FROM seeds UNION SELECT r.graph, e.src FROM r JOIN edge
 r AS (SELECT graph, node FROM seeds UNION SELECT r.graph, e.dst FROM r JOIN edges e ON e.graph = r.graph AND e.src = r.node) SELECT graph, src AS node FROM edges UNION SELECT graph, dst FROM edges EXCEPT SELECT graph, node FROM r"""),
     "feeding_sources": (lambda s, d: graph.feeding_sources(view(s, d, "feeds"), _nodes(s, d, "r"), _nodes(s, d, "c")), _with("feeds") + """
 r AS (SELECT DISTINCT dst AS sink, dst AS node FROM feeds WHERE dst LIKE 'r%' UNION SELECT r.sink, f.src FROM r JOIN feeds f ON f.dst = r.node WHERE r.node NOT LIKE 'c%') SELECT 'all' AS graph, sink, node AS source FROM r WHERE node LIKE 'c%'"""),
-    "tag_routes": (lambda s, d: tags.matched_tags(view(s, d, "tags"), view(s, d, "patterns")).groupBy("pattern", "route", "ord").agg(F.count("*").alias("n")), _with("tags", "patterns") + """
+    "tag_routes": (lambda s, d: tags.counted_tags(view(s, d, "tags"), view(s, d, "patterns").groupBy("pattern", "route", "ord").agg(F.count("*").alias("times"))).select("pattern", "route", "ord", (F.col("n") * F.col("times")).alias("n")), _with("tags", "patterns") + """
 m AS (SELECT p.* FROM tags t JOIN patterns p ON CASE WHEN p.pattern LIKE '%*' THEN starts_with(t.tag, left(p.pattern, -1)) ELSE t.tag = p.pattern END) SELECT pattern, route, ord, count(*) AS n FROM m GROUP BY ALL"""),
     "tag_routes_dotted": (lambda s, d: tags.routed_tags(view(s, d, "tags"), view(s, d, "patterns"), True).select("event_id", F.size("routes").cast("long").alias("n"), F.element_at("routes", -1).alias("last")), _with("tags", "patterns") + """
 m AS (SELECT t.event_id, p.ord, p.route FROM tags t JOIN patterns p ON p.pattern IN ('*', '**', t.tag) OR p.pattern LIKE '%.**' AND (t.tag = left(p.pattern, -3) OR starts_with(t.tag, left(p.pattern, -2))))
@@ -213,10 +213,14 @@ def _silent_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = view(spark, sf_dir, "nested")
     numbered = trees.intervals(nested)
     tops = numbered.filter("parent IS NULL").select("config", "ruleset", (F.col("id") % 7).alias("r")).distinct()
-    calls = nested.filter("kind = 'Call'").select("config", F.col("ruleset").alias("caller"), (F.col("id") % 7).alias("r")).distinct()
+    return trees.silent_drops(tops, numbered, _called(nested, numbered))
+
+
+def _called(nested: DataFrame, numbered: DataFrame) -> DataFrame:
+    """config, ruleset of those that another ruleset calls, each once: two callers in a place tell whether one of them is another."""
+    calls = nested.filter("kind = 'Call'").groupBy("config", (F.col("id") % 7).alias("r")).agg(F.min("ruleset").alias("least"), F.max("ruleset").alias("most"))
     last = numbered.filter("parent IS NULL").groupBy("config", "ruleset").agg((F.max_by("id", F.struct("ord", "id")) % 7).alias("r"))
-    called = last.join(calls, ["config", "r"]).filter("caller <> ruleset").select("config", "ruleset")
-    return trees.silent_drops(tops, numbered, called)
+    return last.join(calls, ["config", "r"]).filter("least <> ruleset OR most <> ruleset").select("config", "ruleset")
 
 
 def _stream_messages(wire: DataFrame) -> DataFrame:
@@ -231,7 +235,8 @@ def _stream_messages(wire: DataFrame) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str, letter: str) -> DataFrame:
-    return view(spark, sf_dir, "feeds").select("graph", F.col("dst").alias("node")).filter(F.col("node").startswith(letter)).distinct()
+    """The nodes of one letter at either end of an edge: what nothing feeds may be a source too."""
+    return view(spark, sf_dir, "feeds").select("graph", F.explode(F.array("src", "dst")).alias("node")).filter(F.col("node").startswith(letter)).distinct()
 
 
 def _retagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

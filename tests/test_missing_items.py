@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from sluiceway import table_queries
 from sluiceway.functions.distance import alignment_distance, edit_distance
 from sluiceway.functions.jsontext import json_object, repeated_keys, shown_members
 from sluiceway.operators import catalog, detect, detect_index, enrich, graph, replay, tags, trees
@@ -324,3 +325,39 @@ def test_lines_in_order_over_files_and_stretches(spark, tmp_path):
         assert sorted(r.idx for r in first_messages(df, 4100).collect()) == list(range(1, 4101))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+# --- growth ---
+
+
+def test_tags_are_counted_by_distinct_pairs(spark, monkeypatch):
+    rows = spark.createDataFrame([(["a.b", "a.c", "b", None][n % 4],) for n in range(40)], "tag string")
+    patterns = spark.createDataFrame([(p, k) for k, p in enumerate(["a.*", "a.*", "a.b", "*", "", None, "z*", "b"])], "pattern string, ord int")
+    want = sorted((r.pattern or "", r.ord, r["count"]) for r in tags.matched_tags(rows, patterns).groupBy("pattern", "ord").count().collect())
+    met, plain = [], tags.matched_tags
+    monkeypatch.setattr(tags, "matched_tags", lambda *a: met.append(plain(*a).count()) or plain(*a))
+    assert sorted((r.pattern or "", r.ord, r.n) for r in tags.counted_tags(rows, patterns).collect()) == want
+    assert met == [2 + 1 + 3 + 3 + 3 + 1]
+
+
+def test_a_source_that_nothing_feeds(spark, tmp_path):
+    """A customer without orders feeds its nation, and the region of that, as the SQL says."""
+    tables = {
+        "orders": ("o_orderkey long, o_custkey long", [(1, 10)]), "customer": ("c_custkey long, c_nationkey int", [(10, 0), (11, 7)]),
+        "nation": ("n_nationkey int, n_regionkey int", [(0, 0), (7, 1)]),
+    }
+    for name, (schema, data) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {(r.sink, r.source) for r in table_queries.QUERIES["feeding_sources"][0](spark, str(tmp_path)).collect()}
+    assert got == {("r0", "c10"), ("r1", "c11")}
+
+
+def test_rulesets_do_not_meet_all_their_callers(spark, tmp_path):
+    """Orders 4200k + 600 call (remainder 1 by 7) what orders 4200k are; the ruleset of order 50 has no caller."""
+    lines = [(4200 * k, 1, "N") for k in range(40)] + [(4200 * k + 600, n, "R") for k in range(40) for n in (1, 3)] + [(50, 1, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    nested = table_queries.view(spark, str(tmp_path), "nested")
+    called = table_queries._called(nested, trees.intervals(nested))
+    assert called.count() == called.distinct().count() == 40
+    drops = table_queries.QUERIES["silent_drops"][0](spark, str(tmp_path)).collect()
+    assert sorted((r.code, r.ruleset) for r in drops) == sorted([("V_SILENT_DROP", "r50")] + [("V_SILENT_DROP", f"r{4200 * k + 600}") for k in range(40)])
