@@ -116,21 +116,30 @@ def render_gelf(target: Target) -> Column:
     return F.concat(F.lit("{"), F.array_join(everything, ","), F.lit("}"))
 
 
-def _nested(entries: Column, names: list[str]) -> Column:
-    """A JSON object of the entries (native, value) whose native names are among `names`, nested at their dots; absent ones are left out."""
-    called = lambda n: lambda e: e["native"] == n
+def _leaf(target: Target, name: str) -> tuple[Column, Column]:
+    """Whether the column `event` has a value for a native name, and the first such value.
+
+    Nearly every native name comes from one pivot name: then it is looked up as a key.
+    """
+    keys = [k for k, n in target.fields.items() if n == name] + ([name] if name in target.passthrough and name not in target.fields else [])
+    if len(keys) == 1:
+        return F.map_contains_key("event", F.lit(keys[0])), F.try_element_at("event", F.lit(keys[0]))
+    same = F.filter(F.map_entries("event"), lambda e: e["key"].isin(keys))
+    return F.size(same) > 0, F.get(same, F.lit(0))["value"]
+
+
+def _nested(leaves: dict[str, tuple[Column, Column]]) -> Column:
+    """A JSON object of native names (whether it is there, its value), nested at their dots; absent ones are left out."""
 
     def nest(items: dict[str, str]) -> Column:
         heads: dict[str, dict[str, str]] = {}
         for path, name in items.items():
             head, _, rest = path.partition(".")
             heads.setdefault(head, {})[rest] = name
-        fields = [(F.get(F.filter(entries, called(v[""])), F.lit(0))["value"] if set(v) == {""} else nest({k: n for k, n in v.items() if k})).alias(h) for h, v in heads.items()]
-        inside = F.struct(*fields)
-        some = reduce(Column.__or__, (F.exists(entries, called(n)) for n in items.values()))
-        return F.when(some, inside)
+        fields = [(leaves[v[""]][1] if set(v) == {""} else nest({k: n for k, n in v.items() if k})).alias(h) for h, v in heads.items()]
+        return F.when(reduce(Column.__or__, (leaves[n][0] for n in items.values())), F.struct(*fields))
 
-    return nest({n: n for n in names})
+    return nest({n: n for n in leaves})
 
 
 def render_json(target: Target) -> Column:
@@ -140,7 +149,7 @@ def render_json(target: Target) -> Column:
     names = list(dict.fromkeys([*target.fields.values(), *target.passthrough]))
     rest = F.filter(passed, lambda e: e["native"].isNull())
     unmapped = F.when(F.size(rest) > 0, F.map_from_entries(F.transform(rest, lambda e: F.struct(e["name"], e["value"]))))
-    shown = _nested(passed, names) if names else F.lit(None).cast("struct<_:string>")
+    shown = _nested({n: _leaf(target, n) for n in names}) if names else F.lit(None).cast("struct<_:string>")
     body = F.coalesce(F.to_json(shown), F.lit("{}"))
     more = F.when(F.size(rest) > 0, F.concat(F.lit('"unmapped":'), F.to_json(unmapped)))
     inner = F.regexp_replace(body, r"(?s)^\{|\}$", "")
@@ -151,13 +160,15 @@ def render_udm(target: Target) -> Column:
     """A UDM object of the column `event`: names of a known group are nested, the others become additional.fields."""
     rows = native_fields(target)
     grouped = F.transform(rows, lambda e: F.struct(e["name"].alias("name"), F.when(F.substring_index(e["native"], ".", 1).isin(list(UDM_GROUPS)), e["native"]).alias("native"), e["value"].alias("value")))
-    default = lambda name, value: F.when(~F.exists(grouped, lambda e: F.coalesce(e["native"] == name, F.lit(False))), F.array(F.struct(F.lit(name).alias("name"), F.lit(name).alias("native"), F.lit(value).alias("value")))).otherwise(F.filter(grouped, lambda _: F.lit(False)))
-    whole = F.concat(default("metadata.product_name", SELF), default("metadata.event_type", "GENERIC_EVENT"), grouped)
     names = ["metadata.product_name", "metadata.event_type", *(n for n in target.fields.values() if n.partition(".")[0] in UDM_GROUPS)]
+    leaves = {n: _leaf(target, n) for n in dict.fromkeys(names)}
+    for name, value in (("metadata.product_name", SELF), ("metadata.event_type", "GENERIC_EVENT")):
+        there, own = leaves[name]
+        leaves[name] = F.col("event").isNotNull(), F.when(there, own).otherwise(F.lit(value))
     rest = F.filter(grouped, lambda e: e["native"].isNull())
     fields = F.transform(rest, lambda e: F.struct(e["name"].alias("key"), F.struct(e["value"].alias("string_value")).alias("value")))
     more = F.when(F.size(rest) > 0, F.concat(F.lit('"additional":'), F.to_json(F.struct(fields.alias("fields")))))
-    inner = F.regexp_replace(F.to_json(_nested(whole, list(dict.fromkeys(names)))), r"(?s)^\{|\}$", "")
+    inner = F.regexp_replace(F.to_json(_nested(leaves)), r"(?s)^\{|\}$", "")
     return F.concat(F.lit("{"), F.concat_ws(",", inner, more), F.lit("}"))
 
 

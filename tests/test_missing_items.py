@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from sluiceway import table_queries
 from sluiceway.functions.distance import alignment_distance, edit_distance
 from sluiceway.functions.jsontext import json_object, repeated_keys, shown_members
-from sluiceway.operators import catalog, detect, detect_index, enrich, graph, replay, tags, trees
+from sluiceway.operators import catalog, detect, detect_index, enrich, graph, replay, siem, tags, trees
+from sluiceway.operators.targets import TARGETS
 from sluiceway.plans.routing import evaluate
 from sluiceway.sources.config import parse_config
 from sluiceway.sources.messages import with_properties
@@ -361,3 +362,22 @@ def test_rulesets_do_not_meet_all_their_callers(spark, tmp_path):
     assert called.count() == called.distinct().count() == 40
     drops = table_queries.QUERIES["silent_drops"][0](spark, str(tmp_path)).collect()
     assert sorted((r.code, r.ruleset) for r in drops) == sorted([("V_SILENT_DROP", "r50")] + [("V_SILENT_DROP", f"r{4200 * k + 600}") for k in range(40)])
+
+
+def test_outputs_are_read_once_for_all_checks_of_stores(spark):
+    config = parse_config('ruleset(name="r") { action(type="loki" labels="a=$!user, b=%pid%") action(type="gelf" fields="host=x,bad=2,_ok=1,worse=3") action(type="leef" vendor="v") action(type="cef" severity="high") action(type="splunk") }')
+    found = catalog.store_findings(catalog.relations(spark, {"": config}))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 4
+    assert sorted((r.code, r.message) for r in found.collect()) == [
+        ("SIEM_CEF_SEVERITY_OUT_OF_RANGE", "severity is not in 0..10: high"), ("SIEM_GELF_CUSTOM_FIELD_PREFIX", "a field of its own needs an underscore: bad"), ("SIEM_GELF_CUSTOM_FIELD_PREFIX", "a field of its own needs an underscore: worse"),
+        ("SIEM_LEEF_HEADER_INCOMPLETE", "header lacks product, version, eventID"), ("SIEM_LOKI_HIGH_CARDINALITY_LABEL", "a label comes from pid"), ("SIEM_LOKI_HIGH_CARDINALITY_LABEL", "a label comes from user"), ("SIEM_SPLUNK_MISSING_SOURCETYPE", "no sourcetype"),
+    ]
+
+
+def test_names_of_a_store_are_keys_that_are_looked_up(spark):
+    """Only what has no name there is searched for, not each name in turn."""
+    for name, most in (("chronicle-udm", 40), ("elastic-ecs", 40)):
+        df = spark.createDataFrame([({"time": "1", "odd": None, "metadata.product.name": None},), (None,), ({},)], "event map<string,string>").select(siem.render(TARGETS[name]).alias("line"))
+        assert df._jdf.queryExecution().analyzed().toString().count("lambdafunction(") <= most
+        lines = [r.line for r in df.collect()]
+        assert '"odd"' in lines[0] or "additional" in lines[0]
