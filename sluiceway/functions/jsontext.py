@@ -29,11 +29,14 @@ def json_object(text: Column) -> Column:
     """The members of a text that is one JSON object and nothing else, as map<string,variant>; null for any other.
 
     The parser stops behind the first value.  What follows it would have to pass
-    both as the rest of an array and as that of an object, which nothing does.
+    both as the rest of an array and as that of an object, which nothing does.  A
+    text without a bracket cannot end the array itself, so its second reading is
+    left out: it is alone if there is no second value.
     """
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}")))
-    return F.when(member.isNotNull(), F.try_variant_get(alone, "$[0]", "map<string,variant>"))
+    only = lambda a: F.when(F.contains(text, F.lit("]")), member.isNotNull()).otherwise(F.try_variant_get(a, "$[1]", "variant").isNull())
+    return F.element_at(F.transform(F.array(alone), lambda a: F.when(only(a), F.try_variant_get(a, "$[0]", "map<string,variant>"))), 1)
 
 
 def is_text(value: Column) -> Column:

@@ -22,24 +22,37 @@ def read_ndjson(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     """
     kept = lines.filter(F.length(F.trim(column)) > 0)
     with repeated_keys(lines.sparkSession):
-        read = kept.withColumn("_m", F.element_at(F.transform(F.array(json_object(F.col(column))), _message), 1))
+        whole = F.element_at(F.transform(F.array(json_object(F.col(column))), _message), 1)
+        # A generator of one row: the filters below are not written out before it, so a line is read once.
+        read = kept.select(*(f"`{c}`" for c in lines.columns), F.inline(F.array(F.struct(whole.alias("_m")))))
     names = [c for c in lines.columns if c != column]
     messages = read.filter(F.col("_m").isNotNull()).select(*(f"`{c}`" for c in names), "_m.*")
     return messages, read.filter(F.col("_m").isNull()).select(*(f"`{c}`" for c in lines.columns), F.lit("not a JSON object").alias("message"))
 
 
 def _message(members: Column) -> Column:
-    """A message as a struct; all of it is one expression, so the text is read once."""
-    at = lambda k: F.try_element_at(members, F.lit(_KEYS.get(k, k)))
-    text = lambda k: F.when(is_text(at(k)), F.try_variant_get(at(k), "$", "string"))
-    odd = lambda k: F.when(at(k).isNotNull() & ~F.is_variant_null(at(k)) & ~is_text(at(k)), F.lit(f"{_KEYS.get(k, k)} is not a string"))
+    """A message as a struct; all of it is one expression, so the text is read once, and what a member is is asked once."""
+    return F.when(members.isNotNull(), F.element_at(F.transform(F.array(F.transform_values(members, lambda _, v: _seen(v))), lambda seen: _fields(members, seen)), 1))
+
+
+def _seen(value: Column) -> Column:
+    """text: a member that is one, else null; odd: whether it is neither a text nor null."""
+    read = lambda known: F.struct(F.when(known, F.try_variant_get(value, "$", "string")).alias("text"), (~known & value.isNotNull() & ~F.is_variant_null(value)).alias("odd"))
+    return F.element_at(F.transform(F.array(is_text(value)), read), 1)
+
+
+def _fields(members: Column, seen: Column) -> Column:
+    key = lambda k: F.lit(_KEYS.get(k, k))
+    at = lambda k: F.try_element_at(members, key(k))
+    text = lambda k: F.try_element_at(seen, key(k))["text"]
+    odd = lambda k: F.when(F.try_element_at(seen, key(k))["odd"], F.lit(f"{_KEYS.get(k, k)} is not a string"))
     structured = shown_members(F.try_variant_get(at("structured"), "$", "map<string,variant>"))
     fields = {
         "transport": F.when(text("transport") == "tcp", "tcp").otherwise("udp"), "port": F.coalesce(F.when(is_number(at("port")), F.try_variant_get(at("port"), "$", "int")), F.lit(514)), **{f: text(f) for f in _FIELDS},
         "sim_time": F.when(is_number(at("sim_time")), F.timestamp_millis(F.try_variant_get(at("sim_time"), "$", "double").try_cast("long"))),
         "structured": F.coalesce(structured, F.create_map().cast("map<string,string>")), "fault": F.coalesce(*(odd(f) for f in _FIELDS)),
     }
-    return F.when(members.isNotNull(), F.struct(*(c.alias(k) for k, c in fields.items())))
+    return F.struct(*(c.alias(k) for k, c in fields.items()))
 
 
 def read_line_array(bodies: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
