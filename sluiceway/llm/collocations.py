@@ -35,8 +35,10 @@ CELLS = 1 << 28
 SHARD_PHRASES, GROUP_CHARS = 1 << 19, 64 << 20
 #: Bytes of text that are cut into words at once, and hashes that are counted at once.
 CHUNK, COUNTED = 2 << 20, 2 << 20
-#: Bytes of text whose stretches collapse together.
-GATHERED = 16 << 20
+#: Bytes of text whose stretches collapse together, and of texts in one packed value.
+GATHERED, PACKED = 16 << 20, 256 << 10
+#: Bytes of documents for one bucket of candidates, and the fewest buckets.
+BUCKET_BYTES, BUCKETS = 64 << 20, 64
 _BLOCK = 1 << 16
 
 #: 1: blank, 2: between pieces, 0: in a word.
@@ -158,8 +160,13 @@ def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
         for row in (0, 1):
             cell, n = np.unique(_cell(h, row, cells), return_counts=True)
             block, first = np.unique(cell // _BLOCK, return_index=True)
-            cell, n, first = (cell % _BLOCK).astype(np.uint16), n.astype(np.uint32), np.append(first, len(cell))
-            yield pa.RecordBatch.from_arrays([pa.array((row * (cells // _BLOCK) + block).astype(np.int64)), _cut(cell, first), _cut(n, first)], ["block", "cells", "counts"])
+            # Of a block's cells, in order, the steps are kept.
+            cell = (cell % _BLOCK).astype(np.uint16)
+            step = np.diff(cell, prepend=np.uint16(0))
+            step[first] = cell[first]
+            size = np.diff(np.append(first, len(cell)))
+            blobs = [_compress(_by_place(s) + _by_place(c)) for s, c in zip(np.split(step, first[1:]), np.split(n.astype(np.uint32), first[1:]))]
+            yield pa.RecordBatch.from_arrays([pa.array((row * (cells // _BLOCK) + block).astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "size", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, hashes, held, pieces = [f.value for f in filters], [], 0, None
@@ -180,15 +187,17 @@ def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for block, cell, n in zip(*(c.to_pylist() for c in b.columns)):
-                total = sums.setdefault(block, np.zeros(_BLOCK, np.int64))
-                total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.uint32)
+            for block, size, counts in zip(*(c.to_pylist() for c in b.columns)):
+                raw = pa.decompress(counts, 6 * size, "zstd", asbytes=True)
+                if block not in sums:
+                    sums[block] = np.zeros(_BLOCK, np.int64)
+                sums[block][np.cumsum(_of_places(raw[: 2 * size], np.uint16), dtype=np.int64)] += _of_places(raw[2 * size :], np.uint32)
         full = [(k, np.packbits(v >= LEAST, bitorder="little").tobytes()) for k, v in sums.items() if (v >= LEAST).any()]
         del sums
         _give_back()
         yield pa.RecordBatch.from_pylist([{"block": k, "bits": v} for k, v in full], pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
 
-    counted = docs.select("text", "lang").mapInArrow(count, "block long, cells binary, counts binary")
+    counted = docs.select("text", "lang").mapInArrow(count, "block long, size int, counts binary")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * cells // _BLOCK // 64)
     bits = np.zeros((2, cells // 8), np.uint8)
     width = _BLOCK // 8
@@ -198,16 +207,48 @@ def _level(docs: DataFrame, cells: int, filters: list) -> Filter:
     return Filter(cells, bits)
 
 
-def _cut(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    """Stretches of an array as binary values."""
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+# --- packed values -----------------------------------------------------------------
+
+
+def _compress(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def _by_place(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: small numbers leave long runs of zeros."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _of_places(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _packed(texts: pa.Array, weights: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
+    """Texts in order with their weights as compressed values of some PACKED bytes; their sizes and numbers of texts.
+
+    A line break stands between texts; no word holds one.
+    """
+    order = pc.sort_indices(texts)
+    texts, weights = texts.take(order), weights[order.to_numpy()].astype(np.uint32)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = np.unique(ends // PACKED, return_index=True)[1]
+    bounds = np.append(first, len(texts))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), texts), "\n")
+    for k, line in enumerate(joined.to_pylist()):
+        raw = line.encode() + _by_place(weights[bounds[k] : bounds[k + 1]])
+        yield _compress(raw), len(raw), int(bounds[k + 1] - bounds[k])
+
+
+def _unpacked(blob: bytes, size: int, n: int) -> tuple[list[str], np.ndarray]:
+    raw = pa.decompress(blob, size, "zstd", asbytes=True)
+    return raw[: size - 4 * n].decode().split("\n"), _of_places(raw[size - 4 * n :], np.uint32)
 
 
 # --- candidates and the text they can lie in -----------------------------------------
 
 
-def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
-    """kind, lang, phrase, weight: candidates of two words and more (0), stretches of text and how often each comes (1) and numbers of words (2), by batch."""
+def _pieces_of(docs: DataFrame, filters: list, buckets: int) -> DataFrame:
+    """kind, lang, bucket, blob, size, n by batch: packed candidates of two words and more, by bucket (0), packed stretches of text and how often each comes (1) and numbers of words (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = [f.value for f in filters]
@@ -238,26 +279,71 @@ def _pieces_of(docs: DataFrame, filters: list) -> DataFrame:
                 texts.append(pieces.strings(opens, closes - opens + 1))
                 langs.append(lang[opens])
                 key, n = np.unique(lang, return_counts=True)
-                yield _rows(2, pc.take(pa.array(names), pa.array(key)), pa.array([""] * len(key), pa.string()), n)
+                yield _rows([(2, names[k], 0, b"", 0, int(m)) for k, m in zip(key, n)])
             if texts:
                 yield from collapsed(texts, langs, found, hashes, owners, names)
         _give_back()
 
     def collapsed(texts: list, langs: list, found: list, hashes: list, owners: list, names: list[str]) -> Iterator[pa.RecordBatch]:
         """Each candidate once, and each stretch once with its weight."""
-        once = np.unique(np.concatenate(hashes), return_index=True)[1]
-        yield _rows(0, pc.take(pa.array(names), pa.array(np.concatenate(owners)[once])), pa.concat_arrays(found).take(pa.array(once)), np.zeros(len(once), np.int64))
+        hashed, once = np.unique(np.concatenate(hashes), return_index=True)
+        place = np.concatenate(owners)[once] * buckets + (hashed % U64(buckets)).astype(np.int64)
+        yield from by_place(0, pa.concat_arrays(found).take(pa.array(once)), place, np.zeros(len(once), np.int64), names)
         whole = pa.concat_arrays(texts).dictionary_encode()
         key = whole.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(names) + np.concatenate(langs)
         key, n = np.unique(key, return_counts=True)
-        yield _rows(1, pc.take(pa.array(names), pa.array(key % len(names))), whole.dictionary.take(pa.array(key // len(names))), n)
+        yield from by_place(1, whole.dictionary.take(pa.array(key // len(names))), key % len(names) * buckets, n, names)
+
+    def by_place(kind: int, texts: pa.Array, place: np.ndarray, weights: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+        """place: a language's number times buckets, and the bucket."""
+        order = np.argsort(place, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+            if len(some):
+                lang, bucket = divmod(int(place[some[0]]), buckets)
+                yield _rows([(kind, names[lang], bucket, *v) for v in _packed(texts.take(pa.array(some)), weights[some])])
 
-    return docs.select("text", "lang").mapInArrow(run, "kind int, lang string, phrase string, weight long")
+    return docs.select("text", "lang").mapInArrow(run, "kind int, lang string, bucket int, blob binary, size long, n long")
 
 
-def _rows(kind: int, lang: pa.Array, phrase: pa.Array, weight: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(np.full(len(phrase), kind, np.int32)), lang.cast(pa.string()), phrase, pa.array(weight.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "lang", "phrase", "weight"])
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of kind, lang, bucket, blob, size, n."""
+    kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["kind", "lang", "bucket", "blob", "size", "n"])
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, blob, size, n of whole buckets: each candidate once."""
+    found: dict[str, tuple[list[pa.Array], int]] = {}
+    for b in batches:
+        for lang, blob, size, n in zip(*(c.to_pylist() for c in b.columns)):
+            held, more = found.get(lang, ([], 0))
+            held, more = [*held, pa.array(_unpacked(blob, size, n)[0], pa.string())], more + n
+            if more > max(COUNTED, 2 * len(held[0])):
+                held, more = [pc.unique(pa.chunked_array(held))], 0
+            found[lang] = held, more
+    for lang, (held, _) in found.items():
+        once = pc.unique(pa.chunked_array(held))
+        for k in range(0, len(once), _BLOCK):
+            some = once.slice(k, _BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some], ["lang", "phrase"])
+    del found
+    _give_back()
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, phrase, shard: to shard, lang, blob, size, n, packed by shard within a batch."""
+    for b in batches:
+        for lang in pc.unique(b.column(0)).to_pylist():
+            own = b.filter(pc.equal(b.column(0), lang))
+            shard = own.column(2).to_numpy()
+            for s in np.unique(shard):
+                some = own.column(1).filter(pa.array(shard == s))
+                yield _shard_rows([(int(s), lang, *v) for v in _packed(some, np.zeros(len(some), np.int64))])
+
+
+def _shard_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "lang", "blob", "size", "n"])
 
 
 def _windows(words: list[str], shards: int) -> Iterator[tuple[int, str]]:
@@ -276,11 +362,29 @@ def _windows(words: list[str], shards: int) -> Iterator[tuple[int, str]]:
 
 
 def _cut_by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, phrase, weight, shards: to shard, lang, phrase, weight."""
+    """lang, blob, size, n, shards: to shard, lang, blob, size, n."""
+    parts: dict[tuple[int, str], Counter] = {}
+    held = 0
     for b in batches:
-        rows = [(s, r["lang"], p, r["weight"]) for r in b.to_pylist() for s, p in _windows(r["phrase"].split(" "), r["shards"])]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.string(), pa.string(), pa.int64()))], ["shard", "lang", "phrase", "weight"])
+        for lang, blob, size, n, shards in zip(*(c.to_pylist() for c in b.columns)):
+            for text, weight in zip(*_unpacked(blob, size, n)):
+                for s, p in _windows(text.split(" "), shards):
+                    parts.setdefault((s, lang), Counter())[p] += int(weight)
+            held += size
+            if held > GATHERED:
+                yield from _packed_parts(parts)
+                parts, held = {}, 0
+    yield from _packed_parts(parts)
+
+
+def _packed_parts(parts: dict[tuple[int, str], Counter]) -> Iterator[pa.RecordBatch]:
+    for (s, lang), counts in parts.items():
+        # A weight is within 32 bits: of the same text more, there are several.
+        rows = [(p, min(w - at, _MOST)) for p, w in counts.items() for at in range(0, w, _MOST)]
+        yield _shard_rows([(s, lang, *v) for v in _packed(pa.array([p for p, _ in rows], pa.string()), np.array([w for _, w in rows], np.int64))])
+
+
+_MOST = (1 << 32) - 1
 
 
 # --- the scan ------------------------------------------------------------------
@@ -326,7 +430,7 @@ def _code(k: int) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of place, twice a group's number and 1 for text: a group's candidates come before its texts."""
+    """place, lang, blob, size, n in the order of place, twice a group's number and 1 for text: a group's candidates come before its texts."""
     group, lang, phrases, scanner = -1, "", [], None
 
     def counted() -> Iterator[pa.RecordBatch]:
@@ -334,21 +438,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(hit), "phrase": [scanner.phrases[k] for k in hit], "n": scanner.counts[hit]})
 
     for b in batches:
-        place, weight = b.column(0).to_numpy(), b.column(3).to_numpy()
-        change = np.flatnonzero(np.diff(place)) + 1
-        for i, j in zip([0, *change], [*change, len(place)]):
-            if i == j:
-                continue
-            if group != place[i] // 2:
+        for place, own, blob, size, n in zip(*(c.to_pylist() for c in b.columns)):
+            if group != place // 2:
                 yield from counted()
-                group, lang, phrases, scanner = place[i] // 2, b.column(1)[i].as_py(), [], None
-            texts = b.column(2).slice(i, j - i).to_pylist()
-            if place[i] % 2 == 0:
+                group, lang, phrases, scanner = place // 2, own, [], None
+            texts, weights = _unpacked(blob, size, n)
+            if place % 2 == 0:
                 phrases += texts
                 continue
             if scanner is None:
                 scanner = Scanner(phrases)
-            scanner.scan(texts, weight[i:j])
+            scanner.scan(texts, weights.astype(np.int64))
     yield from counted()
     phrases, scanner = [], None
     _give_back()
@@ -362,16 +462,17 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     filters = []
     for _ in range(3):
         filters.append(spark.sparkContext.broadcast(_level(docs, cells, filters)))
-    rows = materialize(_pieces_of(docs, filters), "phrases")
+    buckets = max(BUCKETS, int(size) // BUCKET_BYTES)
+    rows = materialize(_pieces_of(docs, filters, buckets), "phrases")
     for f in filters:
         f.destroy()
-    found = rows.filter("kind = 0").select("lang", "phrase").distinct()
+    found = rows.filter("kind = 0").repartition("bucket").select("lang", "blob", "size", "n").mapInArrow(_distinct, "lang string, phrase string")
     words = found.select("lang", F.explode(F.split("phrase", " ", -1)).alias("phrase")).distinct()
     candidates = materialize(found.unionByName(words), "candidates")
-    stretches = rows.filter("kind = 1").select("lang", "phrase", "weight")
+    stretches = rows.filter("kind = 1").select("lang", "blob", "size", "n")
     # One row a language: its automata, the groups that share the text of each, and the first group's number.
     chars = candidates.groupBy("lang").agg(F.ceil(F.count("*") / SHARD_PHRASES).cast("int").alias("shards"))
-    sizes = stretches.groupBy("lang").agg(F.sum(F.octet_length("phrase") + 1).alias("size"))
+    sizes = stretches.groupBy("lang").agg(F.sum(F.col("size") - 4 * F.col("n")).alias("size"))
     copies_of_text = F.least(F.col("shards"), F.lit(LONGEST)) / F.col("shards")
     deal = chars.join(sizes, "lang").select("lang", "shards", F.greatest(F.lit(1), F.ceil(F.col("size") * copies_of_text / GROUP_CHARS)).cast("int").alias("salts"))
     before = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
@@ -380,17 +481,19 @@ def phrase_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.substring_index("phrase", " ", 1)
     shard = F.when(F.col("shards") == 1, 0).otherwise(F.crc32(first.cast("binary")) % F.col("shards")).cast("int")
     own = F.col("base") + F.col("shard") * F.col("salts") + F.col("salt")
-    copies = candidates.join(deal, "lang").withColumn("shard", shard).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    copies = copies.select(own.alias("group"), F.lit(0).alias("kind"), "lang", "phrase", F.lit(0).cast("long").alias("weight"))
+    packed = "shard int, lang string, blob binary, size long, n long"
+    # Every group of a shard gets its candidates, and a share of its packed texts.
+    dealt = candidates.join(deal.select("lang", "shards"), "lang").select("lang", "phrase", shard.alias("shard")).mapInArrow(_dealt, packed)
+    copies = dealt.join(deal, "lang").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(own.alias("group"), F.lit(0).alias("kind"), "lang", "blob", "size", "n")
     shared = stretches.join(deal.select("lang", "shards"), "lang")
-    cut = shared.filter("shards = 1").select(F.lit(0).alias("shard"), "lang", "phrase", "weight")
+    cut = shared.filter("shards = 1").select(F.lit(0).alias("shard"), "lang", "blob", "size", "n")
     if (most or 1) > 1:
-        cut = cut.unionByName(shared.filter("shards > 1").select("lang", "phrase", "weight", "shards").mapInArrow(_cut_by_shard, "shard int, lang string, phrase string, weight long"))
-    salted = cut.join(deal, "lang").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.col("salts")).cast("int")).select(own.alias("group"), F.lit(1).alias("kind"), "lang", "phrase", "weight")
+        cut = cut.unionByName(shared.filter("shards > 1").select("lang", "blob", "size", "n", "shards").mapInArrow(_cut_by_shard, packed))
+    salted = cut.join(deal, "lang").withColumn("salt", F.pmod(F.xxhash64("blob"), F.col("salts")).cast("int")).select(own.alias("group"), F.lit(1).alias("kind"), "lang", "blob", "size", "n")
     # A group is a partition of its own; its candidates come first.
-    together = copies.unionByName(salted).repartitionById(int(groups or 1), "group").withColumn("place", F.col("group").cast("long") * 2 + F.col("kind")).sortWithinPartitions("place").select("place", "lang", "phrase", "weight")
+    together = copies.unionByName(salted).repartitionById(int(groups or 1), "group").withColumn("place", F.col("group").cast("long") * 2 + F.col("kind")).sortWithinPartitions("place").select("place", "lang", "blob", "size", "n")
     counts = together.mapInArrow(_scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
-    return materialize(counts, "counts"), rows.filter("kind = 2").groupBy("lang").agg(F.sum("weight").alias("n"))
+    return materialize(counts, "counts"), rows.filter("kind = 2").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 # --- scores ----------------------------------------------------------------------

@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluiceway.llm import collocations as module
@@ -89,3 +90,34 @@ def test_overlapping_matches_and_guards():
     s = Scanner(["a", "a a", "a b", "b", "aa"])
     s.scan(["a a a b", "aa b", "a a a b"], np.array([1, 2, 3]))
     assert dict(zip(s.phrases, s.counts.tolist())) == {"a": 12, "a a": 8, "a b": 4, "b": 6, "aa": 2}
+
+
+def test_packed_texts_come_back_and_are_small(monkeypatch):
+    r = random.Random(5)
+    texts = ["日本 ß", *(" ".join(r.choice(["the", "of", "and", "cdé"]) + str(r.randrange(300)) for _ in range(3)) for _ in range(5000))]
+    weights = np.array([2**32 - 1, *(1 + k % 300 for k in range(5000))])
+    monkeypatch.setattr(module, "PACKED", 1 << 14)
+    values = list(module._packed(pa.array(texts), weights))
+    back = [x for v in values for x in zip(*module._unpacked(*v))]
+    assert len(values) > 3 and sorted(back) == sorted(zip(texts, weights)) and [t for t, _ in back] == sorted(texts, key=str.encode)
+    assert 2 * sum(len(blob) for blob, _, _ in values) < sum(len(t.encode()) + 4 for t in texts)
+
+
+def test_weights_beyond_32_bits_are_split():
+    batches = list(module._packed_parts({(3, "en"): Counter({"a b": 2**33 + 5, "c": 1})}))
+    sums = Counter()
+    for row in (x for b in batches for x in b.to_pylist()):
+        assert (row["shard"], row["lang"]) == (3, "en")
+        for text, weight in zip(*module._unpacked(row["blob"], row["size"], row["n"])):
+            sums[text] += int(weight)
+    assert sums == {"a b": 2**33 + 5, "c": 1}
+
+
+def test_what_is_gathered_is_packed(spark):
+    """One row a bucket or a language, not one for each candidate and stretch."""
+    docs = spark.createDataFrame([("one two three four five six " * 40, "en")] * 50, "text string, lang string").coalesce(1)
+    filters = []
+    for _ in range(3):
+        filters.append(spark.sparkContext.broadcast(module._level(docs, 1 << 20, filters)))
+    rows = module._pieces_of(docs, filters, 1).collect()
+    assert sorted(r.kind for r in rows) == [0, 1, 2] and {r.n for r in rows if r.kind == 2} == {50 * 240}
