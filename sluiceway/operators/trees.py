@@ -3,14 +3,15 @@
 A statement's interval is its number in the order of reading (pre) and the last
 number below it (last): what is nested in it lies between.  Sizes and whether a
 statement ends handling on all its paths go up from the deepest level, numbers
-go down from the top; a round is a join of one level with the next.
+go down from the top; a round is a join of one level with the next, and meets no
+rows of other levels.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.staging import written
@@ -22,13 +23,17 @@ TERMINAL = ("Action", "Stop", "Call")
 
 
 def leveled(statements: DataFrame) -> list[DataFrame]:
-    """The statements by depth, from the top; those that hang below themselves, or below none, are left out."""
+    """The statements by depth, from the top; those that hang below themselves, or below none, are left out.  A round meets only what no round before has placed."""
     rows = written(statements.select("config", "ruleset", "id", "parent", "branch", "ord", "kind"))
-    levels = [written(rows.filter("parent IS NULL"))]
-    while not levels[-1].isEmpty():
-        above = levels[-1].select("config", F.col("id").alias("parent"))
-        levels.append(written(rows.join(above, ["config", "parent"]).select(*rows.columns)))
-    return levels[:-1] or levels
+    levels, rest = [rows.filter("parent IS NULL")], rows.filter("parent IS NOT NULL")
+    while not rest.isEmpty():
+        above = levels[-1].select("config", F.col("id").alias("parent"), F.lit(True).alias("placed"))
+        met = written(rest.join(above, ["config", "parent"], "left").select(*rows.columns, "placed"))
+        level, rest = met.filter("placed").drop("placed"), met.filter("placed IS NULL").drop("placed")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return levels
 
 
 def intervals(statements: DataFrame) -> DataFrame:
@@ -40,31 +45,33 @@ def intervals(statements: DataFrame) -> DataFrame:
     are not repeated there.
     """
     levels = leveled(statements)
-    below: DataFrame | None = None
+    simple = F.col("kind").isin(*TERMINAL)
+    both = F.coalesce(F.col("t") & F.col("e"), F.lit(False))
     sized: list[DataFrame] = []
-    for level in reversed(levels):
-        simple = F.col("kind").isin(*TERMINAL)
-        if below is None:
-            rows = level.withColumns({"size": F.lit(1).cast("long"), "terminal": simple})
+    for depth in reversed(range(len(levels))):
+        level = levels[depth]
+        if sized:
+            under = sized[0].filter("under IS NOT NULL").select("config", F.col("parent").alias("id"), "under", F.col("t.terminal").alias("t"), F.col("e.terminal").alias("e"))
+            size, terminal = 1 + F.coalesce("under", F.lit(0)), F.when(F.col("kind") == "If", both).otherwise(simple)
+            level = level.join(under, ["config", "id"], "left").select(*level.columns, size.alias("size"), terminal.alias("terminal"))
         else:
-            tail = lambda b: F.max_by(F.when(F.col("branch") == b, F.col("terminal")), F.when(F.col("branch") == b, F.struct("ord", "id")))
-            under = below.groupBy("config", F.col("parent").alias("id")).agg(F.sum("size").alias("under"), tail("then").alias("t"), tail("else").alias("e"))
-            both = F.coalesce(F.col("t") & F.col("e"), F.lit(False))
-            rows = level.join(under, ["config", "id"], "left").select(*level.columns, (1 + F.coalesce("under", F.lit(0))).alias("size"), F.when(F.col("kind") == "If", both).otherwise(simple).alias("terminal"))
-        below = written(rows)
-        sized.insert(0, below)
-    out, above = [], None
-    place = F.struct((F.col("branch") == "else").alias("b"), "ord", "id")
-    for depth, level in enumerate(sized):
-        keys: list[Column | str] = ["config", "ruleset"] if above is None else ["config", "parent"]
-        before = F.coalesce(F.sum("size").over(Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        rows = level.withColumn("before", before)
-        if above is not None:
-            rows = rows.join(above.select("config", F.col("id").alias("parent"), F.col("pre").alias("up")), ["config", "parent"])
-        start = F.col("before") + 1 + (F.col("up") if above is not None else 0)
-        above = written(rows.withColumn("pre", start).select(*level.columns, F.lit(depth).cast("long").alias("depth"), "pre"))
-        out.append(above)
-    whole = reduce(DataFrame.unionByName, out)
+            level = level.withColumns({"size": F.lit(1).cast("long"), "terminal": simple})
+        place = Window.partitionBy("config", "parent" if depth else "ruleset").orderBy(F.struct((F.col("branch") == "else").alias("b"), "ord", "id"))
+        before = F.coalesce(F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if depth:
+            # The last of a place has what its parent needs, so children are dealt once for their own places and for their parent.
+            done = F.lead(F.lit(True)).over(place).isNull()
+            tail = lambda b: F.last(F.when(F.col("branch") == b, F.struct("terminal")), ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0))  # noqa: E731, B023
+            level = level.select("*", before.alias("before"), done.alias("done"), tail("then").alias("t"), tail("else").alias("e"))
+            level = level.withColumn("under", F.when(F.col("done"), F.col("before") + F.col("size"))).drop("done")
+        else:
+            level = level.withColumn("pre", before + 1)
+        sized.insert(0, written(level))
+    out = sized[:1]
+    for level in sized[1:]:
+        above = out[-1].filter("size > 1").select("config", F.col("id").alias("parent"), F.col("pre").alias("up"))
+        out.append(written(level.join(above, ["config", "parent"]).withColumn("pre", F.col("before") + 1 + F.col("up")).drop("before", "t", "e", "under", "up")))
+    whole = reduce(DataFrame.unionByName, (level.withColumn("depth", F.lit(depth).cast("long")) for depth, level in enumerate(out)))
     return whole.select("config", "ruleset", "id", "parent", "branch", "ord", "kind", "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), "terminal")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.distance import alignment_distance
@@ -83,15 +83,30 @@ _LINES = "SELECT l_orderkey AS o, l_linenumber AS n, CAST(floor(l_linenumber / 2
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = VIEWS[name].replace('"table"', "`table`")
     if name == "nested":
-        text = f"WITH x AS ({_LINES}) {text}"
+        return _nested(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    text = VIEWS[name].replace('"table"', "`table`")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _SOURCES if t in text}
     for t in tables:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}} {t}", text)
     return spark.sql(text, **tables)
 
 
+def _nested(lineitem: DataFrame) -> DataFrame:
+    """The view of that name, in one shuffle by order in place of joins of the lines with themselves: a line meets its parent, and what hangs below it, under their common number."""
+    kind = "CASE max(f) WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END"
+    lines = lineitem.selectExpr("l_orderkey AS o", "l_linenumber AS n", "l_returnflag AS f").repartition("o").groupBy("o", "n").agg(F.expr(kind).alias("kind"))
+    half = "CAST(floor(n / 2) AS INT)"
+    ends = lines.selectExpr("o", "n", "kind", f"inline(array(struct(n AS at, true AS own), struct({half} AS at, false AS own)))")
+    at = Window.partitionBy("o", "at")
+    met = ends.select("o", "n", "kind", "own", F.max("own").over(at).alias("above"), F.min("own").over(at).alias("alone"), F.expr("o IS NOT NULL AND at IS NOT NULL").alias("known"))
+    ends = met.groupBy("o", "n").agg(F.max("kind").alias("kind"), F.bool_or(F.expr("known AND NOT own AND above")).alias("hung"), F.bool_or(F.expr("known AND own AND NOT alone")).alias("inner"))
+    return ends.selectExpr(
+        "concat('c', CAST(o % 100 AS STRING)) AS config", "concat('r', CAST(o AS STRING)) AS ruleset", "o * 8 + n AS id", f"CASE WHEN hung THEN o * 8 + {half} END AS parent",
+        "CASE WHEN NOT hung THEN 'body' WHEN n % 2 = 0 THEN 'then' ELSE 'else' END AS branch", "n AS ord", "CASE WHEN inner THEN 'If' WHEN kind = 1 THEN 'Action' WHEN kind = 2 THEN 'Set' ELSE 'Call' END AS kind",
+    )
+
+
 def _with(*names: str) -> str:
     """The views, for DuckDB."""
     return "WITH RECURSIVE " + ", ".join(([f"x AS ({_LINES})"] if "nested" in names else []) + [f"{n} AS ({VIEWS[n]})" for n in names]) + ",\n"

@@ -4,6 +4,7 @@ import json
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,59 @@ def test_intervals_of_deep_and_odd_trees(spark):
     assert trees.intervals(flat(spark, [])).collect() == []
 
 
+def test_a_round_meets_only_what_is_not_placed_yet(spark, monkeypatch):
+    met, real = [], trees.written
+
+    def counted(df):
+        met.append(real(df))
+        return met[-1]
+
+    monkeypatch.setattr(trees, "written", counted)
+    chain = [("c", "deep", k, k - 1 if k else None, "then", 0, "If") for k in range(6)]
+    assert [x.count() for x in trees.leveled(flat(spark, chain))] == [1] * 6
+    assert [x.count() for x in met] == [6, 5, 4, 3, 2, 1]
+
+
+def test_intervals_of_any_tree(spark):
+    r, rows = random.Random(7), []
+    for k in range(90):
+        up = r.choice([None] + [x[2] for x in rows if x[0] == f"c{k % 3}"][-20:])
+        ruleset = f"r{k % 2}" if up is None else next(x[1] for x in rows if x[2] == up)
+        rows.append((f"c{k % 3}", ruleset, k, up, "body" if up is None else r.choice(["then", "else", "then", None]), r.choice([0, 1, 2, None]), r.choice(["If", "Set", "Stop", "Action", None])))
+    rows += [("c0", "r0", 900, 901, "then", 0, "If"), ("c0", "r0", 901, 900, "then", 0, "If"), ("c0", "r0", 902, None, None, None, "Set")]
+    low = lambda v: (v is not None, v)
+    order = lambda x: ((x[4] is not None, x[4] == "else"), low(x[5]), x[2])
+    want = {}
+
+    def walk(x, depth, pre):
+        below = sorted((y for y in rows if y[3] == x[2]), key=order)
+        ends, next_ = {}, pre + 1
+        for y in below:
+            last, ends[y[4]] = walk(y, depth + 1, next_)
+            next_ = last + 1
+        simple = None if x[6] is None else x[6] in trees.TERMINAL
+        whole = bool(ends.get("then") and ends.get("else")) if x[6] == "If" else simple
+        want[x[2]] = (depth, pre, next_ - 1, whole)
+        return next_ - 1, whole
+
+    for place in {(x[0], x[1]) for x in rows}:
+        at = 1
+        for x in sorted((x for x in rows if x[3] is None and (x[0], x[1]) == place), key=order):
+            at = walk(x, 0, at)[0] + 1
+    assert {x.id: (x.depth, x["pre"], x["last"], x.terminal) for x in trees.intervals(flat(spark, rows)).collect()} == want
+
+
+def test_lines_meet_their_parents_in_one_reading(spark, tmp_path):
+    """As the SQL of the view has it, for lines without numbers, and for what hangs below itself, too."""
+    lines = [(o, n, f) for o in (1, 2) for n, f in ((1, "A"), (2, "N"), (2, "A"), (4, None), (5, "R"), (7, "N"), (None, "A"), (0, "A"), (-3, "N"), (-2, "A"))] + [(3, 3, "A"), (3, 1, None), (3, 1, "A")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    nested = table_queries.view(spark, str(tmp_path), "nested")
+    assert nested._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    columns = "config, ruleset, id, parent, branch, ord, kind"
+    want = duckdb.sql(table_queries._with("nested").replace("lineitem", f"'{tmp_path}/lineitem.parquet/*.parquet'") + f"z AS (SELECT 1) SELECT {columns} FROM nested").fetchall()
+    assert sorted(map(repr, map(tuple, nested.select(*columns.split(", ")).collect()))) == sorted(map(repr, want))
+
+
 def test_branches_that_drop(spark):
     config = parse_config("""
     ruleset(name="a") { if $msg == "1" then { set $.x = "1"; } else { stop } }
