@@ -17,15 +17,20 @@ from sluiceway.staging import written
 
 
 def _closure(edges: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, node: the seeds and all that edges (graph, src, dst) lead to; keys hold graph, and go along."""
-    steps = written(edges.select("graph", F.col("src").alias("node"), F.col("dst").alias("next")).filter("graph IS NOT NULL AND node IS NOT NULL AND next IS NOT NULL").distinct())
-    front = written(seeds.select(*keys, "node").dropna().distinct())
+    """keys, node: the seeds and all that edges (graph, src, dst) lead to; keys hold graph, and go along.
+
+    A node is in one frontier only, so each edge is followed once a key, and
+    edges need not be made distinct first.  The node is the first key of joins:
+    rows are sorted by the first bytes of the first key, and graphs are few.
+    """
+    steps = written(edges.select("graph", F.col("src").alias("node"), F.col("dst").alias("next")).dropna())
+    front = written(seeds.select("node", *keys).dropna().distinct())
     met = [front]
     while not front.isEmpty():
-        reached = front.join(steps, ["graph", "node"]).select(*keys, F.col("next").alias("node")).distinct()
-        front = written(reached.join(reduce(DataFrame.unionByName, met), [*keys, "node"], "left_anti"))
+        reached = front.join(steps, ["node", "graph"]).select(F.col("next").alias("node"), *keys).distinct()
+        front = written(reached.join(reduce(DataFrame.unionByName, met), ["node", *keys], "left_anti"))
         met.append(front)
-    return reduce(DataFrame.unionByName, met)
+    return reduce(DataFrame.unionByName, met).select(*keys, "node")
 
 
 def reached(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -55,5 +60,5 @@ def feeding_sources(edges: DataFrame, sinks: DataFrame, sources: DataFrame) -> D
     """
     into = edges.join(sources.select("graph", F.col("node").alias("dst")).distinct(), ["graph", "dst"], "left_anti")
     seeds = sinks.select("graph", "node", F.col("node").alias("sink"))
-    pairs = _closure(reversed_edges(into), seeds, ["graph", "sink"])
+    pairs = _closure(reversed_edges(into).distinct(), seeds, ["graph", "sink"])
     return pairs.join(sources.select("graph", "node").distinct(), ["graph", "node"]).select("graph", "sink", F.col("node").alias("source"))

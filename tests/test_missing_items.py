@@ -300,6 +300,23 @@ def test_reached_equals_a_walk(spark):
     assert graph.reached(frame.limit(0), start.limit(0)).collect() == []
 
 
+def test_edges_go_to_the_steps_without_a_shuffle(spark, monkeypatch):
+    """Repeated edges are followed, but found nodes count once; rows are told apart by node before graph."""
+    plans, real = [], graph.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(graph, "written", seen)
+    frame = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c"), ("h", "c", "d")] * 50, "graph string, src string, dst string")
+    start = spark.createDataFrame([("g", "a")], "graph string, node string")
+    assert sorted(map(tuple, graph.reached(frame, start).collect())) == [("g", "a"), ("g", "b"), ("g", "c")]
+    assert "Exchange" not in plans[0] and "Aggregate" not in plans[0]
+    assert all("hashpartitioning(node#" in p or "hashpartitioning(next#" in p for p in plans[1:]) and not any("hashpartitioning(graph#" in p for p in plans)
+    assert [tuple(r) for r in graph.feeding_sources(frame, spark.createDataFrame([("g", "c")], "graph string, node string"), start).collect()] == [("g", "c", "a")]
+
+
 def test_sources_of_sinks(spark):
     edges = [("g", "s1", "t1"), ("g", "t1", "t2"), ("g", "t2", "t1"), ("g", "t2", "k1"), ("g", "s2", "k1"), ("g", "s0", "s1"), ("g", "s3", "k2"), ("h", "s1", "k1")]
     frame = spark.createDataFrame(edges, "graph string, src string, dst string")
