@@ -48,7 +48,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def dead_nodes(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """graph, node: those of nodes that no seed leads to."""
-    return nodes.select("graph", "node").distinct().join(reached(edges, seeds), ["graph", "node"], "left_anti")
+    return nodes.select("node", "graph").distinct().join(reached(edges, seeds), ["node", "graph"], "left_anti").select("graph", "node")
 
 
 def feeding_sources(edges: DataFrame, sinks: DataFrame, sources: DataFrame) -> DataFrame:
