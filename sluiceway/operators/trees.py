@@ -4,7 +4,8 @@ A statement's interval is its number in the order of reading (pre) and the last
 number below it (last): what is nested in it lies between.  Sizes and whether a
 statement ends handling on all its paths go up from the deepest level, numbers
 go down from the top; a round is a join of one level with the next, and meets no
-rows of other levels.
+rows of other levels.  Configurations are few, so they come last in the keys:
+rows are sorted by the first bytes of the first key.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ def leveled(statements: DataFrame) -> list[DataFrame]:
     levels, rest = [rows.filter("parent IS NULL")], rows.filter("parent IS NOT NULL")
     while not rest.isEmpty():
         above = levels[-1].select("config", F.col("id").alias("parent"), F.lit(True).alias("placed"))
-        met = written(rest.join(above, ["config", "parent"], "left").select(*rows.columns, "placed"))
+        met = written(rest.join(above, ["parent", "config"], "left").select(*rows.columns, "placed"))
         level, rest = met.filter("placed").drop("placed"), met.filter("placed IS NULL").drop("placed")
         if level.isEmpty():
             break
@@ -53,10 +54,10 @@ def intervals(statements: DataFrame) -> DataFrame:
         if sized:
             under = sized[0].filter("under IS NOT NULL").select("config", F.col("parent").alias("id"), "under", F.col("t.terminal").alias("t"), F.col("e.terminal").alias("e"))
             size, terminal = 1 + F.coalesce("under", F.lit(0)), F.when(F.col("kind") == "If", both).otherwise(simple)
-            level = level.join(under, ["config", "id"], "left").select(*level.columns, size.alias("size"), terminal.alias("terminal"))
+            level = level.join(under, ["id", "config"], "left").select(*level.columns, size.alias("size"), terminal.alias("terminal"))
         else:
             level = level.withColumns({"size": F.lit(1).cast("long"), "terminal": simple})
-        place = Window.partitionBy("config", "parent" if depth else "ruleset").orderBy(F.struct((F.col("branch") == "else").alias("b"), "ord", "id"))
+        place = Window.partitionBy("parent" if depth else "ruleset", "config").orderBy(F.struct((F.col("branch") == "else").alias("b"), "ord", "id"))
         before = F.coalesce(F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         if depth:
             # The last of a place has what its parent needs, so children are dealt once for their own places and for their parent.
@@ -70,7 +71,7 @@ def intervals(statements: DataFrame) -> DataFrame:
     out = sized[:1]
     for level in sized[1:]:
         above = out[-1].filter("size > 1").select("config", F.col("id").alias("parent"), F.col("pre").alias("up"))
-        out.append(written(level.join(above, ["config", "parent"]).withColumn("pre", F.col("before") + 1 + F.col("up")).drop("before", "t", "e", "under", "up")))
+        out.append(written(level.join(above, ["parent", "config"]).withColumn("pre", F.col("before") + 1 + F.col("up")).drop("before", "t", "e", "under", "up")))
     whole = reduce(DataFrame.unionByName, (level.withColumn("depth", F.lit(depth).cast("long")) for depth, level in enumerate(out)))
     return whole.select("config", "ruleset", "id", "parent", "branch", "ord", "kind", "depth", "pre", (F.col("pre") + F.col("size") - 1).alias("last"), "terminal")
 
