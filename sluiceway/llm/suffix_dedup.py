@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -32,9 +33,10 @@ from sluiceway.llm.suffix_order import common_prefixes, suffix_array
 WINDOW, GRAM = 100, 24
 #: Text bytes expanded at once, bytes sorted at once, distinct bytes a worker may hold.
 CHUNK, BLOCK, HOLD = 8 << 20, 4 << 20, 96 << 20
-SHARD_BYTES = 12 << 20
-#: Bytes whose windows are hashed at once.
-STEP = 1 << 20
+#: Bytes of runs a shard, bytes of overflowed strings a task.
+SHARD_BYTES, OVER_BYTES = 24 << 20, 2 << 20
+#: Bytes whose windows are hashed at once, windows dealt anew at once.
+STEP, BATCH = 1 << 20, 1 << 16
 _B = U64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -196,13 +198,14 @@ def suspects(strings: list[tuple[bytes, tuple[int, int, int]]], window: int) ->
     begin = np.cumsum(size) - size
     if len(t) < window:
         return []
-    h = np.concatenate([window_hashes(t[k : k + STEP + window - 1], window) for k in range(0, len(t) - window + 1, STEP)])
-    inner = np.zeros(len(t) + 1, np.int32)
+    inner = np.zeros(len(t) + 1, np.int8)
     fit = size >= window
     np.add.at(inner, begin[fit], 1)
     np.add.at(inner, (begin + size - window + 1)[fit], -1)
-    at = np.flatnonzero(np.cumsum(inner)[: len(h)] > 0)
-    h = h[at]
+    at = np.flatnonzero(np.cumsum(inner, dtype=np.int8)[: len(t) - window + 1])
+    # Only the hashes of windows within one string are kept of each step.
+    cuts = np.searchsorted(at, np.arange(0, len(t) - window + 1 + STEP, STEP))
+    h = np.concatenate([window_hashes(t[k * STEP : (k + 1) * STEP + window - 1], window)[at[a:b] - k * STEP] for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))])
     ordered = np.sort(h)
     again = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(again):
@@ -262,7 +265,7 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     unpack = zstandard.ZstdDecompressor()
     first: dict[bytes, tuple[int, int, int, int, int]] = {}
     large: set[int] = set()
-    held = 0
+    held, limit = 0, HOLD
     for batch in batches:
         for blob in batch.column("packed"):
             raw = unpack.decompress(blob.as_py())
@@ -292,7 +295,7 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                     continue
                 out.append((*p, p[2] + len(key)))
                 over.append(None)
-            if held > HOLD:
+            if held > limit:
                 weight: Counter[int] = Counter()
                 for key, q in first.items():
                     weight[q[3]] += len(key) + 200
@@ -302,6 +305,8 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                     held -= len(key) + 200
                     out.append((*q[:3], q[2] + len(key)))
                     over.append(key)
+                # Weighing reads all that is held, so it waits until that has doubled, or it would be done anew for each blob.
+                limit = max(HOLD, 2 * held)
             if out:
                 yield _found(out, over)
     if not first:
@@ -328,12 +333,14 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Each window of an overflowed string, as a 128-bit hash."""
     for batch in batches:
-        for doc, mark, s, key in zip(*(batch.column(c).to_pylist() for c in ("doc", "mark", "s", "overflow"))):
-            n = len(key) - window + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(key[k : k + window]) for k in range(n)], pa.binary()), pa.array([doc] * n, pa.int64()), pa.array([mark] * n, pa.int64()), pa.array(range(s, s + n), pa.int64())],
-                names=["w", "doc", "mark", "s"],
-            )
+        keys = batch.column("overflow")
+        sizes = pc.binary_length(keys).to_numpy(zero_copy_only=False) - window + 1
+        for i, j in ranges(np.append(0, np.cumsum(sizes)), BATCH):
+            n, some = sizes[i:j], keys[i:j].to_pylist()
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            doc, mark, s = (np.repeat(ints(batch.column(c))[i:j], n) for c in ("doc", "mark", "s"))
+            w = [xxhash.xxh3_128_digest(key[k : k + window]) for key in some for k in range(len(key) - window + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc), pa.array(mark), pa.array(s + inside)], names=["w", "doc", "mark", "s"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,6 +365,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(v, types.get(k, pa.int64())) for k, v in out.items())], names=["doc_id", *out])
 
 
+def _dealt(packed: DataFrame, parts: int) -> DataFrame:
+    """Each shard to a task of its own; dealt by a hash of their numbers, several would meet in one."""
+    return packed.repartitionById(parts, "shard")
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc, mark, s, e: stretches of UTF-8 bytes covered by windows that also start earlier.
 
@@ -367,11 +379,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(spark, 3.5 * total, SHARD_BYTES)
     packed = docs.select("_doc", "_mark", "text").mapInArrow(lambda it: _shards(it, parts, window), "shard int, packed binary")
-    found = materialize(packed.repartition(parts, "shard").mapInArrow(lambda it: _search(it, window), _FOUND), "repeats")
+    found = materialize(_dealt(packed, parts).mapInArrow(lambda it: _search(it, window), _FOUND), "repeats")
     spans = found.filter(F.col("overflow").isNull()).drop("overflow")
     again = found.filter(F.col("overflow").isNotNull())
-    if not again.isEmpty():
-        windows = again.mapInArrow(lambda it: _windows(it, window), "w binary, doc long, mark long, s long").distinct()
+    over = again.agg(F.sum(F.octet_length("overflow"))).first()[0] or 0
+    if over:
+        # All strings of an overflowed minimizer stand in one task's file, so they are dealt out first.
+        dealt = again.repartition(partitions_for(spark, over, OVER_BYTES), "doc", "mark", "s").distinct()
+        windows = materialize(dealt.mapInArrow(lambda it: _windows(it, window), "w binary, doc long, mark long, s long"), "windows")
         firsts = windows.groupBy("w").agg(F.min(F.struct("doc", "mark", "s")).alias("f"))
         later = windows.join(firsts, "w").filter(F.struct("doc", "mark", "s") != F.col("f"))
         spans = spans.union(later.select("doc", "mark", "s", (F.col("s") + window).alias("e")))

@@ -119,3 +119,51 @@ def test_only_windows_that_may_repeat_are_sorted():
         h = suffix_dedup.window_hashes(d, window)
         seen: dict[bytes, int] = {}
         assert len(h) == 301 - window and all(seen.setdefault(d[k : k + window].tobytes(), int(h[k])) == h[k] for k in range(len(h))) and len(set(seen.values())) == len(seen)
+
+
+def packed_strings(chunks, each):
+    """Packed runs as the workers get them: chunks of random texts, and the texts."""
+    import pyarrow as pa
+
+    r = random.Random(7)
+    texts = [["".join(r.choice("abcdefghij ") for _ in range(120)) for _ in range(each)] for _ in range(chunks)]
+    out = []
+    for k, some in enumerate(texts):
+        ids = [k * each + n for n in range(each)]
+        out += suffix_dedup._shards(iter([pa.RecordBatch.from_pydict({"text": some, "_doc": ids, "_mark": ids})]), 1, 100)
+    return out
+
+
+def test_what_is_held_is_not_weighed_for_each_blob(monkeypatch):
+    """Many different strings of many minimizers: none is large, so none can leave, and weighing them again and again is of no use."""
+    weighed = []
+
+    class Weighed(suffix_dedup.Counter):
+        def __init__(self):
+            weighed.append(1)
+            super().__init__()
+
+    monkeypatch.setattr(suffix_dedup, "HOLD", 20_000)
+    monkeypatch.setattr(suffix_dedup, "Counter", Weighed)
+    blobs = packed_strings(100, 10)
+    assert [r for b in suffix_dedup._search(iter(blobs), 100) for r in b.to_pylist()] == []
+    assert len(blobs) == 100 and 1 <= len(weighed) <= 8
+
+
+def test_each_shard_has_a_task_of_its_own(spark):
+    packed = spark.range(400).selectExpr("CAST(id % 40 AS int) AS shard", "CAST('x' AS binary) AS packed")
+    got = suffix_dedup._dealt(packed, 40).selectExpr("shard", "spark_partition_id() AS task").distinct().collect()
+    assert len(got) == 40 == len({r.task for r in got}) == len({r.shard for r in got})
+
+
+def test_windows_of_overflowed_strings_come_in_large_batches(monkeypatch):
+    import pyarrow as pa
+    import xxhash
+
+    keys = [bytes([97 + k % 26]) * (100 + k % 5) for k in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(300)), "mark": [-k for k in range(300)], "s": [7 * k for k in range(300)], "overflow": keys})
+    want = [{"w": xxhash.xxh3_128_digest(key[x : x + 100]), "doc": k, "mark": -k, "s": 7 * k + x} for k, key in enumerate(keys) for x in range(len(key) - 99)]
+    for size, most in ((1 << 16, 1), (100, 10)):
+        monkeypatch.setattr(suffix_dedup, "BATCH", size, raising=False)
+        got = list(suffix_dedup._windows(iter([batch]), 100))
+        assert len(got) <= most and [r for b in got for r in b.to_pylist()] == want
